@@ -1,0 +1,528 @@
+"""Fitting coders data-parallel: synchronous mini-batch steps over a table of training rows.
+
+The rows are written once, partitioned by batch, so a step reads only its own batches.
+Each batch is a bounded group that returns one summed gradient; gradients are added by
+parameter block on the executors and the driver applies AdamW. The parameter count is
+capped, because it crosses the driver every step: larger coders are trained elsewhere
+and loaded as weights.
+"""
+
+from __future__ import annotations
+
+import math
+import uuid
+from dataclasses import dataclass, field, replace
+from typing import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.hashing import hash_int
+from ..functions.vector import EPS
+from ..session import ensure_checkpoint_dir
+from . import blocks
+from .coding import DenseAE, SparseCoder, gelu, hidden_dim
+
+MAX_PARAMS = 16_000_000
+BLOCK = 1 << 16  # parameters per block when gradients are added
+
+
+# ---------------------------------------------------------------- schedules
+
+def initial_k(dict_size: int, k_final: int) -> int:
+    return max(k_final, min(max(256, 2 * k_final), max(1, dict_size // 4)))
+
+
+def annealed_k(step: int, steps: int, start: int, final: int, schedule: str = "cosine") -> int:
+    if schedule not in ("linear", "cosine"):
+        raise ValueError(f"unknown schedule {schedule!r}")
+    if step >= steps:
+        return final
+    done = step / steps
+    share = 1 - done if schedule == "linear" else 0.5 * (1 + math.cos(math.pi * done))
+    return max(final, int(round(final + (start - final) * share)))
+
+
+def learning_rate(step: int, steps: int, peak: float, warmup: int) -> float:
+    if step < warmup:
+        return peak * step / max(warmup, 1)
+    return peak * 0.5 * (1 + math.cos(math.pi * (step - warmup) / max(steps - warmup, 1)))
+
+
+# ---------------------------------------------------------------- gradient of one batch
+
+def _cosine_grad(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """mean(1 - cos(x, y)) and its gradient in y."""
+    nx = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS)
+    ny = np.maximum(np.linalg.norm(y, axis=1, keepdims=True), EPS)
+    c = (x * y).sum(axis=1, keepdims=True) / (nx * ny)
+    return float((1 - c).mean()), -(x / (nx * ny) - c * y / (ny * ny)) / len(x)
+
+
+class _Side:
+    """Forward state of one set of vectors and the gradients flowing back into it."""
+
+    def __init__(self, coder: SparseCoder, x: np.ndarray, k: int):
+        self.x = x
+        self.h = coder.pre_activations(x)
+        self.xc = x - coder.dec_bias if coder.centred else x
+        rows, cols = blocks.top_columns(np.where(self.h > 0, self.h, -np.inf), k)
+        self.z = np.zeros_like(self.h)
+        self.z[rows, cols] = self.h[rows, cols]
+        self.gz = np.zeros_like(self.h)   # gradient in the active code entries
+        self.gh = np.zeros_like(self.h)   # gradient arriving directly at pre-activations
+        self.x_hat = self.z @ coder.dec + coder.dec_bias if coder.model_type == "sae" else None
+        self.gx_hat = np.zeros_like(x)
+
+    def back(self, coder: SparseCoder, grads: dict) -> None:
+        if coder.model_type == "sae":
+            grads["dec"] += self.z.T @ self.gx_hat
+            grads["dec_bias"] += self.gx_hat.sum(axis=0)
+            self.gz += self.gx_hat @ coder.dec.T
+        gh = self.gz * (self.z > 0) + self.gh
+        grads["enc"] += gh.T @ self.xc
+        grads["enc_bias"] += gh.sum(axis=0)
+        if coder.centred:
+            grads["dec_bias"] -= (gh @ coder.enc).sum(axis=0)
+
+
+def _reconstruction(side: _Side, weight: float) -> float:
+    loss, g = _cosine_grad(side.x, side.x_hat)
+    side.gx_hat += weight * g
+    return weight * loss
+
+
+def _revival(side: _Side, coder: SparseCoder, dead: np.ndarray, aux_k: int, weight: float, grads: dict) -> float:
+    """Dead features try to explain what the live ones left over."""
+    if not dead.any() or weight == 0:
+        return 0.0
+    rows, cols = blocks.top_columns(np.where(dead[None, :], side.h, -np.inf), min(aux_k, int(dead.sum())))
+    z = np.zeros_like(side.h)
+    z[rows, cols] = np.logaddexp(0, side.h[rows, cols])
+    left = z @ coder.dec + coder.dec_bias - (side.x - side.x_hat)
+    g = 2 * weight * left / len(left)
+    grads["dec"] += z.T @ g
+    grads["dec_bias"] += g.sum(axis=0)
+    side.gh[rows, cols] += ((g @ coder.dec.T) / (1 + np.exp(-side.h)))[rows, cols]
+    return weight * float((left * left).sum(axis=1).mean())
+
+
+def _distillation(q: _Side, p: _Side, weight: float) -> float:
+    gap = (q.z * p.z).sum(axis=1) - (q.x * p.x).sum(axis=1)
+    scale = (2 * weight * gap / len(gap))[:, None]
+    q.gz += scale * p.z
+    p.gz += scale * q.z
+    return weight * float((gap * gap).mean())
+
+
+def _alignment(q: _Side, p: _Side, weight: float) -> float:
+    """The pattern term is a count without gradient; magnitudes on shared features are pulled together."""
+    a, b = q.z > 0, p.z > 0
+    both = a & b
+    step = np.sign(q.z - p.z) * both * (0.5 * weight / len(q.z))
+    q.gz += step
+    p.gz -= step
+    return weight * float((a != b).sum(axis=1).mean() + 0.5 * (np.abs(q.z - p.z) * both).sum(axis=1).mean())
+
+
+def _contrast(q: _Side, p: _Side, neg: _Side | None, per_query: int, temperature: float, weight: float) -> float:
+    n = len(q.z)
+    logits = q.z @ p.z.T / temperature
+    if neg is not None:
+        extra = np.einsum("nd,nmd->nm", q.z, neg.z.reshape(n, per_query, -1)) / temperature
+        logits = np.hstack([logits, extra])
+    peak = logits.max(axis=1, keepdims=True)
+    share = np.exp(logits - peak)
+    total = share.sum(axis=1, keepdims=True)
+    loss = float((np.log(total[:, 0]) + peak[:, 0] - logits[np.arange(n), np.arange(n)]).mean())
+    g = share / total
+    g[np.arange(n), np.arange(n)] -= 1
+    g *= weight / (n * temperature)
+    q.gz += g[:, :n] @ p.z
+    p.gz += g[:, :n].T @ q.z
+    if neg is not None:
+        q.gz += np.einsum("nm,nmd->nd", g[:, n:], neg.z.reshape(n, per_query, -1))
+        neg.gz += (g[:, n:, None] * q.z[:, None, :]).reshape(neg.z.shape)
+    return weight * loss
+
+
+@dataclass(frozen=True)
+class StepSpec:
+    """Which losses a step combines and with what weight."""
+
+    k: int
+    recon: float = 0.0
+    distill: float = 0.0
+    align: float = 0.0
+    aux: float = 0.0
+    contrast: float = 0.0
+    negatives: bool = False
+    aux_k: int = 512
+    temperature: float = 0.05
+
+
+def batch_gradient(coder: SparseCoder, q: np.ndarray, p: np.ndarray, neg: np.ndarray | None,
+                   spec: StepSpec, dead: np.ndarray) -> tuple[float, dict, np.ndarray]:
+    """Loss, parameter gradients and active-feature mask of one batch; `neg` is (rows, m, dim)."""
+    grads = {name: np.zeros(value.shape) for name, value in parameters(coder).items()}
+    qs, ps = _Side(coder, q, spec.k), _Side(coder, p, spec.k)
+    ns, m = None, 0
+    if spec.negatives and neg is not None and neg.shape[1]:
+        m = neg.shape[1]
+        ns = _Side(coder, neg.reshape(len(q) * m, -1), spec.k)
+    loss = 0.0
+    if coder.model_type == "sae":
+        for side in (qs, ps):
+            if spec.recon:
+                loss += _reconstruction(side, spec.recon / 2)
+            loss += _revival(side, coder, dead, spec.aux_k, spec.aux / 2, grads)
+    if spec.distill:
+        loss += _distillation(qs, ps, spec.distill)
+    if spec.align:
+        loss += _alignment(qs, ps, spec.align)
+    if spec.contrast:
+        loss += _contrast(qs, ps, ns, m, spec.temperature, spec.contrast)
+    for side in (qs, ps, ns):
+        if side is not None:
+            side.back(coder, grads)
+    return loss, grads, (qs.z > 0).any(axis=0) | (ps.z > 0).any(axis=0)
+
+
+# ---------------------------------------------------------------- parameters and optimiser
+
+def parameters(coder: SparseCoder) -> dict[str, np.ndarray]:
+    names = ["enc", "enc_bias"] + (["dec", "dec_bias"] if coder.model_type == "sae" else [])
+    return {n: getattr(coder, n) for n in names}
+
+
+def _flatten(values: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.asarray(v, np.float64).ravel() for v in values.values()])
+
+
+def _unflatten(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for name, v in like.items():
+        out[name] = flat[at:at + v.size].reshape(v.shape)
+        at += v.size
+    return out
+
+
+class AdamW:
+    def __init__(self, n: int, weight_decay: float = 0.01):
+        self.m, self.v, self.t, self.decay = np.zeros(n), np.zeros(n), 0, weight_decay
+
+    def step(self, x: np.ndarray, g: np.ndarray, lr: float) -> np.ndarray:
+        size = np.linalg.norm(g)
+        if size > 1.0:  # gradient clipping at norm 1
+            g = g / size
+        self.t += 1
+        self.m = 0.9 * self.m + 0.1 * g
+        self.v = 0.999 * self.v + 0.001 * g * g
+        update = (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.999 ** self.t)) + 1e-8)
+        return x * (1 - lr * self.decay) - lr * update
+
+
+# ---------------------------------------------------------------- distributed step
+
+def _write_batches(rows: DataFrame, key: str, batch_size: int, max_batches: int, seed: int) -> tuple[str, list[int]]:
+    """Rows hashed into batches and stored by batch; batches no step would reach are not written."""
+    spark = rows.sparkSession
+    n = rows.count()
+    if n == 0:
+        raise ValueError("no training rows")
+    n_batches = max(1, round(n / batch_size))
+    path = f"{ensure_checkpoint_dir(spark)}/sparkvec-batches-{uuid.uuid4().hex[:12]}"
+    batched = rows.withColumn("batch", F.pmod(hash_int(seed, key), F.lit(n_batches)).cast("int"))
+    used = min(n_batches, max_batches)
+    (batched.where(F.col("batch") < used).repartition("batch").sortWithinPartitions("batch", key)
+     .write.partitionBy("batch").parquet(path))
+    stored = sorted(r["batch"] for r in spark.read.parquet(path).select("batch").distinct().collect())
+    return path, stored
+
+
+def _sum_gradients(batches: DataFrame, compute: Callable, n_params: int, parallel: int):
+    """(loss sum, rows, gradient sum, activity) over the batches of one step.
+
+    `compute(table) -> (loss, gradient, activity)`, both weighted by the batch's rows.
+    """
+    fields = "block int, rows bigint, loss double, data binary, active binary"
+
+    def run(table: pa.Table) -> pa.Table:
+        loss, grad, active = compute(table)
+        n = table.num_rows
+        starts = range(0, len(grad), BLOCK)
+        return pa.table({
+            "block": pa.array(range(len(starts)), pa.int32()), "rows": pa.array([n] * len(starts), pa.int64()),
+            "loss": pa.array([loss * n] * len(starts)),
+            "data": pa.array([(grad[a:a + BLOCK] * n).tobytes() for a in starts], pa.binary()),
+            "active": pa.array([active.tobytes() if i == 0 else b"" for i in range(len(starts))], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        data = np.sum([np.frombuffer(b) for b in table["data"].to_pylist()], axis=0)
+        masks = [np.frombuffer(b, np.uint8) for b in table["active"].to_pylist() if b]
+        active = np.maximum.reduce(masks).tobytes() if masks else b""
+        return pa.table({
+            "block": table["block"].slice(0, 1), "rows": pa.array([sum(table["rows"].to_pylist())], pa.int64()),
+            "loss": pa.array([sum(table["loss"].to_pylist())]), "data": pa.array([data.tobytes()], pa.binary()),
+            "active": pa.array([active], pa.binary())})
+
+    out = batches.groupBy("batch").applyInArrow(run, fields)
+    if parallel > 1:
+        out = out.groupBy("block").applyInArrow(add, fields)
+    parts = sorted(out.collect(), key=lambda r: r["block"])  # at most MAX_PARAMS numbers
+    grad = np.concatenate([np.frombuffer(r["data"]) for r in parts])
+    active = np.frombuffer(parts[0]["active"], np.uint8).astype(bool)
+    return parts[0]["loss"] / parts[0]["rows"], grad / parts[0]["rows"], active
+
+
+def _step_batches(spark, path: str, stored: list[int], step: int, parallel: int) -> DataFrame:
+    ids = sorted({stored[(step * parallel + i) % len(stored)] for i in range(parallel)})
+    return spark.read.parquet(path).where(F.col("batch").isin(ids))
+
+
+@dataclass
+class FitConfig:
+    """Trainer defaults; `parallel` batches are averaged into one step."""
+
+    dict_size: int
+    k_final: int = 32
+    stage2_steps: int = 2000
+    stage3_steps: int = 5000
+    batch_size: int = 512
+    parallel: int = 1
+    lr_stage2: float = 3e-4
+    lr_stage3: float = 1e-4
+    warmup_stage2: int = 1000
+    warmup_stage3: int = 500
+    schedules: bool = True
+    alpha_align: float = 0.3
+    alpha_aux: float = 1 / 32
+    contrastive_weight: float | None = None
+    temperature: float = 0.05
+    dead_threshold: int = 1000
+    aux_k: int = 512
+    annealing: str = "cosine"
+    layout: str = "retrieval"  # or "paired"
+    model_type: str = "sae"
+    seed: int = 0
+
+
+@dataclass
+class FitResult:
+    coder: SparseCoder
+    history: list[tuple] = field(default_factory=list)  # (stage, step, k, loss, dead fraction)
+    best_score: float | None = None
+
+
+def new_coder(dim: int, cfg: FitConfig) -> SparseCoder:
+    """Uniform weights within 1/sqrt(fan in), zero biases, unit dictionary vectors."""
+    rng = np.random.default_rng(cfg.seed)
+    enc = rng.uniform(-1, 1, (cfg.dict_size, dim)) / math.sqrt(dim)
+    dec = dec_bias = None
+    if cfg.model_type == "sae":
+        dec = rng.uniform(-1, 1, (cfg.dict_size, dim))
+        dec /= np.linalg.norm(dec, axis=1, keepdims=True)
+        dec_bias = np.zeros(dim)
+    return SparseCoder(enc, np.zeros(cfg.dict_size), dec, dec_bias, cfg.k_final, cfg.model_type)
+
+
+def _with(coder: SparseCoder, values: dict[str, np.ndarray]) -> SparseCoder:
+    values = dict(values)
+    if "dec" in values:
+        values["dec"] = values["dec"] / np.maximum(
+            np.linalg.norm(values["dec"], axis=1, keepdims=True), 1e-12)
+    return replace(coder, **values)
+
+
+def _stage2_spec(cfg: FitConfig, k: int) -> StepSpec:
+    retrieval = cfg.layout == "retrieval"
+    weight = cfg.contrastive_weight
+    if weight is None:
+        weight = 0.05 if retrieval else 0.0
+    sae = cfg.model_type == "sae"
+    return StepSpec(k, recon=float(sae), distill=cfg.alpha_align if retrieval else 0.0,
+                    align=0.0 if retrieval else cfg.alpha_align, aux=cfg.alpha_aux if sae else 0.0,
+                    contrast=weight, aux_k=cfg.aux_k, temperature=cfg.temperature)
+
+
+def _stage3_spec(cfg: FitConfig) -> StepSpec:
+    return StepSpec(cfg.k_final, recon=0.1 if cfg.model_type == "sae" else 0.0,
+                    distill=0.05 if cfg.layout == "retrieval" else 0.0, contrast=1.0, negatives=True,
+                    aux_k=cfg.aux_k, temperature=cfg.temperature)
+
+
+def fit_sparse_coder(rows: DataFrame, cfg: FitConfig, init: SparseCoder | None = None,
+                     evaluate: Callable[[SparseCoder], float] | None = None) -> FitResult:
+    """Fit on `rows(q_idx, q, p[, neg])`: query, positive and optional hard-negative vectors.
+
+    Stage 2 reconstructs and aligns under a shrinking k, stage 3 contrasts. `init` skips
+    stage 2. `evaluate(coder)` scores after stage 2 and five times in stage 3; the best
+    score, strictly greater wins, decides which coder is returned.
+    """
+    if cfg.layout not in ("retrieval", "paired"):
+        raise ValueError(f"unknown layout {cfg.layout!r}")
+    if cfg.model_type == "encoder_only" and cfg.layout != "retrieval":
+        raise ValueError("encoder-only fitting needs the retrieval layout")
+    spark = rows.sparkSession
+    dim = rows.select(F.size("q").alias("d")).first()["d"]
+    coder = init if init is not None else new_coder(dim, cfg)
+    n_params = sum(v.size for v in parameters(coder).values())
+    if n_params > MAX_PARAMS:
+        raise ValueError(f"{n_params} parameters exceed the bound of {MAX_PARAMS}: train elsewhere and load the weights")
+    total = (0 if init is not None else cfg.stage2_steps) + cfg.stage3_steps
+    path, stored = _write_batches(rows, "q_idx", cfg.batch_size, max(1, total * cfg.parallel), cfg.seed)
+    has_neg = "neg" in rows.columns
+    idle = np.zeros(coder.dict_size, np.int64)
+    result = FitResult(coder)
+    best: list = [None, coder]
+
+    def select(candidate):
+        if evaluate is None:
+            return
+        score = float(evaluate(candidate))
+        if best[0] is None or score > best[0]:
+            best[:] = [score, candidate]
+
+    def run_stage(stage, steps, spec_of, peak, warmup, coder):
+        nonlocal idle
+        optimiser = AdamW(n_params)
+        for step in range(steps):
+            spec = spec_of(step)
+            shared = spark.sparkContext.broadcast((coder, spec, idle > cfg.dead_threshold))
+
+            def compute(table, shared=shared):
+                model, spec, dead = shared.value
+                neg = None
+                if has_neg and spec.negatives:
+                    nested = table["neg"].combine_chunks()
+                    counts = np.diff(nested.offsets.to_numpy())
+                    m = int(counts.min()) if len(counts) else 0  # rows of a batch share one count
+                    flat = blocks.list_matrix(nested.flatten())
+                    first = np.concatenate([[0], np.cumsum(counts)])[:-1]
+                    neg = flat[first[:, None] + np.arange(m)[None, :]] if m else np.zeros((len(counts), 0, dim))
+                loss, grads, active = batch_gradient(
+                    model, blocks.list_matrix(table["q"]), blocks.list_matrix(table["p"]), neg, spec, dead)
+                return loss, _flatten(grads), active.astype(np.uint8)
+
+            batches = _step_batches(spark, path, stored, step, cfg.parallel)
+            loss, grad, active = _sum_gradients(batches, compute, n_params, cfg.parallel)
+            lr = learning_rate(step, steps, peak, warmup) if cfg.schedules else peak
+            values = optimiser.step(_flatten(parameters(coder)), grad, lr)
+            coder = _with(coder, _unflatten(values, parameters(coder)))
+            shared.destroy()
+            idle = np.where(active, 0, idle + 1)
+            result.history.append((stage, step, spec.k, loss, float((idle > cfg.dead_threshold).mean())))
+            every = max(steps // 5, 1)
+            if stage == 3 and (step % every == 0 or step + 1 == steps):
+                select(coder)
+        return coder
+
+    if init is None:
+        start = initial_k(cfg.dict_size, cfg.k_final)
+        coder = run_stage(2, cfg.stage2_steps, lambda s: _stage2_spec(
+            cfg, annealed_k(s, cfg.stage2_steps, start, cfg.k_final, cfg.annealing)),
+            cfg.lr_stage2, cfg.warmup_stage2, coder)
+    coder = replace(coder, k=cfg.k_final)
+    select(coder)
+    coder = run_stage(3, cfg.stage3_steps, lambda s: _stage3_spec(cfg), cfg.lr_stage3, cfg.warmup_stage3, coder)
+    result.coder = best[1] if best[0] is not None else coder
+    result.best_score = best[0]
+    return result
+
+
+# ---------------------------------------------------------------- dense autoencoder
+
+def _gelu_slope(x: np.ndarray) -> np.ndarray:
+    return (gelu(x) / np.where(x == 0, 1, x)) * (x != 0) + 0.5 * (x == 0) + x * np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+
+
+def _ae_values(model: DenseAE) -> dict[str, np.ndarray]:
+    return {f"{part}{i}{name}": v for part in ("enc", "dec")
+            for i, layer in enumerate(getattr(model, part)) for name, v in zip("wb", layer)}
+
+
+def _ae_from(values: dict[str, np.ndarray], model: DenseAE) -> DenseAE:
+    return DenseAE(*[[(values[f"{part}{i}w"], values[f"{part}{i}b"]) for i in range(len(getattr(model, part)))]
+                     for part in ("enc", "dec")], normalize=model.normalize)
+
+
+def ae_gradient(model: DenseAE, x: np.ndarray) -> tuple[float, dict]:
+    """(1 - cosine) + 0.1 * mean squared error, and its gradients."""
+    grads = {}
+
+    def ahead(a, layers):
+        inputs, raw = [], []
+        for i, (w, b) in enumerate(layers):
+            inputs.append(a)
+            raw.append(a @ w.T + b)
+            a = gelu(raw[-1]) if i + 1 < len(layers) else raw[-1]
+        return a, inputs, raw
+
+    def back(g, part, layers, inputs, raw):
+        for i in reversed(range(len(layers))):
+            if i + 1 < len(layers):
+                g = g * _gelu_slope(raw[i])
+            grads[f"{part}{i}w"], grads[f"{part}{i}b"] = g.T @ inputs[i], g.sum(axis=0)
+            g = g @ layers[i][0]
+        return g
+
+    z, e_in, e_raw = ahead(x, model.enc)
+    size = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), EPS)
+    unit = z / size if model.normalize else z
+    y, d_in, d_raw = ahead(unit, model.dec)
+    loss, g = _cosine_grad(x, y)
+    loss += 0.1 * float(((y - x) ** 2).mean())
+    g = g + 0.2 * (y - x) / x.size
+    g = back(g, "dec", model.dec, d_in, d_raw)
+    if model.normalize:
+        g = (g - unit * (unit * g).sum(axis=1, keepdims=True)) / size
+    back(g, "enc", model.enc, e_in, e_raw)
+    return loss, {name: grads[name] for name in _ae_values(model)}
+
+
+def fit_dense_ae(docs: DataFrame, bottleneck: int, steps: int = 2000, batch_size: int = 512, lr: float = 1e-3,
+                 weight_decay: float = 1e-4, max_docs: int | None = 20_000, architecture: str = "linear",
+                 hidden: int = 0, normalize: bool = True, parallel: int = 1, seed: int = 42) -> tuple[DenseAE, list[float]]:
+    """Autoencoder on `docs(row_idx, embedding)`, by default on a seeded sample as large as the reference's.
+
+    `max_docs=None` trains on every document.
+    """
+    from .relevance import seeded_sample
+    if architecture not in ("linear", "mlp"):
+        raise ValueError(f"unknown architecture {architecture!r}")
+    spark = docs.sparkSession
+    dim = docs.select(F.size("embedding").alias("d")).first()["d"]
+    bottleneck = min(bottleneck, dim)
+    inner = hidden or hidden_dim(dim, bottleneck)
+    rng = np.random.default_rng(seed)
+
+    def layer(n_out, n_in):
+        bound = 1 / math.sqrt(n_in)
+        return rng.uniform(-bound, bound, (n_out, n_in)), rng.uniform(-bound, bound, n_out)
+
+    if architecture == "linear":
+        model = DenseAE([layer(bottleneck, dim)], [layer(dim, bottleneck)], normalize)
+    else:
+        model = DenseAE([layer(inner, dim), layer(bottleneck, inner)],
+                        [layer(inner, bottleneck), layer(dim, inner)], normalize)
+    n_params = sum(v.size for v in _ae_values(model).values())
+    if n_params > MAX_PARAMS:
+        raise ValueError(f"{n_params} parameters exceed the bound of {MAX_PARAMS}")
+    rows = docs if max_docs is None else seeded_sample(docs, docs.count(), max_docs, seed)
+    path, stored = _write_batches(rows.select("row_idx", "embedding"), "row_idx", batch_size, steps * parallel, seed)
+    optimiser, losses = AdamW(n_params, weight_decay), []
+    for step in range(steps):
+        shared = spark.sparkContext.broadcast(model)
+
+        def compute(table, shared=shared):
+            loss, grads = ae_gradient(shared.value, blocks.list_matrix(table["embedding"]))
+            return loss, _flatten(grads), np.zeros(1, np.uint8)
+
+        loss, grad, _ = _sum_gradients(_step_batches(spark, path, stored, step, parallel), compute, n_params, parallel)
+        values = optimiser.step(_flatten(_ae_values(model)), grad, lr)
+        model = _ae_from(_unflatten(values, _ae_values(model)), model)
+        shared.destroy()
+        losses.append(loss)
+    return model, losses
