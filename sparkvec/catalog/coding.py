@@ -67,13 +67,13 @@ def _vector_rows(df, column, places=5):
         "vec_id", "pos", F.round(F.col("x").cast("double"), places).alias("x"))
 
 
-@query("C6_decode", f"WITH {X.sae_sql()}, {_HAT} SELECT vec_id, i::INTEGER AS pos, round(y, 5) AS x FROM hat")
+@query("C6_decode", f"WITH {X.sae_sql()}, {_HAT} SELECT vec_id, i::INTEGER AS pos, round(y::FLOAT::DOUBLE, 5) AS x FROM hat")
 def c6(spark, sf):
     return _vector_rows(C.decode(_code(spark, sf), X.coder()), "x_hat")
 
 
 @query("C6_decode_tied", f"""WITH {X.sae_sql(centred=False)}, hat AS (SELECT c.vec_id, e.i, sum(c.w::DOUBLE * e.w) AS y
-  FROM codes c JOIN enc e ON e.f = c.f GROUP BY c.vec_id, e.i) SELECT vec_id, i::INTEGER AS pos, round(y, 5) AS x FROM hat""")
+  FROM codes c JOIN enc e ON e.f = c.f GROUP BY c.vec_id, e.i) SELECT vec_id, i::INTEGER AS pos, round(y::FLOAT::DOUBLE, 5) AS x FROM hat""")
 def c6_tied(spark, sf):
     return _vector_rows(C.decode(_code(spark, sf, tied=True), X.coder(tied=True)), "x_hat")
 
@@ -101,19 +101,19 @@ def c8(spark, sf):
     return _rows(X.raw_codes(spark, sf, "vec_id"))
 
 
-_LATENT = f"""WITH {X.LONG}, z AS (SELECT vec_id, o, sum(x * w) + max(b) AS z FROM vec JOIN (
-    SELECT o, i, (((o*41 + i*13) % 997) / 997e0 - 0.5e0)::FLOAT::DOUBLE AS w, ((o % 7) / 50e0)::FLOAT::DOUBLE AS b
+_LATENT = f"""WITH {X.LONG}, z AS (SELECT vec_id, o, sum(x * aw) + max(b) AS z FROM vec JOIN (
+    SELECT o, i, (((o*41 + i*13) % 997) / 997e0 - 0.5e0)::FLOAT::DOUBLE AS aw, ((o % 7) / 50e0)::FLOAT::DOUBLE AS b
     FROM range(32) t(o), range(64) u(i)) ON i = f GROUP BY vec_id, o),
 n AS (SELECT vec_id, sqrt(sum(z * z)) AS n FROM z GROUP BY vec_id)"""
 
 
-@query("C9_ae_encode", f"{_LATENT} SELECT vec_id, o::INTEGER AS pos, round(z / greatest(n, 1e-8), 5) AS x FROM z JOIN n USING (vec_id)")
+@query("C9_ae_encode", f"{_LATENT} SELECT vec_id, o::INTEGER AS pos, round((z / greatest(n, 1e-8))::FLOAT::DOUBLE, 5) AS x FROM z JOIN n USING (vec_id)")
 def c9(spark, sf):
     return _vector_rows(C.ae_encode(X.vectors(spark, sf, "vec_id"), linear_ae()), "latent")
 
 
 @query("C10_ae_forward", f"""{_LATENT}, l AS (SELECT vec_id, o, z / greatest(n, 1e-8) AS z FROM z JOIN n USING (vec_id))
-SELECT vec_id, i::INTEGER AS pos, round(sum(z * (((o*41 + i*13) % 997) / 997e0 - 0.5e0)::FLOAT::DOUBLE), 5) AS x
+SELECT vec_id, i::INTEGER AS pos, round(sum(z * (((o*41 + i*13) % 997) / 997e0 - 0.5e0)::FLOAT::DOUBLE)::FLOAT::DOUBLE, 5) AS x
 FROM l, range(64) u(i) GROUP BY vec_id, i""")
 def c10(spark, sf):
     return _vector_rows(C.ae_forward(X.vectors(spark, sf, "vec_id"), linear_ae()), "x_hat")
@@ -136,7 +136,7 @@ def c12(spark, sf):
 
 
 @query("C13_pca_project", f"""WITH {X.LONG}, m AS (SELECT f, avg(x) AS m FROM vec GROUP BY f)
-SELECT vec_id, round(sum((x - m) * (x - m)), 4) AS energy FROM vec JOIN m USING (f) GROUP BY vec_id""")
+SELECT vec_id, round(sum((x - m) * (x - m)), 2) AS energy FROM vec JOIN m USING (f) GROUP BY vec_id""")
 def c13(spark, sf):
     """All components but an identity: a rotation of the centred vectors keeps their length."""
     import numpy as np
@@ -144,11 +144,11 @@ def c13(spark, sf):
     last = np.linalg.svd(fit.components, full_matrices=True)[0][:, -1:]
     model = C.PCAModel(fit.mean, np.hstack([fit.components, last]), fit.method, fit.n_fit)
     return C.pca_project(X.vectors(spark, sf, "vec_id"), model).select(
-        "vec_id", F.round(V.dot("latent", "latent"), 4).alias("energy"))
+        "vec_id", F.round(V.dot("latent", "latent"), 2).alias("energy"))
 
 
 @query("C15_normalize_decoder", f"""WITH {X.LONG}, n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM vec GROUP BY vec_id)
-SELECT vec_id AS feature_id, f::INTEGER AS pos, round(x / greatest(n, 1e-8), 6) AS x FROM vec JOIN n USING (vec_id)""")
+SELECT vec_id AS feature_id, f::INTEGER AS pos, round((x / greatest(n, 1e-8))::FLOAT::DOUBLE, 6) AS x FROM vec JOIN n USING (vec_id)""")
 def c15(spark, sf):
     """The stored vectors taken as dictionary rows."""
     w = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("feature_id"), F.col("embedding").alias("dec"))

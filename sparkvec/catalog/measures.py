@@ -216,8 +216,8 @@ def m13(spark, sf):
 
 
 _AE = """
-proj AS (SELECT vec_id, o, sum(x * w) + max(b) AS z FROM vec JOIN (
-    SELECT o, i, (((o*41 + i*13) % 997) / 997e0 - 0.5e0)::FLOAT::DOUBLE AS w, ((o % 7) / 50e0)::FLOAT::DOUBLE AS b
+proj AS (SELECT vec_id, o, sum(x * aw) + max(b) AS z FROM vec JOIN (
+    SELECT o, i, (((o*41 + i*13) % 997) / 997e0 - 0.5e0)::FLOAT::DOUBLE AS aw, ((o % 7) / 50e0)::FLOAT::DOUBLE AS b
     FROM range(32) t(o), range(64) u(i)) ON i = f GROUP BY vec_id, o),
 lat AS (SELECT vec_id, o, (z / greatest(n, 1e-8))::FLOAT AS w FROM proj JOIN (
     SELECT vec_id, sqrt(sum(z * z)) AS n FROM proj GROUP BY vec_id) USING (vec_id)),
@@ -268,17 +268,17 @@ def k5(spark, sf):
     path = X.scratch(spark, "report")
     times = spark.createDataFrame([("raw", X.RAW_K, "search", 0.0)], "method string, k int, stage string, seconds double")
     stores.write_report(M.long_form(_raw_metrics(spark, sf)), times, path, corpus="embeddings")
-    schema = "methods array<struct<method: string, primary_k: int, suite: array<struct<k: int, metrics: map<string, double>>>>>"
+    schema = "methods array<struct<method: string, primary_k: int, suite: array<struct<k: int, metrics: array<struct<metric: string, value: double>>>>>>"
     r = spark.read.text(f"{path}/report").select(F.from_json("value", schema).alias("r"))
     r = r.select(F.explode("r.methods").alias("m")).select("m.method", F.explode("m.suite").alias("s"))
-    return r.select("method", F.col("s.k").alias("k"), F.explode("s.metrics").alias("metric", "value")).select(
-        "method", "k", "metric", X.r6("value").alias("value"))
+    return r.select("method", F.col("s.k").alias("k"), F.explode("s.metrics").alias("m")).select(
+        "method", "k", F.col("m.metric").alias("metric"), X.r6("m.value").alias("value"))
 
 
 @query("W4_running_gap", """WITH a AS (SELECT DISTINCT user_id AS feature_id, (date_diff('hour', TIMESTAMP '2024-01-01', ts))::BIGINT AS step,
   event_type = 'purchase' AS active FROM events),
 b AS (SELECT feature_id, step, bool_or(active) AS active FROM a GROUP BY ALL)
-SELECT feature_id, step, step - max(CASE WHEN active THEN step END) OVER (PARTITION BY feature_id ORDER BY step) AS gap FROM b""")
+SELECT feature_id, step, coalesce(step - max(CASE WHEN active THEN step END) OVER (PARTITION BY feature_id ORDER BY step), step + 1) AS gap FROM b""")
 def w4(spark, sf):
     return M.running_gap(_activity(spark, sf, False))
 

@@ -278,7 +278,7 @@ def o3(spark, sf):
     q, d = X.raw_codes(spark, sf, "q_idx"), X.raw_codes(spark, sf, "doc_idx")
     half = F.xxhash64("doc_idx") % 2 == 0
     lists = S.sparse_search(q, d.where(half), 20).unionByName(S.sparse_search(q, d.where(~half), 20))
-    w = Window.partitionBy("q_idx").orderBy(F.col("score").desc(), "doc_idx")
+    w = Window.partitionBy("q_idx").orderBy(F.round("score", 9).desc(), "doc_idx")
     return X.run_rows(lists.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 20))
 
 

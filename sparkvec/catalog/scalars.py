@@ -92,7 +92,7 @@ _PATH = """CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('/img/', page_id)
 WHEN 2 THEN concat('/cwd/zip:/', page_id) END"""
 
 
-@query("P8_image_ref", f"""SELECT page_id, CASE WHEN p LIKE 'http://%' THEN p
+@query("P8_image_ref", f"""SELECT page_id, CASE WHEN regexp_matches(p, '^(http|https|oss|file)://') THEN p
   WHEN p LIKE '/img/%' AND ok THEN 'file://' || p
   ELSE coalesce({_URL}, 'file:///image.jpg') END AS image_ref
 FROM (SELECT page_id, {_FILENAME} AS fn, {_PATH} AS p, page_id % 3 = 0 AS ok FROM pages)""")

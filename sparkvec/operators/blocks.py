@@ -71,23 +71,25 @@ class RunningTopK:
         self.n = n_queries
         self.query = np.zeros(0, np.int64)
         self.doc = np.zeros(0, np.int64)
+        self.key = np.zeros(0)
         self.score = np.zeros(0)
         self.floor = np.full(n_queries, -np.inf)
 
-    def add(self, scores: np.ndarray, doc_ids: np.ndarray) -> None:
-        """`scores` is (queries, docs) with docs in ascending id order."""
-        rows, cols = top_columns(scores, self.k, self.floor)
+    def add(self, keys: np.ndarray, scores: np.ndarray, doc_ids: np.ndarray) -> None:
+        """`keys` (what is ranked) and `scores` are (queries, docs) with docs in ascending id order."""
+        rows, cols = top_columns(keys, self.k, self.floor)
         query = np.concatenate([self.query, rows])
         doc = np.concatenate([self.doc, doc_ids[cols]])
+        key = np.concatenate([self.key, keys[rows, cols]])
         score = np.concatenate([self.score, scores[rows, cols]])
-        order = np.lexsort((doc, -score, query))
-        query, doc, score = query[order], doc[order], score[order]
+        order = np.lexsort((doc, -key, query))
+        query, doc, key, score = query[order], doc[order], key[order], score[order]
         starts = np.searchsorted(query, np.arange(self.n))
         position = np.arange(len(query)) - starts[query]
         keep = position < self.k
-        self.query, self.doc, self.score = query[keep], doc[keep], score[keep]
+        self.query, self.doc, self.key, self.score = query[keep], doc[keep], key[keep], score[keep]
         full = position[keep] == self.k - 1
-        self.floor[self.query[full]] = self.score[full]
+        self.floor[self.query[full]] = self.key[full]
 
 
 class SparseQueries:

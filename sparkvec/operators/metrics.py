@@ -119,12 +119,16 @@ def steps_since_active(activity: DataFrame, n_steps: int, dict_size: int) -> Dat
 
 
 def running_gap(activity: DataFrame) -> DataFrame:
-    """Steps since the last activity, at every observed step of every feature."""
+    """Steps since the last activity, at every observed step of every feature.
+
+    Before its first activity a feature counts from the start.
+    """
     w = (Window.partitionBy("feature_id").orderBy("step")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return activity.select(
         "feature_id", "step",
-        (F.col("step") - F.max(F.when(F.col("active"), F.col("step"))).over(w)).alias("gap"))
+        F.coalesce(F.col("step") - F.max(F.when(F.col("active"), F.col("step"))).over(w),
+                   F.col("step") + 1).alias("gap"))
 
 
 def dead_fraction(gaps: DataFrame, threshold: int = 1000) -> DataFrame:

@@ -20,6 +20,7 @@ def get_spark(app: str = "sparkvec", cores: str = "*", shuffle_partitions: int |
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if cores:
         builder = builder.master(f"local[{cores}]").config("spark.driver.memory", "8g")

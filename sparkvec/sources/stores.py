@@ -99,7 +99,7 @@ def report(metrics_long: DataFrame, timings: DataFrame, **context) -> DataFrame:
     The input is a summary: a few rows per method and k, whatever the corpus size.
     """
     per_k = metrics_long.groupBy("method", "k").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
+        F.array_sort(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
     methods = per_k.groupBy("method").agg(
         F.array_sort(F.collect_list(F.struct("k", "metrics"))).alias("suite"), F.min("k").alias("primary_k"))
     times = timings.groupBy().agg(F.array_sort(
