@@ -100,7 +100,13 @@ query("J4_negatives", _negatives_sql(15))(_negatives(15))
 query("J4_negatives_near_pool_size", _negatives_sql(490))(_negatives(490))
 
 
-@query("J5_triplets")
+@query("J5_triplets", """WITH nd AS (SELECT count(*) AS n FROM embeddings),
+hit AS (SELECT vec_id, draw, ('0x' || substr(md5('11:draw:' || vec_id || ':' || draw), 1, 8))::BIGINT % (SELECT n FROM nd) AS doc_idx
+  FROM embeddings, range(32) t(draw)),
+fresh AS (SELECT vec_id, doc_idx, min(draw) AS draw FROM hit GROUP BY vec_id, doc_idx),
+picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY draw) AS r FROM fresh) WHERE r <= 7)
+SELECT vec_id AS row_idx, r::INTEGER AS draw, doc_idx AS neg_idx, CASE WHEN vec_id % 2 = 0 THEN 'text' ELSE 'image' END AS query_side,
+  CASE WHEN vec_id % 2 = 0 THEN 'image' ELSE 'text' END AS negative_side FROM picked WHERE doc_idx <> vec_id""")
 def j5(spark, sf):
     e = X.item_rows(spark, sf)
     return R.sample_triplets(e, e.count(), 7, 11)

@@ -14,15 +14,17 @@ NDCG_CUT = 10
 
 
 def per_query(run: DataFrame, relevance: DataFrame) -> DataFrame:
-    """Hits, first relevant rank and gain per (method, k, query) that has a hit.
+    """Hits, first relevant rank and gain per (method, k, query); the run is read once.
 
     The join key (query, document) is fine-grained on both sides, so a query that
     owns a large share of the judgments is spread like any other rows.
     """
-    gain = F.when(F.col("rank") <= NDCG_CUT, 1.0 / F.log2(F.col("rank") + 1)).otherwise(0.0)
-    return run.join(relevance, ["q_idx", "doc_idx"]).groupBy("method", "k", "q_idx").agg(
-        *[F.sum((F.col("rank") <= c).cast("int")).alias(f"hits_{c}") for c in CUTS],
-        F.min("rank").alias("first_rank"), F.sum(gain).alias("dcg"))
+    marked = run.select("method", "k", "q_idx", "doc_idx", "rank").join(
+        relevance.withColumn("hit", F.lit(True)), ["q_idx", "doc_idx"], "left")
+    rank = F.when(F.col("hit"), F.col("rank"))
+    return marked.groupBy("method", "k", "q_idx").agg(
+        *[F.count_if(rank <= c).alias(f"hits_{c}") for c in CUTS], F.min(rank).alias("first_rank"),
+        F.sum(F.when(rank <= NDCG_CUT, 1.0 / F.log2(rank + 1)).otherwise(0.0)).alias("dcg"))
 
 
 def ranking_metrics(run: DataFrame, relevance: DataFrame) -> DataFrame:
@@ -32,25 +34,24 @@ def ranking_metrics(run: DataFrame, relevance: DataFrame) -> DataFrame:
     Without judged queries there is no value (null), except hit rate, which is 0.
     """
     sizes = relevance.groupBy("q_idx").agg(F.count(F.lit(1)).alias("n_rel"))
-    totals = sizes.agg(F.count(F.lit(1)).alias("nq"), F.coalesce(F.sum("n_rel"), F.lit(0)).alias("rel"))
-    n_queries, n_relevant = totals.select("nq").scalar(), totals.select("rel").scalar()
+    totals = sizes.agg(F.struct(F.count(F.lit(1)).alias("nq"), F.coalesce(
+        F.sum("n_rel"), F.lit(0)).alias("rel")).alias("t")).scalar()
     ideal, table = 0.0, []
     for i in range(1, NDCG_CUT + 1):
         ideal += 1.0 / math.log2(i + 1)
         table.append(F.lit(ideal))
     best = F.element_at(F.array(*table), F.least(F.col("n_rel"), F.lit(NDCG_CUT)).cast("int"))
-    scored = per_query(run, relevance).join(sizes, "q_idx").withColumn(
-        "ndcg", F.col("dcg") / F.greatest(best, F.lit(EPS)))
+    scored = per_query(run, relevance).join(sizes, "q_idx", "left").withColumn(
+        "ndcg", F.when(F.col("n_rel").isNotNull(), F.col("dcg") / F.greatest(best, F.lit(EPS))))
     sums = scored.groupBy("method", "k").agg(
         *[F.sum(f"hits_{c}").alias(f"h{c}") for c in CUTS],
-        *[F.sum((F.col("first_rank") <= c).cast("int")).alias(f"q{c}") for c in CUTS],
-        F.sum(1.0 / F.col("first_rank")).alias("rr"), F.sum("ndcg").alias("ndcg"))
-    # methods whose rankings miss every relevant document still get a row of zeros
-    rows = run.select("method", "k").distinct().join(sums, ["method", "k"], "left").na.fill(0)
-    per = F.nullif(n_queries, F.lit(0))
-    return rows.select(
+        *[F.count_if(F.col("first_rank") <= c).alias(f"q{c}") for c in CUTS],
+        F.coalesce(F.sum(1.0 / F.col("first_rank")), F.lit(0.0)).alias("rr"),
+        F.coalesce(F.sum("ndcg"), F.lit(0.0)).alias("ndcg")).withColumn("t", totals)
+    per = F.nullif(F.col("t.nq"), F.lit(0))
+    return sums.select(
         "method", "k",
-        *[(F.col(f"h{c}") / F.greatest(n_relevant, F.lit(1))).alias(f"recall_at_{c}") for c in CUTS],
+        *[(F.col(f"h{c}") / F.greatest("t.rel", F.lit(1))).alias(f"recall_at_{c}") for c in CUTS],
         *[F.coalesce(F.col(f"q{c}") / per, F.lit(0.0)).alias(f"hit_rate_at_{c}") for c in CUTS],
         (F.col("rr") / per).alias("mrr"), (F.col("ndcg") / per).alias("ndcg_at_10"))
 

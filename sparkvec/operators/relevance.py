@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int, hash_key
+from ..session import cut_lineage
 
 ROW_BLOCK = 1 << 16  # row indices generated by one task in the exhaustive fill
 
@@ -70,40 +71,29 @@ def first_per_group(df: DataFrame, group: str, key, most: int, n=None) -> DataFr
     return ranked if n is None else ranked.where(F.col("_r") <= n)
 
 
-def sample_negatives(pos: DataFrame, neg: DataFrame, n_docs: int, n: int, seed: int) -> DataFrame:
-    """`n` distinct non-positive documents per query: annotated ones first, then random fill.
+def _draw_distinct(need: DataFrame, used: DataFrame, n_docs: int, most: int, seed: int) -> DataFrame:
+    """`need` distinct rows of the pool per query that are not `used`, as (q_idx, doc_idx, _r).
 
-    Candidates for the fill are hashed row indices, a fixed number per query. Only
-    queries still short afterwards enumerate the pool; that happens when positives
-    cover most of it, so the work stays proportional to the judgments.
+    Candidates are hashed row indices, a fixed number per query. Only queries still short
+    afterwards enumerate the pool; that happens when the used rows cover most of it or the
+    pool itself is small, so the work stays proportional to the input.
     """
-    counts = pos.groupBy("q_idx").agg(F.count(F.lit(1)).alias("n_pos"))
-    target = F.least(F.lit(n), F.greatest(F.lit(0), F.lit(n_docs) - F.col("n_pos")))
-    want = counts.select("q_idx", target.cast("int").alias("target"))
-
-    listed = neg.join(want, "q_idx").withColumn("_key", hash_key(seed, "q_idx", "doc_idx"))
-    listed = first_per_group(listed, "q_idx", F.col("_key"), n, F.col("target")).select(
-        "q_idx", "doc_idx", F.col("_r").alias("pick"))
-    taken = listed.groupBy("q_idx").agg(F.count(F.lit(1)).alias("n_listed"))
-    need = want.join(taken, "q_idx", "left").select(
-        "q_idx", (F.col("target") - F.coalesce("n_listed", F.lit(0))).cast("int").alias("need"),
-        F.coalesce("n_listed", F.lit(0)).cast("int").alias("n_listed")).where(F.col("need") > 0)
-    used = pos.select("q_idx", "doc_idx").unionByName(listed.select("q_idx", "doc_idx"))
-
+    need = cut_lineage(need.select("q_idx", "need"))
     draws = need.select("*", F.explode(F.sequence(
         F.lit(0), F.greatest(F.lit(32), 4 * F.col("need")) - 1)).alias("draw"))
     draws = draws.withColumn(
         "doc_idx", F.pmod(hash_int(seed, F.lit("draw"), "q_idx", "draw"), F.lit(n_docs)))
     fresh = draws.groupBy("q_idx", "doc_idx").agg(
-        F.min("draw").alias("draw"), F.first("need").alias("need"),
-        F.first("n_listed").alias("n_listed")).join(used, ["q_idx", "doc_idx"], "left_anti")
-    fill = first_per_group(fresh, "q_idx", F.col("draw"), n, F.col("need"))
+        F.min("draw").alias("draw"), F.first("need").alias("need")).join(
+        used, ["q_idx", "doc_idx"], "left_anti")
+    fill = cut_lineage(first_per_group(fresh, "q_idx", F.col("draw"), most, F.col("need")).select(
+        "q_idx", "doc_idx", "_r"))
 
     got = fill.groupBy("q_idx").agg(F.count(F.lit(1)).alias("n_fill"))
-    short = need.join(got, "q_idx", "left").where(
-        F.coalesce("n_fill", F.lit(0)) < F.col("need")).select("q_idx", "need", "n_listed")
-    fill = fill.join(short, "q_idx", "left_anti")
-
+    short = cut_lineage(need.join(got, "q_idx", "left").where(
+        F.coalesce("n_fill", F.lit(0)) < F.col("need")).select("q_idx", "need"))
+    if short.isEmpty():
+        return fill
     n_blocks = -(-n_docs // ROW_BLOCK)
     pool = short.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_blocks - 1)))))
     pool = pool.repartition(F.col("q_idx"), F.col("_b")).withColumn("doc_idx", F.explode(F.sequence(
@@ -111,12 +101,27 @@ def sample_negatives(pos: DataFrame, neg: DataFrame, n_docs: int, n: int, seed:
         F.least(F.lit(n_docs).cast("bigint"), (F.col("_b").cast("bigint") + 1) * ROW_BLOCK) - 1)))
     pool = pool.join(used, ["q_idx", "doc_idx"], "left_anti").withColumn(
         "_key", hash_key(seed, F.lit("pool"), "q_idx", "doc_idx"))
-    rest = first_per_group(pool, "q_idx", F.col("_key"), n, F.col("need"))
+    rest = first_per_group(pool, "q_idx", F.col("_key"), most, F.col("need"))
+    return fill.join(short, "q_idx", "left_anti").unionByName(rest.select("q_idx", "doc_idx", "_r"))
+
 
-    def picked(df):
-        return df.select("q_idx", "doc_idx", (F.col("_r") + F.col("n_listed")).alias("pick"))
+def sample_negatives(pos: DataFrame, neg: DataFrame, n_docs: int, n: int, seed: int) -> DataFrame:
+    """`n` distinct non-positive documents per query: annotated ones first, then random fill."""
+    pos, neg = cut_lineage(pos.select("q_idx", "doc_idx")), cut_lineage(neg.select("q_idx", "doc_idx"))
+    counts = pos.groupBy("q_idx").agg(F.count(F.lit(1)).alias("n_pos"))
+    target = F.least(F.lit(n), F.greatest(F.lit(0), F.lit(n_docs) - F.col("n_pos")))
+    want = counts.select("q_idx", target.cast("int").alias("target"))
 
-    return listed.unionByName(picked(fill)).unionByName(picked(rest))
+    listed = neg.join(want, "q_idx").withColumn("_key", hash_key(seed, "q_idx", "doc_idx"))
+    listed = cut_lineage(first_per_group(listed, "q_idx", F.col("_key"), n, F.col("target")).select(
+        "q_idx", "doc_idx", F.col("_r").alias("pick")))
+    taken = listed.groupBy("q_idx").agg(F.count(F.lit(1)).cast("int").alias("n_listed"))
+    need = want.join(taken, "q_idx", "left").select(
+        "q_idx", (F.col("target") - F.coalesce("n_listed", F.lit(0))).alias("need")).where(F.col("need") > 0)
+    used = pos.unionByName(listed.select("q_idx", "doc_idx"))
+    filled = _draw_distinct(need, used, n_docs, n, seed).join(taken, "q_idx", "left").select(
+        "q_idx", "doc_idx", (F.col("_r") + F.coalesce("n_listed", F.lit(0))).alias("pick"))
+    return listed.unionByName(filled)
 
 
 def sample_triplets(pairs: DataFrame, n_pairs: int, n: int, seed: int, modality: str = "both",
@@ -124,34 +129,22 @@ def sample_triplets(pairs: DataFrame, n_pairs: int, n: int, seed: int, modality:
     """Per pair, n distinct random rows as negatives, minus the pair's own row.
 
     The own row is removed after the draw, so a pair can end with n-1 negatives;
-    `exact` draws one more first. Text queries take image negatives and vice versa.
+    `exact` excludes it before. Text queries take image negatives and vice versa.
     """
     if modality not in ("both", "text", "image"):
         raise ValueError(f"unknown modality {modality!r}")
-    if n + int(exact) > n_pairs:
+    if n > n_pairs - int(exact):
         raise ValueError("more negatives than rows")
     side = {"both": F.when(F.col("row_idx") % 2 == 0, F.lit("text")).otherwise(F.lit("image")),
             "text": F.lit("text"), "image": F.lit("image")}[modality]
-    # Positions a hashed offset plus multiples of a step coprime to the row count never repeat.
-    step = _coprime_step(n_pairs)
-    drawn = pairs.select("row_idx", side.alias("query_side"), F.posexplode(F.sequence(
-        F.lit(0), F.lit(n + int(exact) - 1))).alias("draw", "_v")).withColumn(
-        "neg_idx", F.pmod(hash_int(seed, "row_idx") + F.col("draw") * F.lit(step), F.lit(n_pairs)))
-    kept = drawn.where(F.col("neg_idx") != F.col("row_idx"))
-    if exact:
-        kept = first_per_group(kept, "row_idx", F.col("draw"), n)
-    return kept.select(
-        "row_idx", "query_side",
-        F.when(F.col("query_side") == "text", F.lit("image")).otherwise(F.lit("text")).alias("negative_side"),
-        F.col("draw").cast("int").alias("draw"), "neg_idx")
-
-
-def _coprime_step(n: int) -> int:
-    from math import gcd
-    step = max(1, int(n * 0.6180339887))
-    while gcd(step, n) != 1:
-        step += 1
-    return step
+    rows = pairs.select(F.col("row_idx").alias("q_idx"))
+    own = rows.select("q_idx", F.col("q_idx").alias("doc_idx"))
+    drawn = _draw_distinct(rows.withColumn("need", F.lit(n)), own if exact else own.where(F.lit(False)),
+                           n_pairs, n, seed)
+    return drawn.where(F.col("doc_idx") != F.col("q_idx")).select(
+        F.col("q_idx").alias("row_idx"), F.col("_r").alias("draw"), F.col("doc_idx").alias("neg_idx")).withColumn(
+        "query_side", side).withColumn("negative_side", F.when(
+            F.col("query_side") == "text", F.lit("image")).otherwise(F.lit("text")))
 
 
 def alignment_pairs(pos: DataFrame) -> DataFrame:

@@ -1,0 +1,169 @@
+"""Gradients against finite differences, schedules and short fits."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparkvec.operators import coding as C
+from sparkvec.operators import fit
+
+
+def _coder(rng, model_type="sae", dim=6, size=14):
+    dec = rng.normal(size=(size, dim)) if model_type == "sae" else None
+    bias = rng.normal(size=dim) * 0.1 if model_type == "sae" else None
+    return C.SparseCoder(rng.normal(size=(size, dim)), rng.normal(size=size) * 0.1, dec, bias, 4, model_type)
+
+
+SPECS = {
+    "recon": fit.StepSpec(4, recon=1.0),
+    "distill": fit.StepSpec(4, distill=0.7),
+    "align": fit.StepSpec(4, align=0.3),
+    "contrast": fit.StepSpec(4, contrast=1.0, temperature=0.9),
+    "negatives": fit.StepSpec(4, contrast=1.0, negatives=True, temperature=0.9),
+    "aux": fit.StepSpec(4, aux=0.5, aux_k=3),
+    "stage2": fit.StepSpec(4, recon=1.0, distill=0.3, aux=1 / 32, contrast=0.05, aux_k=3, temperature=0.5),
+}
+
+
+@pytest.mark.parametrize("name", sorted(SPECS))
+def test_gradient(name):
+    rng = np.random.default_rng(5)
+    coder, spec = _coder(rng), SPECS[name]
+    q, p, neg = rng.normal(size=(5, 6)), rng.normal(size=(5, 6)), rng.normal(size=(5, 2, 6))
+    dead = np.zeros(14, bool)
+    if name in ("aux", "stage2"):
+        dead[:5] = True
+    loss, grads, _ = fit.batch_gradient(coder, q, p, neg, spec, dead)
+    # the residual the dead features explain is a constant of the step
+    fixed = {}
+    if name in ("aux", "stage2"):
+        for key, x in (("q", q), ("p", p)):
+            fixed[key] = x - fit._Side(coder, x, spec.k).x_hat
+
+    def value(c):
+        total, _, _ = fit.batch_gradient(c, q, p, neg, spec, dead)
+        if fixed:  # swap the moving residual for the fixed one
+            for key, x in (("q", q), ("p", p)):
+                side = fit._Side(c, x, spec.k)
+                rows, cols = fit.blocks.top_columns(np.where(dead[None], side.h, -np.inf), 3)
+                z = np.zeros_like(side.h)
+                z[rows, cols] = np.logaddexp(0, side.h[rows, cols])
+                aux = z @ c.dec + c.dec_bias
+                for residual, sign in ((x - side.x_hat, -1), (fixed[key], 1)):
+                    total += sign * spec.aux / 2 * ((aux - residual) ** 2).sum(axis=1).mean()
+        return total
+
+    for part, g in grads.items():
+        base = getattr(coder, part)
+        for at in [tuple(rng.integers(0, n) for n in base.shape) for _ in range(12)]:
+            shifted = []
+            for sign in (1, -1):
+                moved = base.copy()
+                moved[at] += sign * 1e-6
+                shifted.append(value(fit.replace(coder, **{part: moved})))
+            assert g[at] == pytest.approx((shifted[0] - shifted[1]) / 2e-6, abs=2e-5), (part, at)
+
+
+@pytest.mark.parametrize("layers,normalize", [(1, True), (1, False), (2, True)])
+def test_autoencoder_gradient(layers, normalize):
+    rng = np.random.default_rng(2)
+    sizes = [5, 3] if layers == 1 else [5, 7, 3]
+    enc = [(rng.normal(size=(b, a)), rng.normal(size=b)) for a, b in zip(sizes, sizes[1:])]
+    dec = [(rng.normal(size=(b, a)), rng.normal(size=b)) for a, b in zip(sizes[::-1], sizes[::-1][1:])]
+    model, x = C.DenseAE(enc, dec, normalize), rng.normal(size=(6, 5))
+    _, grads = fit.ae_gradient(model, x)
+    values = fit._ae_values(model)
+    for name, g in grads.items():
+        for at in [tuple(rng.integers(0, n) for n in g.shape) for _ in range(6)]:
+            out = []
+            for sign in (1, -1):
+                moved = {k: v.copy() for k, v in values.items()}
+                moved[name][at] += sign * 1e-6
+                out.append(fit.ae_gradient(fit._ae_from(moved, model), x)[0])
+            assert g[at] == pytest.approx((out[0] - out[1]) / 2e-6, abs=1e-5)
+
+
+def test_schedules():
+    assert fit.initial_k(65536, 32) == 256 and fit.initial_k(256, 32) == 64 and fit.initial_k(64, 32) == 32
+    assert fit.annealed_k(0, 10, 256, 32) == 256 and fit.annealed_k(10, 10, 256, 32) == 32
+    assert fit.annealed_k(5, 10, 256, 32, "linear") == 144
+    ks = [fit.annealed_k(s, 50, 256, 32) for s in range(51)]
+    assert ks == sorted(ks, reverse=True)
+    assert fit.learning_rate(0, 100, 1.0, 10) == 0 and fit.learning_rate(10, 100, 1.0, 10) == 1.0
+    assert fit.learning_rate(100, 100, 1.0, 10) == pytest.approx(0)
+    with pytest.raises(ValueError):
+        fit.annealed_k(1, 10, 4, 2, "step")
+
+
+def _rows(spark, n=300, dim=16, negatives=False):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(8, dim))
+    rows = []
+    for i in range(n):
+        x = base[i % 8] + 0.2 * rng.normal(size=dim)
+        p = base[i % 8] + 0.2 * rng.normal(size=dim)
+        neg = [(base[(i + 3) % 8] + 0.2 * rng.normal(size=dim)).tolist()]
+        rows.append((i, (x / np.linalg.norm(x)).tolist(), (p / np.linalg.norm(p)).tolist(), neg))
+    df = spark.createDataFrame(rows, "q_idx bigint, q array<float>, p array<float>, neg array<array<float>>")
+    return df if negatives else df.drop("neg")
+
+
+def test_fit_lowers_the_loss_and_repeats(spark):
+    cfg = fit.FitConfig(48, 4, 25, 0, 100, 1, 2e-2, warmup_stage2=2)
+    a = fit.fit_sparse_coder(_rows(spark), cfg)
+    losses = [h[3] for h in a.history]
+    assert np.mean(losses[-5:]) < 0.8 * np.mean(losses[:5])
+    assert [h[2] for h in a.history][0] == 12 and a.coder.k == 4
+    assert np.allclose(np.linalg.norm(a.coder.dec, axis=1), 1)
+    short = fit.replace(cfg, stage2_steps=3)
+    x, y = fit.fit_sparse_coder(_rows(spark), short), fit.fit_sparse_coder(_rows(spark).repartition(5), short)
+    assert np.allclose(x.coder.enc, y.coder.enc, atol=1e-12)
+
+
+def test_parallel_batches_average(spark):
+    """Two batches in one step give the row-weighted mean gradient of both."""
+    cfg = fit.FitConfig(24, 4, 1, 0, 150, 2, 1e-2, schedules=False, alpha_aux=0.0)
+    rows = _rows(spark)
+    got = fit.fit_sparse_coder(rows, cfg)
+    start = fit.new_coder(16, cfg)
+    spec = fit._stage2_spec(cfg, fit.initial_k(24, 4))
+    total, n = 0.0, 0
+    batched = rows.withColumn("b", F.pmod(fit.hash_int(0, "q_idx"), F.lit(2))).collect()
+    for b in (0, 1):
+        part = [r for r in batched if r["b"] == b]
+        loss, _, _ = fit.batch_gradient(start, np.float32([r["q"] for r in part]).astype(float),
+                                        np.float32([r["p"] for r in part]).astype(float), None, spec, np.zeros(24, bool))
+        total, n = total + loss * len(part), n + len(part)
+    assert got.history[0][3] == pytest.approx(total / n)
+
+
+def test_selection_keeps_the_best(spark):
+    scores = iter([0.4, 0.9, 0.9, 0.1, 0.2, 0.3, 0.1])
+    seen = []
+
+    def evaluate(coder):
+        seen.append(coder)
+        return next(scores)
+
+    cfg = fit.FitConfig(24, 4, 1, 5, 150, 1, 1e-2, 1e-2, 1, 1)
+    out = fit.fit_sparse_coder(_rows(spark, negatives=True), cfg, evaluate=evaluate)
+    assert out.best_score == 0.9 and out.coder is seen[1]  # strictly greater wins, so the first 0.9 stays
+
+
+def test_init_skips_stage_two_and_encoder_only(spark):
+    start = fit.new_coder(16, fit.FitConfig(24, 4, model_type="encoder_only"))
+    cfg = fit.FitConfig(24, 4, 5, 2, 150, model_type="encoder_only")
+    out = fit.fit_sparse_coder(_rows(spark), cfg, init=start)
+    assert {h[0] for h in out.history} == {3} and out.coder.dec is None
+    with pytest.raises(ValueError):
+        fit.fit_sparse_coder(_rows(spark), fit.replace(cfg, layout="paired"))
+    with pytest.raises(ValueError, match="exceed"):
+        fit.fit_sparse_coder(_rows(spark), fit.FitConfig(1_000_000, 4))
+
+
+def test_autoencoder_fit(spark):
+    docs = _rows(spark).select(F.col("q_idx").alias("row_idx"), F.col("q").alias("embedding"))
+    model, losses = fit.fit_dense_ae(docs, 4, steps=25, batch_size=100, lr=2e-2, max_docs=200, parallel=2)
+    assert losses[-1] < 0.7 * losses[0] and model.bottleneck == 4
+    mlp, _ = fit.fit_dense_ae(docs, 4, steps=2, architecture="mlp", hidden=6)
+    assert mlp.architecture == "mlp"
