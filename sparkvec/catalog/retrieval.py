@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..operators import search as S
 from ..plans import suites
+from ..session import spread
 from ..sources import stores
 from . import inputs as X
 from .registry import query
@@ -58,7 +59,7 @@ emb AS (SELECT side, id, f, (c / (n + 1e-8))::FLOAT AS w FROM hashed JOIN lens U
 def text_vectors(spark, sf, name, id_col, key):
     from ..operators.embed import HashingEmbedder, embed
     t = X.table(spark, sf, name).select(F.col(id_col).alias(key), "text")
-    return embed(t, lambda: HashingEmbedder(64), keep=[key])
+    return embed(spread(t), lambda: HashingEmbedder(64), keep=[key])
 
 
 _TEXT_RAW = f"""{_TEXT_SQL},

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import relevance as R
-from ..plans import suites
+from ..session import cut_lineage
 from . import inputs as X
 from .registry import query
 
@@ -34,9 +34,9 @@ def _pos(spark, sf):
     return R.positives(items, items, _annotations(spark, sf), X.judgments(spark, sf))
 
 
-def _neg(spark, sf):
+def _neg(spark, sf, pos=None):
     items = X.item_rows(spark, sf)
-    return R.explicit_negatives(items, items, _annotations(spark, sf), _pos(spark, sf))
+    return R.explicit_negatives(items, items, _annotations(spark, sf), _pos(spark, sf) if pos is None else pos)
 
 
 @query("J1_relevance", f"WITH {X.RELEVANCE} SELECT q_idx, doc_idx FROM rel")
@@ -92,7 +92,8 @@ UNION ALL SELECT q_idx, doc_idx, (r + n_listed)::INTEGER FROM rest"""
 def _negatives(n):
     def run(spark, sf):
         n_docs = X.table(spark, sf, "embeddings").count()
-        return R.sample_negatives(_pos(spark, sf), _neg(spark, sf), n_docs, n, 7)
+        pos = cut_lineage(_pos(spark, sf))
+        return R.sample_negatives(pos, _neg(spark, sf, pos), n_docs, n, 7)
     return run
 
 
@@ -179,7 +180,8 @@ SELECT one.q_idx, pos_idx, coalesce(string_agg(l.doc_idx::VARCHAR, ',' ORDER BY
 FROM one LEFT JOIN l ON l.q_idx = one.q_idx AND pick <= 1 GROUP BY one.q_idx, pos_idx""")
 def d15(spark, sf):
     """Query, chosen positive and its first explicit negative."""
-    pos, neg = _pos(spark, sf), _neg(spark, sf)
+    pos = cut_lineage(_pos(spark, sf))
+    neg = _neg(spark, sf, pos)
     listed = R.first_per_group(neg, "q_idx", R.hash_key(7, "q_idx", "doc_idx"), 1)
     return R.choose_positive(pos, 5).withColumnRenamed("doc_idx", "pos_idx").join(
         listed.select("q_idx", F.col("doc_idx").cast("string").alias("neg")), "q_idx", "left").select(

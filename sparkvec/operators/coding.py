@@ -62,7 +62,11 @@ class SparseCoder:
             raise ValueError(f"vectors have {x.shape[1]} dims, the coder expects {self.dim}")
         if self.centred:
             x = x - self.dec_bias.astype(np.float64)
-        return x @ self.enc.T.astype(np.float64) + self.enc_bias.astype(np.float64)
+        out = np.empty((len(x), self.dict_size))
+        for a in range(0, self.dict_size, 4096):  # only a slice of the weights is widened at a time
+            part = slice(a, a + 4096)
+            out[:, part] = x @ self.enc[part].T.astype(np.float64) + self.enc_bias[part]
+        return out
 
     def reconstruct(self, offsets, features, weights) -> np.ndarray:
         """Decode a batch of codes. A tied decoder has no output bias of its own."""
@@ -70,11 +74,15 @@ class SparseCoder:
         if table is None:
             raise ValueError("this coder has no decoder")
         out = np.zeros((len(offsets) - 1, self.dim))
-        step = max(1, (1 << 22) // self.dim)  # entries expanded at once
-        rows = np.repeat(np.arange(len(out)), np.diff(offsets))
-        for a in range(0, len(features), step):
-            part = slice(a, a + step)
-            np.add.at(out, rows[part], table[features[part]].astype(np.float64) * weights[part, None])
+        longest = max(1, int(np.diff(offsets).max(initial=0)))
+        step = max(1, (1 << 22) // (self.dim * longest))  # rows expanded at once
+        for a in range(0, len(out), step):
+            cuts = offsets[a:a + step + 1]
+            part = slice(cuts[0], cuts[-1])
+            used = np.nonzero(np.diff(cuts))[0]
+            if len(used):
+                terms = table[features[part]].astype(np.float64) * weights[part, None]
+                out[a + used] = np.add.reduceat(terms, cuts[used] - cuts[0])
         if not self.tied and self.dec_bias is not None:
             out += self.dec_bias.astype(np.float64)
         return out
@@ -179,7 +187,7 @@ def _coder_bytes(coder: SparseCoder) -> int:
 
 
 def _row_limit(width: int) -> int:
-    return int(min(8192, max(64, (1 << 24) // max(1, width))))
+    return int(min(8192, max(64, (1 << 23) // max(1, width))))
 
 
 # ---------------------------------------------------------------- sparse coder

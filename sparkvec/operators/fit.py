@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.hashing import hash_int
 from ..functions.vector import EPS
@@ -127,25 +128,30 @@ def _alignment(q: _Side, p: _Side, weight: float) -> float:
     return weight * float((a != b).sum(axis=1).mean() + 0.5 * (np.abs(q.z - p.z) * both).sum(axis=1).mean())
 
 
-def _contrast(q: _Side, p: _Side, neg: _Side | None, per_query: int, temperature: float, weight: float) -> float:
+def _contrast(q: _Side, p: _Side, neg: _Side | None, owner: np.ndarray | None, temperature: float,
+              weight: float) -> float:
+    """In-batch softmax; `owner` is the query each hard negative belongs to (any number per query)."""
     n = len(q.z)
     logits = q.z @ p.z.T / temperature
+    peak = logits.max(axis=1)
     if neg is not None:
-        extra = np.einsum("nd,nmd->nm", q.z, neg.z.reshape(n, per_query, -1)) / temperature
-        logits = np.hstack([logits, extra])
-    peak = logits.max(axis=1, keepdims=True)
-    share = np.exp(logits - peak)
-    total = share.sum(axis=1, keepdims=True)
-    loss = float((np.log(total[:, 0]) + peak[:, 0] - logits[np.arange(n), np.arange(n)]).mean())
-    g = share / total
+        extra = (q.z[owner] * neg.z).sum(axis=1) / temperature
+        np.maximum.at(peak, owner, extra)
+    share = np.exp(logits - peak[:, None])
+    total = share.sum(axis=1)
+    if neg is not None:
+        extra = np.exp(extra - peak[owner])
+        np.add.at(total, owner, extra)
+    scale = weight / (n * temperature)
+    g = share / total[:, None]
     g[np.arange(n), np.arange(n)] -= 1
-    g *= weight / (n * temperature)
-    q.gz += g[:, :n] @ p.z
-    p.gz += g[:, :n].T @ q.z
+    q.gz += scale * (g @ p.z)
+    p.gz += scale * (g.T @ q.z)
     if neg is not None:
-        q.gz += np.einsum("nm,nmd->nd", g[:, n:], neg.z.reshape(n, per_query, -1))
-        neg.gz += (g[:, n:, None] * q.z[:, None, :]).reshape(neg.z.shape)
-    return weight * loss
+        pull = (scale * extra / total[owner])[:, None]
+        np.add.at(q.gz, owner, pull * neg.z)
+        neg.gz += pull * q.z[owner]
+    return weight * float((np.log(total) + peak - np.diag(logits)).mean())
 
 
 @dataclass(frozen=True)
@@ -163,15 +169,17 @@ class StepSpec:
     temperature: float = 0.05
 
 
-def batch_gradient(coder: SparseCoder, q: np.ndarray, p: np.ndarray, neg: np.ndarray | None,
+def batch_gradient(coder: SparseCoder, q: np.ndarray, p: np.ndarray, neg: tuple | None,
                    spec: StepSpec, dead: np.ndarray) -> tuple[float, dict, np.ndarray]:
-    """Loss, parameter gradients and active-feature mask of one batch; `neg` is (rows, m, dim)."""
+    """Loss, parameter gradients and active-feature mask of one batch.
+
+    `neg` is (vectors, owner row of each), or None.
+    """
     grads = {name: np.zeros(value.shape) for name, value in parameters(coder).items()}
     qs, ps = _Side(coder, q, spec.k), _Side(coder, p, spec.k)
-    ns, m = None, 0
-    if spec.negatives and neg is not None and neg.shape[1]:
-        m = neg.shape[1]
-        ns = _Side(coder, neg.reshape(len(q) * m, -1), spec.k)
+    ns, owner = None, None
+    if spec.negatives and neg is not None and len(neg[0]):
+        ns, owner = _Side(coder, neg[0], spec.k), neg[1]
     loss = 0.0
     if coder.model_type == "sae":
         for side in (qs, ps):
@@ -183,7 +191,7 @@ def batch_gradient(coder: SparseCoder, q: np.ndarray, p: np.ndarray, neg: np.nda
     if spec.align:
         loss += _alignment(qs, ps, spec.align)
     if spec.contrast:
-        loss += _contrast(qs, ps, ns, m, spec.temperature, spec.contrast)
+        loss += _contrast(qs, ps, ns, owner, spec.temperature, spec.contrast)
     for side in (qs, ps, ns):
         if side is not None:
             side.back(coder, grads)
@@ -277,9 +285,12 @@ def _sum_gradients(batches: DataFrame, compute: Callable, n_params: int, paralle
     return parts[0]["loss"] / parts[0]["rows"], grad / parts[0]["rows"], active
 
 
-def _step_batches(spark, path: str, stored: list[int], step: int, parallel: int) -> DataFrame:
+def _step_batches(rows: DataFrame, path: str, stored: list[int], step: int, parallel: int) -> DataFrame:
+    """Only the folders of the step's batches are listed and read."""
     ids = sorted({stored[(step * parallel + i) % len(stored)] for i in range(parallel)})
-    return spark.read.parquet(path).where(F.col("batch").isin(ids))
+    schema = StructType(rows.schema.fields + [StructField("batch", IntegerType())])
+    return rows.sparkSession.read.schema(schema).option("basePath", path).parquet(
+        *[f"{path}/batch={i}" for i in ids])
 
 
 @dataclass
@@ -397,16 +408,13 @@ def fit_sparse_coder(rows: DataFrame, cfg: FitConfig, init: SparseCoder | None =
                 neg = None
                 if has_neg and spec.negatives:
                     nested = table["neg"].combine_chunks()
-                    counts = np.diff(nested.offsets.to_numpy())
-                    m = int(counts.min()) if len(counts) else 0  # rows of a batch share one count
-                    flat = blocks.list_matrix(nested.flatten())
-                    first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-                    neg = flat[first[:, None] + np.arange(m)[None, :]] if m else np.zeros((len(counts), 0, dim))
+                    owner = np.repeat(np.arange(len(nested)), np.diff(nested.offsets.to_numpy()))
+                    neg = blocks.list_matrix(nested.flatten()), owner
                 loss, grads, active = batch_gradient(
                     model, blocks.list_matrix(table["q"]), blocks.list_matrix(table["p"]), neg, spec, dead)
                 return loss, _flatten(grads), active.astype(np.uint8)
 
-            batches = _step_batches(spark, path, stored, step, cfg.parallel)
+            batches = _step_batches(rows, path, stored, step, cfg.parallel)
             loss, grad, active = _sum_gradients(batches, compute, n_params, cfg.parallel)
             lr = learning_rate(step, steps, peak, warmup) if cfg.schedules else peak
             values = optimiser.step(_flatten(parameters(coder)), grad, lr)
@@ -511,7 +519,8 @@ def fit_dense_ae(docs: DataFrame, bottleneck: int, steps: int = 2000, batch_size
     if n_params > MAX_PARAMS:
         raise ValueError(f"{n_params} parameters exceed the bound of {MAX_PARAMS}")
     rows = docs if max_docs is None else seeded_sample(docs, docs.count(), max_docs, seed)
-    path, stored = _write_batches(rows.select("row_idx", "embedding"), "row_idx", batch_size, steps * parallel, seed)
+    rows = rows.select("row_idx", "embedding")
+    path, stored = _write_batches(rows, "row_idx", batch_size, steps * parallel, seed)
     optimiser, losses = AdamW(n_params, weight_decay), []
     for step in range(steps):
         shared = spark.sparkContext.broadcast(model)
@@ -520,7 +529,7 @@ def fit_dense_ae(docs: DataFrame, bottleneck: int, steps: int = 2000, batch_size
             loss, grads = ae_gradient(shared.value, blocks.list_matrix(table["embedding"]))
             return loss, _flatten(grads), np.zeros(1, np.uint8)
 
-        loss, grad, _ = _sum_gradients(_step_batches(spark, path, stored, step, parallel), compute, n_params, parallel)
+        loss, grad, _ = _sum_gradients(_step_batches(rows, path, stored, step, parallel), compute, n_params, parallel)
         values = optimiser.step(_flatten(_ae_values(model)), grad, lr)
         model = _ae_from(_unflatten(values, _ae_values(model)), model)
         shared.destroy()

@@ -122,8 +122,10 @@ def steps_since_active(activity: DataFrame, n_steps: int, dict_size: int) -> Dat
 def running_gap(activity: DataFrame) -> DataFrame:
     """Steps since the last activity, at every observed step of every feature.
 
-    Before its first activity a feature counts from the start.
+    Before its first activity a feature counts from the start. Rows are first reduced to
+    one per feature and step, so a window never holds more rows than there are steps.
     """
+    activity = activity.groupBy("feature_id", "step").agg(F.bool_or("active").alias("active"))
     w = (Window.partitionBy("feature_id").orderBy("step")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return activity.select(

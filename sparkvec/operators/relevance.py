@@ -27,8 +27,7 @@ def relevance_rows(qrels: DataFrame, queries: DataFrame, docs: DataFrame) -> Dat
     """
     q = queries.select(F.col("item_id").alias("qid"), F.col("row_idx").alias("q_idx"))
     d = pool_ids(docs).select(F.col("id").alias("did"), F.col("row_idx").alias("doc_idx"))
-    return qrels.select("qid", "did").distinct().join(q, "qid").join(d, "did").select(
-        "q_idx", "doc_idx").distinct()
+    return qrels.select("qid", "did").join(q, "qid").join(d, "did").select("q_idx", "doc_idx").distinct()
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:
@@ -106,8 +105,10 @@ def _draw_distinct(need: DataFrame, used: DataFrame, n_docs: int, most: int, see
 
 
 def sample_negatives(pos: DataFrame, neg: DataFrame, n_docs: int, n: int, seed: int) -> DataFrame:
-    """`n` distinct non-positive documents per query: annotated ones first, then random fill."""
-    pos, neg = cut_lineage(pos.select("q_idx", "doc_idx")), cut_lineage(neg.select("q_idx", "doc_idx"))
+    """`n` distinct non-positive documents per query: annotated ones first, then random fill.
+
+    `pos` is read several times: pass a stored or checkpointed frame.
+    """
     counts = pos.groupBy("q_idx").agg(F.count(F.lit(1)).alias("n_pos"))
     target = F.least(F.lit(n), F.greatest(F.lit(0), F.lit(n_docs) - F.col("n_pos")))
     want = counts.select("q_idx", target.cast("int").alias("target"))
@@ -118,7 +119,7 @@ def sample_negatives(pos: DataFrame, neg: DataFrame, n_docs: int, n: int, seed:
     taken = listed.groupBy("q_idx").agg(F.count(F.lit(1)).cast("int").alias("n_listed"))
     need = want.join(taken, "q_idx", "left").select(
         "q_idx", (F.col("target") - F.coalesce("n_listed", F.lit(0))).alias("need")).where(F.col("need") > 0)
-    used = pos.unionByName(listed.select("q_idx", "doc_idx"))
+    used = pos.select("q_idx", "doc_idx").unionByName(listed.select("q_idx", "doc_idx"))
     filled = _draw_distinct(need, used, n_docs, n, seed).join(taken, "q_idx", "left").select(
         "q_idx", "doc_idx", (F.col("_r") + F.coalesce("n_listed", F.lit(0))).alias("pick"))
     return listed.unionByName(filled)

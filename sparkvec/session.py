@@ -56,6 +56,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan with at least as many partitions as the session has cores.
+
+    Only a scan of few, unsplittable files is moved; a scan that already fills the cluster
+    stays where it is. Meant for plain scans ahead of heavy per-row work.
+    """
+    want = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(want) if scan.rdd.getNumPartitions() < want else scan
+
+
 def row_stats(df: DataFrame, array_col: str, bytes_per_element: int) -> tuple[int, int]:
     """(rows, approximate bytes) of a frame whose weight lies in one array column."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(array_col)).alias("e")).first()

@@ -29,7 +29,8 @@ SPECS = {
 def test_gradient(name):
     rng = np.random.default_rng(5)
     coder, spec = _coder(rng), SPECS[name]
-    q, p, neg = rng.normal(size=(5, 6)), rng.normal(size=(5, 6)), rng.normal(size=(5, 2, 6))
+    q, p = rng.normal(size=(5, 6)), rng.normal(size=(5, 6))
+    neg = rng.normal(size=(7, 6)), np.array([0, 0, 0, 2, 3, 3, 4])  # query 1 has none
     dead = np.zeros(14, bool)
     if name in ("aux", "stage2"):
         dead[:5] = True
