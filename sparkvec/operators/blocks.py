@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 
 DECIMALS = 9  # scores are compared after rounding, so summation order cannot decide a rank
+MARGIN = 2 * 10.0 ** -DECIMALS      # entries this close to a bound may round onto it
+POSITIVE = 0.5 * 10.0 ** -DECIMALS  # scores above this are positive after rounding
 
 
 def list_matrix(column) -> np.ndarray:
@@ -75,13 +77,28 @@ class RunningTopK:
         self.score = np.zeros(0)
         self.floor = np.full(n_queries, -np.inf)
 
-    def add(self, keys: np.ndarray, scores: np.ndarray, doc_ids: np.ndarray) -> None:
-        """`keys` (what is ranked) and `scores` are (queries, docs) with docs in ascending id order."""
-        rows, cols = top_columns(keys, self.k, self.floor)
+    def _candidates(self, scores: np.ndarray, allowed: np.ndarray | None):
+        """Entries that can still enter the lists, at least the k best new ones of each query."""
+        if np.isfinite(self.floor).all():
+            # lists are full: few entries reach the floor, and only those need rounding
+            mask = scores >= (self.floor - MARGIN)[:, None]
+            if allowed is not None:
+                mask &= allowed
+            if np.count_nonzero(mask) <= 4 * self.n * self.k:
+                return np.nonzero(mask)
+        keys = np.round(scores, DECIMALS)
+        if allowed is not None:
+            keys[~allowed] = -np.inf
+        return top_columns(keys, self.k, self.floor)
+
+    def add(self, scores: np.ndarray, doc_ids: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        """`scores` is (queries, docs) with docs in ascending id order; `allowed` masks candidates."""
+        rows, cols = self._candidates(scores, allowed)
+        fresh = scores[rows, cols]
         query = np.concatenate([self.query, rows])
         doc = np.concatenate([self.doc, doc_ids[cols]])
-        key = np.concatenate([self.key, keys[rows, cols]])
-        score = np.concatenate([self.score, scores[rows, cols]])
+        key = np.concatenate([self.key, np.round(fresh, DECIMALS)])
+        score = np.concatenate([self.score, fresh])
         order = np.lexsort((doc, -key, query))
         query, doc, key, score = query[order], doc[order], key[order], score[order]
         starts = np.searchsorted(query, np.arange(self.n))

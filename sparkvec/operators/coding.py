@@ -152,11 +152,18 @@ def vectors_array(m: np.ndarray) -> pa.Array:
 
 def top_codes(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """k best positive activations of each row, strongest first, ties to the lower feature."""
-    key = np.round(h, blocks.DECIMALS)
-    key = np.where(h > 0, key, -np.inf)
-    rows, cols = blocks.top_columns(key, k)
-    order = np.lexsort((cols, -key[rows, cols], rows))
-    return rows[order], cols[order], h[rows[order], cols[order]]
+    n, width = h.shape
+    k = min(k, width)
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    bound = np.partition(h, width - k, axis=1)[:, width - k] - blocks.MARGIN
+    rows, cols = np.nonzero((h >= bound[:, None]) & (h > 0))
+    values = h[rows, cols]
+    order = np.lexsort((cols, -np.round(values, blocks.DECIMALS), rows))
+    rows, cols, values = rows[order], cols[order], values[order]
+    position = np.arange(len(rows)) - np.searchsorted(rows, np.arange(n))[rows]
+    keep = position < k
+    return rows[keep], cols[keep], values[keep]
 
 
 def map_vectors(df: DataFrame, column: str, compute, fields: str, row_limit: int = 4096) -> DataFrame:
