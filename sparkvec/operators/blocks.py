@@ -10,17 +10,17 @@ MARGIN = 2 * 10.0 ** -DECIMALS      # entries this close to a bound may round on
 POSITIVE = 0.5 * 10.0 ** -DECIMALS  # scores above this are positive after rounding
 
 
-def list_matrix(column) -> np.ndarray:
-    """Arrow list column of equal-length vectors -> (rows, dim) float64."""
+def list_matrix(column, dtype=np.float64) -> np.ndarray:
+    """Arrow list column of equal-length vectors -> (rows, dim)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     values = column.flatten().to_numpy(zero_copy_only=False)
     if len(column) == 0:
-        return np.zeros((0, 0))
+        return np.zeros((0, 0), dtype)
     lengths = np.diff(column.offsets.to_numpy())
     if column.null_count or (lengths != lengths[0]).any():
         raise ValueError("vectors must be non-null and of one length")
-    return values.reshape(len(column), -1).astype(np.float64)
+    return values.reshape(len(column), -1).astype(dtype, copy=False)
 
 
 def code_arrays(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,9 +94,11 @@ class RunningTopK:
     def add(self, scores: np.ndarray, doc_ids: np.ndarray, allowed: np.ndarray | None = None) -> None:
         """`scores` is (queries, docs) with docs in ascending id order; `allowed` masks candidates."""
         rows, cols = self._candidates(scores, allowed)
-        fresh = scores[rows, cols]
+        self._merge(rows, doc_ids[cols], scores[rows, cols])
+
+    def _merge(self, rows: np.ndarray, docs: np.ndarray, fresh: np.ndarray) -> None:
         query = np.concatenate([self.query, rows])
-        doc = np.concatenate([self.doc, doc_ids[cols]])
+        doc = np.concatenate([self.doc, docs])
         key = np.concatenate([self.key, np.round(fresh, DECIMALS)])
         score = np.concatenate([self.score, fresh])
         order = np.lexsort((doc, -key, query))
@@ -109,6 +111,36 @@ class RunningTopK:
         self.floor[self.query[full]] = self.key[full]
 
 
+class DenseQueries:
+    """A block of query vectors; scores are double, screened in single precision where that is safe.
+
+    A single-precision dot product of dim n is off by at most n * 2^-24 * |q| * |d| (to first
+    order), whatever the summation order. Entries below the floor by more than that cannot
+    enter a list, so only the rest is computed in double.
+    """
+
+    def __init__(self, vectors: np.ndarray):
+        self.single = vectors.astype(np.float32)
+        self.double = vectors.astype(np.float64)
+        self.exact_input = np.array_equal(self.single, self.double)
+        unit = vectors.shape[1] * 2.0 ** -24
+        self.slack = 1.01 * unit / (1 - unit) * np.linalg.norm(self.double, axis=1)
+
+    def offer(self, best: RunningTopK, docs: np.ndarray, doc_ids: np.ndarray) -> None:
+        if self.exact_input and docs.dtype == np.float32 and np.isfinite(best.floor).all():
+            longest = np.sqrt(np.einsum("ij,ij->i", docs, docs, dtype=np.float64).max(initial=0))
+            bound = best.floor - MARGIN - self.slack * longest
+            rows, cols = np.nonzero(self.single @ docs.T >= bound.astype(np.float32)[:, None] - np.spacing(
+                np.abs(bound).astype(np.float32))[:, None])
+            if len(rows) <= 4 * best.n * best.k:
+                step = max(1, (1 << 22) // docs.shape[1])
+                exact = [np.einsum("ij,ij->i", self.double[rows[a:a + step]],
+                                   docs[cols[a:a + step]].astype(np.float64)) for a in range(0, len(rows), step)]
+                best._merge(rows, doc_ids[cols], np.concatenate(exact) if exact else np.zeros(0))
+                return
+        best.add(self.double @ docs.T.astype(np.float64), doc_ids)
+
+
 class SparseQueries:
     """A block of query codes arranged by feature, ready to score document batches."""
 
