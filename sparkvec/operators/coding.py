@@ -7,6 +7,7 @@ shard through the same bounded block join as the search.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -68,6 +69,39 @@ class SparseCoder:
             out[:, part] = x @ self.enc[part].T.astype(np.float64) + self.enc_bias[part]
         return out
 
+    def top(self, x: np.ndarray, k: int):
+        """Best k positive activations of each vector: screened in single, decided in double precision.
+
+        The slack covers the rounding of the inputs and of a sum of `dim` products and a bias.
+        """
+        if x.shape[1] != self.dim:
+            raise ValueError(f"vectors have {x.shape[1]} dims, the coder expects {self.dim}")
+        n, k = len(x), min(k, self.dict_size)
+        if self.enc.dtype != np.float32 or n == 0:
+            return top_codes(self.pre_activations(x), k)
+        if self.centred:
+            x = x - self.dec_bias.astype(np.float64)
+        rough = x.astype(np.float32) @ self.enc.T
+        rough += self.enc_bias
+        unit = (self.dim + 4) * 2.0 ** -24
+        slack = 1.01 * unit / (1 - unit) * (
+            np.linalg.norm(x, axis=1) * self.longest + float(np.abs(self.enc_bias).max(initial=0)))
+        kth = np.partition(rough, self.dict_size - k, axis=1)[:, self.dict_size - k].astype(np.float64)
+        bound = np.maximum(kth - 2 * slack - blocks.MARGIN, -slack).astype(np.float32)
+        rows, cols = np.nonzero(rough >= np.nextafter(bound, np.float32(-np.inf))[:, None])
+        values, step = np.empty(len(rows)), max(1, (1 << 22) // self.dim)
+        for a in range(0, len(rows), step):
+            part = slice(a, a + step)
+            values[part] = np.einsum("ij,ij->i", x[rows[part]], self.enc[cols[part]].astype(np.float64))
+        values += self.enc_bias[cols]
+        keep = values > 0
+        return _first_of_rows(rows[keep], cols[keep], values[keep], k, n)
+
+    @functools.cached_property
+    def longest(self) -> float:
+        """Largest norm of an encoder row."""
+        return float(np.sqrt(np.einsum("ij,ij->i", self.enc, self.enc, dtype=np.float64).max(initial=0)))
+
     def reconstruct(self, offsets, features, weights) -> np.ndarray:
         """Decode a batch of codes. A tied decoder has no output bias of its own."""
         table = self.enc if self.tied else self.dec
@@ -158,7 +192,10 @@ def top_codes(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     bound = np.partition(h, width - k, axis=1)[:, width - k] - blocks.MARGIN
     rows, cols = np.nonzero((h >= bound[:, None]) & (h > 0))
-    values = h[rows, cols]
+    return _first_of_rows(rows, cols, h[rows, cols], k, n)
+
+
+def _first_of_rows(rows, cols, values, k: int, n: int):
     order = np.lexsort((cols, -np.round(values, blocks.DECIMALS), rows))
     rows, cols, values = rows[order], cols[order], values[order]
     position = np.arange(len(rows)) - np.searchsorted(rows, np.arange(n))[rows]
@@ -206,8 +243,7 @@ def encode(dense: DataFrame, coder: SparseCoder, k: int | None = None,
     shared = _share(dense, coder, _coder_bytes(coder))
 
     def compute(x):
-        rows, cols, w = top_codes(shared.value.pre_activations(x), k)
-        return [codes_array(rows, cols, w, len(x))]
+        return [codes_array(*shared.value.top(x, k), len(x))]
 
     return map_vectors(dense, column, compute, f"{output} {V.CODE_TYPE}", _row_limit(coder.dict_size))
 
