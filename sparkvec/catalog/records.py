@@ -130,9 +130,9 @@ def s7(spark, sf):
 @query("S9_captions", """SELECT '/data/' || CASE WHEN conv_id % 2 = 0 THEN 'val2014' ELSE 'train2014' END || '/COCO_'
 || CASE WHEN conv_id % 2 = 0 THEN 'val2014' ELSE 'train2014' END || '_' || conv_id || '.jpg' AS path, turn AS sentid,
 md5(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) AS caption_md5
-FROM conversations WHERE conv_id % 4 IN (0, 1) AND conv_id % 3 <> 0""")
+FROM conversations WHERE conv_id % 4 IN (0, 1) AND conv_id IN (SELECT conv_id FROM conversations WHERE role = 'assistant')""")
 def s9(spark, sf):
-    """Conversations as images with sentences; a third of the images does not exist."""
+    """Conversations as images with sentences; those without an answer have no image."""
     t = X.table(spark, sf, "conversations")
     name = F.expr("concat('COCO_', CASE WHEN conv_id % 2 = 0 THEN 'val2014' ELSE 'train2014' END, '_', conv_id, '.jpg')")
     sentence = F.struct(F.array("role").alias("tokens"), F.concat(F.lit(" "), "text").alias("raw"),
@@ -143,16 +143,16 @@ def s9(spark, sf):
         F.col("conv_id").alias("imgid"), F.col("conv_id").alias("cocoid"), "sentences").alias("i"))
     path = X.scratch(spark, "captions") + "/json"
     images.select(F.array("i").alias("images")).write.json(path)
-    listing = t.where(F.col("conv_id") % 3 != 0).select(F.concat(
+    listing = t.where(F.col("role") == "assistant").select(F.concat(
         F.lit("/data/"), F.expr("CASE WHEN conv_id % 2 = 0 THEN 'val2014' ELSE 'train2014' END"), F.lit("/"), name).alias("path"))
     nested = spark.read.schema(R.CAPTION_SCHEMA).json(path)
     return R.captions(nested, "train", "/data", listing.distinct()).select(
         "path", "sentid", F.md5(F.col("caption").cast("binary")).alias("caption_md5"))
 
 
-@query("S11_attach_images", """SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN md5(html) END AS image_md5 FROM pages""")
+@query("S11_attach_images", """SELECT page_id, CASE WHEN url NOT LIKE '%/fr/%' THEN md5(html) END AS image_md5 FROM pages""")
 def s11(spark, sf):
-    """Pages stored as one file each stand in for images; a third of the files is missing."""
+    """Pages stored as one file each stand in for images; the French ones are missing."""
     root = X.scratch(spark, "images")
     pages = X.table(spark, sf, "pages")
 
@@ -163,18 +163,29 @@ def s11(spark, sf):
                     f.write(html.encode())
             yield batch.select(["page_id"])
 
-    pages.where("page_id % 3 <> 0").select("page_id", "html").mapInArrow(store, "page_id bigint").count()
+    pages.where("url NOT LIKE '%/fr/%'").select("page_id", "html").mapInArrow(store, "page_id bigint").count()
     items = pages.select("page_id", F.concat("page_id", F.lit(".bin")).alias("image_path"))
     return R.attach_images(items, root).select("page_id", F.md5("image").alias("image_md5"))
 
 
-@query("S13_synthetic_pairs")
+@query("S13_correlated_pairs")
 def s13(spark, sf):
-    """As many synthetic pairs as there are vectors: mean paired cosine and norms."""
-    n = X.table(spark, sf, "embeddings").count()
-    pairs = synthetic.synthetic_pairs(spark, n, X.DIM)
-    return pairs.agg(F.count(F.lit(1)).alias("n"), X.r6(F.avg(V.cosine("image_emb", "text_emb"))).alias("mean_cosine"),
-                     X.r6(F.avg(V.norm("image_emb"))).alias("mean_norm"))
+    """Two noisy copies of every stored vector: how close they stay to it and to each other."""
+    e = X.vectors(spark, sf, "row_idx")
+    pairs = synthetic.correlated_pairs(e, X.DIM, shared="embedding").join(e, "row_idx")
+    return pairs.select("row_idx", X.r6(V.cosine("image_emb", "text_emb")).alias("paired_cosine"),
+                        X.r6(V.cosine("image_emb", "embedding")).alias("source_cosine"))
+
+
+@query("S13_planted_retrieval", "SELECT count(*)::BIGINT AS queries, count(*)::BIGINT AS found FROM embeddings")
+def s13_planted(spark, sf):
+    """Noisy copies as queries: each must find its source first, far ahead of the other vectors."""
+    from ..operators import search as S
+    e = X.vectors(spark, sf, "row_idx")
+    noisy = synthetic.correlated_pairs(e, X.DIM, r=0.9, shared="embedding").select(
+        F.col("row_idx").alias("q_idx"), F.col("image_emb").alias("embedding"))
+    hits = S.dense_search(noisy, e.withColumnRenamed("row_idx", "doc_idx"), 1)
+    return hits.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("q_idx") == F.col("doc_idx")).alias("found"))
 
 
 # ---------------------------------------------------------------- manifests and caches

@@ -191,12 +191,12 @@ def p19(spark, sf):
 
 
 @query("P20_usable_samples", """SELECT conv_id, turn FROM conversations
-WHERE trim(CASE WHEN role = 'system' THEN '  ' ELSE text END) <> '' AND turn % 3 <> 0""")
+WHERE trim(CASE WHEN role = 'system' THEN '  ' ELSE text END) <> '' AND role <> 'assistant'""")
 def p20(spark, sf):
     from ..sources.records import usable_samples
     t = X.table(spark, sf, "conversations").withColumn(
         "caption", F.when(F.col("role") == "system", "  ").otherwise(F.col("text"))).withColumn(
-        "has_image", F.col("turn") % 3 != 0)
+        "has_image", F.col("role") != "assistant")
     return usable_samples(t, image_exists="has_image").select("conv_id", "turn")
 
 

@@ -8,23 +8,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..operators.blocks import list_matrix
 from ..operators.coding import vectors_array
 
 
-def synthetic_pairs(spark: SparkSession, n: int, dim: int, r: float = 0.7, seed: int = 42) -> DataFrame:
-    """Pairs `r*shared + (1-r)*noise`, L2-normalised; each row is seeded by its own index."""
+def correlated_pairs(rows: DataFrame, dim: int, r: float = 0.7, seed: int = 42,
+                     shared: str | None = None) -> DataFrame:
+    """Pairs `r*shared + (1-r)*noise`, L2-normalised, for every `row_idx` of `rows`.
+
+    `shared` names a vector column; without it the common part is drawn too. A row is
+    seeded by its own index, so partitioning cannot change its values. Noise has the
+    length of a unit vector on average.
+    """
+    if not 0 <= r <= 1:
+        raise ValueError("r must be between 0 and 1")
+    columns = ["row_idx"] + ([shared] if shared else [])
+
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            draws = np.stack([np.random.default_rng([seed, i]).standard_normal((3, dim)) for i in ids.tolist()]) \
-                if len(ids) else np.zeros((0, 3, dim))
-            sides = [r * draws[:, 0] + (1 - r) * draws[:, j] for j in (1, 2)]
+            draws = np.zeros((len(ids), 3, dim))
+            for n, i in enumerate(ids.tolist()):
+                draws[n] = np.random.default_rng([seed, i]).standard_normal((3, dim)) / np.sqrt(dim)
+            common = list_matrix(batch.column(1)) if shared and len(ids) else draws[:, 0]
+            sides = [r * common + (1 - r) * draws[:, j] for j in (1, 2)]
             sides = [s / (np.linalg.norm(s, axis=1, keepdims=True) + V.EPS) for s in sides]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)] + [vectors_array(s) for s in sides], names=["row_idx", "image_emb", "text_emb"])
 
-    return spark.range(n).withColumnRenamed("id", "row_idx").mapInArrow(
-        run, "row_idx bigint, image_emb array<float>, text_emb array<float>")
+    return rows.select(*columns).mapInArrow(run, "row_idx bigint, image_emb array<float>, text_emb array<float>")
+
+
+def synthetic_pairs(spark: SparkSession, n: int, dim: int, r: float = 0.7, seed: int = 42) -> DataFrame:
+    return correlated_pairs(spark.range(n).withColumnRenamed("id", "row_idx"), dim, r, seed)
 
 
 def mean_paired_cosine(pairs: DataFrame, first: int = 1000) -> DataFrame:
