@@ -173,16 +173,13 @@ def j15(spark, sf):
     return docs.join(_pos(spark, sf), "doc_idx", "left_anti")
 
 
-@query("D15_training_rows", f"""WITH {_ANNOTATED}, one AS (
-  SELECT q_idx, arg_min(doc_idx, md5('5:0:' || q_idx || ':' || doc_idx)) AS pos_idx FROM pos GROUP BY q_idx),
-l AS (SELECT neg.q_idx, doc_idx, row_number() OVER (PARTITION BY neg.q_idx ORDER BY md5('7:' || neg.q_idx || ':' || doc_idx)) AS pick FROM neg)
-SELECT one.q_idx, pos_idx, coalesce(string_agg(l.doc_idx::VARCHAR, ',' ORDER BY pick), '') AS neg_idx
-FROM one LEFT JOIN l ON l.q_idx = one.q_idx AND pick <= 1 GROUP BY one.q_idx, pos_idx""")
+@query("D15_training_rows", f"""WITH base AS ({_negatives_sql(4)}), {_ANNOTATED.strip()}, one AS (
+  SELECT q_idx, arg_min(doc_idx, md5('5:0:' || q_idx || ':' || doc_idx)) AS pos_idx FROM pos GROUP BY q_idx)
+SELECT one.q_idx, pos_idx, string_agg(base.doc_idx::VARCHAR, ',' ORDER BY pick) AS neg_idx
+FROM one JOIN base ON base.q_idx = one.q_idx GROUP BY one.q_idx, pos_idx""")
 def d15(spark, sf):
-    """Query, chosen positive and its first explicit negative."""
+    """Query, chosen positive and four sampled negatives."""
     pos = cut_lineage(_pos(spark, sf))
-    neg = _neg(spark, sf, pos)
-    listed = R.first_per_group(neg, "q_idx", R.hash_key(7, "q_idx", "doc_idx"), 1)
-    return R.choose_positive(pos, 5).withColumnRenamed("doc_idx", "pos_idx").join(
-        listed.select("q_idx", F.col("doc_idx").cast("string").alias("neg")), "q_idx", "left").select(
-        "q_idx", "pos_idx", F.coalesce("neg", F.lit("")).alias("neg_idx"))
+    negatives = R.sample_negatives(pos, _neg(spark, sf, pos), X.table(spark, sf, "embeddings").count(), 4, 7)
+    return R.training_rows(pos, negatives, 5).select("q_idx", "pos_idx", F.array_join(
+        F.transform("neg_idx", lambda x: x.cast("string")), ",").alias("neg_idx"))

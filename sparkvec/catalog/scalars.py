@@ -209,9 +209,9 @@ def p22(spark, sf):
 
 
 @query("U6_sql_functions", f"""WITH {X.NEIGHBOURS} SELECT vec_id, round(list_dot_product(a, b), 6) AS dot,
-round(list_distance(a, b), 6) AS l2, round(sqrt(list_dot_product(a, a)), 6) AS norm FROM pairs""")
+round(list_distance(a, b), 6) AS l2, round(a[1] / (sqrt(list_dot_product(a, a)) + 1e-8), 6) AS first FROM pairs""")
 def u6(spark, sf):
     V.register_sql_functions(spark)
     X.neighbours(spark, sf).createOrReplaceTempView("neighbours")
     return spark.sql("SELECT vec_id, round(vec_dot(a, b), 6) AS dot, round(vec_l2_distance(a, b), 6) AS l2, "
-                     "round(vec_norm(a), 6) AS norm FROM neighbours")
+                     "round(vec_l2_normalize(a)[0], 6) AS first FROM neighbours")

@@ -6,11 +6,14 @@ from ..functions import vector as V
 from ..operators import coding as C
 from ..operators import fit
 from ..operators import losses as L
+from ..operators import relevance as R
 from ..plans import suites
+from ..session import cut_lineage
 from . import inputs as X
 from .measures import _frames, _long
 from ..operators import metrics as M
 from .registry import query
+from .sampling import _neg, _pos
 
 _HAT32 = """
 hat AS (SELECT v.vec_id, v.f AS i, max(v.x) AS x, (coalesce(sum(c.h * d.w), 0) + max(b.c))::FLOAT::DOUBLE AS y
@@ -26,13 +29,12 @@ def t1(spark, sf):
 
 def _batches(spark, sf):
     """Neighbouring vectors as query and positive, in batches of about 64 rows."""
-    n = X.table(spark, sf, "embeddings").count()
-    return X.neighbours(spark, sf).select(
-        F.pmod(F.col("vec_id"), F.lit(max(1, n // 64))).cast("int").alias("batch"), F.col("vec_id").alias("q_idx"),
-        F.col("a").alias("q"), F.col("b").alias("p"))
+    rows = X.neighbours(spark, sf).select(
+        F.col("vec_id").alias("q_idx"), F.col("a").alias("q"), F.col("b").alias("p"))
+    return L.assign_batches(rows, "q_idx", X.table(spark, sf, "embeddings").count(), 64)
 
 
-_BATCH = f"""{X.NEIGHBOURS}, b AS (SELECT *, (vec_id % greatest(1, (SELECT count(*) FROM embeddings) // 64))::INTEGER AS batch FROM pairs)"""
+_BATCH = f"""{X.NEIGHBOURS}, b AS (SELECT *, ('0x' || substr(md5('0:' || vec_id), 1, 8))::BIGINT % greatest(1, round_even((SELECT count(*) FROM embeddings) / 64, 0)::INT) AS batch FROM pairs)"""
 
 
 def _nce_sql(temperature, scale="1e0"):
@@ -82,12 +84,16 @@ def t13(spark, sf):
     return L.norm_mse(C.forward(X.vectors(spark, sf, "row_idx"), X.coder())).select(X.r6("norm_mse").alias("norm_mse"))
 
 
-def _training_rows(spark, sf, negatives=True):
-    rows = X.neighbours(spark, sf).select(F.col("vec_id").alias("q_idx"), F.col("a").alias("q"), F.col("b").alias("p"))
-    if not negatives:
-        return rows
-    far = X.vectors(spark, sf, "id").select((F.col("id") - 5).alias("q_idx"), F.array("embedding").alias("neg"))
-    return rows.join(far, "q_idx")
+def _training_rows(spark, sf):
+    """Judged queries with a positive and four sampled hard negatives."""
+    pos = cut_lineage(_pos(spark, sf))
+    n_docs = X.table(spark, sf, "embeddings").count()
+    negatives = R.sample_negatives(pos, _neg(spark, sf, pos), n_docs, 4, 7)
+    return R.attach_vectors(R.training_rows(pos, negatives, 5), X.vectors(spark, sf, "q_idx"), X.vectors(spark, sf, "doc_idx"))
+
+
+def _paired_rows(spark, sf):
+    return X.neighbours(spark, sf).select(F.col("vec_id").alias("q_idx"), F.col("a").alias("q"), F.col("b").alias("p"))
 
 
 def _history(result):
@@ -104,7 +110,7 @@ def t7(spark, sf):
 @query("T7_fit_paired")
 def t7_paired(spark, sf):
     cfg = fit.FitConfig(128, 8, 4, 2, 256, 1, 3e-3, 1e-3, 1, 1, layout="paired")
-    return spark.createDataFrame(*_history(fit.fit_sparse_coder(_training_rows(spark, sf, False), cfg)))
+    return spark.createDataFrame(*_history(fit.fit_sparse_coder(_paired_rows(spark, sf), cfg)))
 
 
 @query("T11_selected_fit")
@@ -112,12 +118,9 @@ def t11(spark, sf):
     """nDCG@10 decides which coder of the fit is kept; its metrics are returned."""
     q, d, rel = _frames(spark, sf)
 
-    def score(coder):
-        run = suites.sparse_sweep(suites.judged(q, rel), d, coder, [coder.k])
-        return M.ranking_metrics(run, rel).first()["ndcg_at_10"]
-
+    rel = cut_lineage(rel)
     cfg = fit.FitConfig(128, 8, 2, 2, 256, 1, 3e-3, 1e-3, 1, 1)
-    best = fit.fit_sparse_coder(_training_rows(spark, sf), cfg, evaluate=score)
+    best = fit.fit_sparse_coder(_training_rows(spark, sf), cfg, evaluate=suites.selection_score(q, d, rel))
     return _long(M.ranking_metrics(suites.sparse_sweep(suites.judged(q, rel), d, best.coder, [8]), rel))
 
 

@@ -118,6 +118,8 @@ _SQL_FUNCTIONS = {
         "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)",
     "vec_norm(v ARRAY<DOUBLE>)":
         "sqrt(aggregate(v, 0D, (s, x) -> s + x * x))",
+    "vec_l2_normalize(v ARRAY<DOUBLE>)":
+        "transform(v, x -> x / (sqrt(aggregate(v, 0D, (s, y) -> s + y * y)) + 1e-8D))",
     "vec_l2_distance(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>)":
         "sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))",
     "vec_cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>)":
@@ -140,3 +142,10 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
         names.append(signature.split("(", 1)[0])
     return names
+
+
+def publish(runs: dict, prefix: str = "run") -> list[str]:
+    """Make rankings (name -> DataFrame) queryable as temporary views."""
+    for name, df in runs.items():
+        df.createOrReplaceTempView(f"{prefix}_{name}")
+    return [f"{prefix}_{name}" for name in runs]

@@ -76,13 +76,13 @@ def _embed_batch(embedder: Embedder, requests: list[dict], retry_items: bool) ->
 
 def embed(items: DataFrame, factory: Callable[[], Embedder], batch_size: int = 256,
           on_error: str = "raise", output: str = "embedding", text: str = "text",
-          image: str | None = None, keep: list[str] | None = None) -> DataFrame:
+          image: str | None = None, keep: list[str] | None = None, profile=None) -> DataFrame:
     """Append L2-normalised float vectors to `items`; map-only.
 
     `factory` runs once per task and may load a model. With on_error="retry_items" a
     failed batch is retried item by item, and an item that fails alone raises.
     `keep` names the columns carried along (by default all of them), so a caller can
-    leave the texts behind.
+    leave the texts behind. `profile` is a ResourceProfile, for embedders that need a GPU per task.
     """
     if on_error not in ("raise", "retry_items"):
         raise ValueError(f"unknown on_error {on_error!r}")
@@ -103,7 +103,7 @@ def embed(items: DataFrame, factory: Callable[[], Embedder], batch_size: int = 2
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in keep] + [vectors_array(vectors)], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema, profile=profile)
 
 
 def embed_pairs(items: DataFrame, factory: Callable[[], Embedder], mode: str = "both",

@@ -22,7 +22,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.hashing import hash_int
 from ..functions.vector import EPS
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, remove
 from . import blocks
 from .coding import DenseAE, SparseCoder, gelu, hidden_dim
 
@@ -234,20 +234,43 @@ class AdamW:
 
 # ---------------------------------------------------------------- distributed step
 
-def _write_batches(rows: DataFrame, key: str, batch_size: int, max_batches: int, seed: int) -> tuple[str, list[int]]:
-    """Rows hashed into batches and stored by batch; batches no step would reach are not written."""
-    spark = rows.sparkSession
-    n = rows.count()
-    if n == 0:
-        raise ValueError("no training rows")
-    n_batches = max(1, round(n / batch_size))
-    path = f"{ensure_checkpoint_dir(spark)}/sparkvec-batches-{uuid.uuid4().hex[:12]}"
-    batched = rows.withColumn("batch", F.pmod(hash_int(seed, key), F.lit(n_batches)).cast("int"))
-    used = min(n_batches, max_batches)
-    (batched.where(F.col("batch") < used).repartition("batch").sortWithinPartitions("batch", key)
-     .write.partitionBy("batch").parquet(path))
-    stored = sorted(r["batch"] for r in spark.read.parquet(path).select("batch").distinct().collect())
-    return path, stored
+class _BatchTable:
+    """Training rows hashed into batches and stored by batch; steps take the batches in turn."""
+
+    def __init__(self, rows: DataFrame, key: str, batch_size: int, max_batches: int, seed: int,
+                 rows_of: Callable[[int], DataFrame] | None = None):
+        self.key, self.batch_size, self.max_batches, self.seed = key, batch_size, max_batches, seed
+        self.rows_of, self.epoch, self.taken = rows_of, 0, 0
+        self._store(rows)
+
+    def _store(self, rows: DataFrame) -> None:
+        spark = rows.sparkSession
+        n = rows.count()
+        if n == 0:
+            raise ValueError("no training rows")
+        n_batches = max(1, round(n / self.batch_size))
+        self.path = f"{ensure_checkpoint_dir(spark)}/sparkvec-batches-{uuid.uuid4().hex[:12]}"
+        batched = rows.withColumn("batch", F.pmod(hash_int(self.seed, self.key), F.lit(n_batches)).cast("int"))
+        # batches that no step would reach are not written
+        (batched.where(F.col("batch") < self.max_batches).repartition("batch").sortWithinPartitions("batch", self.key)
+         .write.partitionBy("batch").parquet(self.path))
+        stored = spark.read.parquet(self.path)
+        self.schema = StructType(rows.schema.fields + [StructField("batch", IntegerType())])
+        self.spark, self.ids = spark, sorted(r["batch"] for r in stored.select("batch").distinct().collect())
+
+    def take(self, parallel: int) -> DataFrame:
+        """The next `parallel` batches; only their folders are listed and read."""
+        if self.rows_of is not None and self.taken >= len(self.ids):
+            self.drop()
+            self.epoch, self.taken = self.epoch + 1, 0
+            self._store(self.rows_of(self.epoch))
+        ids = sorted({self.ids[(self.taken + i) % len(self.ids)] for i in range(parallel)})
+        self.taken += parallel
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(
+            *[f"{self.path}/batch={i}" for i in ids])
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
 
 
 def _sum_gradients(batches: DataFrame, compute: Callable, n_params: int, parallel: int):
@@ -285,14 +308,6 @@ def _sum_gradients(batches: DataFrame, compute: Callable, n_params: int, paralle
     return parts[0]["loss"] / parts[0]["rows"], grad / parts[0]["rows"], active
 
 
-def _step_batches(rows: DataFrame, path: str, stored: list[int], step: int, parallel: int) -> DataFrame:
-    """Only the folders of the step's batches are listed and read."""
-    ids = sorted({stored[(step * parallel + i) % len(stored)] for i in range(parallel)})
-    schema = StructType(rows.schema.fields + [StructField("batch", IntegerType())])
-    return rows.sparkSession.read.schema(schema).option("basePath", path).parquet(
-        *[f"{path}/batch={i}" for i in ids])
-
-
 @dataclass
 class FitConfig:
     """Trainer defaults; `parallel` batches are averaged into one step."""
@@ -364,10 +379,12 @@ def _stage3_spec(cfg: FitConfig) -> StepSpec:
                     aux_k=cfg.aux_k, temperature=cfg.temperature)
 
 
-def fit_sparse_coder(rows: DataFrame, cfg: FitConfig, init: SparseCoder | None = None,
+def fit_sparse_coder(rows: DataFrame | Callable[[int], DataFrame], cfg: FitConfig, init: SparseCoder | None = None,
                      evaluate: Callable[[SparseCoder], float] | None = None) -> FitResult:
     """Fit on `rows(q_idx, q, p[, neg])`: query, positive and optional hard-negative vectors.
 
+    `rows` may be a function of the epoch, for positives and negatives drawn anew each time.
+
     Stage 2 reconstructs and aligns under a shrinking k, stage 3 contrasts. `init` skips
     stage 2. `evaluate(coder)` scores after stage 2 and five times in stage 3; the best
     score, strictly greater wins, decides which coder is returned.
@@ -376,6 +393,8 @@ def fit_sparse_coder(rows: DataFrame, cfg: FitConfig, init: SparseCoder | None =
         raise ValueError(f"unknown layout {cfg.layout!r}")
     if cfg.model_type == "encoder_only" and cfg.layout != "retrieval":
         raise ValueError("encoder-only fitting needs the retrieval layout")
+    rows_of = rows if callable(rows) else None
+    rows = rows_of(0) if rows_of else rows
     spark = rows.sparkSession
     dim = rows.select(F.size("q").alias("d")).first()["d"]
     coder = init if init is not None else new_coder(dim, cfg)
@@ -383,7 +402,7 @@ def fit_sparse_coder(rows: DataFrame, cfg: FitConfig, init: SparseCoder | None =
     if n_params > MAX_PARAMS:
         raise ValueError(f"{n_params} parameters exceed the bound of {MAX_PARAMS}: train elsewhere and load the weights")
     total = (0 if init is not None else cfg.stage2_steps) + cfg.stage3_steps
-    path, stored = _write_batches(rows, "q_idx", cfg.batch_size, max(1, total * cfg.parallel), cfg.seed)
+    table = _BatchTable(rows, "q_idx", cfg.batch_size, max(1, total * cfg.parallel), cfg.seed, rows_of)
     has_neg = "neg" in rows.columns
     idle = np.zeros(coder.dict_size, np.int64)
     result = FitResult(coder)
@@ -414,8 +433,7 @@ def fit_sparse_coder(rows: DataFrame, cfg: FitConfig, init: SparseCoder | None =
                     model, blocks.list_matrix(table["q"]), blocks.list_matrix(table["p"]), neg, spec, dead)
                 return loss, _flatten(grads), active.astype(np.uint8)
 
-            batches = _step_batches(rows, path, stored, step, cfg.parallel)
-            loss, grad, active = _sum_gradients(batches, compute, n_params, cfg.parallel)
+            loss, grad, active = _sum_gradients(table.take(cfg.parallel), compute, n_params, cfg.parallel)
             lr = learning_rate(step, steps, peak, warmup) if cfg.schedules else peak
             values = optimiser.step(_flatten(parameters(coder)), grad, lr)
             coder = _with(coder, _unflatten(values, parameters(coder)))
@@ -435,6 +453,7 @@ def fit_sparse_coder(rows: DataFrame, cfg: FitConfig, init: SparseCoder | None =
     coder = replace(coder, k=cfg.k_final)
     select(coder)
     coder = run_stage(3, cfg.stage3_steps, lambda s: _stage3_spec(cfg), cfg.lr_stage3, cfg.warmup_stage3, coder)
+    table.drop()
     result.coder = best[1] if best[0] is not None else coder
     result.best_score = best[0]
     return result
@@ -519,8 +538,7 @@ def fit_dense_ae(docs: DataFrame, bottleneck: int, steps: int = 2000, batch_size
     if n_params > MAX_PARAMS:
         raise ValueError(f"{n_params} parameters exceed the bound of {MAX_PARAMS}")
     rows = docs if max_docs is None else seeded_sample(docs, docs.count(), max_docs, seed)
-    rows = rows.select("row_idx", "embedding")
-    path, stored = _write_batches(rows, "row_idx", batch_size, steps * parallel, seed)
+    table = _BatchTable(rows.select("row_idx", "embedding"), "row_idx", batch_size, steps * parallel, seed)
     optimiser, losses = AdamW(n_params, weight_decay), []
     for step in range(steps):
         shared = spark.sparkContext.broadcast(model)
@@ -529,9 +547,10 @@ def fit_dense_ae(docs: DataFrame, bottleneck: int, steps: int = 2000, batch_size
             loss, grads = ae_gradient(shared.value, blocks.list_matrix(table["embedding"]))
             return loss, _flatten(grads), np.zeros(1, np.uint8)
 
-        loss, grad, _ = _sum_gradients(_step_batches(rows, path, stored, step, parallel), compute, n_params, parallel)
+        loss, grad, _ = _sum_gradients(table.take(parallel), compute, n_params, parallel)
         values = optimiser.step(_flatten(_ae_values(model)), grad, lr)
         model = _ae_from(_unflatten(values, _ae_values(model)), model)
         shared.destroy()
         losses.append(loss)
+    table.drop()
     return model, losses

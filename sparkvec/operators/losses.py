@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..functions.hashing import hash_int
 from . import blocks
 
 
@@ -53,11 +54,17 @@ def _batch_matrices(columns: list[pa.ChunkedArray]) -> list[np.ndarray]:
     return out
 
 
+def assign_batches(rows: DataFrame, key: str, n_rows: int, batch_size: int = 512, seed: int = 0) -> DataFrame:
+    """Hash rows with a unique key into batches of about `batch_size`, whatever the data looks like."""
+    n = max(1, round(n_rows / batch_size))
+    return rows.withColumn("batch", F.pmod(hash_int(seed, key), F.lit(n)).cast("int"))
+
+
 def contrastive_terms(rows: DataFrame, temperature: float = 0.05, normalize: bool = False) -> DataFrame:
     """Per query `loss` of its positive against the other positives of its batch.
 
     `rows(batch, q_idx, q, p[, neg])`: vectors or packed codes; `neg` is an array of them.
-    Batches have a bounded size by construction, so one batch is one task-sized group and
+    Batches come from `assign_batches` and have a bounded size, so one batch is one task-sized group and
     the score matrix never leaves it. With `neg` the explicit negatives are appended and
     the query's own diagonal entry is not counted twice.
     """

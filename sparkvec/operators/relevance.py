@@ -158,6 +158,28 @@ def choose_positive(pos: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
     return pos.groupBy("q_idx").agg(F.min_by("doc_idx", key).alias("doc_idx"))
 
 
+def training_rows(pos: DataFrame, negatives: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
+    """`q_idx, pos_idx, neg_idx`: one positive per query and its sampled negatives in pick order."""
+    listed = negatives.groupBy("q_idx").agg(F.array_sort(F.collect_list(F.struct("pick", "doc_idx"))).alias("n"))
+    return choose_positive(pos, seed, epoch).join(listed, "q_idx", "left").select(
+        "q_idx", F.col("doc_idx").alias("pos_idx"),
+        F.coalesce(F.transform("n", lambda x: x["doc_idx"]), F.array().cast("array<bigint>")).alias("neg_idx"))
+
+
+def attach_vectors(rows: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Training rows with vectors: `q_idx, q, p, neg`, joined last so that sampling moves ids only.
+
+    A query's group holds its positive and the few sampled negatives. A document many
+    queries point to is a skewed join key, which AQE splits on the id side.
+    """
+    slots = rows.select("q_idx", F.posexplode(F.concat(F.array("pos_idx"), F.col("neg_idx"))).alias("slot", "doc_idx"))
+    entry = F.struct("slot", "embedding")
+    found = slots.join(docs.select("doc_idx", "embedding"), "doc_idx").groupBy("q_idx").agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["embedding"]).alias("v"))
+    return found.join(queries.select("q_idx", F.col("embedding").alias("q")), "q_idx").select(
+        "q_idx", "q", F.col("v")[0].alias("p"), F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(0))).alias("neg"))
+
+
 def retrieval_split(queries: DataFrame, n: int, fraction: float, seed: int, split: str) -> DataFrame:
     """Seeded split of `queries(q_idx)`; validation size round(n*fraction) within [1, n-1].
 

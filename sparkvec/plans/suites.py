@@ -125,6 +125,18 @@ def alignment(pairs: DataFrame, coder: C.SparseCoder, k: int | None = None) -> D
         (F.col("sparse_cosine") / F.greatest("dense_cosine", F.lit(V.EPS))).alias("retention"))
 
 
+def selection_score(queries: DataFrame, docs: DataFrame, relevance: DataFrame, metric: str = "ndcg_at_10"):
+    """Scoring function for model selection: the metric of a coder's ranking of the judged queries."""
+    queries = judged(queries, relevance)
+
+    def score(coder: C.SparseCoder) -> float:
+        run = sparse_sweep(queries, docs, coder, [coder.k])
+        row = M.ranking_metrics(run, relevance).first()
+        return 0.0 if row is None else float(row[metric])  # a coder that retrieves nothing scores zero
+
+    return score
+
+
 class Stopwatch:
     """Materialises stages in the shared checkpoint folder and notes their wall time."""
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import path_exists
+
 CACHE_VERSION = 2
 DIGEST_LIMIT = 64 * 1024 * 1024  # bytes of ids hashed as one string
 DIGEST_RANGE = 1 << 20           # rows per digest above that
@@ -203,12 +205,6 @@ def mismatches(actual: DataFrame, expected: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- Parquet cache
 
-def _has(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def write_dense(df: DataFrame, path: str, kind: str, expected_ids: DataFrame | None = None, **context) -> DataFrame:
     """Write `df(row_idx, item_id, embedding)` and, once verified, its manifest.
 
@@ -243,7 +239,7 @@ MANIFEST_SCHEMA = ("cache_version int, model_name string, batch_size int, system
 def validate_cache(spark: SparkSession, path: str, kind: str, expected: dict) -> DataFrame:
     """Reasons why the cache does not fit; no rows means valid."""
     for part in ("vectors", "manifest"):
-        if not _has(spark, f"{path}/{part}/kind={kind}"):
+        if not path_exists(spark, f"{path}/{part}/kind={kind}"):
             return spark.createDataFrame([("missing files", part, None)],
                                          "field string, expected string, actual string")
     actual = spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/manifest/kind={kind}").drop("kind").withColumn(

@@ -15,7 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import vector as V
 from ..operators.embed import embed
 from ..operators.search import build_index
-from ..sources.dense import _has, mismatches
+from ..session import path_exists
+from ..sources.dense import mismatches
 from ..sources.stores import write_index
 
 
@@ -23,7 +24,7 @@ def check_guard(spark: SparkSession, path: str, guard: dict) -> None:
     """Refuse to continue a job that was started with other settings."""
     wanted = spark.createDataFrame(
         [tuple(str(v) for v in guard.values())], ", ".join(f"{k} string" for k in guard))
-    if not _has(spark, f"{path}/guard"):
+    if not path_exists(spark, f"{path}/guard"):
         wanted.coalesce(1).write.json(f"{path}/guard")
         return
     stored = spark.read.schema(wanted.schema).json(f"{path}/guard")

@@ -168,3 +168,14 @@ def test_autoencoder_fit(spark):
     assert losses[-1] < 0.7 * losses[0] and model.bottleneck == 4
     mlp, _ = fit.fit_dense_ae(docs, 4, steps=2, architecture="mlp", hidden=6)
     assert mlp.architecture == "mlp"
+
+
+def test_rows_drawn_anew_each_epoch(spark):
+    epochs = []
+
+    def rows_of(epoch):
+        epochs.append(epoch)
+        return _rows(spark, n=100, negatives=True)
+
+    fit.fit_sparse_coder(rows_of, fit.FitConfig(24, 4, 2, 3, 50, 1))
+    assert epochs == [0, 1, 2]  # five steps, two batches per epoch
