@@ -161,6 +161,7 @@ def sparse_vs_dense(queries: DataFrame, docs: DataFrame, relevance: DataFrame, c
                     backend: str = "scan") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Metrics of both methods, index statistics, and stage times with the speed-up ratio."""
     k = coder.sparsity(k)
+    relevance = cut_lineage(relevance)
     queries = judged(queries, relevance)
     watch = Stopwatch()
     q = watch.run(C.encode(queries, coder, k).select("q_idx", "code"), "sparse", k, "encode_queries")
@@ -184,7 +185,8 @@ def benchmark(queries: DataFrame, docs: DataFrame, relevance: DataFrame, ks, cod
     """
     spark = queries.sparkSession
     watch = Stopwatch()
-    queries = judged(queries, relevance)
+    relevance = cut_lineage(relevance)
+    queries = cut_lineage(judged(queries, relevance))
     runs = [watch.run(dense_run(queries, docs, top_k), "dense", 0, "search")]
     matched = list(ks)
     if coder is not None:

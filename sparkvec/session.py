@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,9 +48,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store `df` as a table in the shared checkpoint folder and read it from there.
+
+    Unlike a plain checkpoint the copy is columnar, so later reads prune columns and the
+    optimiser knows its size.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/sparkvec-stage-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _hadoop_path(spark: SparkSession, path: str):

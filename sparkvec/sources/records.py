@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import items as I
+from ..session import cut_lineage
 
 QUERY_SCHEMA = ("qid string, query_txt string, query_img_path string, query_modality string, "
                 "pos_cand_list array<string>, neg_cand_list array<string>")
@@ -23,15 +24,17 @@ CAPTION_SPLITS = {"train": ("train", "restval"), "validation": ("val",), "test":
 def read_jsonl(spark: SparkSession, path, schema: str, max_items: int = 0) -> DataFrame:
     """JSON lines with `row_idx` in file order; blank lines skipped, a malformed line fails.
 
-    Rows are counted per file split, the counts are summed up to offsets, and every row
-    adds its position inside its split. Only the split table (one row per file block)
-    reaches the driver.
+    The parsed rows are staged once, because file splits are planned anew by every job and
+    may differ when executors come or go. Rows are then counted per split, the counts are
+    summed up to offsets, and every row adds its position inside its split. Only the split
+    table (one row per file block) reaches the driver.
     """
     raw = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     names = raw.columns
     raw = raw.select("*", F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_id"))
+    raw = cut_lineage(raw)
     splits = raw.groupBy("_file", "_block").agg(
         F.count(F.lit(1)).alias("n"), F.min("_id").alias("_first"))
     rows = splits.limit(MAX_SPLITS + 1).collect()
