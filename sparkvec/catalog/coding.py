@@ -98,6 +98,11 @@ def c7(spark, sf):
 
 @query("C8_raw_topk", f"WITH {X.raw_sql()} {_ROWS}")
 def c8(spark, sf):
+    return _rows(X.vectors(spark, sf, "vec_id").select("vec_id", V.raw_topk("embedding", X.RAW_K).alias("code")))
+
+
+@query("C8_raw_topk_bulk", f"WITH {X.raw_sql()} {_ROWS}")
+def c8_bulk(spark, sf):
     return _rows(X.raw_codes(spark, sf, "vec_id"))
 
 

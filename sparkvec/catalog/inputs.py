@@ -63,7 +63,7 @@ vec AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS f, unnest(embedd
 # ------------------------------------------------------------------ raw codes
 
 def raw_codes(spark, sf_dir, key: str, k: int = RAW_K) -> DataFrame:
-    return vectors(spark, sf_dir, key).select(key, V.raw_topk("embedding", k).alias("code"))
+    return C.raw_topk_encode(vectors(spark, sf_dir, key), k).select(key, "code")
 
 
 def raw_sql(k: int = RAW_K) -> str:

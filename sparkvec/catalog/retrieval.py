@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import search as S
+from ..operators.coding import raw_topk_encode
 from ..plans import suites
 from ..session import spread
 from ..sources import stores
@@ -74,7 +75,7 @@ SELECT q_idx, doc_idx, rank::INTEGER AS rank, round(s, 6) AS score FROM (SELECT
   PARTITION BY q_idx ORDER BY round(s, 9) DESC, doc_idx) AS rank FROM s) WHERE rank <= 100""")
 def r2_lookup(spark, sf):
     def codes(name, id_col, key):
-        return text_vectors(spark, sf, name, id_col, key).select(key, V.raw_topk("embedding", 16).alias("code"))
+        return raw_topk_encode(text_vectors(spark, sf, name, id_col, key), 16).select(key, "code")
     index = S.build_index(codes("documents", "doc_id", "doc_idx"))
     return X.run_rows(index.search(codes("benchmark", "item_id", "q_idx"), X.TOP, backend="postings"))
 
@@ -159,7 +160,7 @@ def k6(spark, sf):
 def u3(spark, sf):
     """Rows on which the postings and the scan backend disagree over the text corpus."""
     def codes(name, id_col, key):
-        return text_vectors(spark, sf, name, id_col, key).select(key, V.raw_topk("embedding", 16).alias("code"))
+        return raw_topk_encode(text_vectors(spark, sf, name, id_col, key), 16).select(key, "code")
     index, q = S.build_index(codes("documents", "doc_id", "doc_idx")), codes("benchmark", "item_id", "q_idx")
     a = X.run_rows(index.search(q, X.TOP, "cosine", "postings"))
     b = X.run_rows(index.search(q, X.TOP, "cosine", "scan"))

@@ -352,6 +352,25 @@ def normalize_decoder(weights: DataFrame) -> DataFrame:
     return weights.withColumn("dec", V.l2_normalize("dec", "clamp"))
 
 
+def raw_topk_encode(dense: DataFrame, k: int, column: str = "embedding", output: str = "code") -> DataFrame:
+    """Append the k largest dimensions by absolute value, sign kept, zeros dropped.
+
+    Same codes as the column function `raw_topk`, in bulk: a partial selection per batch
+    where the column function sorts every vector.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+
+    def compute(x):
+        size = np.abs(x)
+        rows, cols = blocks.top_columns(np.where(size > 0, size, -np.inf), k)
+        order = np.lexsort((cols, -size[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        return [codes_array(rows, cols, x[rows, cols], len(x))]
+
+    return map_vectors(dense, column, compute, f"{output} {V.CODE_TYPE}")
+
+
 # ---------------------------------------------------------------- dense compression
 
 @dataclass

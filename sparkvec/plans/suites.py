@@ -69,8 +69,8 @@ def sweep_stats(docs: DataFrame, coder: C.SparseCoder, ks) -> DataFrame:
 
 def raw_topk_run(queries: DataFrame, docs: DataFrame, k: int, top_k: int = 100, method: str = "raw_topk") -> DataFrame:
     """Baseline without a coder: signed raw dimensions, every document rankable."""
-    q = queries.select("q_idx", V.raw_topk("embedding", k).alias("code"))
-    d = docs.select("doc_idx", V.raw_topk("embedding", k).alias("code"))
+    q = C.raw_topk_encode(queries, k).select("q_idx", "code")
+    d = C.raw_topk_encode(docs, k).select("doc_idx", "code")
     return as_run(S.sparse_search(q, d, top_k, candidates="all"), method, k)
 
 
