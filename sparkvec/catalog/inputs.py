@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vector as V
 from ..operators import coding as C
 from ..operators import relevance as R
 from ..operators import search as S
@@ -25,7 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
-    import uuid
     root = ensure_checkpoint_dir(spark).removeprefix("file:")
     path = f"{root}/sparkvec-{name}-{uuid.uuid4().hex[:12]}"
     if "://" not in path:

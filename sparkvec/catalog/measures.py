@@ -4,11 +4,9 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions import vector as V
 from ..operators import coding as C
 from ..operators import losses as L
 from ..operators import metrics as M
-from ..operators import search as S
 from ..plans import suites
 from ..sources import stores
 from . import inputs as X

@@ -5,12 +5,11 @@ from pyspark.sql import functions as F
 from ..functions import items as I
 from ..functions import vector as V
 from ..operators import embed as E
-from ..operators import search as S
 from ..sources import records
 from ..sources.stores import read_index
 from ..streaming import jobs
 from . import inputs as X
-from .records import _candidate_file, _write_lines
+from .records import _candidate_file
 from .registry import query
 from .retrieval import _TEXT_SQL, text_vectors
 

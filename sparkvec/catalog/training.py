@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import vector as V
 from ..operators import coding as C
 from ..operators import fit
 from ..operators import losses as L

@@ -77,10 +77,10 @@ def macro_recall(run: DataFrame, relevance: DataFrame, cut: int) -> DataFrame:
 
 
 def retention(metrics_long: DataFrame, base: str = "dense") -> DataFrame:
-    """Value of every method relative to the base method's."""
-    reference = metrics_long.where(F.col("method") == base).groupBy("metric").agg(
-        F.max("value").alias("base_value"))
-    return metrics_long.where(F.col("method") != base).join(F.broadcast(reference), "metric").select(
+    """Value of every method relative to the base method's; the metrics are computed once."""
+    of_base = F.max(F.when(F.col("method") == base, F.col("value"))).over(Window.partitionBy("metric"))
+    return metrics_long.withColumn("base_value", of_base).where(
+        (F.col("method") != base) & F.col("base_value").isNotNull()).select(
         "method", "k", "metric",
         (F.col("value") / F.greatest("base_value", F.lit(EPS))).alias("retention"))
 

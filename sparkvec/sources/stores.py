@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators.coding import DenseAE, META_SCHEMA, SparseCoder, WEIGHTS_SCHEMA, coder_from_frames, vectors_array
-from ..operators.search import SparseIndex, doc_stats_of, postings_of
+from ..operators.search import SparseIndex, doc_stats_of
 
 INDEX_DOCS = f"doc_idx bigint, code {V.CODE_TYPE}"
 POSTINGS = "feature_id int, doc_idx bigint, weight float, doc_norm double"
