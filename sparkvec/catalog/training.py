@@ -61,6 +61,23 @@ def t5_neg(spark, sf):
     return L.info_nce(rows).select(X.r6("contrastive").alias("contrastive"))
 
 
+@query("T5_info_nce_codes", f"""WITH {X.sae_sql()}, n AS (SELECT count(*) AS n FROM embeddings), b AS (
+  SELECT x.vec_id, ('0x' || substr(md5('0:' || x.vec_id), 1, 8))::BIGINT % greatest(1, round_even((SELECT n FROM n) / 64, 0)::INT) AS batch
+  FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1),
+dots AS (SELECT q.vec_id AS qi, d.vec_id AS di, sum(a.w::DOUBLE * c.w::DOUBLE) AS s FROM b q JOIN b d USING (batch)
+  JOIN codes a ON a.vec_id = q.vec_id JOIN codes c ON c.vec_id = d.vec_id + 1 AND c.f = a.f GROUP BY q.vec_id, d.vec_id),
+s AS (SELECT q.vec_id, coalesce(s, 0) / 0.05 AS l, q.vec_id = d.vec_id AS pos FROM b q JOIN b d USING (batch)
+  LEFT JOIN dots ON qi = q.vec_id AND di = d.vec_id)
+SELECT round(avg(z - l), 5) AS contrastive FROM (SELECT vec_id, max(l) + ln(sum(exp(l - m))) AS z FROM s JOIN (
+  SELECT vec_id, max(l) AS m FROM s GROUP BY vec_id) USING (vec_id) GROUP BY vec_id) JOIN s USING (vec_id) WHERE pos""")
+def t5_codes(spark, sf):
+    """The same loss between sparse codes."""
+    rows = _batches(spark, sf)
+    both = C.encode(C.encode(rows, X.coder(), None, "q", "a"), X.coder(), None, "p", "b")
+    loss = L.info_nce(both.select("batch", "q_idx", F.col("a").alias("q"), F.col("b").alias("p")))
+    return loss.select(F.round("contrastive", 5).alias("contrastive"))
+
+
 @query("T13_info_nce_normalised", _nce_sql(
     0.2, "(sqrt(list_dot_product(q.a, q.a)) * sqrt(list_dot_product(d.b, d.b)))"))
 def t13_nce(spark, sf):

@@ -512,7 +512,7 @@ def ae_gradient(model: DenseAE, x: np.ndarray) -> tuple[float, dict]:
 def fit_dense_ae(docs: DataFrame, bottleneck: int, steps: int = 2000, batch_size: int = 512, lr: float = 1e-3,
                  weight_decay: float = 1e-4, max_docs: int | None = 20_000, architecture: str = "linear",
                  hidden: int = 0, normalize: bool = True, parallel: int = 1, seed: int = 42) -> tuple[DenseAE, list[float]]:
-    """Autoencoder on `docs(row_idx, embedding)`, by default on a seeded sample as large as the reference's.
+    """Autoencoder on `docs(row_idx, embedding)`, by default on a seeded sample of 20,000.
 
     `max_docs=None` trains on every document.
     """

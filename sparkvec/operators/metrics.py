@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import EPS
 
+# Cuts at which recall and hit rate are reported, and the nDCG cut.
 CUTS = (1, 5, 10, 100)
 NDCG_CUT = 10
 

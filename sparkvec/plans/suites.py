@@ -17,6 +17,7 @@ from ..operators import metrics as M
 from ..operators import search as S
 from ..session import cut_lineage
 
+# K values of the sparsity trade-off, stand-alone and inside the trainer.
 TRADE_OFF_KS = (4, 8, 16, 32, 64, 128, 256)
 TRAINER_KS = (4, 8, 16, 32, 64, 128)
 

@@ -171,7 +171,7 @@ def usable_samples(samples: DataFrame, max_samples: int = 0, caption: str = "cap
                    image_exists: str | None = None) -> DataFrame:
     """Samples with a caption (and an existing image); the first `max_samples` in row order.
 
-    The cut is the reference's option. It is resolved to a row index first, so the
+    The cut is the caller's choice. It is resolved to a row index first, so the
     data stays distributed.
     """
     kept = samples.where(I.usable_sample(caption, image_exists))
