@@ -8,7 +8,7 @@ shard through the same bounded block join as the search.
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
@@ -203,10 +203,10 @@ def _first_of_rows(rows, cols, values, k: int, n: int):
     return rows[keep], cols[keep], values[keep]
 
 
-def map_vectors(df: DataFrame, column: str, compute, fields: str, row_limit: int = 4096) -> DataFrame:
-    """Append `fields` computed by `compute(matrix) -> [arrays]` to every row; `column` is kept."""
+def map_vectors(df: DataFrame, column: str, compute, added: str, row_limit: int = 4096) -> DataFrame:
+    """Append the `added` columns, computed by `compute(matrix) -> [arrays]`; `column` is kept."""
     from pyspark.sql.types import StructType
-    schema = StructType(df.schema.fields + StructType.fromDDL(fields).fields)
+    schema = StructType(df.schema.fields + StructType.fromDDL(added).fields)
     names = [f.name for f in schema.fields]
 
     def run(batches):
@@ -219,10 +219,29 @@ def map_vectors(df: DataFrame, column: str, compute, fields: str, row_limit: int
     return df.mapInArrow(run, schema)
 
 
-def _share(df: DataFrame, value, n_bytes: int):
+class Shared:
+    """A model broadcast as its plain fields and rebuilt inside the task.
+
+    Broadcast values are pickled by reference to their class, which executors without
+    this package could not resolve; arrays and numbers they can.
+    """
+
+    def __init__(self, spark: SparkSession, model):
+        self.kind = type(model)
+        self.fields = spark.sparkContext.broadcast({f.name: getattr(model, f.name) for f in fields(model)})
+
+    @functools.cached_property
+    def value(self):
+        return self.kind(**self.fields.value)
+
+    def destroy(self) -> None:
+        self.fields.destroy()
+
+
+def _share(df: DataFrame, model, n_bytes: int) -> Shared:
     if n_bytes > BROADCAST_BYTES:
         raise ValueError(f"{n_bytes} bytes of weights are over the broadcast bound")
-    return df.sparkSession.sparkContext.broadcast(value)
+    return Shared(df.sparkSession, model)
 
 
 def _coder_bytes(coder: SparseCoder) -> int:

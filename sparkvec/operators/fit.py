@@ -24,7 +24,7 @@ from ..functions.hashing import hash_int
 from ..functions.vector import EPS
 from ..session import ensure_checkpoint_dir, remove
 from . import blocks
-from .coding import DenseAE, SparseCoder, gelu, hidden_dim
+from .coding import DenseAE, Shared, SparseCoder, gelu, hidden_dim
 
 MAX_PARAMS = 16_000_000
 BLOCK = 1 << 16  # parameters per block when gradients are added
@@ -420,17 +420,16 @@ def fit_sparse_coder(rows: DataFrame | Callable[[int], DataFrame], cfg: FitConfi
         optimiser = AdamW(n_params)
         for step in range(steps):
             spec = spec_of(step)
-            shared = spark.sparkContext.broadcast((coder, spec, idle > cfg.dead_threshold))
+            shared, dead = Shared(spark, coder), idle > cfg.dead_threshold
 
-            def compute(table, shared=shared):
-                model, spec, dead = shared.value
+            def compute(table, shared=shared, spec=spec, dead=dead):
                 neg = None
                 if has_neg and spec.negatives:
                     nested = table["neg"].combine_chunks()
                     owner = np.repeat(np.arange(len(nested)), np.diff(nested.offsets.to_numpy()))
                     neg = blocks.list_matrix(nested.flatten()), owner
                 loss, grads, active = batch_gradient(
-                    model, blocks.list_matrix(table["q"]), blocks.list_matrix(table["p"]), neg, spec, dead)
+                    shared.value, blocks.list_matrix(table["q"]), blocks.list_matrix(table["p"]), neg, spec, dead)
                 return loss, _flatten(grads), active.astype(np.uint8)
 
             loss, grad, active = _sum_gradients(table.take(cfg.parallel), compute, n_params, cfg.parallel)
@@ -541,7 +540,7 @@ def fit_dense_ae(docs: DataFrame, bottleneck: int, steps: int = 2000, batch_size
     table = _BatchTable(rows.select("row_idx", "embedding"), "row_idx", batch_size, steps * parallel, seed)
     optimiser, losses = AdamW(n_params, weight_decay), []
     for step in range(steps):
-        shared = spark.sparkContext.broadcast(model)
+        shared = Shared(spark, model)
 
         def compute(table, shared=shared):
             loss, grads = ae_gradient(shared.value, blocks.list_matrix(table["embedding"]))
