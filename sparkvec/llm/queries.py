@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash
+from . import bpe, exact_dedup, simhash, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+@query("op4_token_files")
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_folder(spark)
+    token_files.write_with_library(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
+    return token_files.read(spark, path, token_files.crc32, "bigint", "ids_crc32")
+
+
 @query("op6_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
            doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
