@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash, sketch, token_files
+from . import bpe, exact_dedup, mixing, simhash, sketch, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,41 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+@query("op2_mixing", r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, coalesce(source, '') AS source,
+               greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')))::BIGINT AS tokens FROM documents),
+    s AS (SELECT source, sum(tokens)::BIGINT AS n FROM d GROUP BY source),
+    p AS (SELECT source, n, n / (SELECT sum(n) FROM s)::DOUBLE AS p FROM s),
+    ends AS (SELECT min(p) AS least, max(p) AS most FROM p),
+    bisect AS (
+        SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
+        UNION ALL
+        SELECT step + 1, CASE WHEN pow(most / least, 1 - (low + high) / 2) <= 2 THEN low ELSE (low + high) / 2 END,
+               CASE WHEN pow(most / least, 1 - (low + high) / 2) <= 2 THEN (low + high) / 2 ELSE high END
+        FROM bisect, ends WHERE step < 36),
+    e AS (SELECT CASE WHEN (SELECT most / least <= 2 FROM ends) THEN 0 ELSE round(high, 9) END AS a FROM bisect WHERE step = 36),
+    z AS (SELECT sum(pow(p, a)) AS z, max(p / pow(p, a)) AS f FROM p, e),
+    plan AS (
+        SELECT source, n, round(pow(p, a) / z, 9) AS weight,
+               round(pow(p, a) / z * ((SELECT sum(n) FROM s)::DOUBLE * z * f), 3) AS quota FROM p, e, z),
+    plan2 AS (SELECT *, floor(quota / n)::BIGINT AS epochs, floor(quota - floor(quota / n) * n) AS rest FROM plan),
+    keyed AS (
+        SELECT d.*, weight, quota / n AS times, epochs, rest,
+               ('0x' || substr(md5('0:' || epochs || ':' || doc_id), 1, 15))::BIGINT AS key FROM d JOIN plan2 USING (source)),
+    cut AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY key) <= rest AS more FROM keyed),
+    copies AS (SELECT *, unnest(range(epochs + more::BIGINT)) AS epoch FROM cut)
+    SELECT doc_id, source, epoch::INTEGER AS epoch, tokens AS n_tokens, weight,
+           round((epoch + ('0x' || substr(md5('0:' || epoch || ':' || doc_id), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE)
+                 / times, 9) AS place
+    FROM copies""")
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, max_repetition=2.0).select(
+        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("_epoch").alias("epoch"),
+        F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_place").alias("place"))
+
+
 @query("op4_token_files")
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_folder(spark)
