@@ -42,9 +42,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:  # too many shared prefixes for a broadcast: hash in the scan, so that texts stay where they are
         found = rows.select("_id", "_len", "_prefix", full.alias("_hash")).join(keys, ["_len", "_prefix"], "left")
     found = store(found.select("_id", "_len", "_hit", "_hash"), "hashes")
-    groups = (found.where("_hit").groupBy("_len", "_hash", "_id").agg(F.count(F.lit(1)).alias("c"))
-              .groupBy("_len", "_hash").agg(F.sum("c").alias("_size"), F.max(F.struct("_id", "c")).alias("_top"))
-              .where("_size > 1"))
+    groups = store(found.where("_hit").groupBy("_len", "_hash", "_id").agg(F.count(F.lit(1)).alias("c"))
+                   .groupBy("_len", "_hash").agg(F.sum("c").alias("_size"), F.max(F.struct("_id", "c")).alias("_top"))
+                   .where("_size > 1"), "groups")  # stored, so that the join below can split a hot group
     single = F.col("_size").isNull()
     keep = F.when(single, F.col("_id")).otherwise(F.col("_top._id"))
     out = (found.join(groups, ["_len", "_hash"], "left")
