@@ -101,7 +101,8 @@ def induce(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> tu
         return {}, n1 / max(1, n0 + n1)
     sums = counts.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     base = n1 / (n0 + n1)
-    strong = sums.where(_evidence(base) >= EVIDENCE / 2).orderBy(F.desc(_evidence(base)), "entry").limit(CANDIDATES)
+    lift = (F.col("toxic") / n1) / ((F.col("clean") + 0.5) / n0)
+    strong = sums.where((_evidence(base) >= EVIDENCE) & (lift >= LIFT / 2)).orderBy(F.desc(_evidence(base)), "entry").limit(CANDIDATES)
     names = [r["entry"] for r in strong.select("entry").collect()]
     if not names:
         return {}, base
@@ -122,7 +123,6 @@ def induce(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> tu
     pairs = map_texts(widen(rows), "text", contexts, "entry string, before string, clean bigint, toxic bigint")
     pairs = pairs.groupBy("entry", "before").agg(F.max("clean").alias("clean"), F.max("toxic").alias("toxic"))
     sums = pairs.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    lift = (F.col("toxic") / n1) / ((F.col("clean") + 0.5) / n0)
     best = sums.where((_evidence(base) >= EVIDENCE) & (lift >= LIFT)).orderBy(F.desc(_evidence(base)), "entry").limit(LEXICON)
     return {r["entry"]: k % SLICES for k, r in enumerate(best.select("entry").collect())}, base
 
