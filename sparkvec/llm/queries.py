@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, simhash, site_tree, sketch, token_files, toxicity
+from . import bpe, exact_dedup, licenses, mixing, quality, simhash, site_tree, sketch, token_files, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,16 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_place").alias("place"))
 
 
+@query("op3_licenses")
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree source/thousands/hundreds; every hundredth document is its folder's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(F.col("doc_id") / 1000).cast("string"),
+                       F.floor(F.col("doc_id") / 100).cast("string"), name)
+    return licenses.scan(docs.select(path.alias("path"), "text"))
+
+
 @query("op4_token_files")
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_folder(spark)
