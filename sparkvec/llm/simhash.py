@@ -8,6 +8,7 @@ where they meet. Choices with many members are split into cells that pairs of ch
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,26 +43,38 @@ def shingle_hashes(text: str, words: int, seed: int = SEED) -> np.ndarray:
     return np.array([digest(joined[a:b], seed) for a, b in zip([0, *starts], (ends[words - 1:] - 1).tolist())], np.uint64)
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """A bit is set if more than half of the hashes have it; no hashes give zero."""
-    if not len(hashes):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for start in range(0, len(hashes), 1 << 16):
-        part = hashes[start:start + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+def lane(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Hashes for a further 64 bits of a fingerprint: lane 0 is the hash itself, others are mixed from it."""
+    if not number:
+        return hashes
+    x = hashes + np.uint64(number * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col`, fp (the 64 bits as a signed long). Null and empty texts have fingerprint zero."""
+def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """64 bits a lane: a bit is set if more than half of the lane's hashes have it; no hashes give zero."""
+    ones = np.zeros((lanes, 64), np.int64)
+    for start in range(0, len(hashes), 1 << 14):
+        part = hashes[start:start + (1 << 14)]
+        for k in range(lanes):
+            bits = np.unpackbits(lane(part, k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[k] += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", lanes: int = 1) -> DataFrame:
+    """`id_col`, fp (one signed long a lane). Null and empty texts have fingerprint zero."""
     small_batches(docs.sparkSession)
     rows = widen(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).withColumn("text", text_of())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = np.array([fingerprint(shingle_hashes(t, words)) for t in texts(batch, "text")], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made.view(np.int64))], [id_col, "fp"])
-    return map_texts(rows, "text", run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp bigint")
+        made = np.concatenate([fingerprint(shingle_hashes(t, words), lanes) for t in texts(batch, "text")])
+        offsets = np.arange(0, len(made) + 1, lanes, dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made.view(np.int64)))
+        return pa.RecordBatch.from_arrays([batch.column("id"), lists], [id_col, "fp"])
+    return map_texts(rows, "text", run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp array<bigint>")
 
 
 def block_masks(blocks: int, agree: int) -> list[int]:
@@ -80,6 +93,25 @@ def choose_blocks(count: int, bits: int) -> int:
     return blocks
 
 
+def drawn_masks(count: int, lanes: int, share: float, recall: float) -> list[tuple[int, int]]:
+    """(lane, mask) of drawn blocks: enough that two fingerprints that differ in `share` of their bits meet in one
+    with probability `recall`. Blocks have 16 bits, more in a table so large that buckets would overflow."""
+    size = max(16, math.ceil(math.log2(max(2, count) / BUCKET)))
+    number = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** size))
+    r = np.random.default_rng(SEED)
+    masks = [sum(1 << int(b) for b in r.choice(64, size, replace=False)) for _ in range(number)]
+    return [(k % lanes, m - (1 << 64) if m >> 63 else m) for k, m in enumerate(masks)]
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two sets with this Jaccard similarity: their angle over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32)
+
+
 def _near(group: np.ndarray, nodes: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """A spanning forest of the links in one cell: each member is compared with those not yet reached."""
     a, b = [], []
@@ -88,7 +120,7 @@ def _near(group: np.ndarray, nodes: np.ndarray, bits: int) -> tuple[list[np.ndar
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             p = queue.pop()
-            hit = np.bitwise_count(group[left] ^ group[p]) <= bits
+            hit = _distance(group[left], group[p]) <= bits
             if hit.any():
                 reached = left[hit]
                 a.append(np.full(len(reached), nodes[p]))
@@ -110,7 +142,7 @@ def cell_links(starts: np.ndarray, ends: np.ndarray, group: np.ndarray, nodes: n
         at, last = at[keep], last[keep]
         if not len(at):
             break
-        hit = at[np.bitwise_count(group[at] ^ group[at + step]) <= bits]
+        hit = at[_distance(group[at], group[at + step]) <= bits]
         a.append(nodes[hit])
         b.append(nodes[hit + step])
     for s, e in zip(starts[ends - starts > 24], ends[ends - starts > 24]):
@@ -121,26 +153,28 @@ def cell_links(starts: np.ndarray, ends: np.ndarray, group: np.ndarray, nodes: n
     return np.concatenate(a or empty), np.concatenate(b or empty)
 
 
-def links(prints: DataFrame, bits: int, blocks: int | None = None) -> DataFrame:
-    """Links between distinct fingerprints that differ in at most `bits` bits.
+def links(prints: DataFrame, bits: int, masks: list[tuple[int, int]], lanes: int = 1) -> DataFrame:
+    """Links between distinct fingerprints that agree under one of the masks and differ in at most `bits` bits.
 
     `prints` has fp and node, one row per fingerprint. Returns u, v: nodes of pairs within `bits` bits. Within
     a cell it is a spanning forest of the links, so the components are those of all links, and
-    no group of n close fingerprints gives n squared rows.
+    no group of n close fingerprints gives n squared rows. Buckets over CHUNK members are dealt to
+    cells of two chunks each, so that every pair of members meets in one.
     """
-    if blocks is None:
-        blocks = choose_blocks(prints.count(), bits)
-    masks = F.array(*[F.lit(m).cast("long") for m in block_masks(blocks, blocks - bits)])
-    members = prints.select("fp", "node", F.posexplode(masks).alias("choice", "mask"))
-    members = members.select("choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bucket"), "fp", "node")
-    size = members.groupBy("choice", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = members.join(size, ["choice", "bucket"])
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    choices = F.array(*[F.struct(F.lit(k).alias("lane"), F.lit(m).cast("long").alias("mask")) for k, m in masks])
+    members = prints.select("fp", "node", F.posexplode(choices).alias("choice", "by"))
+    value = F.element_at("fp", F.col("by.lane") + 1).bitwiseAND(F.col("by.mask"))
+    members = members.select("choice", value.alias("bucket"), "node", "fp")
+    hot = store(members.groupBy("choice", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK), "hot-buckets")
+    fits = hot.count() <= BROADCAST_IDS
+    members = members.join(F.broadcast(hot) if fits else hot, ["choice", "bucket"], "left")
+    chunks = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64("fp"), chunks).cast("int")
     cells = members.withColumn("mine", mine).select(
         "choice", "bucket", "fp", "node", "mine", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    cells = cells.select("choice", "bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "fp", "node")
     order = ["choice", "bucket", "low", "high"]
+    parts = [F.element_at("fp", k + 1).alias(f"f{k}") for k in range(lanes)]
+    cells = cells.select("choice", "bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node", *parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -161,14 +195,14 @@ def links(prints: DataFrame, bits: int, blocks: int | None = None) -> DataFrame:
             if not final:
                 kept = [c[starts[-1]:] for c in columns]
                 starts, ends = starts[:-1], ends[:-1]
-            u, v = cell_links(starts, ends, columns[4].view(np.uint64), columns[5], bits)
+            u, v = cell_links(starts, ends, np.stack(columns[5:], axis=1).view(np.uint64), columns[4], bits)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
     return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "u bigint, v bigint")
 
 
 def near_groups(docs: DataFrame, words: int = 5, bits: int = 4, id_col: str = "doc_id", text_col: str = "text",
                 blocks: int | None = None) -> DataFrame:
-    """Groups of texts whose fingerprints are linked, directly or through others.
+    """Groups of texts whose 64-bit fingerprints are linked, directly or through others: exact for `bits`.
 
     Returns one row per input row: `id_col`, fp, component_id (the smallest id of the group). Null and empty
     texts share fingerprint zero and are linked like any other; equal fingerprints are one group;
@@ -176,16 +210,38 @@ def near_groups(docs: DataFrame, words: int = 5, bits: int = 4, id_col: str = "d
     fingerprint, null if no row with that fingerprint has an id. Ids must be integers. An empty table
     gives an empty result. Texts stay in the scan; what moves are ids and fingerprints.
     """
-    marked = store(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    def masks(count: int) -> list[tuple[int, int]]:
+        cut = blocks or choose_blocks(count, bits)
+        return [(0, m) for m in block_masks(cut, cut - bits)]
+    return _groups(docs, words, bits, 1, masks, id_col, text_col).withColumn("fp", F.element_at("fp", 1))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 0.97,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts whose shingle sets are about as similar as `similarity` (Jaccard) or more.
+
+    64 bits can't tell 0.8 from less, and no exact cut into blocks meets pairs that differ in a sixth of
+    their bits. So fingerprints have `lanes` times 64 bits, blocks are drawn, and a pair at the
+    similarity meets in one with probability `recall`, more similar ones more surely (0.9: over 0.999).
+    Then the Hamming distance over all lanes is verified. Columns and edge cases as in `near_groups`.
+    """
+    share = differing_share(similarity)
+    bits = int(64 * lanes * share)
+    return _groups(docs, words, bits, lanes, lambda count: drawn_masks(count, lanes, share, recall), id_col, text_col)
+
+
+def _groups(docs: DataFrame, words: int, bits: int, lanes: int, masks, id_col: str, text_col: str) -> DataFrame:
+    marked = store(fingerprints(docs, words, id_col, text_col, lanes), "fingerprints")
     prints = store(marked.groupBy("fp").agg(F.min(id_col).alias("node")), "prints")
-    roots = components(links(prints.where("node is not null").select("fp", F.col("node").cast("long").alias("node")), bits, blocks))
-    named = prints.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    named = prints.where("node is not null").select("fp", F.col("node").cast("long").alias("node"))
+    roots = components(links(named, bits, masks(prints.count()), lanes))
+    named = store(prints.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "components")
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, one of each group (the smallest id), with all their columns."""
-    groups = near_groups(docs, words, bits, id_col, text_col)
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, one of each group of similar texts (the smallest id), with all their columns."""
+    groups = similar_groups(docs, words, similarity, id_col=id_col, text_col=text_col)
     dropped = store(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct(), "dropped")
     fits = dropped.count() <= BROADCAST_IDS  # beyond it both sides are shuffled
     return docs.join(F.broadcast(dropped) if fits else dropped, docs[id_col] == F.col("_drop"), "left_anti")

@@ -68,11 +68,12 @@ def test_large_cells_and_every_number_of_blocks(spark, monkeypatch):
     prints = {i: centre ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 5))) for i in range(300)}
     prints.update({1000 + i: r.getrandbits(64) for i in range(300)})
     prints = {i: p for i, p in prints.items() if p not in {prints[j] for j in prints if j < i}}
-    frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, i) for i, p in prints.items()], "fp bigint, node bigint")
+    frame = spark.createDataFrame([([p - (1 << 64) if p >> 63 else p], i) for i, p in prints.items()], "fp array<bigint>, node bigint")
     want = brute_groups(prints, 3)
     monkeypatch.setattr(simhash, "CHUNK", 50)
     for blocks in (4, 5, 6):
-        roots = {x["node"]: x["root"] for x in components(simhash.links(frame, 3, blocks)).collect()}
+        masks = [(0, m) for m in simhash.block_masks(blocks, blocks - 3)]
+        roots = {x["node"]: x["root"] for x in components(simhash.links(frame, 3, masks)).collect()}
         assert {i: roots.get(i, i) for i in prints} == want
 
 
@@ -98,4 +99,32 @@ def test_components_of_long_chains(spark):
 def test_fingerprint_counts_are_exact():
     hashes = np.random.default_rng(1).integers(0, 1 << 63, 70_000, dtype=np.uint64)
     want = sum(1 << b for b in range(64) if 2 * int(((hashes >> np.uint64(b)) & np.uint64(1)).sum()) > len(hashes))
-    assert simhash.fingerprint(hashes) == want
+    assert simhash.fingerprint(hashes).tolist() == [want]
+
+
+def test_similar_groups_against_exact_similarity(spark):
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, sets = [], {}
+    for k in range(120):
+        base = [r.choice(vocabulary) for _ in range(r.randint(120, 600))]
+        for copy, share in enumerate((0, 0.002, 0.01, 0.08)):
+            words = [w if r.random() > share else "x" + w for w in base]
+            rows.append((10 * k + copy, " ".join(words)))
+    rows += [(5000 + i, rows[0][1] + f" tail{i}") for i in range(60)]
+    for i, text in rows:
+        words = text.split()
+        sets[i] = {tuple(words[j:j + 5]) for j in range(len(words) - 4)}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    group = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs).collect()}
+    close = far = missed = 0
+    for a, b in itertools.combinations(sorted(sets), 2):
+        likeness = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        if likeness >= 0.88:
+            close += 1
+            missed += group[a] != group[b]
+        if likeness < 0.2:
+            far += group[a] == group[b]
+    assert close > 1800 and missed <= 0.01 * close and far == 0
+    kept = {x["doc_id"] for x in simhash.keep_one(docs).collect()}
+    assert kept == {i for i in group if group[i] == i}
