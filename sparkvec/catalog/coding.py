@@ -117,9 +117,9 @@ def c9(spark, sf):
     return _vector_rows(C.ae_encode(X.vectors(spark, sf, "vec_id"), linear_ae()), "latent")
 
 
-@query("C10_ae_forward", f"""{_LATENT}, l AS (SELECT vec_id, o, z / greatest(n, 1e-8) AS z FROM z JOIN n USING (vec_id))
+@query("C10_ae_forward", f"""{_LATENT}
 SELECT vec_id, i::INTEGER AS pos, round(sum(z * (((o*41 + i*13) % 997) / 997e0 - 0.5e0)::FLOAT::DOUBLE)::FLOAT::DOUBLE, 5) AS x
-FROM l, range(64) u(i) GROUP BY vec_id, i""")
+FROM z, range(64) u(i) GROUP BY vec_id, i""")
 def c10(spark, sf):
     return _vector_rows(C.ae_forward(X.vectors(spark, sf, "vec_id"), linear_ae()), "x_hat")
 
@@ -132,23 +132,42 @@ def c11(spark, sf):
     return _rows(codes.withColumnRenamed("row_idx", "vec_id"))
 
 
-@query("C12_pca_fit")
+def _full_rotation(spark, sf):
+    """All components: the fitted ones and the direction they leave."""
+    import numpy as np
+    fit = C.pca_fit(X.vectors(spark, sf, "row_idx"), X.DIM - 1)
+    last = np.linalg.svd(fit.components, full_matrices=True)[0][:, -1:]
+    return C.PCAModel(fit.mean, np.hstack([fit.components, last]), fit.method, fit.n_fit)
+
+
+@query("C12_pca_fit", f"""WITH {X.LONG} SELECT 'total_variance' AS fact, round(sum(v), 4) AS value FROM (
+SELECT var_samp(x) AS v FROM vec GROUP BY f) UNION ALL SELECT unnest(['ascending_steps', 'correlated_pairs', 'non_orthogonal']), 0e0""")
 def c12(spark, sf):
-    """Variance of the corpus along each fitted component, in descending order."""
-    model = C.pca_fit(X.vectors(spark, sf, "row_idx"), 16, max_docs=None)
-    latent = C.pca_project(X.vectors(spark, sf, "row_idx"), model).select(F.posexplode("latent").alias("pos", "z"))
-    return latent.groupBy("pos").agg(X.r6(F.var_samp(F.col("z").cast("double"))).alias("variance"))
+    """What makes a rotation the principal one: orthonormal, uncorrelated along its axes, variances
+    descending and adding up to that of the corpus."""
+    import numpy as np
+    model = _full_rotation(spark, sf)
+    skew = np.abs(model.components.T @ model.components - np.eye(X.DIM)).max()
+    z = C.pca_project(X.vectors(spark, sf, "row_idx"), model).select("row_idx", F.posexplode("latent").alias("i", "z"))
+    z = z.withColumn("z", F.col("z").cast("double"))
+    variances = z.groupBy("i").agg(F.var_samp("z").alias("v")).withColumnRenamed("i", "j")
+    steps = variances.alias("a").join(variances.alias("b"), F.expr("b.j = a.j + 1")).agg(
+        F.count_if(F.col("b.v") > F.col("a.v") + 1e-9).cast("double").alias("value"))
+    pairs = z.join(z.select("row_idx", F.col("i").alias("j"), F.col("z").alias("y")), "row_idx").where("i < j").groupBy("i", "j").agg(
+        F.covar_samp("z", "y").alias("c"))
+    crossed = pairs.agg(F.count_if(F.abs("c") > 1e-7).cast("double").alias("value"))
+    total = variances.agg(F.round(F.sum("v"), 4).alias("value"))
+    square = spark.range(1).select(F.lit(float(skew > 1e-8)).alias("value"))
+    facts = (("total_variance", total), ("ascending_steps", steps), ("correlated_pairs", crossed), ("non_orthogonal", square))
+    out = [df.select(F.lit(name).alias("fact"), "value") for name, df in facts]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
 @query("C13_pca_project", f"""WITH {X.LONG}, m AS (SELECT f, avg(x) AS m FROM vec GROUP BY f)
 SELECT vec_id, round(sum((x - m) * (x - m)), 2) AS energy FROM vec JOIN m USING (f) GROUP BY vec_id""")
 def c13(spark, sf):
     """All components but an identity: a rotation of the centred vectors keeps their length."""
-    import numpy as np
-    fit = C.pca_fit(X.vectors(spark, sf, "row_idx"), X.DIM - 1, max_docs=None)
-    last = np.linalg.svd(fit.components, full_matrices=True)[0][:, -1:]
-    model = C.PCAModel(fit.mean, np.hstack([fit.components, last]), fit.method, fit.n_fit)
-    return C.pca_project(X.vectors(spark, sf, "vec_id"), model).select(
+    return C.pca_project(X.vectors(spark, sf, "vec_id"), _full_rotation(spark, sf)).select(
         "vec_id", F.round(V.dot("latent", "latent"), 2).alias("energy"))
 
 

@@ -207,10 +207,25 @@ def m12(spark, sf):
     return _long(M.ranking_metrics(suites.raw_topk_run(suites.judged(q, rel), d, X.RAW_K), rel))
 
 
+_CENTRED_RUN = f"""mean AS (SELECT f, avg(x) AS m FROM vec GROUP BY f),
+centred AS (SELECT vec_id, list((x - m)::FLOAT::DOUBLE ORDER BY f) AS v FROM vec JOIN mean USING (f) GROUP BY vec_id),
+run AS (SELECT * FROM (SELECT q_idx, doc_idx, row_number() OVER (PARTITION BY q_idx ORDER BY round(s, 9) DESC, doc_idx) AS rank
+    FROM (SELECT a.vec_id AS q_idx, b.vec_id AS doc_idx, list_dot_product(a.v, b.v) AS s FROM centred a CROSS JOIN centred b))
+    WHERE rank <= {X.TOP})"""
+
+
+@query("M13_pca_identity_suite", f"""WITH {X.LONG}, {_CENTRED_RUN},
+{metrics_sql(f"runs AS (SELECT 'pca' AS method, {X.DIM // 2} AS k, * FROM run)")} {_LONG}""")
+def m13_identity(spark, sf):
+    """At a memory of all dimensions nothing is reduced, but vectors are still centred."""
+    q, d, rel = _frames(spark, sf)
+    return _long(M.ranking_metrics(suites.pca_run(suites.judged(q, rel), d, X.DIM // 2), rel))
+
+
 @query("M13_pca_suite")
 def m13(spark, sf):
     q, d, rel = _frames(spark, sf)
-    return _long(M.ranking_metrics(suites.pca_run(suites.judged(q, rel), d, 16, max_docs=None), rel))
+    return _long(M.ranking_metrics(suites.pca_run(suites.judged(q, rel), d, 16), rel))
 
 
 _AE = """
@@ -292,10 +307,11 @@ def _activity(spark, sf, active_only: bool = True):
 
 @query("T4_dead_fraction", """WITH a AS (SELECT user_id AS feature_id, max(date_diff('hour', TIMESTAMP '2024-01-01', ts)) AS last
   FROM events WHERE event_type = 'purchase' GROUP BY user_id),
-g AS (SELECT coalesce(719 - a.last, 720) AS gap FROM range(150) r(f) LEFT JOIN a ON a.feature_id = r.f)
+g AS (SELECT coalesce(719 - a.last, 720) AS gap FROM (SELECT DISTINCT user_id AS f FROM events) r LEFT JOIN a ON a.feature_id = r.f)
 SELECT avg((gap > 24)::INT) AS dead_fraction FROM g""")
 def t4(spark, sf):
-    return M.dead_fraction(M.steps_since_active(_activity(spark, sf), 720, 150), 24)
+    users = X.table(spark, sf, "events").select(F.col("user_id").alias("feature_id")).distinct()
+    return M.dead_fraction(M.steps_since_active(_activity(spark, sf), 720, users), 24)
 
 
 _RAW_32 = """

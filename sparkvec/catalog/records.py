@@ -74,7 +74,7 @@ def _qrels_file(spark, sf, rel):
     li = X.table(spark, sf, "lineitem")
     path = X.scratch(spark, "qrels") + "/lines"
     li.select(F.concat(F.lit("  "), "l_orderkey", F.lit("\t0 "), F.expr(
-        f"CASE WHEN l_linenumber = 7 AND '{rel}' = 'loose' THEN '' ELSE concat(l_partkey, ' ', "
+        f"CASE WHEN l_linenumber = 7 THEN '' ELSE concat(l_partkey, ' ', "
         f"{_LOOSE if rel == 'loose' else _REL}) END")).alias("value")).write.text(path)
     return path
 
@@ -86,7 +86,7 @@ def s3(spark, sf):
 
 
 @query("S4_qrels_strict", f"""SELECT DISTINCT l_orderkey::VARCHAR AS qid, l_partkey::VARCHAR AS did FROM lineitem
-WHERE ({_REL})::INT > 0""")
+WHERE ({_REL})::INT > 0 AND l_linenumber <> 7""")
 def s4(spark, sf):
     return R.read_qrels(spark, _qrels_file(spark, sf, "strict"), strict=True).select("qid", "did")
 
@@ -210,7 +210,7 @@ def k1(spark, sf):
 '' AS text_prefix, 'doc' AS kind, count(*)::BIGINT AS count, 64::INTEGER AS embedding_dim, {_DIGEST} AS id_sha256,
 min(vec_id)::VARCHAR AS first_id, max(vec_id)::VARCHAR AS last_id FROM embeddings""")
 def k2(spark, sf):
-    return D.manifest(_dense_rows(spark, sf), model_name="m", batch_size=8, kind="doc")
+    return D.manifest(_dense_rows(spark, sf), digest="joined", model_name="m", batch_size=8, kind="doc")
 
 
 @query("K2_ranged_digest", """SELECT sha256(string_agg(d, chr(10) ORDER BY r)) AS id_sha256 FROM (

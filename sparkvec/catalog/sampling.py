@@ -76,7 +76,7 @@ need AS (SELECT w.q_idx, target - count(l.doc_idx) AS need, count(l.doc_idx) AS
 used AS (SELECT q_idx, doc_idx FROM pos UNION ALL SELECT q_idx, doc_idx FROM listed),
 draws AS (SELECT q_idx, need, n_listed, unnest(range(greatest(32, 4 * need))) AS draw FROM need),
 hit AS (SELECT q_idx, need, n_listed, draw,
-    ('0x' || substr(md5('{seed}:draw:' || q_idx || ':' || draw), 1, 8))::BIGINT % (SELECT n FROM nd) AS doc_idx FROM draws),
+    ('0x' || substr(md5('{seed}:draw:' || q_idx || ':' || draw), 1, 15))::BIGINT % (SELECT n FROM nd) AS doc_idx FROM draws),
 fresh AS (SELECT q_idx, doc_idx, min(draw) AS draw, max(need) AS need, max(n_listed) AS n_listed FROM hit GROUP BY q_idx, doc_idx
     HAVING (q_idx, doc_idx) NOT IN (SELECT (q_idx, doc_idx) FROM used)),
 filled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_idx ORDER BY draw) AS r FROM fresh) WHERE r <= need),
@@ -102,7 +102,7 @@ query("J4_negatives_near_pool_size", _negatives_sql(490))(_negatives(490))
 
 
 @query("J5_triplets", """WITH nd AS (SELECT count(*) AS n FROM embeddings),
-hit AS (SELECT vec_id, draw, ('0x' || substr(md5('11:draw:' || vec_id || ':' || draw), 1, 8))::BIGINT % (SELECT n FROM nd) AS doc_idx
+hit AS (SELECT vec_id, draw, ('0x' || substr(md5('11:draw:' || vec_id || ':' || draw), 1, 15))::BIGINT % (SELECT n FROM nd) AS doc_idx
   FROM embeddings, range(32) t(draw)),
 fresh AS (SELECT vec_id, doc_idx, min(draw) AS draw FROM hit GROUP BY vec_id, doc_idx),
 picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY draw) AS r FROM fresh) WHERE r <= 7)

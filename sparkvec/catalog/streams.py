@@ -69,14 +69,17 @@ class _ByteImages(E.HashingEmbedder):
         return super().embed([{"text": r["text"] if r["image"] is None else r["image"].decode()} for r in batch])
 
 
-@query("E3_embed_pairs", f"""WITH {_TEXT_SQL.replace("SELECT 'q' AS side, item_id AS id, text FROM benchmark",
+_PAIRS_SQL = f"""WITH {_TEXT_SQL.replace("SELECT 'q' AS side, item_id AS id, text FROM benchmark",
   "SELECT 'h' AS side, page_id AS id, html AS text FROM pages UNION ALL SELECT 'u', page_id, url FROM pages")},
 s AS (SELECT t.id, sum(t.w::DOUBLE * i.w::DOUBLE) AS s FROM emb t JOIN emb i ON i.f = t.f AND i.id = t.id
   AND t.side = 'u' AND i.side = 'h' GROUP BY t.id),
 n AS (SELECT id, sum(w::DOUBLE * w::DOUBLE) AS n FROM emb WHERE side = 'u' GROUP BY id)
 SELECT page_id, page_id % 3 = 0 AS image_fallback,
   round(CASE WHEN page_id % 3 = 0 THEN n ELSE coalesce(s, 0) END, 5) AS dot
-FROM pages JOIN n ON n.id = page_id LEFT JOIN s ON s.id = page_id""")
+FROM pages JOIN n ON n.id = page_id LEFT JOIN s ON s.id = page_id"""
+
+
+@query("E3_embed_pairs", _PAIRS_SQL)
 def e3(spark, sf):
     """Page address as text, markup as image; a third of the images failed to load."""
     items = X.table(spark, sf, "pages").select("page_id", F.col("url").alias("text"), F.when(
@@ -85,6 +88,22 @@ def e3(spark, sf):
     return out.select("page_id", "image_fallback", F.round(V.dot("image_emb", "text_emb"), 5).alias("dot"))
 
 
+class _FailingImages(_ByteImages):
+    def embed(self, requests):
+        if any(r["image"] == b"broken" for r in requests):
+            raise ValueError("no image")
+        return super().embed(requests)
+
+
+@query("E3_failing_images", _PAIRS_SQL)
+def e3_failing(spark, sf):
+    """The same, but the images are there and a third of them can't be encoded."""
+    items = X.table(spark, sf, "pages").select("page_id", F.col("url").alias("text"), F.when(
+        F.col("page_id") % 3 != 0, F.col("html").cast("binary")).otherwise(F.lit(b"broken")).alias("image"))
+    out = E.embed_pairs(items, lambda: _FailingImages(64))
+    return out.select("page_id", "image_fallback", F.round(V.dot("image_emb", "text_emb"), 5).alias("dot"))
+
+
 @query("E4_require_image", f"WITH {X.CANDIDATES} SELECT did AS item_id, list_contains(modes, 'image') AS degraded, length(coalesce(nullif(txt, ''), 'x'))::INTEGER AS n FROM modal")
 def e4(spark, sf):
     """No image loads: items keep their text and are marked."""

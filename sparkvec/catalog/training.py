@@ -1,18 +1,11 @@
-"""Objectives and fitting."""
+"""Objectives."""
 
 from pyspark.sql import functions as F
 
 from ..operators import coding as C
-from ..operators import fit
 from ..operators import losses as L
-from ..operators import relevance as R
-from ..plans import suites
-from ..session import cut_lineage
 from . import inputs as X
-from .measures import _frames, _long
-from ..operators import metrics as M
 from .registry import query
-from .sampling import _neg, _pos
 
 _HAT32 = """
 hat AS (SELECT v.vec_id, v.f AS i, max(v.x) AS x, (coalesce(sum(c.h * d.w), 0) + max(b.c))::FLOAT::DOUBLE AS y
@@ -33,7 +26,7 @@ def _batches(spark, sf):
     return L.assign_batches(rows, "q_idx", X.table(spark, sf, "embeddings").count(), 64)
 
 
-_BATCH = f"""{X.NEIGHBOURS}, b AS (SELECT *, ('0x' || substr(md5('0:' || vec_id), 1, 8))::BIGINT % greatest(1, round_even((SELECT count(*) FROM embeddings) / 64, 0)::INT) AS batch FROM pairs)"""
+_BATCH = f"""{X.NEIGHBOURS}, b AS (SELECT *, ('0x' || substr(md5('0:' || vec_id), 1, 15))::BIGINT % greatest(1, round_even((SELECT count(*) FROM embeddings) / 64, 0)::INT) AS batch FROM pairs)"""
 
 
 def _nce_sql(temperature, scale="1e0"):
@@ -62,7 +55,7 @@ def t5_neg(spark, sf):
 
 
 @query("T5_info_nce_codes", f"""WITH {X.sae_sql()}, n AS (SELECT count(*) AS n FROM embeddings), b AS (
-  SELECT x.vec_id, ('0x' || substr(md5('0:' || x.vec_id), 1, 8))::BIGINT % greatest(1, round_even((SELECT n FROM n) / 64, 0)::INT) AS batch
+  SELECT x.vec_id, ('0x' || substr(md5('0:' || x.vec_id), 1, 15))::BIGINT % greatest(1, round_even((SELECT n FROM n) / 64, 0)::INT) AS batch
   FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1),
 dots AS (SELECT q.vec_id AS qi, d.vec_id AS di, sum(a.w::DOUBLE * c.w::DOUBLE) AS s FROM b q JOIN b d USING (batch)
   JOIN codes a ON a.vec_id = q.vec_id JOIN codes c ON c.vec_id = d.vec_id + 1 AND c.f = a.f GROUP BY q.vec_id, d.vec_id),
@@ -98,58 +91,3 @@ def t6(spark, sf):
 SELECT i, sum((x - y) * (x - y)) AS err, var_pop(x) AS var, count(*) AS n FROM hat GROUP BY i)""")
 def t13(spark, sf):
     return L.norm_mse(C.forward(X.vectors(spark, sf, "row_idx"), X.coder())).select(X.r6("norm_mse").alias("norm_mse"))
-
-
-def _training_rows(spark, sf):
-    """Judged queries with a positive and four sampled hard negatives."""
-    pos = cut_lineage(_pos(spark, sf))
-    n_docs = X.table(spark, sf, "embeddings").count()
-    negatives = R.sample_negatives(pos, _neg(spark, sf, pos), n_docs, 4, 7)
-    return R.attach_vectors(R.training_rows(pos, negatives, 5), X.vectors(spark, sf, "q_idx"), X.vectors(spark, sf, "doc_idx"))
-
-
-def _paired_rows(spark, sf):
-    return X.neighbours(spark, sf).select(F.col("vec_id").alias("q_idx"), F.col("a").alias("q"), F.col("b").alias("p"))
-
-
-def _history(result):
-    return result.history, "stage int, step int, k int, loss double, dead_fraction double"
-
-
-@query("T3_T7_fit_retrieval")
-def t7(spark, sf):
-    """Loss by step of a short fit over all rows, two batches per step."""
-    cfg = fit.FitConfig(128, 8, 6, 4, 256, 2, 3e-3, 1e-3, 1, 1, dead_threshold=2)
-    return spark.createDataFrame(*_history(fit.fit_sparse_coder(_training_rows(spark, sf), cfg)))
-
-
-@query("T7_fit_paired")
-def t7_paired(spark, sf):
-    cfg = fit.FitConfig(128, 8, 4, 2, 256, 1, 3e-3, 1e-3, 1, 1, layout="paired")
-    return spark.createDataFrame(*_history(fit.fit_sparse_coder(_paired_rows(spark, sf), cfg)))
-
-
-@query("T11_selected_fit")
-def t11(spark, sf):
-    """nDCG@10 decides which coder of the fit is kept; its metrics are returned."""
-    q, d, rel = _frames(spark, sf)
-
-    rel = cut_lineage(rel)
-    cfg = fit.FitConfig(128, 8, 2, 2, 256, 1, 3e-3, 1e-3, 1, 1)
-    best = fit.fit_sparse_coder(_training_rows(spark, sf), cfg, evaluate=suites.selection_score(q, d, rel))
-    return _long(M.ranking_metrics(suites.sparse_sweep(suites.judged(q, rel), d, best.coder, [8]), rel))
-
-
-@query("T8_fit_dense_ae")
-def t8(spark, sf):
-    docs = X.vectors(spark, sf, "row_idx")
-    _, losses = fit.fit_dense_ae(docs, 16, steps=6, batch_size=256, lr=1e-2, max_docs=None)
-    return spark.createDataFrame(list(enumerate(losses)), "step bigint, loss double")
-
-
-@query("M14_fitted_ae_suite")
-def m14(spark, sf):
-    q, d, rel = _frames(spark, sf)
-    model, _ = fit.fit_dense_ae(d.withColumnRenamed("doc_idx", "row_idx"), 32, steps=4, batch_size=256, max_docs=None)
-    run = suites.projected_run(suites.judged(q, rel), d, lambda df: C.ae_encode(df, model), "fitted_ae", 16)
-    return _long(M.ranking_metrics(run, rel))

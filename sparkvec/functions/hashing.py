@@ -14,5 +14,5 @@ def hash_key(seed, *cols) -> Column:
 
 
 def hash_int(seed, *cols) -> Column:
-    """First 32 bits of the hash key, as bigint."""
-    return F.conv(F.substring(hash_key(seed, *cols), 1, 8), 16, 10).cast("bigint")
+    """First 60 bits of the hash key, as bigint: enough for row numbers of any table."""
+    return F.conv(F.substring(hash_key(seed, *cols), 1, 15), 16, 10).cast("bigint")

@@ -8,7 +8,7 @@ shard through the same bounded block join as the search.
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
 import pyarrow as pa
@@ -249,6 +249,18 @@ def _coder_bytes(coder: SparseCoder) -> int:
                if a is not None)
 
 
+def _encoder_part(coder: SparseCoder) -> SparseCoder:
+    """The coder without what encoding doesn't read."""
+    return replace(coder, dec=None, dec_bias=coder.dec_bias if coder.centred else None)
+
+
+def _decoder_part(coder: SparseCoder) -> SparseCoder:
+    """The coder without what decoding doesn't read; a tied decoder is the encoder."""
+    none = np.zeros((0, coder.dim), np.float32)
+    return replace(coder, enc=coder.enc if coder.tied else none, enc_bias=np.zeros(0, np.float32),
+                   dec=None if coder.tied else coder.dec)
+
+
 def _row_limit(width: int) -> int:
     return int(min(8192, max(64, (1 << 23) // max(1, width))))
 
@@ -259,7 +271,8 @@ def encode(dense: DataFrame, coder: SparseCoder, k: int | None = None,
            column: str = "embedding", output: str = "code") -> DataFrame:
     """Append packed TopK codes, strongest first, positive weights only."""
     k = coder.sparsity(k)
-    shared = _share(dense, coder, _coder_bytes(coder))
+    part = _encoder_part(coder)
+    shared = _share(dense, part, _coder_bytes(part))
 
     def compute(x):
         return [codes_array(*shared.value.top(x, k), len(x))]
@@ -334,7 +347,10 @@ def pack_codes(long: DataFrame, keys: list[str]) -> DataFrame:
 
 def decode(codes: DataFrame, coder: SparseCoder, column: str = "code", output: str = "x_hat") -> DataFrame:
     from pyspark.sql.types import StructType
-    shared = _share(codes, coder, _coder_bytes(coder))
+    if (coder.enc if coder.tied else coder.dec) is None:
+        raise ValueError("this coder has no decoder")
+    part = _decoder_part(coder)
+    shared = _share(codes, part, _coder_bytes(part))
     schema = StructType(codes.schema.fields + StructType.fromDDL(f"{output} array<float>").fields)
     names = [f.name for f in schema.fields]
 
@@ -430,9 +446,30 @@ def _stack(x: np.ndarray, layers) -> np.ndarray:
     return x
 
 
+def erf(x: np.ndarray) -> np.ndarray:
+    """Error function of all elements at once, to 1e-14.
+
+    Up to 2.5 by its power series with positive terms, above by the continued fraction of the
+    complement, both with a fixed number of steps that suffices for the worst element.
+    """
+    size = np.abs(x)
+    square = size * size
+    low = np.minimum(size, 2.5)
+    term, total = low.copy(), low.copy()
+    for n in range(1, 60):
+        term = term * (2 * low * low / (2 * n + 1))
+        total = total + term
+    series = 2 / np.sqrt(np.pi) * np.exp(-low * low) * total
+    high = np.maximum(size, 2.5)
+    tail = high
+    for n in range(60, 0, -1):
+        tail = high + (n / 2) / tail
+    beyond = 1 - np.exp(-np.minimum(square, 700.0)) / (np.sqrt(np.pi) * tail)
+    return np.sign(x) * np.where(size <= 2.5, series, beyond)
+
+
 def gelu(x: np.ndarray) -> np.ndarray:
-    from math import erf
-    return 0.5 * x * (1.0 + np.vectorize(erf, otypes=[np.float64])(x / np.sqrt(2.0)))
+    return 0.5 * x * (1.0 + erf(x / np.sqrt(2.0)))
 
 
 def hidden_dim(dim: int, bottleneck: int) -> int:
@@ -450,8 +487,10 @@ def ae_forward(dense: DataFrame, model: DenseAE, column: str = "embedding") -> D
     shared = _share(dense, model, model.n_bytes)
 
     def compute(x):
-        z = shared.value.encode(x)
-        return [vectors_array(z), vectors_array(shared.value.decode(z))]
+        model = shared.value
+        z = model.encode(x, normalize=False)  # the raw latent is decoded, only the returned code is normalised
+        latent = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), V.EPS) if model.normalize else z
+        return [vectors_array(latent), vectors_array(model.decode(z))]
 
     return map_vectors(dense, column, compute, "latent array<float>, x_hat array<float>")
 
@@ -468,8 +507,10 @@ class PCAModel:
         return self.mean.nbytes + self.components.nbytes
 
 
-def pca_fit(docs: DataFrame, dim: int, max_docs: int | None = 20_000, seed: int = 42) -> PCAModel:
-    """Exact PCA of `docs(row_idx, embedding)`; identity when nothing is reduced.
+def pca_fit(docs: DataFrame, dim: int, max_docs: int | None = None, seed: int = 42) -> PCAModel:
+    """Exact PCA of `docs(row_idx, embedding)`, all rows unless a sample size is given.
+
+    When nothing is reduced the components are the identity; vectors are centred all the same.
 
     Mean and covariance are aggregated by the cluster, the driver sees dim x dim numbers.
     """
@@ -480,13 +521,14 @@ def pca_fit(docs: DataFrame, dim: int, max_docs: int | None = 20_000, seed: int
 
     n = docs.count()
     d = docs.select(F.size("embedding").alias("d")).first()["d"]
-    if dim >= d:
-        return PCAModel(np.zeros(d), np.eye(d), "identity", n)
     sample = docs if max_docs is None else seeded_sample(docs, n, max_docs, seed)
     vectors = sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     mean = vectors.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray()
+    n_fit = n if max_docs is None else min(n, max_docs)
+    if dim >= d:
+        return PCAModel(mean, np.eye(d), "identity", n_fit)
     fitted = PCA(k=dim, inputCol="v", outputCol="p").fit(vectors)
-    return PCAModel(mean, fitted.pc.toArray(), "pca_exact", n if max_docs is None else min(n, max_docs))
+    return PCAModel(mean, fitted.pc.toArray(), "pca_exact", n_fit)
 
 
 def pca_project(dense: DataFrame, model: PCAModel, column: str = "embedding",

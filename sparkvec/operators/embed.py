@@ -74,6 +74,21 @@ def _embed_batch(embedder: Embedder, requests: list[dict], retry_items: bool) ->
     return vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + EPS)
 
 
+def _embed_or_none(embedder: Embedder, requests: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the requests that can be embedded, and which those are."""
+    try:
+        return _embed_batch(embedder, requests, False), np.ones(len(requests), bool)
+    except Exception:
+        found = []
+        for request in requests:
+            try:
+                found.append(_embed_batch(embedder, [request], False)[0])
+            except Exception:
+                found.append(None)
+        good = np.array([v is not None for v in found])
+        return np.array([v for v in found if v is not None]).reshape(int(good.sum()), embedder.dim), good
+
+
 def embed(items: DataFrame, factory: Callable[[], Embedder], batch_size: int = 256,
           on_error: str = "raise", output: str = "embedding", text: str = "text",
           image: str | None = None, keep: list[str] | None = None, profile=None) -> DataFrame:
@@ -108,7 +123,7 @@ def embed(items: DataFrame, factory: Callable[[], Embedder], batch_size: int = 2
 
 def embed_pairs(items: DataFrame, factory: Callable[[], Embedder], mode: str = "both",
                 batch_size: int = 256, image: str = "image") -> DataFrame:
-    """`image_emb` and `text_emb` per item; a missing image takes the text vector and is flagged.
+    """`image_emb` and `text_emb` per item; an image that is missing or fails takes the text vector and is flagged.
 
     Mode "text_only" uses the text vector for both sides.
     """
@@ -135,7 +150,10 @@ def embed_pairs(items: DataFrame, factory: Callable[[], Embedder], mode: str = "
                 image_emb = text_emb.copy()
                 if not missing.all():
                     found = [{"text": None, "image": i} for i in images if i is not None]
-                    image_emb[~missing] = _embed_batch(embedder, found, True)
+                    vectors, good = _embed_or_none(embedder, found)
+                    at = np.flatnonzero(~missing)
+                    image_emb[at[good]] = vectors
+                    missing[at[~good]] = True
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in keep] + [vectors_array(image_emb), vectors_array(text_emb),
                                                       pa.array(missing)], names=names)

@@ -28,10 +28,10 @@ def per_query(run: DataFrame, relevance: DataFrame) -> DataFrame:
         F.sum(F.when(rank <= NDCG_CUT, 1.0 / F.log2(rank + 1)).otherwise(0.0)).alias("dcg"))
 
 
-def ranking_metrics(run: DataFrame, relevance: DataFrame) -> DataFrame:
+def ranking_metrics(run: DataFrame, relevance: DataFrame, wanted: list[tuple[str, int]] | None = None) -> DataFrame:
     """Micro recall and hit rate at each cut, MRR and nDCG@10; one row per (method, k).
 
-    Every judged query counts, also those for which nothing was retrieved.
+    A (method, k) of `wanted` whose run has no rows scores 0. Every judged query counts, also those for which nothing was retrieved.
     Without judged queries there is no value (null), except hit rate, which is 0.
     """
     sizes = relevance.groupBy("q_idx").agg(F.count(F.lit(1)).alias("n_rel"))
@@ -48,7 +48,11 @@ def ranking_metrics(run: DataFrame, relevance: DataFrame) -> DataFrame:
         *[F.sum(f"hits_{c}").alias(f"h{c}") for c in CUTS],
         *[F.count_if(F.col("first_rank") <= c).alias(f"q{c}") for c in CUTS],
         F.coalesce(F.sum(1.0 / F.col("first_rank")), F.lit(0.0)).alias("rr"),
-        F.coalesce(F.sum("ndcg"), F.lit(0.0)).alias("ndcg")).withColumn("t", totals)
+        F.coalesce(F.sum("ndcg"), F.lit(0.0)).alias("ndcg"))
+    if wanted:
+        names = run.sparkSession.createDataFrame(sorted(set(wanted)), "method string, k int")
+        sums = sums.join(F.broadcast(names), ["method", "k"], "full").na.fill(0)
+    sums = sums.withColumn("t", totals)
     per = F.nullif(F.col("t.nq"), F.lit(0))
     return sums.select(
         "method", "k",
@@ -109,13 +113,15 @@ def trec_lines(run: DataFrame, tag: str, real_score: bool = False) -> DataFrame:
         "%s Q0 %s %d %.6f %s", "qid", "did", "rank", score, F.lit(tag)).alias("line"))
 
 
-def steps_since_active(activity: DataFrame, n_steps: int, dict_size: int) -> DataFrame:
+def steps_since_active(activity: DataFrame, n_steps: int, features: DataFrame | int) -> DataFrame:
     """For `activity(step, feature_id)` rows of active features: steps since each was last active.
 
-    Features never seen have been inactive for all `n_steps` steps.
+    `features(feature_id)` are those that exist, or the size of a dictionary numbered from 0. Features
+    never seen have been inactive for all `n_steps` steps.
     """
     last = activity.groupBy("feature_id").agg(F.max("step").alias("last_step"))
-    every = activity.sparkSession.range(dict_size).select(F.col("id").cast("int").alias("feature_id"))
+    every = features if isinstance(features, DataFrame) else activity.sparkSession.range(features).select(
+        F.col("id").cast("int").alias("feature_id"))
     return every.join(last, "feature_id", "left").select(
         "feature_id", F.coalesce(F.lit(n_steps - 1) - F.col("last_step"), F.lit(n_steps)).alias("gap"))
 

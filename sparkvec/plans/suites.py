@@ -38,24 +38,31 @@ def dense_run(queries: DataFrame, docs: DataFrame, top_k: int = 100, method: str
     return as_run(S.dense_search(queries, docs, top_k), method, k)
 
 
+def sweep_ks(ks, coder: C.SparseCoder, within: bool = False) -> list[int]:
+    """Distinct k values in ascending order, between 1 and the dictionary size."""
+    out = sorted({coder.sparsity(k) for k in ks if not within or 0 < k <= coder.dict_size})
+    if not out:
+        raise ValueError("no k within the dictionary size")
+    return out
+
+
 def sparse_sweep(queries: DataFrame, docs: DataFrame, coder: C.SparseCoder, ks, top_k: int = 100,
-                 scoring: str = "dot", positive_only: bool = True, method: str = "sparse") -> DataFrame:
+                 scoring: str = "dot", positive_only: bool = True, method: str = "sparse", within: bool = False) -> DataFrame:
     """Rankings for every k from one encoding and one pass over the documents.
 
-    TopK codes are nested, so the code for a smaller k is a prefix of the one for the largest.
+    TopK codes are nested, so the code for a smaller k is a prefix of the one for the largest. A k is
+    clamped to the dictionary size and named as it is then; `within` drops larger ones instead.
     """
-    ks = sorted({k for k in ks if 0 < k <= coder.dict_size})
-    if not ks:
-        raise ValueError("no k within the dictionary size")
+    ks = sweep_ks(ks, coder, within)
     q = C.encode(queries, coder, max(ks)).select("q_idx", "code")
     d = C.encode(docs, coder, max(ks)).select("doc_idx", "code")
     return as_run(S.sparse_search(
         q, d, top_k, scoring, "positive" if positive_only else "overlap", "clamp", ks=ks), method)
 
 
-def sweep_stats(docs: DataFrame, coder: C.SparseCoder, ks) -> DataFrame:
+def sweep_stats(docs: DataFrame, coder: C.SparseCoder, ks, within: bool = False) -> DataFrame:
     """Index statistics of the document codes at every k, from one encoding."""
-    ks = sorted({k for k in ks if 0 < k <= coder.dict_size})
+    ks = sweep_ks(ks, coder, within)
     long = C.active_features(C.encode(docs, coder, max(ks)).select("doc_idx", "code"))
     each = long.groupBy("feature_id", "code_rank").agg(F.count(F.lit(1)).alias("n"))
     cut = each.select("feature_id", "n", "code_rank", F.explode(F.array(*map(F.lit, ks))).alias("k")).where(
@@ -83,7 +90,7 @@ def projected_run(queries: DataFrame, docs: DataFrame, project, method: str, k:
 
 
 def pca_run(queries: DataFrame, docs: DataFrame, k: int, top_k: int = 100,
-            max_docs: int | None = 20_000, seed: int = 42) -> DataFrame:
+            max_docs: int | None = None, seed: int = 42) -> DataFrame:
     """PCA at the memory of a k-sparse code: 2k numbers, at most the full dimension."""
     dim = docs.select(F.size("embedding").alias("d")).first()["d"]
     model = C.pca_fit(docs.select(F.col("doc_idx").alias("row_idx"), "embedding"),
@@ -178,7 +185,7 @@ def sparse_vs_dense(queries: DataFrame, docs: DataFrame, relevance: DataFrame, c
 def benchmark(queries: DataFrame, docs: DataFrame, relevance: DataFrame, ks, coder: C.SparseCoder | None = None,
               baselines=("pca", "raw_topk"), ae: C.DenseAE | None = None, fit_ae=None, match: str = "all",
               match_metric: str = "ndcg_at_10", top_k: int = 100, scoring: str = "dot",
-              max_fit_docs: int | None = 20_000, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+              max_fit_docs: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every method on the same queries: (runs, metrics, timings).
 
     `ks[0]` is the primary k. Baselines run at the k values `match` selects from the sparse
@@ -211,7 +218,9 @@ def benchmark(queries: DataFrame, docs: DataFrame, relevance: DataFrame, ks, cod
     everything = runs[0]
     for r in runs[1:]:
         everything = everything.unionByName(r)
-    return everything, M.ranking_metrics(everything, relevance), watch.frame(spark)
+    wanted = [("dense", 0)] + ([("sparse", k) for k in sweep_ks(ks, coder)] if coder is not None else [])
+    wanted += [(m, int(k)) for m in ("raw_topk", "pca") if m in baselines for k in matched]
+    return everything, M.ranking_metrics(everything, relevance, wanted), watch.frame(spark)
 
 
 def retrieval_benchmark(spark, query_path, candidate_path, qrels_path, factory, cache_path, output_path, ks,
@@ -238,12 +247,12 @@ def retrieval_benchmark(spark, query_path, candidate_path, qrels_path, factory,
     queries = sides["query"].select(F.col("row_idx").alias("q_idx"), "embedding")
     docs = sides["candidate"].select(F.col("row_idx").alias("doc_idx"), "embedding")
     runs, metrics, times = benchmark(queries, docs, relevance, ks, coder, **options)
-    long = M.long_form(metrics)
-    stores.write_report(long, times, f"{output_path}/report", model_name=model_name, prefix=prefix,
-                        instruction=instruction, primary_k=int(ks[0]))
+    long = cut_lineage(M.long_form(metrics))
+    stores.write_report(long, times, f"{output_path}/report", primary_k=int(ks[0]), model_name=model_name, prefix=prefix,
+                        instruction=instruction)
     named = (runs.join(ids["query"].select(F.col("row_idx").alias("q_idx"), F.col("item_id").alias("qid")), "q_idx")
              .join(ids["candidate"].select(F.col("row_idx").alias("doc_idx"), F.col("item_id").alias("did")), "doc_idx"))
-    for r in metrics.select("method", "k").distinct().collect():  # one run folder per method and k
+    for r in long.select("method", "k").distinct().collect():  # one run folder per method and k
         own = named.where((F.col("method") == r["method"]) & (F.col("k") == r["k"]))
         stores.write_trec(own, f"{output_path}/runs/{r['method']}_k{r['k']}", f"{tag}_{r['method']}_k{r['k']}")
     return long

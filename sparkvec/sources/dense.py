@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..session import path_exists
+from ..session import path_exists, remove
 
 CACHE_VERSION = 2
-DIGEST_LIMIT = 64 * 1024 * 1024  # bytes of ids hashed as one string
 DIGEST_RANGE = 1 << 20           # rows per digest above that
 SPLIT_BYTES = 64 * 1024 * 1024
 
@@ -159,35 +158,36 @@ def ranged_digest(rows: DataFrame) -> DataFrame:
     return id_digest(ranges)
 
 
-def manifest(rows: DataFrame, **context) -> DataFrame:
+def manifest(rows: DataFrame, digest: str = "ranged", **context) -> DataFrame:
     """One row describing `rows(row_idx, item_id, embedding)`; context fields are carried as given.
 
-    Ids over DIGEST_LIMIT bytes get the ranged digest and version 3.
+    The Parquet cache has the ranged digest and version 3 at every size. "joined" gives the digest and
+    version of raw caches, for which one task reads all ids.
     """
-    size = rows.agg(F.coalesce(F.sum(F.length("item_id") + 1), F.lit(0))).first()[0]
-    small = size <= DIGEST_LIMIT
-    digest = id_digest(rows) if small else ranged_digest(rows)
+    if digest not in ("ranged", "joined"):
+        raise ValueError(f"unknown digest {digest!r}")
+    made = ranged_digest(rows) if digest == "ranged" else id_digest(rows)
     facts = rows.agg(
         F.count(F.lit(1)).alias("count"),
         F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("embedding_dim"),
         F.min_by("item_id", "row_idx").alias("first_id"), F.max_by("item_id", "row_idx").alias("last_id"))
     return facts.select(
-        F.lit(CACHE_VERSION if small else CACHE_VERSION + 1).alias("cache_version"),
+        F.lit(CACHE_VERSION + 1 if digest == "ranged" else CACHE_VERSION).alias("cache_version"),
         *[F.lit(context.get(name, default)).alias(name) for name, default in (
             ("model_name", ""), ("batch_size", 0), ("system_instruction", ""),
             ("text_prefix", ""), ("kind", ""))],
-        "count", "embedding_dim", digest.scalar().alias("id_sha256"), "first_id", "last_id")
+        "count", "embedding_dim", made.scalar().alias("id_sha256"), "first_id", "last_id")
 
 
-def complete_legacy(meta: dict, rows: DataFrame | None) -> dict:
+def complete_legacy(meta: dict, rows: DataFrame | None, digest: str = "joined") -> dict:
     """Fill the fields an older manifest lacks; the digest and end ids come from the data."""
     out = dict(meta)
     if "system_instruction" not in out and "instruction" in out:
         out["system_instruction"] = out["instruction"]
     out.setdefault("text_prefix", "")
-    out.setdefault("cache_version", CACHE_VERSION)
+    out.setdefault("cache_version", CACHE_VERSION + 1 if digest == "ranged" else CACHE_VERSION)
     if rows is not None and any(f not in out for f in ("id_sha256", "first_id", "last_id")):
-        facts = manifest(rows).first()
+        facts = manifest(rows, digest).first()
         for f in ("id_sha256", "first_id", "last_id"):
             out.setdefault(f, facts[f])
     return out
@@ -208,10 +208,11 @@ def mismatches(actual: DataFrame, expected: DataFrame) -> DataFrame:
 def write_dense(df: DataFrame, path: str, kind: str, expected_ids: DataFrame | None = None, **context) -> DataFrame:
     """Write `df(row_idx, item_id, embedding)` and, once verified, its manifest.
 
-    The manifest is the commit mark: it is written last, and only if the stored ids are
-    exactly the expected ones.
+    The manifest is the commit mark: an old one goes before the vectors are touched, the new one
+    is written last, and only if the stored ids are exactly the expected ones.
     """
     spark = df.sparkSession
+    remove(spark, f"{path}/manifest/kind={kind}")
     target = f"{path}/vectors/kind={kind}"
     df.select("row_idx", "item_id", "embedding").write.mode("overwrite").parquet(target)
     stored = spark.read.parquet(target)
@@ -242,8 +243,16 @@ def validate_cache(spark: SparkSession, path: str, kind: str, expected: dict) ->
         if not path_exists(spark, f"{path}/{part}/kind={kind}"):
             return spark.createDataFrame([("missing files", part, None)],
                                          "field string, expected string, actual string")
-    actual = spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/manifest/kind={kind}").drop("kind").withColumn(
-        "kind", F.lit(kind))
+    meta = spark.read.schema(f"{MANIFEST_SCHEMA}, instruction string").json(f"{path}/manifest/kind={kind}").drop("kind").first()
+    meta = {k: v for k, v in (meta.asDict() if meta else {}).items() if v is not None}
+    stored = read_dense(spark, path, kind)
+    count = stored.count()
+    meta = complete_legacy(meta, stored, "ranged")
+    if meta.setdefault("count", count) != count:
+        return spark.createDataFrame([("stored rows", str(meta["count"]), str(count))],
+                                     "field string, expected string, actual string")
+    names = [p.split()[0] for p in MANIFEST_SCHEMA.split(", ")]
+    actual = spark.createDataFrame([tuple({**meta, "kind": kind}.get(n) for n in names)], MANIFEST_SCHEMA)
     wanted = spark.createDataFrame(
         [tuple(None if v is None else str(v) for v in expected.values())],
         ", ".join(f"{k} string" for k in expected))

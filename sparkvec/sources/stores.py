@@ -93,15 +93,17 @@ def write_trec(run: DataFrame, path: str, tag: str, real_score: bool = False) ->
      .sortWithinPartitions("qid", "rank").select("line").write.mode("overwrite").text(path))
 
 
-def report(metrics_long: DataFrame, timings: DataFrame, **context) -> DataFrame:
-    """One JSON row: metrics per method and k, the primary (first) k, stage times, context.
+def report(metrics_long: DataFrame, timings: DataFrame, primary_k: int | None = None, **context) -> DataFrame:
+    """One JSON row: metrics per method and k, the primary k, stage times, context.
+
+    `primary_k` is the first k that was asked for; a method that has no such k is reported under its smallest.
 
     The input is a summary: a few rows per method and k, whatever the corpus size.
     """
     per_k = metrics_long.groupBy("method", "k").agg(
         F.array_sort(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
     methods = per_k.groupBy("method").agg(
-        F.array_sort(F.collect_list(F.struct("k", "metrics"))).alias("suite"), F.min("k").alias("primary_k"))
+        F.array_sort(F.collect_list(F.struct("k", "metrics"))).alias("suite"), F.coalesce(F.max(F.when(F.col("k") == F.lit(primary_k), F.col("k"))), F.min("k")).alias("primary_k"))
     times = timings.groupBy().agg(F.array_sort(
         F.collect_list(F.struct("method", "k", "stage", "seconds"))).alias("timings"))
     body = F.struct(
@@ -111,7 +113,7 @@ def report(metrics_long: DataFrame, timings: DataFrame, **context) -> DataFrame:
     return methods.groupBy().agg(F.to_json(body).alias("report"))
 
 
-def write_report(metrics_long: DataFrame, timings: DataFrame, path: str, **context) -> None:
+def write_report(metrics_long: DataFrame, timings: DataFrame, path: str, primary_k: int | None = None, **context) -> None:
     metrics_long.write.mode("overwrite").parquet(f"{path}/metrics")
     timings.write.mode("overwrite").parquet(f"{path}/timings")
-    report(metrics_long, timings, **context).coalesce(1).write.mode("overwrite").text(f"{path}/report")
+    report(metrics_long, timings, primary_k, **context).coalesce(1).write.mode("overwrite").text(f"{path}/report")

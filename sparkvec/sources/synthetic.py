@@ -43,6 +43,7 @@ def synthetic_pairs(spark: SparkSession, n: int, dim: int, r: float = 0.7, seed:
     return correlated_pairs(spark.range(n).withColumnRenamed("id", "row_idx"), dim, r, seed)
 
 
-def mean_paired_cosine(pairs: DataFrame, first: int = 1000) -> DataFrame:
-    return pairs.where(F.col("row_idx") < first).agg(
+def mean_paired_cosine(pairs: DataFrame, first: int | None = None) -> DataFrame:
+    """Over all pairs, or over the `first` ones on request."""
+    return (pairs if first is None else pairs.where(F.col("row_idx") < first)).agg(
         F.avg(V.cosine("image_emb", "text_emb")).alias("mean_cosine"))

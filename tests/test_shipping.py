@@ -13,7 +13,7 @@ from sparkvec.session import get_spark
 from sparkvec.catalog import QUERIES
 spark = get_spark("shipping", cores="2", shuffle_partitions=2)
 for name in ("C1_topk_encode", "C7_forward", "C9_ae_encode", "C13_pca_project", "S6_raw_dense_cache", "R6_dense_search",
-             "E1_E7_embed", "T7_fit_paired", "T8_fit_dense_ae"):
+             "E1_E7_embed"):
     assert QUERIES[name](spark, {os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")!r}).count() > 0, name
 print("done")
 """

@@ -66,10 +66,10 @@ def test_qrels(spark, tmp_path):
     path = _lines(tmp_path / "q.txt", ["q1 0 d1 1", "q1 0 d1 1", "q2\t0  d2 0", "q3 0 d3", "", "q4 0 d4 x", "q5 0 d5 1.5 extra", "q6 0 d6 -1"])
     got = sorted((r["qid"], r["did"], r["rel"]) for r in R.read_qrels(spark, path).collect())
     assert got == [("q1", "d1", 1.0), ("q1", "d1", 1.0), ("q5", "d5", 1.5)]
-    for bad in ("q4 0 d4 x", "q5 0 d5 1.5", "q3 0 d3"):
+    for bad in ("q4 0 d4 x", "q5 0 d5 1.5"):
         with pytest.raises(Exception):
             R.read_qrels(spark, _lines(tmp_path / "b.txt", [bad]), strict=True).collect()
-    good = _lines(tmp_path / "g.txt", ["q1 0 d1 1", "q1 0 d1 2", "q2 0 d2 0"])
+    good = _lines(tmp_path / "g.txt", ["q1 0 d1 1", "q1 0 d1 2", "q2 0 d2 0", "q3 0 d3", "", "q3"])
     assert [(r["qid"], r["did"]) for r in R.read_qrels(spark, good, strict=True).collect()] == [("q1", "d1")]
 
 
