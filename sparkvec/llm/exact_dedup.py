@@ -31,8 +31,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select("_id", "_text", F.octet_length("_text").alias("_len"),
                        F.xxhash64(F.substring("_text", 1, PREFIX_CHARS)).alias("_prefix"))
     slim = store(rows.select("_len", "_prefix"), "lengths")
-    lengths = slim.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_len")
-    keys = (slim.join(lengths, "_len", "left_semi").groupBy("_len", "_prefix")
+    lengths = store(slim.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_len"), "shared-lengths")
+    fits = lengths.count() <= BROADCAST_KEYS  # lengths are few; beyond the bound both sides are shuffled
+    keys = (slim.join(F.broadcast(lengths) if fits else lengths, "_len", "left_semi").groupBy("_len", "_prefix")
             .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_len", "_prefix", F.lit(True).alias("_hit")))
     keys = store(keys, "prefixes")
     full = F.sha2("_text", 256)
@@ -61,16 +62,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     are few, so they are taken away by an anti join; only texts of repeated ids are shuffled when the
     dropped ids fit a broadcast.
     """
-    hashed = docs.withColumn("_text_hash", F.sha2(text_of(text_col), 256))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")  # keeps the columns' names apart from ours
+    hashed = docs.select(row, docs[id_col].alias("_id"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("_text_hash"))
     groups = exact_groups(docs, id_col, text_col, digest=True)
     marks = groups.where("not kept or copies > 1").select(
         F.col(id_col).alias("_mark_id"), F.col("text_sha256").alias("_mark_hash"), "kept", "copies").distinct()
     marks = store(marks, "marks")
-    same = hashed[id_col].eqNullSafe(marks["_mark_id"]) & (hashed["_text_hash"] == marks["_mark_hash"])
+    same = hashed["_id"].eqNullSafe(marks["_mark_id"]) & (hashed["_text_hash"] == marks["_mark_hash"])
     fits = marks.count() <= BROADCAST_KEYS
     joined = hashed.join(F.broadcast(marks) if fits else marks, same, "left").where("kept is null or kept")
-    once = joined.where("copies is null").select(*docs.columns)
+    once = joined.where("copies is null").select("_row.*")
     if marks.where("kept and copies > 1").isEmpty():
         return once
     repeated = joined.where("copies is not null").dropDuplicates(["_mark_id", "_text_hash"])
-    return once.unionByName(repeated.select(*docs.columns))
+    return once.unionByName(repeated.select("_row.*"))
