@@ -67,7 +67,7 @@ def find_exponent(shares: DataFrame, holds: Callable[[Column, Column, Column, Co
 
 def mix(docs: DataFrame, max_repetition: float | None = 2.0, entropy: float | None = None, budget: int | None = None,
         seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixture: input columns and, per copy, _epoch, _place, _weight, _tokens.
+    """The mixture: input columns and, per copy, _epoch, _place, _weight, _tokens (in place of input columns so named).
 
     Give one target: `max_repetition` (the flattest weights that repeat no source more often) or
     `entropy` (the weights closest to the natural ones with at least this entropy, in nats). `budget` is in
@@ -106,13 +106,16 @@ def mix(docs: DataFrame, max_repetition: float | None = 2.0, entropy: float | No
         F.col("source").alias("_source"), F.col("weight").alias("_weight"), (F.col("quota") / F.col("n")).alias("_times"), "epochs", "cut"), "mix-cuts")
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    met = docs.withColumn("_tokens", words(text_of(text_col))).join(plan, source == F.col("_source"))
-    part = F.when(key_of(seed, F.col("epochs"), docs[id_col]) <= F.col("cut"), 1).otherwise(0)
+    made = ("_epoch", "_place", "_weight", "_tokens")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in made]).alias("_row"), docs[id_col].alias("_id"),
+                       docs[text_col].alias("_text"), source.alias("_source"))
+    met = rows.withColumn("_tokens", words(text_of("_text"))).drop("_text").join(plan, "_source")
+    part = F.when(key_of(seed, F.col("epochs"), F.col("_id")) <= F.col("cut"), 1).otherwise(0)
     copies = met.withColumn("_copies", (F.col("epochs") + part).cast("int")).where("_copies > 0")
     copies = copies.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    key = key_of(seed, F.col("_epoch"), docs[id_col])
+    key = key_of(seed, F.col("_epoch"), F.col("_id"))
     place = F.round((F.col("_epoch") + key / F.lit(float(KEY_SPAN))) / F.col("_times"), 9)
-    return copies.withColumn("_place", place).select(*docs.columns, "_epoch", "_place", "_weight", "_tokens")
+    return copies.withColumn("_place", place).select("_row.*", *made)
 
 
 def _cuts(slim: DataFrame, plan: DataFrame, seed: int) -> DataFrame:

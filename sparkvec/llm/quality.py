@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     small_batches(docs.sparkSession)
     sample = training_rows(labels, column, parts, held_out, FIT_ROWS, id_col)
-    rows = docs.join(F.broadcast(sample), docs[id_col] == sample["id"]).select(F.col(text_col).alias("text"), F.col("label").cast("int").alias("label"))
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(sample), "id").select("text", "label")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, counts = encode(texts(batch, "text"))

@@ -244,4 +244,4 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: s
     groups = similar_groups(docs, words, similarity, id_col=id_col, text_col=text_col)
     dropped = store(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct(), "dropped")
     fits = dropped.count() <= BROADCAST_IDS  # beyond it both sides are shuffled
-    return docs.join(F.broadcast(dropped) if fits else dropped, docs[id_col] == F.col("_drop"), "left_anti")
+    return docs.join(F.broadcast(dropped) if fits else dropped, docs[id_col] == dropped["_drop"], "left_anti")

@@ -77,7 +77,7 @@ def induce(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> tu
     Entries are first counted by rows. The strongest are counted again by distinct words before them, so that
     a word of one text with many copies counts once, and kept if their evidence and lift suffice.
     """
-    rows = docs.join(F.broadcast(sample), docs[id_col] == sample["id"]).select(F.col(text_col).alias("text"), "label")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(sample), "id").select("text", "label")
     rows = rows.withColumn("text", text_of())
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:

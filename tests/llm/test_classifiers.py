@@ -27,13 +27,13 @@ def test_quality_on_held_out_rows(spark):
     assert held_out_accuracy(spark, got, spark.read.parquet(f"{sf}/labels.parquet"), "quality") > 0.97
 
 
-ROWS = [(i, " ".join(random.Random(i).choices(["calm", "water", "hill", "tree", "vile" if i % 2 else "kind"], k=30))) for i in range(240)]
+ROWS = [(i, " ".join(random.Random(i).choices([f"w{n}" for n in range(400)] + ["vile" if i % 4 == 1 else "kind"] * 40, k=60))) for i in range(400)]
 EDGE = [(None, "calm"), (900, None), (901, ""), (7, ROWS[7][1]), (902, "IDIOT, idiot! you moron")]
 
 
 def edge_tables(spark):
     docs = spark.createDataFrame([(i, t, 1, 0.5) for i, t in ROWS + EDGE], "doc_id bigint, text string, label int, score double")
-    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2, "x") for i, _ in ROWS] + [(None, 1, 1, "x"), (5, None, None, "x")],
+    labels = spark.createDataFrame([(i, int(i % 4 != 1), int(i % 4 == 1), "x") for i, _ in ROWS] + [(None, 1, 1, "x"), (5, None, None, "x")],
                                    "doc_id bigint, quality int, toxic int, text string")
     return docs, labels
 
