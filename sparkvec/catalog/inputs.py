@@ -157,9 +157,9 @@ def item_rows(spark, sf_dir) -> DataFrame:
 
 
 def judgments(spark, sf_dir) -> DataFrame:
-    """Order -> part as judgments; most ids are outside the pool of vectors."""
+    """Order -> part as judgments; the first two lines are judged irrelevant, most ids are outside the pool of vectors."""
     li = table(spark, sf_dir, "lineitem")
-    return li.where(F.col("l_linenumber") > 2).select(
+    return li.select(
         F.col("l_orderkey").cast("string").alias("qid"), F.col("l_partkey").cast("string").alias("did"),
         (F.col("l_linenumber") - 2).cast("double").alias("rel"))
 

@@ -21,20 +21,25 @@ def _write_lines(df, order, path):
 
 
 def _candidate_file(spark, sf):
-    docs = X.candidates(spark, sf).join(X.table(spark, sf, "documents").select(
-        F.concat(F.lit("d"), "doc_id").alias("did"), F.col("doc_id").alias("n")), "did")
-    return _write_lines(docs, "n", X.scratch(spark, "items") + "/lines")
+    """All candidate records: documents by id, then pages by id."""
+    number = F.substring("did", 2, 20).cast("bigint")
+    items = X.candidates(spark, sf).withColumn("n", F.when(F.col("did").startswith("p"), F.lit(1 << 50)).otherwise(0) + number)
+    return _write_lines(items, "n", X.scratch(spark, "items") + "/lines")
 
 
-@query("S1_read_items", f"""WITH {X.CANDIDATES} SELECT p.did AS item_id, doc_id AS row_idx, md5(coalesce(p.txt, '')) AS text_md5,
-array_to_string(modes, ',') AS modality FROM prompts p JOIN documents d ON p.did = 'd' || doc_id""")
+_ITEM_ROWS = """(SELECT 'd' || doc_id AS did, doc_id AS row_idx FROM documents UNION ALL
+  SELECT 'p' || page_id, (SELECT count(*) FROM documents) + row_number() OVER (ORDER BY page_id) - 1 FROM pages)"""
+
+
+@query("S1_read_items", f"""WITH {X.CANDIDATES} SELECT p.did AS item_id, row_idx, md5(coalesce(p.txt, '')) AS text_md5,
+array_to_string(modes, ',') AS modality FROM prompts p JOIN {_ITEM_ROWS} USING (did)""")
 def s1(spark, sf):
     items = R.read_items(spark, _candidate_file(spark, sf), "candidate")
     return items.select("item_id", "row_idx", F.md5(F.col("text").cast("binary")).alias("text_md5"),
                         F.array_join("modality", ",").alias("modality"))
 
 
-@query("S1_small_splits", "SELECT 'd' || doc_id AS item_id, doc_id AS row_idx FROM documents")
+@query("S1_small_splits", f"SELECT did AS item_id, row_idx FROM {_ITEM_ROWS}")
 def s1_splits(spark, sf):
     """File order must not depend on how the files are split."""
     path = _candidate_file(spark, sf)

@@ -128,7 +128,11 @@ def e6(spark, sf):
         "doc_id", F.round(V.dot("image_emb", "text_emb"), 5).alias("dot"), "image_fallback")
 
 
-@query("X1_S10_resumed_embedding", f"WITH {_TEXT_SQL} SELECT 'd' || id AS item_id, f, round(w::DOUBLE, 6) AS w FROM emb WHERE side = 'd' AND w <> 0")
+_ITEM_TEXT_SQL = _TEXT_SQL.replace("SELECT 'q' AS side, item_id AS id, text FROM benchmark",
+  "SELECT 'p' AS side, page_id AS id, CASE WHEN page_id % 2 = 0 THEN '' ELSE '  ' || url || ' ' END AS text FROM pages")
+
+
+@query("X1_S10_resumed_embedding", f"WITH {_ITEM_TEXT_SQL} SELECT side || id AS item_id, f, round(w::DOUBLE, 6) AS w FROM emb WHERE w <> 0")
 def x1(spark, sf):
     """The job is started twice: the second start finds nothing left to embed."""
     source, path = _candidate_file(spark, sf), X.scratch(spark, "job")

@@ -20,14 +20,18 @@ def pool_ids(items: DataFrame, id_col: str = "item_id") -> DataFrame:
     return items.groupBy(F.col(id_col).alias("id")).agg(F.max("row_idx").alias("row_idx"))
 
 
+def _relevant(qrels: DataFrame) -> DataFrame:
+    return (qrels.where(F.col("rel") > 0) if "rel" in qrels.columns else qrels).select("qid", "did")
+
+
 def relevance_rows(qrels: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Judgments whose query and document are both in the pools, as row indices.
+    """Judgments with a positive rel, if it is given, whose query and document are both in the pools, as row indices.
 
     Queries without an in-pool relevant document vanish with the inner joins.
     """
     q = queries.select(F.col("item_id").alias("qid"), F.col("row_idx").alias("q_idx"))
     d = pool_ids(docs).select(F.col("id").alias("did"), F.col("row_idx").alias("doc_idx"))
-    return qrels.select("qid", "did").join(q, "qid").join(d, "did").select("q_idx", "doc_idx").distinct()
+    return _relevant(qrels).join(q, "qid").join(d, "did").select("q_idx", "doc_idx").distinct()
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:
@@ -48,7 +52,7 @@ def _annotated(queries: DataFrame, annotations: DataFrame, docs: DataFrame, colu
 def positives(queries: DataFrame, docs: DataFrame, annotations: DataFrame, qrels: DataFrame) -> DataFrame:
     """Annotated or judged positives inside the pool."""
     ids = annotations.select("qid", F.explode("pos_ids").alias("did")).unionByName(
-        qrels.select("qid", "did"))
+        _relevant(qrels))
     return relevance_rows(ids, queries, docs)
 
 
