@@ -173,7 +173,17 @@ def s11(spark, sf):
     return R.attach_images(items, root).select("page_id", F.md5("image").alias("image_md5"))
 
 
-@query("S13_correlated_pairs")
+_UNIFORM = "(('0x' || substr(md5('42:' || vec_id || ':' || side || ':' || f || ':{}'), 1, 15))::BIGINT + 0.5e0) / 1152921504606846976e0"
+
+
+@query("S13_correlated_pairs", f"""WITH {X.LONG}, drawn AS (
+  SELECT vec_id, side, f, x, 0.7e0 * x + (1 - 0.7e0) * (sqrt(-2 * ln({_UNIFORM.format('r')})) * cos(2 * pi() * ({_UNIFORM.format('a')})) / 8) AS v
+  FROM vec, (SELECT unnest([1, 2]) AS side)),
+n AS (SELECT vec_id, side, sqrt(sum(v * v)) + 1e-8 AS n FROM drawn GROUP BY ALL),
+side AS (SELECT vec_id, side, f, x, (v / n)::FLOAT::DOUBLE AS w FROM drawn JOIN n USING (vec_id, side)),
+wide AS (SELECT vec_id, f, max(x) AS x, max(CASE WHEN side = 1 THEN w END) AS a, max(CASE WHEN side = 2 THEN w END) AS b FROM side GROUP BY vec_id, f)
+SELECT vec_id AS row_idx, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 6) AS paired_cosine,
+  round(sum(a * x) / (sqrt(sum(a * a)) * sqrt(sum(x * x))), 6) AS source_cosine FROM wide GROUP BY vec_id""")
 def s13(spark, sf):
     """Two noisy copies of every stored vector: how close they stay to it and to each other."""
     e = X.vectors(spark, sf, "row_idx")

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators.blocks import list_matrix
-from ..operators.coding import vectors_array
+from ..functions.hashing import hash_int
+
+
+def normal_noise(seed: int, row: str, side: int, dim: int) -> Column:
+    """`dim` normal draws of a row, as long as a unit vector on average.
+
+    Two seeded hashes a component give its radius and angle, so any engine can repeat them.
+    """
+    def uniform(i: Column, part: str) -> Column:
+        return (hash_int(seed, F.col(row), F.lit(side), i, F.lit(part)) + F.lit(0.5)) / F.lit(float(1 << 60))
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.sqrt(-2 * F.log(uniform(i, "r"))) * F.cos(
+        2 * math.pi * uniform(i, "a")) / F.lit(math.sqrt(dim)))
 
 
 def correlated_pairs(rows: DataFrame, dim: int, r: float = 0.7, seed: int = 42,
@@ -17,26 +27,15 @@ def correlated_pairs(rows: DataFrame, dim: int, r: float = 0.7, seed: int = 42,
     """Pairs `r*shared + (1-r)*noise`, L2-normalised, for every `row_idx` of `rows`.
 
     `shared` names a vector column; without it the common part is drawn too. A row is
-    seeded by its own index, so partitioning cannot change its values. Noise has the
-    length of a unit vector on average.
+    seeded by its own index, so partitioning cannot change its values.
     """
     if not 0 <= r <= 1:
         raise ValueError("r must be between 0 and 1")
-    columns = ["row_idx"] + ([shared] if shared else [])
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            draws = np.zeros((len(ids), 3, dim))
-            for n, i in enumerate(ids.tolist()):
-                draws[n] = np.random.default_rng([seed, i]).standard_normal((3, dim)) / np.sqrt(dim)
-            common = list_matrix(batch.column(1)) if shared and len(ids) else draws[:, 0]
-            sides = [r * common + (1 - r) * draws[:, j] for j in (1, 2)]
-            sides = [s / (np.linalg.norm(s, axis=1, keepdims=True) + V.EPS) for s in sides]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)] + [vectors_array(s) for s in sides], names=["row_idx", "image_emb", "text_emb"])
-
-    return rows.select(*columns).mapInArrow(run, "row_idx bigint, image_emb array<float>, text_emb array<float>")
+    common = F.transform(shared, lambda x: x.cast("double")) if shared else normal_noise(seed, "row_idx", 0, dim)
+    drawn = rows.select("row_idx", common.alias("c"), *[normal_noise(seed, "row_idx", s, dim).alias(f"n{s}") for s in (1, 2)])
+    mixed = drawn.select("row_idx", *[F.zip_with("c", f"n{s}", lambda c, n: r * c + (1 - r) * n).alias(f"v{s}") for s in (1, 2)])
+    return mixed.select("row_idx", *[V.l2_normalize(f"v{s}", "add").cast("array<float>").alias(name)
+                                     for s, name in ((1, "image_emb"), (2, "text_emb"))])
 
 
 def synthetic_pairs(spark: SparkSession, n: int, dim: int, r: float = 0.7, seed: int = 42) -> DataFrame:
