@@ -92,7 +92,7 @@ def retention(metrics_long: DataFrame, base: str = "dense") -> DataFrame:
 
 def matched_k(metrics_long: DataFrame, mode: str, metric: str = "ndcg_at_10",
               primary: int | None = None) -> DataFrame:
-    """The k values other methods are compared at: all of them, the first, or the best by metric."""
+    """The k values other methods are compared at: all of them, the first, or the best by a metric that every k must have."""
     if mode == "all":
         return metrics_long.select("k").distinct()
     if mode == "primary":
@@ -101,9 +101,12 @@ def matched_k(metrics_long: DataFrame, mode: str, metric: str = "ndcg_at_10",
         return metrics_long.where(F.col("k") == primary).select("k").distinct()
     if mode != "best":
         raise ValueError(f"unknown mode {mode!r}")
-    chosen = metrics_long.where(F.col("metric") == metric).agg(
-        F.max_by("k", F.struct("value", -F.col("k"))).alias("k"))
-    return chosen.select(F.coalesce("k", F.raise_error(F.lit(f"no metric {metric}")).cast("int")).alias("k"))
+    own = F.col("metric") == metric
+    chosen = metrics_long.agg(
+        F.max_by("k", F.when(own, F.struct("value", -F.col("k")))).alias("k"),
+        (F.count_distinct("k") > F.count_distinct(F.when(own, F.col("k")))).alias("lacking"))
+    return chosen.select(F.when(F.col("lacking") | F.col("k").isNull(), F.raise_error(
+        F.lit(f"no metric {metric} at some k")).cast("int")).otherwise(F.col("k")).alias("k"))
 
 
 def trec_lines(run: DataFrame, tag: str, real_score: bool = False) -> DataFrame:

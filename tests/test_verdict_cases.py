@@ -52,6 +52,14 @@ def test_an_empty_run_scores_zero(spark):
     assert got[("a", 1)]["mrr"] == 0.5
 
 
+def test_the_matching_metric_must_be_there_at_every_k(spark):
+    rows = [("sparse", 8, "mrr", 0.5), ("sparse", 16, "mrr", 0.7)]
+    schema = "method string, k int, metric string, value double"
+    assert M.matched_k(spark.createDataFrame(rows, schema), "best", "mrr").first()[0] == 16
+    with pytest.raises(Exception, match="at some k"):
+        M.matched_k(spark.createDataFrame(rows + [("sparse", 32, "other", 1.0)], schema), "best", "mrr").collect()
+
+
 def test_primary_k_is_the_first_one_asked_for(spark):
     import json
     values = spark.createDataFrame([("sparse", 16, "mrr", 0.0), ("sparse", 64, "mrr", 0.0), ("dense", 0, "mrr", 0.0)],
