@@ -74,7 +74,7 @@ listed AS (SELECT q_idx, doc_idx, pick FROM (SELECT neg.q_idx, doc_idx, target,
 need AS (SELECT w.q_idx, target - count(l.doc_idx) AS need, count(l.doc_idx) AS n_listed FROM want w
     LEFT JOIN listed l USING (q_idx) GROUP BY w.q_idx, target HAVING target > count(l.doc_idx)),
 used AS (SELECT q_idx, doc_idx FROM pos UNION ALL SELECT q_idx, doc_idx FROM listed),
-draws AS (SELECT q_idx, need, n_listed, unnest(range(greatest(32, 4 * need))) AS draw FROM need),
+draws AS (SELECT q_idx, need, n_listed, unnest(range(8 * greatest(32, 4 * need))) AS draw FROM need),
 hit AS (SELECT q_idx, need, n_listed, draw,
     ('0x' || substr(md5('{seed}:draw:' || q_idx || ':' || draw), 1, 15))::BIGINT % (SELECT n FROM nd) AS doc_idx FROM draws),
 fresh AS (SELECT q_idx, doc_idx, min(draw) AS draw, max(need) AS need, max(n_listed) AS n_listed FROM hit GROUP BY q_idx, doc_idx

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_int, hash_key
 from ..session import cut_lineage
 
+DRAW_ROUNDS = 8  # fixed value: attempts before the pool is enumerated
 ROW_BLOCK = 1 << 16  # row indices generated by one task in the exhaustive fill
 
 
@@ -77,24 +78,34 @@ def first_per_group(df: DataFrame, group: str, key, most: int, n=None) -> DataFr
 def _draw_distinct(need: DataFrame, used: DataFrame, n_docs: int, most: int, seed: int) -> DataFrame:
     """`need` distinct rows of the pool per query that are not `used`, as (q_idx, doc_idx, _r).
 
-    Candidates are hashed row indices, a fixed number per query. Only queries still short
-    afterwards enumerate the pool; that happens when the used rows cover most of it or the
-    pool itself is small, so the work stays proportional to the input.
+    Candidates are hashed row indices, a fixed number per query; a query that stays short gets
+    DRAW_ROUNDS times as many. Only queries still short afterwards enumerate the pool; that happens
+    when the used rows cover most of it or the pool itself is small, so the work stays
+    proportional to the input.
     """
+    def draw(need: DataFrame, rounds: int) -> DataFrame:
+        draws = need.select("*", F.explode(F.sequence(
+            F.lit(0), rounds * F.greatest(F.lit(32), 4 * F.col("need")) - 1)).alias("draw"))
+        draws = draws.withColumn(
+            "doc_idx", F.pmod(hash_int(seed, F.lit("draw"), "q_idx", "draw"), F.lit(n_docs)))
+        fresh = draws.groupBy("q_idx", "doc_idx").agg(
+            F.min("draw").alias("draw"), F.first("need").alias("need")).join(
+            used, ["q_idx", "doc_idx"], "left_anti")
+        return cut_lineage(first_per_group(fresh, "q_idx", F.col("draw"), most, F.col("need")).select(
+            "q_idx", "doc_idx", "_r"))
+
+    def still_short(need: DataFrame, fill: DataFrame) -> DataFrame:
+        got = fill.groupBy("q_idx").agg(F.count(F.lit(1)).alias("n_fill"))
+        return cut_lineage(need.join(got, "q_idx", "left").where(
+            F.coalesce("n_fill", F.lit(0)) < F.col("need")).select("q_idx", "need"))
+
     need = cut_lineage(need.select("q_idx", "need"))
-    draws = need.select("*", F.explode(F.sequence(
-        F.lit(0), F.greatest(F.lit(32), 4 * F.col("need")) - 1)).alias("draw"))
-    draws = draws.withColumn(
-        "doc_idx", F.pmod(hash_int(seed, F.lit("draw"), "q_idx", "draw"), F.lit(n_docs)))
-    fresh = draws.groupBy("q_idx", "doc_idx").agg(
-        F.min("draw").alias("draw"), F.first("need").alias("need")).join(
-        used, ["q_idx", "doc_idx"], "left_anti")
-    fill = cut_lineage(first_per_group(fresh, "q_idx", F.col("draw"), most, F.col("need")).select(
-        "q_idx", "doc_idx", "_r"))
-
-    got = fill.groupBy("q_idx").agg(F.count(F.lit(1)).alias("n_fill"))
-    short = cut_lineage(need.join(got, "q_idx", "left").where(
-        F.coalesce("n_fill", F.lit(0)) < F.col("need")).select("q_idx", "need"))
+    fill = draw(need, 1)
+    short = still_short(need, fill)
+    if short.isEmpty():
+        return fill
+    fill = fill.join(short, "q_idx", "left_anti").unionByName(draw(short, DRAW_ROUNDS))
+    short = still_short(short, fill)
     if short.isEmpty():
         return fill
     n_blocks = -(-n_docs // ROW_BLOCK)
