@@ -11,7 +11,7 @@ from ..session import cut_lineage
 QUERY_SCHEMA = ("qid string, query_txt string, query_img_path string, query_modality string, "
                 "pos_cand_list array<string>, neg_cand_list array<string>")
 CANDIDATE_SCHEMA = "did string, txt string, img_path string, modality string"
-MAX_SPLITS = 1_000_000
+BROADCAST_SPLITS = 100_000  # rows of the split table that are broadcast at most
 
 CAPTION_SCHEMA = (
     "images array<struct<filename: string, split: string, imgid: bigint, cocoid: bigint, "
@@ -26,8 +26,8 @@ def read_jsonl(spark: SparkSession, path, schema: str, max_items: int = 0) -> Da
 
     The parsed rows are staged once, because file splits are planned anew by every job and
     may differ when executors come or go. Rows are then counted per split, the counts are
-    summed up to offsets, and every row adds its position inside its split. Only the split
-    table (one row per file block) reaches the driver.
+    summed up to offsets (over files, then inside a file), and every row adds its position inside its
+    split. The running sum over files reads one row per file.
     """
     raw = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     names = raw.columns
@@ -35,17 +35,16 @@ def read_jsonl(spark: SparkSession, path, schema: str, max_items: int = 0) -> Da
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_id"))
     raw = cut_lineage(raw)
-    splits = raw.groupBy("_file", "_block").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_id").alias("_first"))
-    rows = splits.limit(MAX_SPLITS + 1).collect()
-    if len(rows) > MAX_SPLITS:
-        raise ValueError("too many file splits: raise spark.sql.files.maxPartitionBytes")
-    offset, table = 0, []
-    for r in sorted(rows, key=lambda r: (r["_file"], r["_block"])):
-        table.append((r["_file"], r["_block"], r["_first"], offset))
-        offset += r["n"]
-    starts = spark.createDataFrame(table, "_file string, _block bigint, _first bigint, _offset bigint")
-    out = raw.join(F.broadcast(starts), ["_file", "_block"]).select(
+    splits = cut_lineage(raw.groupBy("_file", "_block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_id").alias("_first")))
+    files = splits.groupBy("_file").agg(F.sum("n").alias("total")).withColumn(
+        "before", F.sum("total").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)))
+    within = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut_lineage(splits.withColumn("inside", F.sum("n").over(within)).join(files, "_file").select(
+        "_file", "_block", "_first", (F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0))).alias("_offset")))
+    if starts.count() <= BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
+    out = raw.join(starts, ["_file", "_block"]).select(
         (F.col("_offset") + F.col("_id") - F.col("_first")).alias("row_idx"), *names)
     return out.where(F.col("row_idx") < max_items) if max_items > 0 else out
 
