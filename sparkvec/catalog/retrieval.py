@@ -42,7 +42,7 @@ def r2(spark, sf):
 def r2_blocks(spark, sf):
     """The same search in the form for query sides that are too large to broadcast."""
     return X.run_rows(_index(spark, sf).search(
-        X.raw_codes(spark, sf, "q_idx"), X.TOP, strategy="blocks", query_bytes=1 << 18))
+        X.raw_codes(spark, sf, "q_idx"), X.TOP, strategy="blocks", query_bytes=1 << 20))
 
 
 # The benchmark texts as queries against all documents, looked up in the postings table.
@@ -111,7 +111,7 @@ def r6(spark, sf):
 @query("R6_dense_search_blocks", f"WITH {X.dense_sql()} {X.RUN_ROWS}")
 def r6_blocks(spark, sf):
     return X.run_rows(S.dense_search(X.vectors(spark, sf, "q_idx"), X.vectors(spark, sf, "doc_idx"), X.TOP,
-                                     strategy="blocks", query_bytes=1 << 18))
+                                     strategy="blocks", query_bytes=1 << 20))
 
 
 @query("R6_text_dense_search", f"""WITH {_TEXT_SQL}, s AS (
