@@ -3,6 +3,9 @@
 Fingerprints are cut into blocks. Two that differ in at most `bits` bits agree in all but `bits`
 blocks, so they meet under at least one choice of that many agreeing blocks; distances are verified
 where they meet. Choices with many members are split into cells that pairs of chunks share.
+
+Groups by Jaccard similarity use longer fingerprints only to find candidates; each of their links is
+verified on the texts' exact sets of shingles.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, small_batches, store, text_of, texts, widen
+from .common import map_texts, slices, small_batches, store, text_of, texts, widen
 from .components import components
 
 SEED = 42
@@ -26,6 +29,13 @@ CHUNK = 4096
 BROADCAST_IDS = 1_000_000
 # Mean bucket size at which one more block is cut.
 BUCKET = 64
+# Minima that one band of a text joins.
+ROWS = 3
+# Texts, and shingles, of one chunk of a group of candidates; a cell holds two chunks at most.
+MEMBERS = 256
+SHINGLES = 1_000_000
+# Largest expected share of differing bits at 0.8: five shingles against four of them; long texts have 0.15.
+SHORT_SHARE = 3 / 16
 
 
 def shingle_hashes(text: str, words: int, seed: int = SEED) -> np.ndarray:
@@ -93,14 +103,35 @@ def choose_blocks(count: int, bits: int) -> int:
     return blocks
 
 
-def drawn_masks(count: int, lanes: int, share: float, recall: float) -> list[tuple[int, int]]:
-    """(lane, mask) of drawn blocks: enough that two fingerprints that differ in `share` of their bits meet in one
-    with probability `recall`. Blocks have 16 bits, more in a table so large that buckets would overflow."""
-    size = max(16, math.ceil(math.log2(max(2, count) / BUCKET)))
-    number = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** size))
+def bands(hashes: np.ndarray, count: int) -> np.ndarray:
+    """`count` values of distinct hashes, each of ROWS minima under drawn permutations: two sets agree in one with
+    probability Jaccard ** ROWS. An empty set has none."""
+    if not len(hashes):
+        return np.empty(0, np.uint64)
     r = np.random.default_rng(SEED)
-    masks = [sum(1 << int(b) for b in r.choice(64, size, replace=False)) for _ in range(number)]
-    return [(k % lanes, m - (1 << 64) if m >> 63 else m) for k, m in enumerate(masks)]
+    flip, odd = r.integers(0, 1 << 64, (2, ROWS * count, 1), dtype=np.uint64)
+    odd |= np.uint64(1)
+    least = np.full(ROWS * count, np.iinfo(np.uint64).max)
+    for start in range(0, len(hashes), 1 << 12):
+        x = (hashes[start:start + (1 << 12)] ^ flip) * odd
+        x ^= x >> np.uint64(32)
+        least = np.minimum(least, (x * odd).min(axis=1))
+    out = np.zeros(count, np.uint64)
+    for part in least.reshape(count, ROWS).T:
+        out = lane(out ^ part, 1)
+    return out
+
+
+def band_count(similarity: float, recall: float) -> int:
+    """Bands at which two sets of this similarity agree in one with probability `recall`."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity ** ROWS)) if similarity < 1 else 1
+
+
+def candidate_bits(similarity: float, bits: int) -> int:
+    """Differing bits of `bits` that a pair of this similarity exceeds with a probability under one in a million:
+    five standard deviations above the mean."""
+    share = min(0.5, differing_share(similarity) * SHORT_SHARE / differing_share(0.8))
+    return math.ceil(bits * share + 5 * math.sqrt(bits * share * (1 - share)))
 
 
 def differing_share(similarity: float) -> float:
@@ -164,7 +195,11 @@ def links(prints: DataFrame, bits: int, masks: list[tuple[int, int]], lanes: int
     choices = F.array(*[F.struct(F.lit(k).alias("lane"), F.lit(m).cast("long").alias("mask")) for k, m in masks])
     members = prints.select("fp", "node", F.posexplode(choices).alias("choice", "by"))
     value = F.element_at("fp", F.col("by.lane") + 1).bitwiseAND(F.col("by.mask"))
-    members = members.select("choice", value.alias("bucket"), "node", "fp")
+    return _cell_links(members.select("choice", value.alias("bucket"), "node", "fp"), bits, lanes)
+
+
+def _cell_links(members: DataFrame, bits: int, lanes: int) -> DataFrame:
+    """Links in the buckets (choice, bucket) of node, fp; see `links`."""
     hot = store(members.groupBy("choice", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK), "hot-buckets")
     fits = hot.count() <= BROADCAST_IDS
     members = members.join(F.broadcast(hot) if fits else hot, ["choice", "bucket"], "left")
@@ -216,18 +251,131 @@ def near_groups(docs: DataFrame, words: int = 5, bits: int = 4, id_col: str = "d
     return _groups(docs, words, bits, 1, masks, id_col, text_col).withColumn("fp", F.element_at("fp", 1))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 0.97,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of texts whose shingle sets are about as similar as `similarity` (Jaccard) or more.
+def digest(hashes: np.ndarray) -> bytes:
+    """Names a set of distinct sorted hashes."""
+    import hashlib
+    return hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=16).digest()
+
 
-    64 bits can't tell 0.8 from less, and no exact cut into blocks meets pairs that differ in a sixth of
-    their bits. So fingerprints have `lanes` times 64 bits, blocks are drawn, and a pair at the
-    similarity meets in one with probability `recall`, more similar ones more surely (0.9: over 0.999).
-    Then the Hamming distance over all lanes is verified. Columns and edge cases as in `near_groups`.
+def _sketched(rows: DataFrame, words: int, lanes: int, count: int) -> DataFrame:
+    """id, set (digest of the distinct shingles), n (their number), fp and bands of every row of id, text."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t, words)) for t in texts(batch, "text")]
+        made = [pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([fingerprint(s, lanes).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                pa.array([bands(s, count).view(np.int64) for s in sets], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column("id"), *made], ["id", "set", "n", "fp", "bands"])
+    kind = rows.schema["id"].dataType.simpleString()
+    return map_texts(rows, "text", run, f"id {kind}, set binary, n bigint, fp array<bigint>, bands array<bigint>")
+
+
+def verified_forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs whose sets have this Jaccard similarity: each member is compared with those not yet reached."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    terms, member = np.unique(np.concatenate(sets), return_inverse=True)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    left = np.arange(len(nodes))
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            p = queue.pop()
+            mine = np.zeros(len(terms), np.int64)
+            mine[member[starts[p]:starts[p] + sizes[p]]] = 1
+            both = np.add.reduceat(mine[member], starts)[left]
+            hit = both / (sizes[left] + sizes[p] - both) >= similarity
+            reached = left[hit]
+            a.append(np.full(len(reached), nodes[p]))
+            b.append(nodes[reached])
+            queue += reached.tolist()
+            left = left[~hit]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _verified_links(cells: DataFrame, similarity: float) -> DataFrame:
+    """Verified links in cells (root, low, high) of node, shingles (packed hashes), at most two chunks in each."""
+    order = ["root", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(cell: dict) -> pa.RecordBatch:
+            u, v = verified_forest(np.array(list(cell)), [np.frombuffer(s, "<u8") for s in cell.values()], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        key, cell = None, {}
+        for batch in batches:
+            for *at, node, packed in zip(*[batch.column(c).to_pylist() for c in (*order, "node", "shingles")]):
+                if at != key:
+                    if len(cell) > 1:
+                        yield made(cell)
+                    key, cell = at, {}
+                cell[node] = packed
+        if len(cell) > 1:
+            yield made(cell)
+    cells = cells.select(*order, "node", "shingles").repartition(*order).sortWithinPartitions(*order)
+    return cells.mapInArrow(run, "u bigint, v bigint")
+
+
+def _packed(met: DataFrame, words: int) -> DataFrame:
+    """root, chunks, mine, node, shingles of the rows whose text has the wanted set; an id may name other texts too."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [np.unique(shingle_hashes(t, words)) for t in texts(part, "text")]
+                right = pa.array([digest(s) == w for s, w in zip(sets, part.column("set").to_pylist())], pa.bool_())
+                packed = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
+                names = ["root", "chunks", "mine", "node"]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], packed], [*names, "shingles"]).filter(right)
+    return met.mapInArrow(run, "root bigint, chunks int, mine int, node bigint, shingles binary")
+
+
+def _similar_links(rows: DataFrame, sets: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Verified links that join all similar sets within each group of candidates (node, root).
+
+    First each chunk of a group is searched together with the group's first member, so a group of copies of one
+    text is joined in linear work. Only groups that this leaves in parts have every pair of chunks searched.
+    """
+    known = sets.select("node", "set", "n").join(candidates, "node")
+    totals = known.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("chunks"))
+    wanted = known.join(totals, "root").select("root", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("mine"), "node", "set")
+    wanted = store(wanted, "candidates")
+    fits = wanted.count() <= BROADCAST_IDS
+    met = rows.join(F.broadcast(wanted) if fits else wanted, rows["id"] == wanted["node"]).select("root", "chunks", "mine", "node", "set", "text")
+    packed = store(_packed(met, words), "shingle-sets")
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    near = packed.withColumn("low", F.explode(F.when(F.col("node") == F.col("root"), every).otherwise(F.array("mine"))))
+    first = store(_verified_links(near.withColumn("high", F.col("low")), similarity), "verified")
+    if wanted.where("chunks > 1").isEmpty():
+        return first
+    found = wanted.where("chunks > 1").select("root", "node").join(components(first).withColumnRenamed("root", "part"), "node", "left")
+    open_ = store(found.groupBy("root").agg(F.min(F.coalesce("part", "node")).alias("least"), F.max(F.coalesce("part", "node")).alias("most"))
+                  .where("least <> most").select("root"), "open-candidates")
+    far = packed.join(open_, "root", "left_semi").withColumn("other", F.explode(every))
+    far = far.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+    return first.union(store(_verified_links(far, similarity), "verified-far"))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 1 - 1e-7,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts that are linked, directly or through others, by a Jaccard similarity of `similarity` or more
+    of their sets of shingles.
+
+    Candidates agree in a band of minima, which a pair at the similarity does with probability `recall` and more
+    similar ones more surely, and their fingerprints of `lanes` times 64 bits differ in no more than
+    `candidate_bits`. Every link is then verified on the exact sets, so no dissimilar texts are
+    linked by themselves. Fingerprints are those of distinct shingles. Texts without words are one group. Columns
+    and other edge cases as in `near_groups`. Texts stay in the scan; what moves are sketches, and the
+    shingle hashes of texts that have a candidate.
     """
-    share = differing_share(similarity)
-    bits = int(64 * lanes * share)
-    return _groups(docs, words, bits, lanes, lambda count: drawn_masks(count, lanes, share, recall), id_col, text_col)
+    small_batches(docs.sparkSession)
+    rows = widen(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).withColumn("text", text_of())
+    marked = store(_sketched(rows, words, lanes, band_count(similarity, recall)), "fingerprints")
+    sets = store(marked.groupBy("set").agg(F.min("id").cast("long").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"),
+                                           F.first("bands").alias("bands")), "sets")
+    named = sets.where("node is not null")
+    members = named.select(F.posexplode("bands").alias("choice", "bucket"), "node", "fp")
+    candidates = components(_cell_links(members, candidate_bits(similarity, 64 * lanes), lanes))
+    roots = components(_similar_links(rows, named, candidates, words, similarity))
+    groups = store(sets.select("set", "node").join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("component_id")), "components")
+    return marked.join(groups, "set").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def _groups(docs: DataFrame, words: int, bits: int, lanes: int, masks, id_col: str, text_col: str) -> DataFrame:

@@ -128,3 +128,61 @@ def test_similar_groups_against_exact_similarity(spark):
     assert close > 1800 and missed <= 0.01 * close and far == 0
     kept = {x["doc_id"] for x in simhash.keep_one(docs).collect()}
     assert kept == {i for i in group if group[i] == i}
+
+
+def near_threshold_corpus(levels=(0.74, 0.77, 0.79, 0.802, 0.82, 0.85), pairs=60, size=300):
+    """Pairs of texts at planned similarities: a changed run of words in the middle of a long text costs shingles exactly."""
+    r = random.Random(17)
+    rows = []
+    for level in levels:
+        for _ in range(pairs):
+            words = [f"v{r.randrange(10 ** 6)}" for _ in range(size)]
+            shingles = size - 4
+            other = list(words)
+            lost = round(shingles * (1 - level) / (1 + level))  # both texts lose as many
+            run = r.randrange(size - lost - 4)
+            other[run + 4:run + 4 + max(1, lost - 4)] = [f"z{r.randrange(10 ** 6)}" for _ in range(max(1, lost - 4))]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    return rows
+
+
+def exact_groups(rows, words=5, similarity=0.8):
+    sets = {}
+    for i, text in rows:
+        found = (text or "").lower().split()
+        sets[i] = {tuple(found[j:j + words]) for j in range(max(1, len(found) - words + 1))} if found else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a]) and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9 or sets[a] == sets[b]:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("members", [256, 4])
+def test_recall_and_precision_at_the_similarity(spark, monkeypatch, members):
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    rows = near_threshold_corpus()
+    n = len(rows)
+    short = "a b c d e f g h i"  # five shingles, and four of them
+    rows += [(n, short), (n + 1, short[:-2]), (n + 2, ""), (n + 3, None), (n + 4, short + " " + short), (n + 5, "one"), (n + 6, "ONE")]
+    repeated = " ".join(f"r{i}" for i in range(30))
+    rows += [(n + 10, repeated), (n + 11, f"{repeated} {repeated}"), (n + 12, " ".join([repeated] * 40))]
+    r = random.Random(2)
+    base = [f"c{i}" for i in range(200)]
+    for k in range(40):  # a group that only some of its pairs hold together
+        words = list(base)
+        for _ in range(6):
+            words[r.randrange(200)] = f"y{r.randrange(10 ** 6)}"
+        rows.append((n + 100 + k, " ".join(words)))
+    want = exact_groups(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs).collect()}
+    assert got == want
+    linked = sum(want[i] == want[i + 1] for i in range(0, n, 2))
+    assert n // 8 < linked < n // 2 - n // 8
