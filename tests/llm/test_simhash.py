@@ -186,3 +186,16 @@ def test_recall_and_precision_at_the_similarity(spark, monkeypatch, members):
     assert got == want
     linked = sum(want[i] == want[i + 1] for i in range(0, n, 2))
     assert n // 8 < linked < n // 2 - n // 8
+
+
+def test_bands_and_bound_lose_less_than_one_pair_in_a_thousand_at_the_similarity():
+    r = np.random.default_rng(4)
+    count, bits, lost = simhash.band_count(0.8, 1 - 1e-7), simhash.candidate_bits(0.8, 256), 0
+    for k in range(2000):
+        shared = int(r.choice([4, 8, 40, 160]))
+        x = np.unique(r.integers(0, 1 << 64, shared * 5 // 4, dtype=np.uint64))
+        a, b = (x, x[:shared]) if k % 2 else (x[shared // 8:], x[:len(x) - (len(x) - shared - shared // 8)])
+        met = (simhash.bands(a, count) == simhash.bands(b, count)).any()
+        far = np.bitwise_count(simhash.fingerprint(a, 4) ^ simhash.fingerprint(b, 4)).sum() > bits
+        lost += not met or far
+    assert lost <= 1
