@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, mixing, quality, simhash, site_tree, sketch, token_files, toxicity
+from . import bpe, exact_dedup, licenses, mixing, quality, simhash, site_tree, sketch, token_files, toxicity, vector_codes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,33 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality")
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_vector_codes", """
+    WITH k AS (
+        SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, embedding AS e, len(embedding) // 16 AS w FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    c AS MATERIALIZED (SELECT r, (i - 1) // w AS pos, (i - 1) % w AS place, floor(256 * e[i]::DOUBLE)::BIGINT AS x
+                       FROM (SELECT r, e, w, unnest(range(1, len(e) + 1)) AS i FROM k)),
+    b0 AS (SELECT pos, r AS entry, place, x FROM c WHERE r < 64),
+    a0 AS MATERIALIZED (
+        SELECT r, pos, first(entry ORDER BY d, entry) AS entry FROM (
+            SELECT c.r, c.pos, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d FROM c JOIN b0 b USING (pos, place) GROUP BY ALL) GROUP BY ALL),
+    s0 AS (SELECT pos, entry, place, sum(x) AS s, count(*) AS n FROM a0 JOIN c USING (r, pos) GROUP BY ALL),
+    b1 AS MATERIALIZED (SELECT pos, entry, place, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x
+                        FROM b0 LEFT JOIN s0 USING (pos, entry, place)),
+    a1 AS MATERIALIZED (
+        SELECT r, pos, first(entry ORDER BY d, entry) AS entry FROM (
+            SELECT c.r, c.pos, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d FROM c JOIN b1 b USING (pos, place) GROUP BY ALL) GROUP BY ALL),
+    s1 AS (SELECT pos, entry, place, sum(x) AS s, count(*) AS n FROM a1 JOIN c USING (r, pos) GROUP BY ALL),
+    b2 AS MATERIALIZED (SELECT pos, entry, place, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x
+                        FROM b1 LEFT JOIN s1 USING (pos, entry, place)),
+    a2 AS (
+        SELECT r, pos, first(entry ORDER BY d, entry) AS entry, min(d) AS d FROM (
+            SELECT c.r, c.pos, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d FROM c JOIN b2 b USING (pos, place) GROUP BY ALL) GROUP BY ALL),
+    coded AS (SELECT r, string_agg(format('{:02x}', entry), '' ORDER BY pos) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+           (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY pos, entry, place)) FROM b2) AS codebooks_sha256
+    FROM coded JOIN k USING (r)""")
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
