@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, mixing, quality, simhash, site_tree, sketch, token_files, toxicity, vector_codes
+from . import alignment, bpe, exact_dedup, licenses, mixing, quality, simhash, site_tree, sketch, token_files, toxicity, vector_codes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,8 +124,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op11_vector_codes", """
     WITH k AS (
-        SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, embedding AS e, len(embedding) // 16 AS w FROM embeddings
-        WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, embedding AS e, len(embedding) // 16 AS w FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     c AS MATERIALIZED (SELECT r, (i - 1) // w AS pos, (i - 1) % w AS place, floor(256 * e[i]::DOUBLE)::BIGINT AS x
                        FROM (SELECT r, e, w, unnest(range(1, len(e) + 1)) AS i FROM k)),
     b0 AS (SELECT pos, r AS entry, place, x FROM c WHERE r < 64),
@@ -150,3 +150,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM coded JOIN k USING (r)""")
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
