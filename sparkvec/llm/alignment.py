@@ -5,9 +5,9 @@ the second's proto. A span holds where it has as many bytes as the token decodes
 neighbours; elsewhere, in runs of tokens that share a multibyte character or came from byte fallback, the
 decoded bytes refine it. Offsets where tokens of both end cut the text into groups.
 
-Neither tokenizer joins a space to the character before it, so a text falls into units (white space and the
-word after it) that align by themselves. Each distinct unit is tokenized and aligned once per task and
-looked up after that.
+Neither tokenizer joins a space to the character before it, nor a letter to the sign after it, so a text falls
+into units that align by themselves: words with the space or line end before them, and what lies between.
+Each distinct unit is tokenized and aligned once per task and looked up after that.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +26,20 @@ from pyspark.sql import functions as F
 
 from .common import slices, small_batches, store, text_of, texts, widen
 
-# Units that a task remembers; then it starts anew.
-UNITS = 200_000
+# Units that a task remembers; then it starts anew. Characters of units that are tokenized in one text.
+UNITS, CHUNK = 250_000, 1 << 15
 # Id pairs whose counts are broadcast (17 bytes each), the most frequent ones; the others are joined by shuffle.
 HEAD_PAIRS = 2_000_000
 # Links of a group from which on its ids are counted before they are paired.
 WIDE_GROUP = 1 << 16
 
-# A space after anything but white space starts a unit; white space at the end of the text belongs to the last one.
-_UNIT = re.compile(r"\s*\S+(?:(?! )\s+\S*)*(?:\s+\Z)?|\s+")
+# A word unit is a space or line end and Latin letters, with an ASCII sign, a digit or the text's end behind. A unit between
+# words ends before a space that follows no white space, or before a word unit that does.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
+_WORD = rf"{_LETTERS}+(?=[\x00-@\[-`{{-\x7f]|\Z)"
+_UNIT = re.compile(rf"[ \n]{_WORD}|.+?(?=(?<=\S)(?: |\n{_WORD})|\Z)", re.S)
+# Stands before a unit that doesn't start like a word, so that it meets a letter as it may in a text.
+_GUARD = " a"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -89,7 +95,8 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.by_units = not any(re.search(r"[^\s▁][ ▁]", p) for p in pieces)
+        plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        self.by_units = not any(re.search(rf"[^\s▁][ ▁\n]|{_LETTERS}[\x00-@\[-`{{-\x7f]|\n{_LETTERS}", p) for p in plain)
         self.names = [np.array([f"{i}{sign}" for i in range(max(len(self.a_bytes), len(self.b_bytes)))], object) for sign in ",|;"]
         self.forget()
 
@@ -101,43 +108,80 @@ class Aligner:
         self.pairs = self.times = np.empty(0, np.int64)
 
     def units(self, text: str) -> list[str]:
-        """The units of a space and `text`; each starts with a space."""
+        """The units of a space and `text`."""
         return _UNIT.findall(" " + text) if self.by_units else [" " + text]
 
-    def tokens(self, units: list[str]) -> dict:
-        """Ids, refined byte ends and unit of the tokens of both, for all units in a row, and which units' bytes came back."""
-        raw = [u.encode() for u in units]
-        encoded = self.a.encode_batch(units, add_special_tokens=False)
-        a_ids = [e.ids for e in encoded]
-        a_n = np.array([len(x) for x in a_ids], np.int64)
-        a_all = np.array([i for x in a_ids for i in x], np.int64)
-        offsets = np.array([o for e in encoded for o in e.offsets], np.int64).reshape(-1, 2)
-        # character offsets to byte offsets: the first byte of each character of all units in a row
-        joined = np.frombuffer(b"".join(raw), np.uint8)
-        starts = np.r_[np.flatnonzero((joined & 0xC0) != 0x80), len(joined)]
-        size = np.array([len(r) for r in raw], np.int64)
-        chars = np.array([len(u) for u in units], np.int64)
-        byte0, char0 = np.cumsum(size) - size, np.cumsum(chars) - chars
-        of_a = np.repeat(np.arange(len(units)), a_n)
-        spans = starts[offsets + char0[of_a][:, None]] - byte0[of_a][:, None]
-        protos = self.b.encode([u[1:] for u in units], return_type="proto", num_threads=1)
-        b_flat = [(p.id, p.begin, p.end) for q in protos for p in q.pieces]
-        b_n = np.array([len(q.pieces) for q in protos], np.int64)
-        found = np.array(b_flat, np.int64).reshape(-1, 3)
-        of_b = np.repeat(np.arange(len(units)), b_n)
-        b_first = np.r_[True, of_b[1:] != of_b[:-1]] if len(of_b) else np.empty(0, bool)
-        b_all, b_begin, b_end = found[:, 0], np.where(b_first, 0, found[:, 1] + 1), found[:, 2] + 1  # after the space that it adds
-        a_first = np.r_[True, of_a[1:] != of_a[:-1]] if len(of_a) else np.empty(0, bool)
-        a_text = b"".join([self.a_bytes[i] for i in a_all.tolist()])
-        b_text = b"".join([self.b_bytes[i] for i in b_all.tolist()])
-        a_size = np.bincount(of_a, self.a_len[a_all], len(units)).astype(np.int64)
-        b_size = np.bincount(of_b, self.b_len[b_all], len(units)).astype(np.int64)
-        fits = (a_size == size) & (b_size == size)
-        if not (fits.all() and a_text == b_text == b"".join(raw)):
-            a0, b0 = np.cumsum(a_size) - a_size, np.cumsum(b_size) - b_size
-            fits &= np.array([a_text[i:i + len(r)] == r == b_text[j:j + len(r)] for i, j, r in zip(a0.tolist(), b0.tolist(), raw)], bool)
-        return {"a": a_all, "a_unit": of_a, "a_end": refine(spans[:, 0], spans[:, 1], self.a_len[a_all], a_first),
-                "b": b_all, "b_unit": of_b, "b_end": refine(b_begin, b_end, self.b_len[b_all], b_first), "size": size, "fits": fits}
+    def tokens(self, units: list[str], alone: bool = False) -> dict:
+        """Ids, refined byte ends and unit of the tokens of both, for all units in a row, and which units' bytes came back.
+
+        Units are tokenized in joined texts, or each in a text of its own: those that end in white space, that aren't cut by
+        the rule, and, `alone`, all of a joined text in which bytes don't come back.
+        """
+        chunks, segments, room = [], [], 0  # texts; (text of a segment, its unit or -1, its chunk)
+        for k, u in enumerate(units):
+            own = alone or not self.by_units or u[-1].isspace()
+            if own or room <= 0:
+                chunks.append([])
+                room = CHUNK
+            word = u[0] in " \n" and u[1:].isalpha()
+            if u[0] != " " or u.isspace() if own or not chunks[-1] else not word:
+                chunks[-1].append(_GUARD)
+                segments.append((_GUARD, -1, len(chunks) - 1))
+            chunks[-1].append(u)
+            segments.append((u, k, len(chunks) - 1))
+            room = 0 if own else room - len(u)
+        joined = ["".join(c) for c in chunks]
+        raw = [x[0].encode() for x in segments]
+        seg_size, seg_unit, seg_chunk = (np.array(x, np.int64) for x in ([len(r) for r in raw], [x[1] for x in segments], [x[2] for x in segments]))
+        ends = np.cumsum(seg_size)
+        begins = ends - seg_size
+        byte0 = begins[np.flatnonzero(np.diff(seg_chunk, prepend=-1))]
+        chars = np.array([len(c) for c in joined], np.int64)
+        char0 = np.cumsum(chars) - chars
+        whole = b"".join(raw)
+        # character offsets to byte offsets: the first byte of each character of all texts in a row
+        letters = np.frombuffer(whole, np.uint8)
+        starts = np.r_[np.flatnonzero((letters & 0xC0) != 0x80), len(letters)]
+        out, fits = {"size": np.zeros(len(units), np.int64)}, np.ones(len(segments), bool)
+        real = seg_unit >= 0
+        out["size"][seg_unit[real]] = seg_size[real]
+        for side in "ab":
+            if side == "a":
+                encoded = self.a.encode_batch(joined, add_special_tokens=False)
+                n = np.array([len(e) for e in encoded], np.int64)
+                ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), np.int64, int(n.sum()))
+                spans = np.fromiter(chain.from_iterable(o for e in encoded for o in e.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
+                spans = starts[spans + np.repeat(char0, n)[:, None]]
+                begin, end, length, decoded = spans[:, 0], spans[:, 1], self.a_len[ids], self.a_bytes
+            else:
+                protos = self.b.encode([c[1:] for c in joined], return_type="proto", num_threads=1)
+                n = np.array([len(q.pieces) for q in protos], np.int64)
+                found = np.fromiter(chain.from_iterable((p.id, p.begin, p.end) for q in protos for p in q.pieces), np.int64, 3 * int(n.sum())).reshape(-1, 3)
+                at = np.repeat(byte0, n)
+                ids, end = found[:, 0], found[:, 2] + at + 1  # after the space that it adds
+                begin, length, decoded = np.where(found[:, 1] > 0, found[:, 1] + at + 1, at), self.b_len[ids], self.b_bytes
+            first = np.zeros(len(ids), bool)
+            first[(np.cumsum(n) - n)[n > 0]] = True
+            base = np.repeat(byte0, n)
+            end = refine(begin - base, end - base, length, first) + base
+            place = np.searchsorted(ends, end)
+            got = b"".join([decoded[i] for i in ids.tolist()])
+            if got != whole or not np.isin(ends, end).all():
+                size = np.bincount(np.minimum(place, len(segments) - 1), length, len(segments)).astype(np.int64)
+                fits &= size == seg_size
+                at = 0
+                for k in range(len(segments)):
+                    fits[k] &= got[at:at + seg_size[k]] == raw[k]
+                    at += size[k]
+                fits &= np.isin(ends, end)
+            keep = (place < len(segments)) & (seg_unit[np.minimum(place, len(segments) - 1)] >= 0)
+            place = place[keep]
+            out |= {side: ids[keep], side + "_unit": seg_unit[place], side + "_end": end[keep] - begins[place]}
+        if not (alone or fits.all()):  # one unit that doesn't come back must not touch its neighbours
+            return self.tokens(units, alone=True)
+        good = np.ones(len(units), bool)
+        good[seg_unit[real]] = fits[real]
+        return out | {"fits": good}
 
     def groups(self, units: list[str]) -> dict:
         """`tokens` of the units whose bytes came back, with the group of each token, and the groups' ends and units."""
@@ -148,7 +192,7 @@ class Aligner:
                 t[name] = t[name][keep]
         base = np.cumsum(t["size"]) - t["size"]
         a_end, b_end = base[t["a_unit"]] + t["a_end"], base[t["b_unit"]] + t["b_end"]
-        cuts = np.intersect1d(a_end, b_end, assume_unique=True)
+        cuts = a_end[b_end[np.minimum(np.searchsorted(b_end, a_end), len(b_end) - 1)] == a_end] if len(b_end) else b_end
         t |= {"cut": cuts, "cut_unit": np.searchsorted(base, cuts, "left") - 1,
               "a_group": np.searchsorted(cuts, a_end), "b_group": np.searchsorted(cuts, b_end)}
         return t | {"n_a": np.bincount(t["a_group"], minlength=len(cuts)), "n_b": np.bincount(t["b_group"], minlength=len(cuts))}
@@ -190,7 +234,7 @@ class Aligner:
         at = 0
         while at < len(units):
             stop, held = at, 0
-            while stop < len(units) and (stop == at or held + len(units[stop]) < 1 << 20):
+            while stop < len(units) and (stop == at or held + len(units[stop]) < 1 << 18):
                 held += len(units[stop])
                 stop += 1
             self._learn(units[at:stop])
@@ -215,15 +259,18 @@ class Aligner:
     def lookup(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Units of all texts in a row, and how many each text has."""
         found = [self.units(t) if t else [] for t in items]
-        fresh = list(dict.fromkeys(u for units in found for u in units if u not in self.index))
-        if len(self.index) + len(fresh) > UNITS and self.index:
-            self.forget()
-            fresh = list(dict.fromkeys(u for units in found for u in units))
-        self.learn(fresh)
-        for u in fresh:
-            self.index[u] = len(self.index)
         counts = np.array([len(u) for u in found], np.int64)
-        return np.array([self.index[u] for units in found for u in units], np.int64), counts
+        flat = list(chain.from_iterable(found))
+        place = list(map(self.index.get, flat))
+        if None in place:
+            fresh = list(dict.fromkeys(u for u, p in zip(flat, place) if p is None))
+            if len(self.index) + len(fresh) > UNITS and self.index:
+                self.forget()
+                fresh = list(dict.fromkeys(flat))
+            self.learn(fresh)
+            self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
+            place = list(map(self.index.__getitem__, flat))
+        return np.array(place, np.int64), counts
 
     def measure(self, items: list[str]) -> dict:
         """Per text: tokens, groups, links, the digest of its groups, and its distinct pairs with their numbers of links."""
