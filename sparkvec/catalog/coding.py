@@ -96,6 +96,36 @@ def c7(spark, sf):
     return C.forward(X.vectors(spark, sf, "vec_id"), X.coder()).select("vec_id", "active_dims", "positive_pre")
 
 
+_FORWARD = f"""WITH {X.sae_sql()}, p AS (SELECT vec_id, sum((h > 0)::INT) AS n FROM pre GROUP BY vec_id), {_HAT.replace('c.w::DOUBLE', 'c.h')}
+SELECT vec_id, (SELECT count(*) FROM codes c WHERE c.vec_id = p.vec_id)::INTEGER AS active_dims, n::INTEGER AS positive_pre,
+i::INTEGER AS pos, round(y::FLOAT::DOUBLE, 5) AS x FROM p JOIN hat USING (vec_id)"""
+
+
+def _forward_rows(df):
+    return df.select("vec_id", "active_dims", "positive_pre", F.posexplode("x_hat").alias("pos", "x")).select(
+        "vec_id", "active_dims", "positive_pre", "pos", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+@query("C7_sharded_forward", _FORWARD)
+def c7_sharded(spark, sf):
+    """A coder over the bound: pieces of 60 features, each broadcast by itself."""
+    return _forward_rows(C.forward(X.vectors(spark, sf, "vec_id"), X.coder(), bound=60 * 2 * 4 * X.DIM))
+
+
+@query("C7_stored_forward", _FORWARD)
+def c7_stored(spark, sf):
+    """The same from the stored weight table, which is never whole on the driver."""
+    path = X.scratch(spark, "stored-coder")
+    stores.write_weights(X.coder(), spark, path, label="closed form")
+    return _forward_rows(C.forward(X.vectors(spark, sf, "vec_id"), stores.stored_coder(spark, path), bound=60 * 2 * 4 * X.DIM))
+
+
+@query("C6_sharded_decode_tied", f"""WITH {X.sae_sql(centred=False)}, hat AS (SELECT c.vec_id, e.i, sum(c.w::DOUBLE * e.w) AS y
+  FROM codes c JOIN enc e ON e.f = c.f GROUP BY c.vec_id, e.i) SELECT vec_id, i::INTEGER AS pos, round(y::FLOAT::DOUBLE, 5) AS x FROM hat""")
+def c6_sharded_tied(spark, sf):
+    return _vector_rows(C.decode(_code(spark, sf, tied=True), X.coder(tied=True), bound=60 * 4 * X.DIM), "x_hat")
+
+
 @query("C8_raw_topk", f"WITH {X.raw_sql()} {_ROWS}")
 def c8(spark, sf):
     return _rows(X.vectors(spark, sf, "vec_id").select("vec_id", V.raw_topk("embedding", X.RAW_K).alias("code")))
@@ -127,8 +157,7 @@ def c10(spark, sf):
 @query("C11_sharded_encode", f"WITH {X.sae_sql()} {_ROWS}")
 def c11(spark, sf):
     weights, meta = X.coder().to_frames(spark)
-    codes = C.encode_sharded(X.vectors(spark, sf, "row_idx"), weights, meta, X.SAE_K,
-                             shard_features=100, block_bytes=1 << 15)
+    codes = C.encode_sharded(X.vectors(spark, sf, "row_idx"), weights, meta, X.SAE_K, shard_features=100)
     return _rows(codes.withColumnRenamed("row_idx", "vec_id"))
 
 

@@ -1,13 +1,15 @@
 """Sparse and compressed coding of dense vectors.
 
 Coders are map-only: the weights are broadcast after a size check and every Arrow
-batch is one matrix product. A coder too large to broadcast is applied shard by
-shard through the same bounded block join as the search.
+batch is one matrix product. A coder over the bound is cut by features into
+pieces that are broadcast one by one; a worker lets a group of rows wait while it goes through the pieces,
+of which it holds one at a time. Neither rows nor weights are shuffled.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
@@ -22,6 +24,9 @@ from . import blocks
 CODE_FIELDS = f"code {V.CODE_TYPE}"
 WEIGHTS_SCHEMA = "feature_id int, enc array<float>, enc_bias float, dec array<float>"
 MODEL_TYPES = ("sae", "encoder_only")
+# Of a coder over the broadcast bound: weights that a worker holds at a time, and rows that wait for them.
+SHARD_BYTES = 128 * 1024 * 1024
+GROUP_BYTES = 64 * 1024 * 1024
 
 
 @dataclass
@@ -155,7 +160,7 @@ def coder_from_frames(weights: DataFrame, meta: DataFrame) -> SparseCoder:
     if m is None:
         raise ValueError("model metadata is missing")
     if m["dict_size"] * m["input_dim"] * 8 > BROADCAST_BYTES * 2:
-        raise ValueError("weights are over the broadcast bound: use encode_sharded")
+        raise ValueError("weights are over the bound for one process: use StoredCoder")
     table = weights.orderBy("feature_id").toArrow()
     if table.num_rows != m["dict_size"]:
         raise ValueError(f"{table.num_rows} weight rows for dictionary size {m['dict_size']}")
@@ -234,6 +239,12 @@ class Shared:
     def value(self):
         return self.kind(**self.fields.value)
 
+    def take(self):
+        """The model for one use in a worker, which doesn't keep it: it is read from the local copy again."""
+        model = self.kind(**self.fields.value)
+        self.fields.__dict__.pop("_value", None)
+        return model
+
     def destroy(self) -> None:
         self.fields.destroy()
 
@@ -244,6 +255,139 @@ def _share(df: DataFrame, model, n_bytes: int) -> Shared:
     return Shared(df.sparkSession, model)
 
 
+class Shards:
+    """A coder cut by features: (first feature, coder of the piece), each piece broadcast by itself."""
+
+    def __init__(self, spark: SparkSession, pieces: Iterable[tuple[int, SparseCoder]]):
+        self.pieces = [(first, Shared(spark, part)) for first, part in pieces]
+
+    def __iter__(self) -> Iterator[tuple[int, SparseCoder]]:
+        for first, shared in self.pieces:
+            yield first, shared.take()
+
+    def top(self, x: np.ndarray, k: int, count: bool = False):
+        """`SparseCoder.top` over all pieces, and with `count` the number of positive activations of each vector."""
+        best, positive = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.zeros(len(x), np.int64)
+        for first, part in self:
+            found, step = [best], _row_limit(part.dict_size)
+            for a in range(0, len(x), step):
+                if count:
+                    h = part.pre_activations(x[a:a + step])
+                    positive[a:a + step] += (h > 0).sum(axis=1)
+                    rows, cols, values = top_codes(h, k)
+                else:
+                    rows, cols, values = part.top(x[a:a + step], k)
+                found.append((rows + a, cols + first, values))
+            best = _first_of_rows(*(np.concatenate(f) for f in zip(*found)), k, len(x))
+        return (best, positive) if count else best
+
+    def reconstruct(self, offsets, features, weights) -> np.ndarray:
+        """`SparseCoder.reconstruct`: each piece adds the terms of its features."""
+        n, out, bias = len(offsets) - 1, None, None
+        owner = np.repeat(np.arange(n), np.diff(offsets))
+        for first, part in self:
+            table = part.enc if part.tied else part.dec
+            here = (features >= first) & (features < first + len(table))
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(owner[here], minlength=n))])
+            terms = replace(part, dec_bias=None).reconstruct(cuts, features[here] - first, weights[here])
+            out = terms if out is None else out + terms
+            bias = None if part.tied else part.dec_bias
+        return out if bias is None else out + bias
+
+
+def cut(coder: SparseCoder, shard_bytes: int) -> Iterator[tuple[int, SparseCoder]]:
+    """Pieces of a coder of about `shard_bytes` each, one feature at least."""
+    n = max(len(coder.enc), 0 if coder.dec is None else len(coder.dec))
+    per_feature = max(1, sum(a.nbytes for a in (coder.enc, coder.dec) if a is not None) // max(1, n))
+    width = max(1, shard_bytes // per_feature)
+    for a in range(0, max(1, n), width):
+        part = slice(a, a + width)
+        yield a, replace(coder, enc=coder.enc[part], enc_bias=coder.enc_bias[part], dec=None if coder.dec is None else coder.dec[part])
+
+
+@dataclass
+class StoredCoder:
+    """A coder that is applied from its weight table, one feature range on the driver at a time."""
+
+    weights: DataFrame
+    meta: dict
+    shard_features: int | None = None
+
+    @property
+    def tied(self) -> bool:
+        return self.meta["tied"]
+
+    @property
+    def dict_size(self) -> int:
+        return self.meta["dict_size"]
+
+    def sparsity(self, k: int | None) -> int:
+        return max(1, min(self.meta["current_k"] if k is None else int(k), self.dict_size))
+
+    def cut(self, shard_bytes: int, enc: bool = True, dec: bool = True) -> Iterator[tuple[int, SparseCoder]]:
+        m = self.meta
+        if dec and not (m["tied"] or m["has_decoder"]):
+            raise ValueError("this coder has no decoder")
+        sides = (enc or m["tied"]) + (dec and not m["tied"])
+        width = self.shard_features or max(1, shard_bytes // (4 * m["input_dim"] * max(1, sides)))
+        bias = None if m["dec_bias"] is None else np.asarray(m["dec_bias"], np.float32)
+        for a in range(0, m["dict_size"], width):
+            table = self.weights.where(F.col("feature_id").between(a, a + width - 1)).orderBy("feature_id").toArrow()
+            if table["feature_id"].to_pylist() != list(range(a, min(a + width, m["dict_size"]))):
+                raise ValueError(f"weight rows {a} to {a + width - 1} are not complete")
+            none = np.zeros((0, m["input_dim"]), np.float32)
+            yield a, SparseCoder(
+                blocks.list_matrix(table["enc"]).astype(np.float32) if enc or m["tied"] else none,
+                table["enc_bias"].to_numpy().astype(np.float32) if enc else np.zeros(0, np.float32),
+                blocks.list_matrix(table["dec"]).astype(np.float32) if dec and not m["tied"] else None,
+                bias, m["current_k"], m["model_type"], m["tied"], m["pre_bias"])
+
+
+def stored_coder(weights: DataFrame, meta: DataFrame, shard_features: int | None = None) -> StoredCoder:
+    found = meta.first()
+    if found is None:
+        raise ValueError("model metadata is missing")
+    return StoredCoder(weights, found.asDict(), shard_features)
+
+
+def _shares(df: DataFrame, coder: SparseCoder | StoredCoder, bound: int | None, part, **sides) -> Shared | Shards:
+    """The coder broadcast whole within the bound, or in pieces."""
+    bound = BROADCAST_BYTES if bound is None else bound
+    if isinstance(coder, StoredCoder):
+        return Shards(df.sparkSession, coder.cut(min(bound, SHARD_BYTES), **sides))
+    coder = part(coder)
+    if _coder_bytes(coder) <= bound:
+        return Shared(df.sparkSession, coder)
+    return Shards(df.sparkSession, cut(coder, min(bound, SHARD_BYTES)))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together to about `limit` bytes, so that weights are read once per group of rows."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _map_groups(df: DataFrame, column: str, compute, added: str) -> DataFrame:
+    """Append the `added` columns, computed by `compute(Arrow column) -> [arrays]` on groups of rows."""
+    from pyspark.sql.types import StructType
+    schema = StructType(df.schema.fields + StructType.fromDDL(added).fields)
+    names, limit = [f.name for f in schema.fields], GROUP_BYTES
+
+    def run(batches):
+        for group in _grouped(batches, limit):
+            yield pa.RecordBatch.from_arrays(list(group.columns) + list(compute(group.column(column))), names=names)
+
+    return df.mapInArrow(run, schema)
+
+
 def _coder_bytes(coder: SparseCoder) -> int:
     return sum(a.nbytes for a in (coder.enc, coder.dec, coder.enc_bias, coder.dec_bias)
                if a is not None)
@@ -267,12 +411,20 @@ def _row_limit(width: int) -> int:
 
 # ---------------------------------------------------------------- sparse coder
 
-def encode(dense: DataFrame, coder: SparseCoder, k: int | None = None,
-           column: str = "embedding", output: str = "code") -> DataFrame:
-    """Append packed TopK codes, strongest first, positive weights only."""
+def encode(dense: DataFrame, coder: SparseCoder | StoredCoder, k: int | None = None,
+           column: str = "embedding", output: str = "code", bound: int | None = None) -> DataFrame:
+    """Append packed TopK codes, strongest first, positive weights only.
+
+    Weights over `bound` bytes (the broadcast bound by default), and stored ones, are applied piece by piece.
+    """
     k = coder.sparsity(k)
-    part = _encoder_part(coder)
-    shared = _share(dense, part, _coder_bytes(part))
+    shared = _shares(dense, coder, bound, _encoder_part, dec=False)
+    if isinstance(shared, Shards):
+        def pieces(vectors):
+            x = blocks.list_matrix(vectors)
+            return [codes_array(*shared.top(x, k), len(x))]
+
+        return _map_groups(dense, column, pieces, f"{output} {V.CODE_TYPE}")
 
     def compute(x):
         return [codes_array(*shared.value.top(x, k), len(x))]
@@ -281,52 +433,9 @@ def encode(dense: DataFrame, coder: SparseCoder, k: int | None = None,
 
 
 def encode_sharded(dense: DataFrame, weights: DataFrame, meta: DataFrame, k: int | None = None,
-                   shard_features: int = 8192, block_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """`encode` for `dense(row_idx, embedding)` when the dictionary cannot be broadcast.
-
-    Feature shards meet row blocks on the block pair, each pair yields its local top k,
-    and the local lists merge per row. Only candidates are shuffled a second time.
-    """
-    m = meta.first()
-    k = max(1, min(m["current_k"] if k is None else k, m["dict_size"]))
-    bias = None
-    if m["model_type"] == "sae" and m["pre_bias"] and not m["tied"] and m["dec_bias"] is not None:
-        bias = np.asarray(m["dec_bias"], np.float64)
-    _, size = row_stats(dense, "embedding", 4)
-    n_rows = max(1, -(-size // block_bytes))
-    n_shards = max(1, -(-m["dict_size"] // shard_features))
-    left = dense.select("row_idx", "embedding").withColumn(
-        "rb", F.pmod(F.xxhash64("row_idx"), F.lit(n_rows)).cast("int")).withColumn(
-        "sh", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    right = weights.select("feature_id", "enc", "enc_bias").withColumn(
-        "sh", (F.col("feature_id") / F.lit(shard_features)).cast("int")).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        schema = pa.schema([("row_idx", pa.int64()), ("feature_id", pa.int32()), ("weight", pa.float64())])
-        if a.num_rows == 0 or b.num_rows == 0:
-            return schema.empty_table()
-        b = b.sort_by("feature_id")
-        ids, features = a["row_idx"].to_numpy(), b["feature_id"].to_numpy()
-        x = blocks.list_matrix(a["embedding"])
-        if bias is not None:
-            x = x - bias
-        w, offset = blocks.list_matrix(b["enc"]), b["enc_bias"].to_numpy().astype(np.float64)
-        out, step = [], _row_limit(len(features))
-        for start in range(0, len(ids), step):
-            rows, cols, h = top_codes(x[start:start + step] @ w.T + offset, k)
-            out.append(pa.table([ids[start + rows], features[cols], h], schema=schema))
-        return pa.concat_tables(out)
-
-    local = left.groupBy("rb", "sh").cogroup(right.groupBy("rb", "sh")).applyInArrow(
-        run, "row_idx bigint, feature_id int, weight double")
-    entry = F.struct((-F.round("weight", blocks.DECIMALS)).alias("key"), "feature_id",
-                     F.col("weight").cast("float").alias("weight"))
-    merged = local.groupBy("row_idx").agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    merged = merged.select("row_idx", F.transform(F.slice("e", 1, k), lambda x: F.struct(
-        x["feature_id"].alias("feature_id"), x["weight"].alias("weight"))).alias("code"))
-    return dense.select("row_idx").join(merged, "row_idx", "left").select(
-        "row_idx", F.coalesce("code", F.array().cast(V.CODE_TYPE)).alias("code"))
+                   shard_features: int = 8192) -> DataFrame:
+    """`encode` for `dense(row_idx, embedding)` by a weight table that the driver can't hold whole."""
+    return encode(dense, stored_coder(weights, meta, shard_features), k).select("row_idx", "code")
 
 
 def active_features(codes: DataFrame, column: str = "code") -> DataFrame:
@@ -345,12 +454,15 @@ def pack_codes(long: DataFrame, keys: list[str]) -> DataFrame:
             x["feature_id"].alias("feature_id"), x["weight"].alias("weight"))).alias("code"))
 
 
-def decode(codes: DataFrame, coder: SparseCoder, column: str = "code", output: str = "x_hat") -> DataFrame:
+def decode(codes: DataFrame, coder: SparseCoder | StoredCoder, column: str = "code", output: str = "x_hat",
+           bound: int | None = None) -> DataFrame:
+    """Append the decoded vectors; a decoder over `bound` bytes, or a stored one, adds up piece by piece."""
     from pyspark.sql.types import StructType
-    if (coder.enc if coder.tied else coder.dec) is None:
+    if isinstance(coder, SparseCoder) and (coder.enc if coder.tied else coder.dec) is None:
         raise ValueError("this coder has no decoder")
-    part = _decoder_part(coder)
-    shared = _share(codes, part, _coder_bytes(part))
+    shared = _shares(codes, coder, bound, _decoder_part, enc=False)
+    if isinstance(shared, Shards):
+        return _map_groups(codes, column, lambda c: [vectors_array(shared.reconstruct(*blocks.code_arrays(c)))], f"{output} array<float>")
     schema = StructType(codes.schema.fields + StructType.fromDDL(f"{output} array<float>").fields)
     names = [f.name for f in schema.fields]
 
@@ -362,24 +474,33 @@ def decode(codes: DataFrame, coder: SparseCoder, column: str = "code", output: s
     return codes.mapInArrow(run, schema)
 
 
-def forward(dense: DataFrame, coder: SparseCoder, k: int | None = None,
-            column: str = "embedding") -> DataFrame:
+def forward(dense: DataFrame, coder: SparseCoder | StoredCoder, k: int | None = None,
+            column: str = "embedding", bound: int | None = None) -> DataFrame:
     """Code, reconstruction and activation counts of every vector in one pass."""
     k = coder.sparsity(k)
-    shared = _share(dense, coder, _coder_bytes(coder))
+    if isinstance(coder, SparseCoder) and (coder.enc if coder.tied else coder.dec) is None:
+        raise ValueError("this coder has no decoder")
+    shared = _shares(dense, coder, bound, lambda whole: whole)
+    whole = isinstance(shared, Shared)
+
+    def outcome(x, best, positive, reconstruct):
+        rows, cols, w = best
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(x)))])
+        return [codes_array(rows, cols, w, len(x)), vectors_array(reconstruct(offsets, cols, w)),
+                pa.array(np.diff(offsets).astype(np.int32)), pa.array(positive.astype(np.int32))]
 
     def compute(x):
         h = shared.value.pre_activations(x)
-        rows, cols, w = top_codes(h, k)
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(x)))])
-        x_hat = shared.value.reconstruct(offsets, cols, w)
-        return [codes_array(rows, cols, w, len(x)), vectors_array(x_hat),
-                pa.array(np.diff(offsets).astype(np.int32)),
-                pa.array((h > 0).sum(axis=1).astype(np.int32))]
-
-    return map_vectors(dense, column, compute,
-                       f"{CODE_FIELDS}, x_hat array<float>, active_dims int, positive_pre int",
-                       _row_limit(coder.dict_size))
+        return outcome(x, top_codes(h, k), (h > 0).sum(axis=1), shared.value.reconstruct)
+
+    def pieces(vectors):
+        x = blocks.list_matrix(vectors)
+        return outcome(x, *shared.top(x, k, count=True), shared.reconstruct)
+
+    added = f"{CODE_FIELDS}, x_hat array<float>, active_dims int, positive_pre int"
+    if not whole:
+        return _map_groups(dense, column, pieces, added)
+    return map_vectors(dense, column, compute, added, _row_limit(coder.dict_size))
 
 
 def normalize_decoder(weights: DataFrame) -> DataFrame:

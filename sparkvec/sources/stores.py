@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators.coding import DenseAE, META_SCHEMA, SparseCoder, WEIGHTS_SCHEMA, coder_from_frames, vectors_array
+from ..operators.coding import DenseAE, META_SCHEMA, SparseCoder, StoredCoder, WEIGHTS_SCHEMA, coder_from_frames, vectors_array
+from ..operators.coding import stored_coder as coder_of_frames
 from ..operators.search import SparseIndex, doc_stats_of
 
 INDEX_DOCS = f"doc_idx bigint, code {V.CODE_TYPE}"
@@ -33,6 +34,11 @@ def read_weights(spark: SparkSession, path: str) -> SparseCoder:
     return coder_from_frames(*read_weight_frames(spark, path))
 
 
+def stored_coder(spark: SparkSession, path: str) -> StoredCoder:
+    """The coder at `path`, applied piece by piece without ever being whole on the driver."""
+    return coder_of_frames(*read_weight_frames(spark, path))
+
+
 LAYERS = "part string, layer int, unit int, w array<float>, b float"
 
 

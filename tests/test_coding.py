@@ -56,10 +56,40 @@ def test_decode_and_forward(dense):
 def test_sharded_encode_equals_broadcast(spark, dense):
     df, _ = dense
     weights, meta = coder().to_frames(spark)
-    got = _lists(C.encode_sharded(df, weights, meta, 9, shard_features=70, block_bytes=4000))
+    got = _lists(C.encode_sharded(df, weights, meta, 9, shard_features=70))
     assert got == _lists(C.encode(df, coder(), 9))
 
 
+@pytest.mark.parametrize("kind", [{}, {"model_type": "encoder_only"}, {"tied": True}])
+def test_pieces_equal_the_whole_coder(spark, dense, tmp_path, monkeypatch, kind):
+    df, _ = dense
+    whole = coder(**kind)
+    stores.write_weights(whole, spark, str(tmp_path), source="test")
+    stored = stores.stored_coder(spark, str(tmp_path))
+    monkeypatch.setattr(C, "GROUP_BYTES", 3000)
+    rows = lambda out: {r["row_idx"]: (r["code"], np.array(r["x_hat"]), r["active_dims"], r["positive_pre"]) for r in out.collect()}
+    codes = C.encode(df, whole, 9)
+    want = rows(C.forward(df, whole, 9))
+    for other in (C.forward(df, whole, 9, bound=1 << 15), C.forward(df, stored, 9, bound=1 << 15)):
+        got = rows(other)
+        assert set(got) == set(want)
+        for key, (code, x_hat, *counts) in want.items():
+            assert got[key][0] == code and list(got[key][2:]) == counts and np.allclose(got[key][1], x_hat, atol=1e-5)
+    for one in (whole, stored):
+        assert _lists(C.encode(df, one, 9, bound=1 << 15)) == _lists(codes)
+        got = {r["row_idx"]: r["x_hat"] for r in C.decode(codes, one, bound=1 << 15).collect()}
+        assert all(np.allclose(got[r["row_idx"]], r["x_hat"], atol=1e-5) for r in C.decode(codes, whole).collect())
+    plan = C.forward(df, whole, 9, bound=1 << 15)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert C.forward(df.where("row_idx < 0"), whole, 9, bound=1 << 15).count() == 0
+
+
+def test_missing_weight_rows_are_noticed(spark, dense):
+    weights, meta = coder().to_frames(spark)
+    with pytest.raises(ValueError, match="not complete"):
+        C.encode_sharded(dense[0], weights.where("feature_id <> 80"), meta, 9, shard_features=70)
+
+
 def test_weights_round_trip(spark, dense, tmp_path):
     for kind in ({}, {"model_type": "encoder_only"}, {"tied": True}):
         c = coder(**kind)
