@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from ..functions import items as I
 from ..functions import vector as V
 from ..operators import embed as E
-from ..sources import records
+from ..operators.search import build_index
+from ..sources import index_store, records
 from ..sources.stores import read_index
 from ..streaming import jobs
 from . import inputs as X
@@ -151,6 +152,46 @@ def x2(spark, sf):
     return X.run_rows(read_index(spark, path).search(X.raw_codes(spark, sf, "q_idx"), X.TOP))
 
 
+def _changed(spark, sf):
+    """An index of all documents, then a batch of shorter codes for every third, then one that deletes every
+    seventh and brings every fourteenth back as it was; merged into a base on the way."""
+    source, path = X.scratch(spark, "changes") + "/codes", X.scratch(spark, "versions")
+    short, whole = X.raw_codes(spark, sf, "doc_idx", 8), X.raw_codes(spark, sf, "doc_idx")
+    gone = whole.where("doc_idx % 7 = 0").withColumn("code", F.when(F.col("doc_idx") % 14 == 0, F.col("code")))
+    index_store.write_index(build_index(whole), path)
+    for rows, merged in ((short.where("doc_idx % 3 = 0"), 1), (gone, 0), (short.where("doc_idx % 15 = 0"), 0)):
+        rows.coalesce(1).write.mode("append").parquet(source)
+        jobs.index_stream(jobs.stream_table(spark, source, jobs.CODES_SCHEMA), path, compact_every=merged).awaitTermination()
+    return path
+
+
+_CHANGED = X.raw_sql().replace("codes AS", "origin AS", 1) + """,
+docs AS (SELECT vec_id, f, w, r FROM origin WHERE (vec_id % 7 <> 0 OR vec_id % 14 = 0 OR vec_id % 15 = 0)
+         AND r <= CASE WHEN vec_id % 15 = 0 OR (vec_id % 3 = 0 AND vec_id % 7 <> 0) THEN 8 ELSE 16 END)"""
+
+_CHANGED_RUN = f"""WITH {_CHANGED}, shared AS (SELECT q.vec_id AS q_idx, d.vec_id AS doc_idx, sum(q.w::DOUBLE * d.w::DOUBLE) AS s
+    FROM origin q JOIN docs d ON d.f = q.f GROUP BY ALL),
+run AS (SELECT * FROM (SELECT q_idx, doc_idx, row_number() OVER (PARTITION BY q_idx ORDER BY round(s, 9) DESC, doc_idx) AS rank,
+    s AS score FROM shared) WHERE rank <= {X.TOP}) {X.RUN_ROWS}"""
+
+
+@query("X2_updated_index_scan", _CHANGED_RUN)
+def x2_scan(spark, sf):
+    return X.run_rows(read_index(spark, _changed(spark, sf)).search(X.raw_codes(spark, sf, "q_idx"), X.TOP))
+
+
+@query("X2_updated_index_postings", _CHANGED_RUN)
+def x2_postings(spark, sf):
+    return X.run_rows(read_index(spark, _changed(spark, sf)).lookup(X.raw_codes(spark, sf, "q_idx"), X.TOP))
+
+
+@query("X2_R8_updated_statistics", f"""WITH {_CHANGED} SELECT (SELECT count(DISTINCT vec_id) FROM docs) AS num_docs, count(DISTINCT f) AS features_used,
+format('{{:.1f}}', round_even(count(*) / count(DISTINCT f), 1)) AS avg_posting_length,
+format('{{:.1f}}', round_even(count(*) / count(DISTINCT vec_id), 1)) AS avg_doc_length FROM docs""")
+def x2_stats(spark, sf):
+    return index_store.stored_index_stats(spark, _changed(spark, sf))
+
+
 @query("X3_activity_stream", """SELECT user_id AS feature_id, max(date_diff('hour', TIMESTAMP '2024-01-01', ts))::BIGINT AS last_step,
 (719 - max(date_diff('hour', TIMESTAMP '2024-01-01', ts)))::BIGINT AS gap FROM events GROUP BY user_id""")
 def x3(spark, sf):

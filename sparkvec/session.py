@@ -68,6 +68,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of a folder's files and folders; none if it isn't there."""
+    fs, p = _hadoop_path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file, which is there or not there, never half."""
+    fs, p = _hadoop_path(spark, path)
+    fs.create(p, True).close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder this package wrote."""
     fs, p = _hadoop_path(spark, path)

@@ -1,4 +1,4 @@
-"""Stored models, indexes, rankings and reports."""
+"""Stored models, rankings and reports."""
 
 from __future__ import annotations
 
@@ -7,13 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vector as V
 from ..operators.coding import DenseAE, META_SCHEMA, SparseCoder, StoredCoder, WEIGHTS_SCHEMA, coder_from_frames, vectors_array
 from ..operators.coding import stored_coder as coder_of_frames
-from ..operators.search import SparseIndex, doc_stats_of
-
-INDEX_DOCS = f"doc_idx bigint, code {V.CODE_TYPE}"
-POSTINGS = "feature_id int, doc_idx bigint, weight float, doc_norm double"
+from .index_store import read_index, write_index  # noqa: F401
 
 
 def write_weights(coder: SparseCoder, spark: SparkSession, path: str, **provenance) -> None:
@@ -73,25 +69,6 @@ def read_dense_ae(spark: SparkSession, path: str) -> DenseAE:
     return DenseAE(sides["enc"], sides["dec"], bool(meta["normalize"]))
 
 
-def write_index(index: SparseIndex, path: str, batch: str = "base") -> None:
-    """Codes by document, and postings range-clustered by (feature, document).
-
-    The compound range splits a feature shared by much of the corpus over many files,
-    and sorted files let a lookup skip the row groups of other features. A batch of added
-    documents has a folder of its own, so writing it again replaces it.
-    """
-    index.docs.select("doc_idx", "code").write.mode("overwrite").parquet(f"{path}/docs/batch={batch}")
-    (index.postings.select("feature_id", "doc_idx", "weight", "doc_norm")
-     .repartitionByRange("feature_id", "doc_idx").sortWithinPartitions("feature_id", "doc_idx")
-     .write.mode("overwrite").parquet(f"{path}/postings/batch={batch}"))
-
-
-def read_index(spark: SparkSession, path: str) -> SparseIndex:
-    docs = spark.read.schema(INDEX_DOCS).option("recursiveFileLookup", "true").parquet(f"{path}/docs")
-    postings = spark.read.schema(POSTINGS).option("recursiveFileLookup", "true").parquet(f"{path}/postings")
-    return SparseIndex(docs, postings, doc_stats_of(docs))
-
-
 def write_trec(run: DataFrame, path: str, tag: str, real_score: bool = False) -> None:
     """Run file(s) ordered by query and rank across the part files."""
     from ..operators.metrics import trec_lines

@@ -14,10 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import vector as V
 from ..operators.embed import embed
-from ..operators.search import build_index
 from ..session import path_exists
 from ..sources.dense import mismatches
-from ..sources.stores import write_index
+from ..sources.index_store import compact_index, write_segment
 
 
 def check_guard(spark: SparkSession, path: str, guard: dict) -> None:
@@ -52,10 +51,16 @@ def read_embedded(spark: SparkSession, path: str) -> DataFrame:
         "recursiveFileLookup", "true").parquet(f"{path}/vectors")
 
 
-def index_stream(codes: DataFrame, path: str, available_now: bool = True) -> StreamingQuery:
-    """Add a stream of `codes(doc_idx, code)` to the index stored at `path`."""
+def index_stream(codes: DataFrame, path: str, available_now: bool = True, compact_every: int = 0) -> StreamingQuery:
+    """Bring a stream of `codes(doc_idx, code)` into the index stored at `path`.
+
+    A document that comes again replaces its older state, a null code deletes it. With `compact_every` the
+    batches are merged into a new base after each so many.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_index(build_index(batch), path, batch=str(batch_id))
+        write_segment(batch, path, batch_id)
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            compact_index(batch.sparkSession, path)
 
     writer = codes.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
