@@ -10,6 +10,27 @@ MARGIN = 2 * 10.0 ** -DECIMALS      # entries this close to a bound may round on
 POSITIVE = 0.5 * 10.0 ** -DECIMALS  # scores above this are positive after rounding
 
 
+def once(broadcast):
+    """A broadcast value for one use in a worker, which doesn't keep it: it is read from the local copy again."""
+    value = broadcast.value
+    broadcast.__dict__.pop("_value", None)
+    return value
+
+
+def grouped(batches, limit: int):
+    """Lists of Arrow batches of about `limit` bytes each."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def list_matrix(column, dtype=np.float64) -> np.ndarray:
     """Arrow list column of equal-length vectors -> (rows, dim)."""
     if isinstance(column, pa.ChunkedArray):
@@ -68,14 +89,14 @@ def top_columns(scores: np.ndarray, k: int, floor: np.ndarray | None = None):
 class RunningTopK:
     """Best k (score, id) per query over the batches one task has seen."""
 
-    def __init__(self, n_queries: int, k: int):
+    def __init__(self, n_queries: int, k: int, floor: np.ndarray | None = None):
         self.k = k
         self.n = n_queries
         self.query = np.zeros(0, np.int64)
         self.doc = np.zeros(0, np.int64)
         self.key = np.zeros(0)
         self.score = np.zeros(0)
-        self.floor = np.full(n_queries, -np.inf)
+        self.floor = np.full(n_queries, -np.inf) if floor is None else floor.astype(np.float64)
 
     def _candidates(self, scores: np.ndarray, allowed: np.ndarray | None):
         """Entries that can still enter the lists, at least the k best new ones of each query."""
@@ -105,10 +126,10 @@ class RunningTopK:
         query, doc, key, score = query[order], doc[order], key[order], score[order]
         starts = np.searchsorted(query, np.arange(self.n))
         position = np.arange(len(query)) - starts[query]
-        keep = position < self.k
+        keep = (position < self.k) & (key >= self.floor[query])
         self.query, self.doc, self.key, self.score = query[keep], doc[keep], key[keep], score[keep]
         full = position[keep] == self.k - 1
-        self.floor[self.query[full]] = self.key[full]
+        self.floor[self.query[full]] = np.maximum(self.floor[self.query[full]], self.key[full])
 
 
 class DenseQueries:

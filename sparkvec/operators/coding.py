@@ -241,9 +241,7 @@ class Shared:
 
     def take(self):
         """The model for one use in a worker, which doesn't keep it: it is read from the local copy again."""
-        model = self.kind(**self.fields.value)
-        self.fields.__dict__.pop("_value", None)
-        return model
+        return self.kind(**blocks.once(self.fields))
 
     def destroy(self) -> None:
         self.fields.destroy()
@@ -361,20 +359,6 @@ def _shares(df: DataFrame, coder: SparseCoder | StoredCoder, bound: int | None,
     return Shards(df.sparkSession, cut(coder, min(bound, SHARD_BYTES)))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches put together to about `limit` bytes, so that weights are read once per group of rows."""
-    held, size = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.nbytes
-        if size >= limit:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _map_groups(df: DataFrame, column: str, compute, added: str) -> DataFrame:
     """Append the `added` columns, computed by `compute(Arrow column) -> [arrays]` on groups of rows."""
     from pyspark.sql.types import StructType
@@ -382,7 +366,8 @@ def _map_groups(df: DataFrame, column: str, compute, added: str) -> DataFrame:
     names, limit = [f.name for f in schema.fields], GROUP_BYTES
 
     def run(batches):
-        for group in _grouped(batches, limit):
+        for held in blocks.grouped(batches, limit):
+            group = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             yield pa.RecordBatch.from_arrays(list(group.columns) + list(compute(group.column(column))), names=names)
 
     return df.mapInArrow(run, schema)
