@@ -349,3 +349,14 @@ def m17(spark, sf):
     """Dense, sparse and raw methods on the same judged queries."""
     _, metrics, _ = suites.benchmark(*_frames(spark, sf), [X.SAE_K], X.coder(), baselines=("raw_topk",))
     return _long(metrics)
+
+
+@query("T11_select_coder", f"""WITH {metrics_sql(_sweep_sql((4, 16, 32)))}, c AS (SELECT * FROM (VALUES
+  (0, 'small', 4), (1, 'large', 32), (2, 'large again', 32), (3, 'middle', 16)) t(place, coder, k)),
+v AS (SELECT place::INTEGER AS place, coder, coalesce(ndcg_at_10, 0) AS value FROM c LEFT JOIN scores USING (k))
+SELECT place, coder, round(value, 6) AS value, place = (SELECT arg_max(place, (round(value, 12), -place)) FROM v) AS chosen FROM v""")
+def t11(spark, sf):
+    """Four stored coders, two of them alike, scored in one pass."""
+    q, d, rel = _frames(spark, sf)
+    coders = {"small": X.coder(4), "large": X.coder(32), "large again": X.coder(32), "middle": X.coder(16)}
+    return suites.select_coder(q, d, rel, coders).select("place", "coder", X.r6("value").alias("value"), "chosen")

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..operators import coding as C
 from ..operators import losses as L
+from ..operators import metrics as M
+from ..plans import suites
 from . import inputs as X
 from .registry import query
 
@@ -91,3 +93,98 @@ def t6(spark, sf):
 SELECT i, sum((x - y) * (x - y)) AS err, var_pop(x) AS var, count(*) AS n FROM hat GROUP BY i)""")
 def t13(spark, sf):
     return L.norm_mse(C.forward(X.vectors(spark, sf, "row_idx"), X.coder())).select(X.r6("norm_mse").alias("norm_mse"))
+
+
+# ------------------------------------------------------------------ dead features and combined objectives
+
+def _dead(spark, sf, **kind):
+    """Vectors as steps, their eight strongest features as the active ones; dead after 40 steps."""
+    codes = C.encode(X.vectors(spark, sf, "step"), X.coder(**kind), 8)
+    activity = C.active_features(codes.select("step", "code")).select("step", "feature_id")
+    steps = X.table(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    return L.dead_features(M.steps_since_active(activity, steps, X.DICT), 40)
+
+
+_AUX = f"""{_HAT32},
+steps AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+dead AS (SELECT t.f FROM range({X.DICT}) t(f) LEFT JOIN (SELECT f, max(vec_id) AS s FROM codes WHERE r <= 8 GROUP BY f) l ON l.f = t.f, steps
+         WHERE coalesce(n - 1 - s, n) > 40),
+aux AS (SELECT vec_id, f, greatest(h, 0) + ln(1 + exp(-abs(h))) AS z FROM (
+    SELECT vec_id, f, h, row_number() OVER (PARTITION BY vec_id ORDER BY round(h, 9) DESC, f) AS r FROM pre JOIN dead USING (f)) WHERE r <= 16),
+xa AS (SELECT v.vec_id, v.f AS i, coalesce(sum(a.z * d.w), 0) + max(b.c) AS y FROM vec v JOIN dbias b ON b.i = v.f
+       LEFT JOIN aux a ON a.vec_id = v.vec_id LEFT JOIN dcd d ON d.f = a.f AND d.i = v.f GROUP BY v.vec_id, v.f),
+auxk AS (SELECT vec_id, sum(pow(xa.y - (hat.x - hat.y), 2)) AS e FROM xa JOIN hat USING (vec_id, i) GROUP BY vec_id)"""
+
+
+@query("T3_auxk_loss", f"WITH {X.sae_sql()}, {_AUX} SELECT round(avg(e), 4) AS auxk, (SELECT count(*) FROM dead) AS dead FROM auxk")
+def t3(spark, sf):
+    dead = _dead(spark, sf)
+    return L.auxk_loss(X.vectors(spark, sf, "row_idx"), X.coder(), dead, 16).select(
+        F.round("auxk", 4).alias("auxk"), F.lit(len(dead)).cast("bigint").alias("dead"))
+
+
+@query("T3_sharded_auxk_loss", f"WITH {X.sae_sql()}, {_AUX} SELECT round(avg(e), 4) AS auxk FROM auxk")
+def t3_sharded(spark, sf):
+    """The dead features' weights in several pieces."""
+    return L.auxk_loss(X.vectors(spark, sf, "row_idx"), X.coder(), _dead(spark, sf), 16, bound=40 * 2 * 4 * X.DIM).select(
+        F.round("auxk", 4).alias("auxk"))
+
+
+_PAIR_TERMS = """
+cnt AS (SELECT vec_id, count(*) AS n FROM codes GROUP BY vec_id),
+shr AS (SELECT a.vec_id, count(*) AS ns, sum(abs(abs(a.w::DOUBLE) - abs(b.w::DOUBLE))) AS g, sum(a.w::DOUBLE * b.w::DOUBLE) AS s
+        FROM codes a JOIN codes b ON b.vec_id = a.vec_id + 1 AND b.f = a.f GROUP BY a.vec_id),
+pr AS (SELECT x.vec_id, coalesce(na.n, 0) + coalesce(nb.n, 0) - 2 * coalesce(ns, 0) + 0.5 * coalesce(g, 0) AS al,
+              pow(coalesce(s, 0) - list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 2) AS di
+       FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 LEFT JOIN shr ON shr.vec_id = x.vec_id
+       LEFT JOIN cnt na ON na.vec_id = x.vec_id LEFT JOIN cnt nb ON nb.vec_id = x.vec_id + 1),
+bt AS (SELECT vec_id, ('0x' || substr(md5('0:' || vec_id), 1, 15))::BIGINT % greatest(1, round_even((SELECT count(*) FROM pr) / 64, 0)::INT) AS batch FROM pr),
+dots AS (SELECT q.vec_id AS qi, d.vec_id AS di, sum(a.w::DOUBLE * c.w::DOUBLE) AS s FROM bt q JOIN bt d USING (batch)
+  JOIN codes a ON a.vec_id = q.vec_id JOIN codes c ON c.vec_id = d.vec_id + 1 AND c.f = a.f GROUP BY q.vec_id, d.vec_id),
+lg AS (SELECT q.vec_id, coalesce(s, 0) / 0.05 AS l, q.vec_id = d.vec_id AS pos FROM bt q JOIN bt d USING (batch)
+  LEFT JOIN dots ON qi = q.vec_id AND di = d.vec_id),
+lz AS (SELECT vec_id, max(l) + ln(sum(exp(l - m))) AS z FROM lg JOIN (SELECT vec_id, max(l) AS m FROM lg GROUP BY vec_id) USING (vec_id) GROUP BY vec_id),
+nce AS (SELECT avg(z - l) AS contrastive FROM lz JOIN lg USING (vec_id) WHERE pos)"""
+
+_RECON = """rec AS (SELECT vec_id, 1 - sum(x * y) / (greatest(sqrt(sum(x * x)), 1e-8) * greatest(sqrt(sum(y * y)), 1e-8)) AS e FROM hat GROUP BY vec_id)"""
+
+
+def _totals(total: str) -> str:
+    return f"""SELECT round(recon, 5) AS recon, round(align, 5) AS align, round(distill, 5) AS distill, round(auxk, 4) AS auxk,
+round(contrastive, 4) AS contrastive, round({total}, 4) AS total FROM means, nce"""
+
+
+def _regime(name, total, aux=True, **options):
+    kind = {"model_type": options.pop("model_type", "sae")}
+    if kind["model_type"] == "sae":
+        means = "(SELECT avg((a.e + b.e) / 2) FROM pr JOIN rec a USING (vec_id) JOIN rec b ON b.vec_id = pr.vec_id + 1) AS recon"
+        means += ", " + ("(SELECT avg((a.e + b.e) / 2) FROM pr JOIN auxk a USING (vec_id) JOIN auxk b ON b.vec_id = pr.vec_id + 1)" if aux else "0e0") + " AS auxk"
+        parts = f"{X.sae_sql()}, {_AUX if aux else _HAT32}, {_RECON}"
+    else:
+        means, parts = "0e0 AS recon, 0e0 AS auxk", X.sae_sql(centred=False)
+
+    @query(name, f"WITH {parts}, {_PAIR_TERMS}, means AS (SELECT avg(al) AS align, avg(di) AS distill, {means} FROM pr) {_totals(total)}")
+    def run(spark, sf):
+        pairs = X.neighbours(spark, sf).select(F.col("vec_id").alias("row_idx"), F.col("a").alias("q_emb"), F.col("b").alias("p_emb"))
+        out = L.combined_losses(pairs, X.coder(**kind), dead=_dead(spark, sf) if aux else None, batch_size=64, auxk_k=16, **options)
+        return out.select(*[F.round(c, n).alias(c) for c, n in (("recon", 5), ("align", 5), ("distill", 5), ("auxk", 4), ("contrastive", 4), ("total", 4))])
+
+
+_regime("T7_stage2_paired", "recon + 0.3 * align + auxk / 32", cache="paired")
+_regime("T7_stage2_retrieval", "recon + 0.3 * distill + auxk / 32 + 0.05 * contrastive", cache="retrieval")
+_regime("T7_stage3_paired", "contrastive + 0.1 * recon", aux=False, cache="paired", stage=3)
+_regime("T7_stage3_retrieval", "contrastive + 0.1 * recon + 0.05 * distill", aux=False, cache="retrieval", stage=3)
+_regime("T7_encoder_only", "0.3 * distill + 0.05 * contrastive", aux=False, cache="retrieval", model_type="encoder_only")
+
+
+@query("T7_schedules", """WITH s AS (SELECT DISTINCT date_diff('hour', TIMESTAMP '2024-01-01', ts)::BIGINT AS step FROM events)
+SELECT step, CASE WHEN step >= 500 THEN 32 ELSE greatest(32, round_even(256 + (32 - 256) * (step / 500e0), 0)::INT) END::INTEGER AS linear_k,
+CASE WHEN step >= 500 THEN 32 ELSE greatest(32, round_even(32 + (256 - 32) * 0.5e0 * (1 + cos(pi() * (step / 500e0))), 0)::INT) END::INTEGER AS cosine_k,
+round(CASE WHEN step < 100 THEN step / 100e0 ELSE 0.5e0 * (1 + cos(pi() * (step - 100) / 620e0)) END, 6) AS rate FROM s""")
+def t7_schedules(spark, sf):
+    """k and share of the learning rate at every hour of the events as a training step."""
+    step = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / 3600).cast("bigint")
+    s, first = F.col("step"), L.first_k(2048, 32)
+    return X.table(spark, sf, "events").select(step.alias("step")).distinct().select(
+        "step", L.annealed_k(s, 500, first, 32).alias("linear_k"), L.annealed_k(s, 500, first, 32, "cosine").alias("cosine_k"),
+        X.r6(L.learning_rate_share(s, 720, 100)).alias("rate"))

@@ -100,7 +100,7 @@ class SparseCoder:
             values[part] = np.einsum("ij,ij->i", x[rows[part]], self.enc[cols[part]].astype(np.float64))
         values += self.enc_bias[cols]
         keep = values > 0
-        return _first_of_rows(rows[keep], cols[keep], values[keep], k, n)
+        return first_of_rows(rows[keep], cols[keep], values[keep], k, n)
 
     @functools.cached_property
     def longest(self) -> float:
@@ -197,10 +197,10 @@ def top_codes(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     bound = np.partition(h, width - k, axis=1)[:, width - k] - blocks.MARGIN
     rows, cols = np.nonzero((h >= bound[:, None]) & (h > 0))
-    return _first_of_rows(rows, cols, h[rows, cols], k, n)
+    return first_of_rows(rows, cols, h[rows, cols], k, n)
 
 
-def _first_of_rows(rows, cols, values, k: int, n: int):
+def first_of_rows(rows, cols, values, k: int, n: int):
     order = np.lexsort((cols, -np.round(values, blocks.DECIMALS), rows))
     rows, cols, values = rows[order], cols[order], values[order]
     position = np.arange(len(rows)) - np.searchsorted(rows, np.arange(n))[rows]
@@ -267,7 +267,7 @@ class Shards:
         """`SparseCoder.top` over all pieces, and with `count` the number of positive activations of each vector."""
         best, positive = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.zeros(len(x), np.int64)
         for first, part in self:
-            found, step = [best], _row_limit(part.dict_size)
+            found, step = [best], row_limit(part.dict_size)
             for a in range(0, len(x), step):
                 if count:
                     h = part.pre_activations(x[a:a + step])
@@ -276,7 +276,7 @@ class Shards:
                 else:
                     rows, cols, values = part.top(x[a:a + step], k)
                 found.append((rows + a, cols + first, values))
-            best = _first_of_rows(*(np.concatenate(f) for f in zip(*found)), k, len(x))
+            best = first_of_rows(*(np.concatenate(f) for f in zip(*found)), k, len(x))
         return (best, positive) if count else best
 
     def reconstruct(self, offsets, features, weights) -> np.ndarray:
@@ -348,7 +348,7 @@ def stored_coder(weights: DataFrame, meta: DataFrame, shard_features: int | None
     return StoredCoder(weights, found.asDict(), shard_features)
 
 
-def _shares(df: DataFrame, coder: SparseCoder | StoredCoder, bound: int | None, part, **sides) -> Shared | Shards:
+def share(df: DataFrame, coder: SparseCoder | StoredCoder, bound: int | None, part, **sides) -> Shared | Shards:
     """The coder broadcast whole within the bound, or in pieces."""
     bound = BROADCAST_BYTES if bound is None else bound
     if isinstance(coder, StoredCoder):
@@ -390,7 +390,7 @@ def _decoder_part(coder: SparseCoder) -> SparseCoder:
                    dec=None if coder.tied else coder.dec)
 
 
-def _row_limit(width: int) -> int:
+def row_limit(width: int) -> int:
     return int(min(8192, max(64, (1 << 23) // max(1, width))))
 
 
@@ -403,7 +403,7 @@ def encode(dense: DataFrame, coder: SparseCoder | StoredCoder, k: int | None = N
     Weights over `bound` bytes (the broadcast bound by default), and stored ones, are applied piece by piece.
     """
     k = coder.sparsity(k)
-    shared = _shares(dense, coder, bound, _encoder_part, dec=False)
+    shared = share(dense, coder, bound, _encoder_part, dec=False)
     if isinstance(shared, Shards):
         def pieces(vectors):
             x = blocks.list_matrix(vectors)
@@ -414,7 +414,7 @@ def encode(dense: DataFrame, coder: SparseCoder | StoredCoder, k: int | None = N
     def compute(x):
         return [codes_array(*shared.value.top(x, k), len(x))]
 
-    return map_vectors(dense, column, compute, f"{output} {V.CODE_TYPE}", _row_limit(coder.dict_size))
+    return map_vectors(dense, column, compute, f"{output} {V.CODE_TYPE}", row_limit(coder.dict_size))
 
 
 def encode_sharded(dense: DataFrame, weights: DataFrame, meta: DataFrame, k: int | None = None,
@@ -445,7 +445,7 @@ def decode(codes: DataFrame, coder: SparseCoder | StoredCoder, column: str = "co
     from pyspark.sql.types import StructType
     if isinstance(coder, SparseCoder) and (coder.enc if coder.tied else coder.dec) is None:
         raise ValueError("this coder has no decoder")
-    shared = _shares(codes, coder, bound, _decoder_part, enc=False)
+    shared = share(codes, coder, bound, _decoder_part, enc=False)
     if isinstance(shared, Shards):
         return _map_groups(codes, column, lambda c: [vectors_array(shared.reconstruct(*blocks.code_arrays(c)))], f"{output} array<float>")
     schema = StructType(codes.schema.fields + StructType.fromDDL(f"{output} array<float>").fields)
@@ -465,7 +465,7 @@ def forward(dense: DataFrame, coder: SparseCoder | StoredCoder, k: int | None =
     k = coder.sparsity(k)
     if isinstance(coder, SparseCoder) and (coder.enc if coder.tied else coder.dec) is None:
         raise ValueError("this coder has no decoder")
-    shared = _shares(dense, coder, bound, lambda whole: whole)
+    shared = share(dense, coder, bound, lambda whole: whole)
     whole = isinstance(shared, Shared)
 
     def outcome(x, best, positive, reconstruct):
@@ -485,7 +485,7 @@ def forward(dense: DataFrame, coder: SparseCoder | StoredCoder, k: int | None =
     added = f"{CODE_FIELDS}, x_hat array<float>, active_dims int, positive_pre int"
     if not whole:
         return _map_groups(dense, column, pieces, added)
-    return map_vectors(dense, column, compute, added, _row_limit(coder.dict_size))
+    return map_vectors(dense, column, compute, added, row_limit(coder.dict_size))
 
 
 def normalize_decoder(weights: DataFrame) -> DataFrame:

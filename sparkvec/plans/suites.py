@@ -145,6 +145,44 @@ def selection_score(queries: DataFrame, docs: DataFrame, relevance: DataFrame, m
     return score
 
 
+def select_coder(queries: DataFrame, docs: DataFrame, relevance: DataFrame, coders: dict[str, C.SparseCoder],
+                 metric: str = "ndcg_at_10", top_k: int = 100) -> DataFrame:
+    """`place`, `coder`, `value` of the metric for every coder, and `chosen`: the best one, of equals the first.
+
+    All coders are scored in one pass over the documents: the codes of a document stand side by side
+    under feature numbers of their own, and a query is searched once per coder. A coder that retrieves nothing has 0.
+    """
+    first, spans = 0, []
+    for coder in coders.values():
+        spans.append(first)
+        first += coder.dict_size
+    if first >= 1 << 31:
+        raise ValueError("the dictionaries have too many features together")
+    n = len(coders)
+
+    def shift(at):
+        return lambda e: F.struct((e["feature_id"] + at).cast("int").alias("feature_id"), e["weight"].alias("weight"))
+
+    def coded(df):
+        for i, coder in enumerate(coders.values()):
+            df = C.encode(df, coder, None, "embedding", f"code_{i}")
+        return df, [F.transform(f"code_{i}", shift(at)) for i, at in enumerate(spans)]
+
+    q, moved = coded(judged(queries, relevance).select("q_idx", "embedding"))
+    q = q.select("q_idx", F.posexplode(F.array(*moved)).alias("place", "code")).select(
+        (F.col("q_idx") * n + F.col("place")).alias("q_idx"), "code")
+    d, moved = coded(docs.select("doc_idx", "embedding"))
+    hits = S.sparse_search(q, d.select("doc_idx", F.concat(*moved).alias("code")), top_k, "dot", "positive")
+    run = as_run(hits.withColumn("place", F.pmod("q_idx", F.lit(n))).withColumn("q_idx", F.floor(F.col("q_idx") / n)).withColumnRenamed(
+        "place", "k"), "coder")
+    scores = M.ranking_metrics(run, relevance, [("coder", i) for i in range(n)])
+    names = scores.sparkSession.createDataFrame(list(enumerate(coders)), "k int, coder string")
+    out = cut_lineage(scores.join(F.broadcast(names), "k").select(  # read for its best row too
+        F.col("k").alias("place"), "coder", F.coalesce(metric, F.lit(0.0)).alias("value")))
+    best = out.agg(F.max_by("place", F.struct("value", -F.col("place")))).scalar()
+    return out.withColumn("chosen", F.col("place") == best)
+
+
 class Stopwatch:
     """Materialises stages in the shared checkpoint folder and notes their wall time."""
 
