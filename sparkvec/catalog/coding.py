@@ -154,6 +154,42 @@ def c10(spark, sf):
     return _vector_rows(C.ae_forward(X.vectors(spark, sf, "vec_id"), linear_ae()), "x_hat")
 
 
+def _mlp():
+    """Two layers of closed-form weights each way."""
+    import numpy as np
+    layer = lambda n, m, a, b: ((((np.arange(n)[:, None] * a + np.arange(m) * b) % 991) / 991.0 - 0.5).astype(np.float32),
+                                (np.arange(n) % 5 / 40.0).astype(np.float32))
+    return C.DenseAE([layer(24, X.DIM, 37, 11), layer(8, 24, 53, 17)], [layer(24, 8, 29, 19), layer(X.DIM, 24, 43, 23)])
+
+
+def _layer_sql(name, source, n, m, a, b):
+    """name(vec_id, o, z) of a linear layer on source(vec_id, i, x)."""
+    return f"""{name} AS (SELECT vec_id, o, sum(x * w) + max(bias) AS z FROM {source} JOIN (
+    SELECT o, i, (((o*{a} + i*{b}) % 991) / 991e0 - 0.5e0)::FLOAT::DOUBLE AS w, ((o % 5) / 40e0)::FLOAT::DOUBLE AS bias
+    FROM range({n}) t(o), range({m}) u(i)) USING (i) GROUP BY vec_id, o)"""
+
+
+def _gelu_sql(name, source):
+    """name(vec_id, i, x): the error function by its power series, exact to 1e-12 for the sizes that occur."""
+    erf = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 50), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * pow(z / sqrt(2), 2 * n + 1) / (gamma(n + 1e0) * (2 * n + 1))))"
+    return f"{name} AS (SELECT vec_id, o AS i, 0.5 * z * (1 + {erf}) AS x FROM {source})"
+
+
+_MLP = ",\n".join(["WITH " + X.LONG.strip(), "inp AS (SELECT vec_id, f AS i, x FROM vec)", _layer_sql("h1", "inp", 24, 64, 37, 11), _gelu_sql("g1", "h1"),
+                   _layer_sql("lat", "g1", 8, 24, 53, 17), "n AS (SELECT vec_id, sqrt(sum(z * z)) AS n FROM lat GROUP BY vec_id)"])
+
+
+@query("C9_mlp_encode", f"{_MLP} SELECT vec_id, o::INTEGER AS pos, round((z / greatest(n, 1e-8))::FLOAT::DOUBLE, 5) AS x FROM lat JOIN n USING (vec_id)")
+def c9_mlp(spark, sf):
+    return _vector_rows(C.ae_encode(X.vectors(spark, sf, "vec_id"), _mlp()), "latent")
+
+
+@query("C10_mlp_forward", ",\n".join([_MLP, "raw AS (SELECT vec_id, o AS i, z AS x FROM lat)", _layer_sql("h2", "raw", 24, 8, 29, 19), _gelu_sql("g2", "h2"),
+                                      _layer_sql("fin", "g2", 64, 24, 43, 23)]) + " SELECT vec_id, o::INTEGER AS pos, round(z::FLOAT::DOUBLE, 5) AS x FROM fin")
+def c10_mlp(spark, sf):
+    return _vector_rows(C.ae_forward(X.vectors(spark, sf, "vec_id"), _mlp()), "x_hat")
+
+
 @query("C11_sharded_encode", f"WITH {X.sae_sql()} {_ROWS}")
 def c11(spark, sf):
     weights, meta = X.coder().to_frames(spark)

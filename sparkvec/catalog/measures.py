@@ -209,6 +209,19 @@ def m12(spark, sf):
     return _long(M.ranking_metrics(suites.raw_topk_run(suites.judged(q, rel), d, X.RAW_K), rel))
 
 
+@query("M12_raw_topk_sweep", f"""WITH {X.raw_sql(32)}, ks AS (SELECT unnest([4, 16, 32]) AS k),
+shk AS (SELECT k, q.vec_id AS q_idx, d.vec_id AS doc_idx, sum(q.w::DOUBLE * d.w::DOUBLE) AS s FROM ks JOIN codes q ON q.r <= k
+        JOIN codes d ON d.f = q.f AND d.r <= k GROUP BY ALL),
+{metrics_sql(f"""runs AS (SELECT * FROM (SELECT 'raw_topk' AS method, ks.k, q.vec_id AS q_idx, d.vec_id AS doc_idx,
+    row_number() OVER (PARTITION BY ks.k, q.vec_id ORDER BY round(coalesce(s, 0e0), 9) DESC, d.vec_id) AS rank
+    FROM ks CROSS JOIN embeddings q CROSS JOIN embeddings d
+    LEFT JOIN shk ON shk.k = ks.k AND shk.q_idx = q.vec_id AND shk.doc_idx = d.vec_id) WHERE rank <= {X.TOP})""")} {_LONG}""")
+def m12_sweep(spark, sf):
+    """Three sizes of raw codes from one encoding and one pass."""
+    q, d, rel = _frames(spark, sf)
+    return _long(M.ranking_metrics(suites.raw_topk_sweep(suites.judged(q, rel), d, (4, 16, 32)), rel))
+
+
 _CENTRED_RUN = f"""mean AS (SELECT f, avg(x) AS m FROM vec GROUP BY f),
 centred AS (SELECT vec_id, list((x - m)::FLOAT::DOUBLE ORDER BY f) AS v FROM vec JOIN mean USING (f) GROUP BY vec_id),
 run AS (SELECT * FROM (SELECT q_idx, doc_idx, row_number() OVER (PARTITION BY q_idx ORDER BY round(s, 9) DESC, doc_idx) AS rank
@@ -224,6 +237,15 @@ def m13_identity(spark, sf):
     return _long(M.ranking_metrics(suites.pca_run(suites.judged(q, rel), d, X.DIM // 2), rel))
 
 
+@query("M13_pca_identity_sweep", f"""WITH {X.LONG}, {_CENTRED_RUN},
+{metrics_sql(f"runs AS (SELECT 'pca' AS method, k, run.* FROM run, (SELECT unnest([{X.DIM // 2}, {X.DIM // 2 + 9}]) AS k))")} {_LONG}""")
+def m13_identity_sweep(spark, sf):
+    """Sizes that reach the full dimension next to a reduced one, from one fit and one pass; the reduced one is left out here."""
+    q, d, rel = _frames(spark, sf)
+    metrics = M.ranking_metrics(suites.pca_sweep(suites.judged(q, rel), d, (4, X.DIM // 2, X.DIM // 2 + 9)), rel)
+    return _long(metrics.where("k > 4"))
+
+
 @query("M13_pca_suite")
 def m13(spark, sf):
     q, d, rel = _frames(spark, sf)

@@ -221,11 +221,12 @@ def k1(spark, sf):
         "embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 
 
-@query("K2_manifest", f"""SELECT 2::INTEGER AS cache_version, 'm' AS model_name, 8::INTEGER AS batch_size, '' AS system_instruction,
-'' AS text_prefix, 'doc' AS kind, count(*)::BIGINT AS count, 64::INTEGER AS embedding_dim, {_DIGEST} AS id_sha256,
+@query("K2_manifest", f"""SELECT 3::INTEGER AS cache_version, 'm' AS model_name, 8::INTEGER AS batch_size, '' AS system_instruction,
+'' AS text_prefix, 'doc' AS kind, count(*)::BIGINT AS count, 64::INTEGER AS embedding_dim, (SELECT sha256(string_agg(d, chr(10) ORDER BY r)) FROM (
+    SELECT vec_id // 1048576 AS r, {_DIGEST} AS d FROM embeddings GROUP BY ALL)) AS id_sha256,
 min(vec_id)::VARCHAR AS first_id, max(vec_id)::VARCHAR AS last_id FROM embeddings""")
 def k2(spark, sf):
-    return D.manifest(_dense_rows(spark, sf), digest="joined", model_name="m", batch_size=8, kind="doc")
+    return D.manifest(_dense_rows(spark, sf), model_name="m", batch_size=8, kind="doc")
 
 
 @query("K2_ranged_digest", """SELECT sha256(string_agg(d, chr(10) ORDER BY r)) AS id_sha256 FROM (

@@ -51,12 +51,7 @@ def e2(spark, sf):
 @query("E7_embed_relational", _DOC_ROWS)
 def e7(spark, sf):
     """The hashing embedder as an aggregate over exploded tokens."""
-    words = X.table(spark, sf, "documents").select(
-        "doc_id", F.explode(F.split("text", r"[ \t\n\r\f\x0B]+")).alias("t")).where(F.col("t") != "")
-    h = F.md5(F.col("t").cast("binary"))
-    bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % 64).cast("int")
-    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    counts = words.groupBy("doc_id", bucket.alias("f")).agg(F.sum(sign).cast("double").alias("c"))
+    counts = E.hashing_vectors(X.table(spark, sf, "documents"), "doc_id", 64)
     norms = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
     return counts.join(norms, "doc_id").select(
         "doc_id", "f", (F.col("c") / (F.col("n") + V.EPS)).cast("float").alias("w")).where(F.col("w") != 0).select(
@@ -200,5 +195,5 @@ def x3(spark, sf):
     X.table(spark, sf, "events").select(F.col("user_id").alias("feature_id"), step.cast("bigint").alias("step")).repartition(
         3).write.parquet(source)
     stream = jobs.stream_table(spark, source, "feature_id bigint, step bigint")
-    jobs.activity_snapshot(stream, path, 720).awaitTermination()
-    return spark.read.parquet(f"{path}/snapshot")
+    jobs.activity_snapshot(stream, path).awaitTermination()
+    return jobs.read_activity(spark, path, 720)

@@ -626,6 +626,8 @@ def pca_fit(docs: DataFrame, dim: int, max_docs: int | None = None, seed: int =
     from .relevance import seeded_sample
 
     n = docs.count()
+    if n == 0:  # nothing to centre or to turn
+        return PCAModel(np.zeros(0), np.zeros((0, 0)), "identity", 0)
     d = docs.select(F.size("embedding").alias("d")).first()["d"]
     sample = docs if max_docs is None else seeded_sample(docs, n, max_docs, seed)
     vectors = sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))

@@ -30,24 +30,45 @@ class HashingEmbedder:
     modulo `dim` give the component, an even ninth digit the plus sign.
     """
 
+    # Tokens whose component an embedder remembers; then it starts anew.
+    TOKENS = 500_000
+
     def __init__(self, dim: int = 64):
         self.dim = dim
+        self.known: dict[str, int] = {}
+
+    def _place(self, token: str) -> int:
+        """The token's component, and `dim` more for a minus sign."""
+        h = hashlib.md5(token.encode()).hexdigest()
+        self.known[token] = place = int(h[:8], 16) % self.dim + (self.dim if int(h[8], 16) % 2 else 0)
+        return place
 
     def embed(self, batch: list[dict]) -> np.ndarray:
-        known: dict[str, tuple[int, int]] = {}
+        if len(self.known) > self.TOKENS:
+            self.known = {}
         out = np.zeros((len(batch), self.dim))
         for i, request in enumerate(batch):
-            for token in re.split(r"[ \t\n\r\f\v]+", request.get("text") or ""):
-                if not token:
-                    continue
-                if token not in known:
-                    h = hashlib.md5(token.encode()).hexdigest()
-                    known[token] = (int(h[:8], 16) % self.dim, 1 if int(h[8], 16) % 2 == 0 else -1)
-                bucket, sign = known[token]
-                out[i, bucket] += sign
+            tokens = [t for t in re.split(r"[ \t\n\r\f\v]+", request.get("text") or "") if t]
+            places = list(map(self.known.get, tokens))
+            if None in places:
+                places = [self._place(t) if p is None else p for t, p in zip(tokens, places)]
+            counts = np.bincount(np.array(places, np.int64), minlength=2 * self.dim)
+            out[i] = counts[:self.dim] - counts[self.dim:]
         return out
 
 
+def hashing_vectors(texts: DataFrame, key: str, dim: int = 64, text_col: str = "text") -> DataFrame:
+    """The embedding of `HashingEmbedder` in column functions: (`key`, f, c) of the components that aren't 0, before any norm.
+
+    Tokens are counted before the shuffle by (key, component), so a long text costs `dim` rows.
+    """
+    words = texts.select(key, F.explode(F.split(text_col, r"[ \t\n\r\f\x0B]+")).alias("t")).where(F.col("t") != "")
+    h = F.md5(F.col("t").cast("binary"))
+    bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    return words.groupBy(key, bucket.alias("f")).agg(F.sum(sign).cast("double").alias("c")).where("c <> 0")
+
+
 _REGISTRY: dict[str, Callable[..., Embedder]] = {"hashing": HashingEmbedder}
 
 

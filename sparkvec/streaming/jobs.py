@@ -75,17 +75,27 @@ def activity_stream(activity: DataFrame) -> DataFrame:
     return activity.groupBy("feature_id").agg(F.max("step").alias("last_step"))
 
 
-def activity_snapshot(stream: DataFrame, path: str, n_steps: int, available_now: bool = True) -> StreamingQuery:
-    """Keep `path/snapshot` at the features' current gaps."""
+def activity_snapshot(stream: DataFrame, path: str, available_now: bool = True) -> StreamingQuery:
+    """Write the features that each micro-batch of `activity(step, feature_id)` touches to a folder of the batch.
+
+    Only touched features are written; a batch that is run again replaces its own folder, and readers never
+    find a folder gone.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select("feature_id", "last_step", (F.lit(n_steps - 1) - F.col("last_step")).alias("gap")).write.mode(
-            "overwrite").parquet(f"{path}/snapshot")
+        batch.write.mode("overwrite").parquet(f"{path}/activity/batch={batch_id}")
 
-    writer = activity_stream(stream).writeStream.outputMode("complete").foreachBatch(write).option(
+    writer = activity_stream(stream).writeStream.outputMode("update").foreachBatch(write).option(
         "checkpointLocation", f"{path}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def read_activity(spark: SparkSession, path: str, n_steps: int) -> DataFrame:
+    """`feature_id`, last_step and gap as of the last whole batch."""
+    rows = spark.read.schema("feature_id bigint, last_step bigint").option("recursiveFileLookup", "true").parquet(f"{path}/activity")
+    return rows.groupBy("feature_id").agg(F.max("last_step").alias("last_step")).withColumn(
+        "gap", F.lit(n_steps - 1) - F.col("last_step"))
+
+
 def stream_table(spark: SparkSession, path: str, schema: str, max_files: int = 1) -> DataFrame:
     """Parquet files of a folder as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)

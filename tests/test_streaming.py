@@ -64,8 +64,11 @@ def test_activity_over_restarts(spark, tmp_path):
 
     def add(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        jobs.activity_snapshot(jobs.stream_table(spark, source, schema), path, 10).awaitTermination()
-        return {r["feature_id"]: r["gap"] for r in spark.read.parquet(f"{path}/snapshot").collect()}
+        jobs.activity_snapshot(jobs.stream_table(spark, source, schema), path).awaitTermination()
+        return {r["feature_id"]: r["gap"] for r in jobs.read_activity(spark, path, 10).collect()}
 
     assert add([(1, 2), (1, 5), (2, 0)]) == {1: 4, 2: 9}
     assert add([(2, 9), (3, 1), (1, 4)]) == {1: 4, 2: 0, 3: 8}
+    assert add([(3, 6)]) == {1: 4, 2: 0, 3: 3}
+    last = spark.read.parquet(f"{path}/activity/batch=2").collect()  # the third batch touched one feature only
+    assert [(r["feature_id"], r["last_step"]) for r in last] == [(3, 6)]

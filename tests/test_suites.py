@@ -100,3 +100,34 @@ def test_job_on_files(spark, tmp_path):
     lines = [r[0] for r in spark.read.text(f"{tmp_path}/out/runs/dense_k0").collect()]
     assert len(lines) == 5 * 30 and "q0 Q0 d0 1 1.000000 sparkvec_dense_k0" in lines
     assert json.loads(spark.read.text(f"{tmp_path}/out/report/report").first()[0])["context"]["model_name"] == "hashing"
+
+
+def test_pca_sweep_against_numpy(spark):
+    """Reduced and whole sizes from one fit rank as projections on the eigenvectors of the covariance do."""
+    r = np.random.default_rng(2)
+    x = (r.normal(size=(80, 10)) * np.linspace(3, 0.2, 10)).astype(np.float32)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_idx bigint, embedding array<float>")
+    queries = docs.where("doc_idx < 7").select(F.col("doc_idx").alias("q_idx"), "embedding")
+    got = {(h["k"], h["q_idx"], h["rank"]): h["doc_idx"] for h in suites.pca_sweep(queries, docs, [2, 5, 1, 30], 6).collect()}
+    c = x.astype(float) - x.astype(float).mean(axis=0)
+    values, vectors = np.linalg.eigh(np.cov(c.T))
+    vectors = vectors[:, np.argsort(-values)]
+    for k in (1, 2, 5, 30):
+        z = c @ vectors[:, :min(2 * k, 10)]
+        for q in range(7):
+            assert [got[k, q, i + 1] for i in range(6)] == np.argsort(-(z @ z[q]), kind="stable")[:6].tolist()
+
+
+def test_sweeps_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_idx bigint, embedding array<float>")
+    queries = none.withColumnRenamed("doc_idx", "q_idx")
+    assert suites.pca_sweep(queries, none, [1, 3]).collect() == [] and suites.raw_topk_sweep(queries, none, [1, 3]).collect() == []
+
+
+def test_raw_sweep_equals_single_runs(spark):
+    r = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, r.normal(size=9).tolist()) for i in range(30)], "doc_idx bigint, embedding array<float>")
+    queries = docs.where("doc_idx < 4").withColumnRenamed("doc_idx", "q_idx")
+    got = sorted(map(tuple, suites.raw_topk_sweep(queries, docs, [2, 5], 8).select("k", "q_idx", "rank", "doc_idx").collect()))
+    want = [tuple(h) for k in (2, 5) for h in suites.raw_topk_run(queries, docs, k, 8).select("k", "q_idx", "rank", "doc_idx").collect()]
+    assert got == sorted(want)
