@@ -68,6 +68,19 @@ tcode AS (SELECT side, id, f, w FROM (SELECT *, row_number() OVER (PARTITION BY
           FROM emb) WHERE r <= 16 AND w <> 0)"""
 
 
+@query("R2_bounded_lookup", f"WITH {X.search_sql(X.raw_sql(), top=10)} {X.RUN_ROWS}")
+def r2_bounded(spark, sf):
+    """Signed codes looked up through the stored bounds of blocks of documents."""
+    path = X.scratch(spark, "bounded")
+    stores.write_index(_index(spark, sf), path)
+    return X.run_rows(stores.read_index(spark, path).search(X.raw_codes(spark, sf, "q_idx"), 10, backend="bounded"))
+
+
+@query("R3_bounded_lookup_cosine", f"WITH {X.search_sql(X.raw_sql(), 'cosine', 'positive', top=10)} {X.RUN_ROWS}")
+def r3_bounded(spark, sf):
+    return X.run_rows(_index(spark, sf).search(X.raw_codes(spark, sf, "q_idx"), 10, "cosine", "bounded", positive_only=True))
+
+
 @query("R2_text_lookup", f"""WITH {_TEXT_RAW}, s AS (
   SELECT q.id AS q_idx, d.id AS doc_idx, sum(q.w::DOUBLE * d.w::DOUBLE) AS s FROM tcode q JOIN tcode d
   ON d.f = q.f AND q.side = 'q' AND d.side = 'd' GROUP BY q.id, d.id)

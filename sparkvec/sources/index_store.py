@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators.search import SparseIndex, doc_stats_of, one_decimal, postings_of
+from ..operators.search import SparseIndex, bounds_of, doc_stats_of, one_decimal, postings_of
 from ..session import child_names, remove, touch
 
 INDEX_DOCS = f"doc_idx bigint, code {V.CODE_TYPE}"
 POSTINGS = "feature_id int, doc_idx bigint, weight float, doc_norm double"
 STATS = "feature_id int, n bigint"
+BOUNDS = "feature_id int, block bigint, top double, low double, top_share double, low_share double"
 # Documents of later segments whose ids are broadcast (8 bytes each); more of them meet the base by shuffle.
 TOUCHED_BROADCAST = 4_000_000
 
@@ -37,6 +38,7 @@ def _write(index: SparseIndex, path: str, name: str) -> None:
     (index.postings.select("feature_id", "doc_idx", "weight", "doc_norm")
      .repartitionByRange("feature_id", "doc_idx").sortWithinPartitions("feature_id", "doc_idx")
      .write.mode("overwrite").parquet(f"{path}/postings/{name}"))
+    bounds_of(index.postings).write.mode("overwrite").parquet(f"{path}/bounds/{name}")
     if name.startswith("base"):
         _counts(index.postings, index.docs).write.mode("overwrite").parquet(f"{path}/stats/{name}")
     touch(spark, f"{path}/log/{name}")
@@ -82,8 +84,16 @@ def _read(spark: SparkSession, path: str, base: int | None, segments: list[int])
     empty = base is None
     docs = spark.createDataFrame([], INDEX_DOCS) if empty else spark.read.schema(INDEX_DOCS).parquet(f"{path}/docs/base={base}")
     postings = spark.createDataFrame([], POSTINGS) if empty else spark.read.schema(POSTINGS).parquet(f"{path}/postings/base={base}")
+    # bounds of replaced documents stay: too wide a bound loses nothing
+    names = [] if empty else [f"{path}/bounds/base={base}"]
+    names += [f"{path}/bounds/segment={v}" for v in segments]
+    bounds = None
+    if names:
+        bounds = spark.read.schema(BOUNDS).option("recursiveFileLookup", "true").parquet(*names)
+        bounds = bounds.groupBy("feature_id", "block").agg(*[f(c).alias(c) for f, c in (
+            (F.max, "top"), (F.min, "low"), (F.max, "top_share"), (F.min, "low_share"))]) if segments else bounds
     if not segments:
-        return SparseIndex(docs, postings, doc_stats_of(docs))
+        return SparseIndex(docs, postings, doc_stats_of(docs), bounds)
     newer = _parts(spark, path, "docs", INDEX_DOCS, segments)
     last = newer.groupBy("doc_idx").agg(F.max("version").alias("version"))
     few = newer.limit(TOUCHED_BROADCAST + 1).count() <= TOUCHED_BROADCAST
@@ -93,7 +103,7 @@ def _read(spark: SparkSession, path: str, base: int | None, segments: list[int])
     added = _parts(spark, path, "postings", POSTINGS, segments).join(last, ["doc_idx", "version"])
     columns = ["feature_id", "doc_idx", "weight", "doc_norm"]
     postings = postings.join(last, "doc_idx", "left_anti").select(*columns).unionByName(added.select(*columns))
-    return SparseIndex(docs, postings, doc_stats_of(docs))
+    return SparseIndex(docs, postings, doc_stats_of(docs), bounds)
 
 
 def read_index(spark: SparkSession, path: str) -> SparseIndex:
@@ -122,7 +132,7 @@ def vacuum_index(spark: SparkSession, path: str) -> None:
         if base is not None and (int(version) < base or (kind == "segment" and int(version) == base)):
             remove(spark, f"{path}/log/{name}")
     kept = set(child_names(spark, f"{path}/log"))
-    for side in ("docs", "postings", "stats"):
+    for side in ("docs", "postings", "bounds", "stats"):
         for name in child_names(spark, f"{path}/{side}"):
             version = int(name.split("=")[1])
             if name not in kept and base is not None and version <= base:
