@@ -258,15 +258,15 @@ def digest(hashes: np.ndarray) -> bytes:
 
 
 def _sketched(rows: DataFrame, words: int, lanes: int, count: int) -> DataFrame:
-    """id, set (digest of the distinct shingles), n (their number), fp and bands of every row of id, text."""
+    """id, key, set (digest of the distinct shingles), n (their number), fp and bands of every row of id, key, text."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingle_hashes(t, words)) for t in texts(batch, "text")]
         made = [pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([fingerprint(s, lanes).view(np.int64) for s in sets], pa.list_(pa.int64())),
                 pa.array([bands(s, count).view(np.int64) for s in sets], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column("id"), *made], ["id", "set", "n", "fp", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *made], ["id", "key", "set", "n", "fp", "bands"])
     kind = rows.schema["id"].dataType.simpleString()
-    return map_texts(rows, "text", run, f"id {kind}, set binary, n bigint, fp array<bigint>, bands array<bigint>")
+    return map_texts(rows, "text", run, f"id {kind}, key bigint, set binary, n bigint, fp array<bigint>, bands array<bigint>")
 
 
 def verified_forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -315,12 +315,15 @@ def _verified_links(cells: DataFrame, similarity: float) -> DataFrame:
 
 
 def _packed(met: DataFrame, words: int) -> DataFrame:
-    """root, chunks, mine, node, shingles of the rows whose text has the wanted set; an id may name other texts too."""
+    """root, chunks, mine, node, shingles of the rows whose text has the wanted set; of repeated rows a task gives one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
+                part = part.filter(pa.array([n not in given for n in part.column("node").to_pylist()], pa.bool_()))
                 sets = [np.unique(shingle_hashes(t, words)) for t in texts(part, "text")]
                 right = pa.array([digest(s) == w for s, w in zip(sets, part.column("set").to_pylist())], pa.bool_())
+                given.update(part.filter(right).column("node").to_pylist())
                 packed = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
                 names = ["root", "chunks", "mine", "node"]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], packed], [*names, "shingles"]).filter(right)
@@ -333,12 +336,12 @@ def _similar_links(rows: DataFrame, sets: DataFrame, candidates: DataFrame, word
     First each chunk of a group is searched together with the group's first member, so a group of copies of one
     text is joined in linear work. Only groups that this leaves in parts have every pair of chunks searched.
     """
-    known = sets.select("node", "set", "n").join(candidates, "node")
+    known = sets.select("node", "set", "n", "at").join(candidates, "node")
     totals = known.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("chunks"))
-    wanted = known.join(totals, "root").select("root", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("mine"), "node", "set")
+    wanted = known.join(totals, "root").select("root", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("mine"), "node", "set", "at")
     wanted = store(wanted, "candidates")
     fits = wanted.count() <= BROADCAST_IDS
-    met = rows.join(F.broadcast(wanted) if fits else wanted, rows["id"] == wanted["node"]).select("root", "chunks", "mine", "node", "set", "text")
+    met = rows.join(F.broadcast(wanted) if fits else wanted, rows["key"] == wanted["at"]).select("root", "chunks", "mine", "node", "set", "text")
     packed = store(_packed(met, words), "shingle-sets")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     near = packed.withColumn("low", F.explode(F.when(F.col("node") == F.col("root"), every).otherwise(F.array("mine"))))
@@ -353,6 +356,36 @@ def _similar_links(rows: DataFrame, sets: DataFrame, candidates: DataFrame, word
     return first.union(store(_verified_links(far, similarity), "verified-far"))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, key, text of every row: the key names the row by its id and its text."""
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    return rows.select("id", F.xxhash64("id", "text").alias("key"), "text")
+
+
+def _similar(docs: DataFrame, words: int, similarity: float, lanes: int, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """id, key, fp, component_id and part (a number of the group) of every row; see `similar_groups`.
+
+    What is linked are sets of shingles under numbers of their own, so neither a repeated id nor a missing one
+    confuses two texts.
+    """
+    small_batches(docs.sparkSession)
+    rows = _keyed(widen(docs), id_col, text_col)
+    marked = store(_sketched(rows, words, lanes, band_count(similarity, recall)), "fingerprints")
+    sets = marked.groupBy("set").agg(F.min("id").alias("least"), F.min("key").alias("at"), F.first("n").alias("n"), F.first("fp").alias("fp"),
+                                     F.first("bands").alias("bands"))
+    sets = store(sets.withColumn("node", F.monotonically_increasing_id()), "sets")  # numbered once, as it is written
+    members = sets.select(F.posexplode("bands").alias("choice", "bucket"), "node", "fp")
+    candidates = components(_cell_links(members, candidate_bits(similarity, 64 * lanes), lanes))
+    roots = components(_similar_links(rows, sets, candidates, words, similarity))
+    groups = store(sets.select("set", "node", "least").join(roots, "node", "left").select(
+        "set", "least", F.coalesce("root", "node").alias("part")), "parts")
+    # only groups of several sets need their smallest id looked up
+    several = groups.groupBy("part").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = groups.join(several.withColumnRenamed("component_id", "other"), "part", "left").select(
+        "set", "part", F.coalesce("other", "least").alias("component_id"))
+    return marked.select("id", "key", "fp", "set").join(store(groups, "components"), "set").drop("set")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 1 - 1e-7,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of texts that are linked, directly or through others, by a Jaccard similarity of `similarity` or more
@@ -361,21 +394,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lan
     Candidates agree in a band of minima, which a pair at the similarity does with probability `recall` and more
     similar ones more surely, and their fingerprints of `lanes` times 64 bits differ in no more than
     `candidate_bits`. Every link is then verified on the exact sets, so no dissimilar texts are
-    linked by themselves. Fingerprints are those of distinct shingles. Texts without words are one group. Columns
-    and other edge cases as in `near_groups`. Texts stay in the scan; what moves are sketches, and the
-    shingle hashes of texts that have a candidate.
+    linked by themselves. Fingerprints are those of distinct shingles. Texts without words, null ones among them, are one
+    group. component_id is the smallest id of the group, null if none of its rows has an id. An id may name several
+    texts; each has the group of its own text. Repeated rows give repeated results, an empty table an empty
+    one. Texts stay in the scan; what moves are sketches, and the shingle hashes of texts that have a candidate.
     """
-    small_batches(docs.sparkSession)
-    rows = widen(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).withColumn("text", text_of())
-    marked = store(_sketched(rows, words, lanes, band_count(similarity, recall)), "fingerprints")
-    sets = store(marked.groupBy("set").agg(F.min("id").cast("long").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"),
-                                           F.first("bands").alias("bands")), "sets")
-    named = sets.where("node is not null")
-    members = named.select(F.posexplode("bands").alias("choice", "bucket"), "node", "fp")
-    candidates = components(_cell_links(members, candidate_bits(similarity, 64 * lanes), lanes))
-    roots = components(_similar_links(rows, named, candidates, words, similarity))
-    groups = store(sets.select("set", "node").join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("component_id")), "components")
-    return marked.join(groups, "set").select(F.col("id").alias(id_col), "fp", "component_id")
+    found = _similar(docs, words, similarity, lanes, recall, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def _groups(docs: DataFrame, words: int, bits: int, lanes: int, masks, id_col: str, text_col: str) -> DataFrame:
@@ -388,8 +413,28 @@ def _groups(docs: DataFrame, words: int, bits: int, lanes: int, masks, id_col: s
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, one of each group of similar texts (the smallest id), with all their columns."""
-    groups = similar_groups(docs, words, similarity, id_col=id_col, text_col=text_col)
-    dropped = store(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct(), "dropped")
-    fits = dropped.count() <= BROADCAST_IDS  # beyond it both sides are shuffled
-    return docs.join(F.broadcast(dropped) if fits else dropped, docs[id_col] == dropped["_drop"], "left_anti")
+    """One row of each group of similar texts, with all its columns: the one with the smallest id.
+
+    Rows are judged by id and text together: where one id names two texts, the one that has a near copy with a smaller id goes
+    and the other stays. Of rows with one id in a group the one with the smaller hash stays, of rows alike one; rows
+    without an id go before any that has one, and one of them stays if none has. Null and empty texts are one group. An empty table stays empty.
+    """
+    found = store(_similar(docs, words, similarity, 4, 1 - 1e-7, id_col, text_col).select("id", "key", "part"), "judged")
+    first = found.groupBy("part").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"), F.count(F.lit(1)).alias("n"))
+    several = store(first.where("n > 1").select("part", F.col("first.id").alias("keep_id"), F.col("first.key").alias("keep_key")), "several")
+    fits = several.count() <= BROADCAST_IDS
+    met = found.join(F.broadcast(several) if fits else several, "part")
+    stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key"))
+    verdicts = store(met.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(
+        F.min(stays).alias("_stays"), F.count(F.lit(1)).alias("_n")).where("not _stays or _n > 1"), "verdicts")
+    fits = verdicts.count() <= BROADCAST_IDS  # beyond it both sides are shuffled
+    key = F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit("")))
+    same = docs[id_col].eqNullSafe(verdicts["_id"]) & (key == verdicts["_key"])
+    alone = docs.join(F.broadcast(verdicts) if fits else verdicts, same, "left_anti")
+    again = verdicts.where("_stays")
+    if again.isEmpty():
+        return alone
+    # rows that are there several times, columns other than id and text aside: one of each
+    name = max(docs.columns, key=len) + "_"
+    one = docs.join(F.broadcast(again) if fits else again, same, "left_semi").withColumn(name, key).dropDuplicates([id_col, name]).drop(name)
+    return alone.unionByName(one)

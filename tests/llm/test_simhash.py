@@ -102,6 +102,33 @@ def test_fingerprint_counts_are_exact():
     assert simhash.fingerprint(hashes).tolist() == [want]
 
 
+BASE = " ".join(f"w{i}" for i in range(400))
+OTHER = " ".join(f"o{i}" for i in range(300))
+
+
+@pytest.mark.parametrize("rows,want", [
+    ([(1, BASE), (2, BASE + " w"), (2, OTHER)], [(1, BASE), (2, OTHER)]),  # an id that names two texts
+    ([(2, OTHER), (2, BASE + " w"), (1, BASE)], [(1, BASE), (2, OTHER)]),
+    ([(1, OTHER), (1, BASE), (2, BASE + " w"), (0, OTHER + " o")], [(0, OTHER + " o"), (1, BASE)]),
+    ([(None, BASE), (5, BASE + " w"), (None, OTHER)], [(5, BASE + " w"), (None, OTHER)]),
+    ([(3, BASE), (3, BASE), (4, None), (7, ""), (4, None)], [(3, BASE), (4, None)]),
+    ([(3, BASE + " w"), (3, BASE + " w"), (2, BASE)], [(2, BASE)]),
+])
+def test_keep_one_with_repeated_and_missing_ids(spark, rows, want):
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id bigint, text string, part int, key string")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted((str(i), str(t)) for i, t in want)
+
+
+def test_one_of_near_copies_without_ids_stays(spark):
+    docs = spark.createDataFrame([(None, BASE), (None, BASE + " w"), (None, OTHER)], "doc_id bigint, text string")
+    got = [r["text"] for r in simhash.keep_one(docs).collect()]
+    assert len(got) == 2 and OTHER in got
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+    assert sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame([("b", BASE), ("a", BASE + " w")], "doc_id string, text string")).collect()) == ["a"]
+
+
 def test_similar_groups_against_exact_similarity(spark):
     r = random.Random(9)
     vocabulary = [f"w{i}" for i in range(3000)]
