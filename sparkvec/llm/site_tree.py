@@ -1,9 +1,12 @@
 """Main text of web pages by a site style tree.
 
-The element paths of all pages of a host form one tree. A path's presentation importance is the entropy of
-its layouts over the host's pages; its content importance is one minus the mean entropy of its texts, so
-that text repeated on many pages counts little. Both are joined by what markup says of itself
-(navigation, forms, notices, articles); branches of low importance are removed from each page.
+The element paths of all pages of a host form one tree. A branch's content importance is the entropy of the
+texts that pages have there, its presentation importance that of the layouts around it; a block's own importance
+is the share of the pages with that path that say something else there. Their geometric mean judges the block.
+What markup says of itself (articles, wrappers) is a prior worth eight pages: on a host with more pages
+repeated branches leave the article and varied text outside of it comes back, a lone page stands by its
+markup. Elements that name themselves furniture (menus, forms, adverts, comments) go whatever they hold,
+as adverts and comments vary from page to page as the article does.
 """
 
 from __future__ import annotations
@@ -54,9 +57,12 @@ MAIN = frozenset("article main content maincontent post entry story articlebody"
 LAYOUT = frozenset("has no with without".split())
 HEADS = frozenset("header hgroup siteheader pageheader".split())
 
-PRIOR_WEIGHT = 0.7
+# Markup's word on a block, and the number of pages that weigh as much as that word.
+PRIORS = {"marked": 1.0, "unmarked": 0.5, "outside": 0.25}
+PRIOR_PAGES = 8
 THRESHOLD = 0.5
 CONTENT_SHARE = 0.8
+SALTS = 16
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -235,67 +241,84 @@ def judged(page: str) -> tuple[list[tuple[str, str, float]], dict[str, str]]:
     return [(p, t, 0.0 if k < 0 else 0.5 if not level else 1.0 if k >= level else 0.25) for p, t, k in found], layouts
 
 
-def open_question(prior: float) -> bool:
-    """Whether the site's statistics can still decide on a block of this prior."""
-    return PRIOR_WEIGHT * prior < THRESHOLD <= PRIOR_WEIGHT * prior + 1 - PRIOR_WEIGHT
-
-
 def _hash(text: str) -> int:
     import xxhash
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def block_table(pages: DataFrame) -> DataFrame:
-    """One row per block of every page (key, host, html).
-
-    `counted` is the content where a path shows it first on its page, else null; `first` marks a path's first
-    block on its page; `layout` is the layout of the parent element; `open` is left to statistics.
-    """
+    """One row per block outside furniture of every page (key, host, html): its number, path, content, prior,
+    the layout of its parent element, and a digest of the page's blocks, equal for copies of a page."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for key, host, page in zip(batch.column("key").to_pylist(), batch.column("host").to_pylist(), texts(batch, "html")):
             blocks, layouts = judged(page)
-            seen: set = set()
-            for at, (path, text, prior) in enumerate(blocks):
-                content = _hash(text)
-                if (path, content) in seen and not open_question(prior):
-                    continue
-                first = path not in seen
-                repeat = (path, content) in seen
-                seen.update((path, (path, content)))
-                parent = path.rpartition(">")[0]
-                out.append((key, host, at, _hash(path), None if repeat else content, content, open_question(prior), first, _hash(layouts.get(parent, ""))))
-        columns = list(zip(*out)) or [[]] * 9
-        types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()]
+            mine = [(at, _hash(path), _hash(text), prior, _hash(layouts.get(path.rpartition(">")[0], "")))
+                    for at, (path, text, prior) in enumerate(blocks) if prior > 0]
+            digest = _hash(repr([(path, content, layout) for _, path, content, _, layout in mine]))
+            out += [(key, host, *block, digest) for block in mine]
+        columns = list(zip(*out)) or [[]] * 8
+        types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
-                                          ["key", "host", "at", "path", "counted", "content", "open", "first", "layout"])
-    return map_texts(pages, "html", run, "key bigint, host string, at int, path bigint, counted bigint, content bigint, open boolean, first boolean, layout bigint")
+                                          ["key", "host", "at", "path", "content", "prior", "layout", "digest"])
+    return map_texts(pages, "html", run, "key bigint, host string, at int, path bigint, content bigint, prior double, layout bigint, digest bigint")
 
 
 def importance(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The style tree's statistics: contents (host, path, content, pages) seen on more than one page,
-    and paths (host, path, m, content_importance, layout_importance), m being the pages that have the path."""
-    contents = blocks.where("counted is not null").groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("pages"))
+    """The style tree's statistics, in which copies of a page count once.
+
+    Contents: host, path, content, pages that show it there, priors it has there. Paths: host, path, m (pages
+    that have the path), content_importance and layout_importance (entropy of the path's contents and layouts
+    over log m). Both are 1 for a path on one page; several contents a page can lift the first above 1.
+    """
+    contents = blocks.groupBy("host", "path", "content").agg(
+        F.count_distinct("digest").alias("pages"), *[F.max(F.col("prior") == p).alias(name) for name, p in PRIORS.items()])
     texts_ = contents.groupBy("host", "path").agg(F.sum(F.col("pages") * F.log("pages")).alias("s"), F.sum("pages").alias("l"))
-    layouts = blocks.where("first").groupBy("host", "path", "layout").agg(F.count(F.lit(1)).alias("c"))
+    layouts = blocks.groupBy("host", "path", "layout").agg(F.count_distinct("digest").alias("c"))
     layouts = layouts.groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s2"))
     spread = F.log("m")
     paths = texts_.join(layouts, ["host", "path"]).select(
-        "host", "path", "m", F.when(F.col("m") < 2, 1.0).otherwise(1 - F.col("s") / F.col("l") / spread).alias("content_importance"),
+        "host", "path", "m",
+        F.when(F.col("m") < 2, 1.0).otherwise(F.log("l") / spread - F.col("s") / F.col("l") / spread).alias("content_importance"),
         F.when(F.col("m") < 2, 1.0).otherwise(1 - F.col("s2") / F.col("m") / spread).alias("layout_importance"))
-    return contents.where("pages > 1"), paths
+    return contents, paths
+
 
+def decisions(blocks: DataFrame) -> DataFrame:
+    """host, path, content, m, pages and, for each name of `PRIORS`, whether the block stays if it has that prior there.
 
-def kept_blocks(blocks: DataFrame) -> DataFrame:
-    """key, kept: numbers of the blocks that statistics decide to keep, on pages that leave any block open."""
+    Null where the content never has that prior. Hot paths are spread over `SALTS` parts of the join.
+    """
     contents, paths = importance(blocks)
-    asked = blocks.where("open").select("key", "host", "at", "path", "content")
-    met = asked.join(paths, ["host", "path"]).join(contents, ["host", "path", "content"], "left")
-    own = F.when(F.col("m") < 2, 1.0).otherwise(1 - F.log(F.coalesce("pages", F.lit(1))) / F.log("m"))
-    content = (own + F.col("content_importance")) / 2
-    stat = CONTENT_SHARE * content + (1 - CONTENT_SHARE) * F.col("layout_importance")
-    good = PRIOR_WEIGHT * 0.5 + (1 - PRIOR_WEIGHT) * stat >= THRESHOLD
-    return met.where(good).groupBy("key").agg(F.collect_set("at").alias("kept"))
+    salted = paths.where("m > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = contents.withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"])
+    branch = CONTENT_SHARE * F.least(F.col("content_importance"), F.lit(1.0)) + (1 - CONTENT_SHARE) * F.col("layout_importance")
+    own = 1 - (F.col("pages") - 1) / (F.col("m") - 1)
+    weight = F.col("m") / (F.col("m") + PRIOR_PAGES)
+    stat = F.sqrt(F.greatest(own * branch, F.lit(0.0)))
+    return met.select("host", "path", "content", "m", "pages", *[
+        F.when(F.col(name), (1 - weight) * p + weight * stat >= THRESHOLD).alias(name) for name, p in PRIORS.items()])
+
+
+def changed_blocks(blocks: DataFrame) -> DataFrame:
+    """key, changed: numbers of the blocks on which the site's statistics overrule markup; pages without any have no row."""
+    against = {name: F.col(name) != F.lit(p >= THRESHOLD) for name, p in PRIORS.items()}
+    found = decisions(blocks).select("host", "path", "content", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in against.items()])
+    found = found.where(" or ".join(PRIORS))
+    mine = F.coalesce(*[F.when(F.col("prior") == p, F.col(name)) for name, p in PRIORS.items()])
+    return blocks.join(found, ["host", "path", "content"]).where(mine).groupBy("key").agg(F.collect_set("at").alias("changed"))
+
+
+def main_text(found: list[tuple[str, str, float]], changed: set[int]) -> str:
+    """The text of a page's judged blocks, with markup's word turned round on the blocks in `changed`.
+
+    Where that would take over half of what the page's own mark encloses, the page is a near copy of others
+    and not their furniture, and its mark keeps everything.
+    """
+    inside = [(at, len(t)) for at, (_, t, prior) in enumerate(found) if prior == 1]
+    if 2 * sum(n for at, n in inside if at in changed) > sum(n for _, n in inside):
+        changed = changed - {at for at, _ in inside}
+    return "\n".join(t for at, (_, t, prior) in enumerate(found) if (prior >= THRESHOLD) != (at in changed))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -303,9 +326,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Text blocks that are kept, in page order, joined by newlines; white space inside a block becomes one space
     and character references are decoded once. Null and empty pages give the empty text; pages
-    without a host in their url share one tree; repeated rows are counted and returned each time. Pages
-    are parsed twice, in scans; only numbers of blocks are shuffled, and pages themselves only if
-    statistics had to decide on some. A host's statistics are sums, never gathered pages.
+    without a host in their url share one tree; repeated rows and copies of a page count once in the
+    statistics and are returned each time; a near copy keeps what its mark encloses. Pages are parsed twice,
+    in scans; numbers of blocks are shuffled, and pages themselves only if statistics overrule markup
+    on more blocks than AQE broadcasts. A host's statistics are sums, never gathered pages.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -313,19 +337,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"), host.alias("host"))
     rows = widen(rows.withColumn("html", text_of("html"))).withColumn("key", F.xxhash64("id", "url", "html"))
     blocks = store(block_table(rows.select("key", "host", "html")), "blocks")
-    kept = store(kept_blocks(blocks), "kept-blocks")
-    if kept.isEmpty():
-        met = rows.select("id", "url", "html", F.lit(None).cast("array<int>").alias("kept"))
+    changed = store(changed_blocks(blocks), "changed-blocks")
+    if changed.isEmpty():
+        met = rows.select("id", "url", "html", F.lit(None).cast("array<int>").alias("changed"))
     else:
-        met = rows.join(kept, "key", "left").select("id", "url", "html", "kept")
+        met = rows.join(changed, "key", "left").select("id", "url", "html", "changed")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for page, chosen in zip(texts(batch, "html"), batch.column("kept").to_pylist()):
-            chosen = set(chosen or ())
-            found, _ = judged(page)
-            out.append("\n".join(t for at, (_, t, prior) in enumerate(found)
-                                 if PRIOR_WEIGHT * prior >= THRESHOLD or open_question(prior) and at in chosen))
+        out = [main_text(judged(page)[0], set(changed or ())) for page, changed in zip(texts(batch, "html"), batch.column("changed").to_pylist())]
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(out, pa.string()),
                                            pa.array([len(t) for t in out], pa.int64())], [id_col, url_col, "text", "n_chars"])
     return map_texts(met, "html", run, f"{id_col} {pages.schema[id_col].dataType.simpleString()}, {url_col} string, text string, n_chars bigint")

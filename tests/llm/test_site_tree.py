@@ -51,6 +51,68 @@ def test_statistics_decide_where_markup_is_silent(spark):
     assert got[100] == ("Alone here", 10) and got[101] == got[102] == ("", 0)
 
 
+def hosted(spark, bodies, host="host.example"):
+    rows = [(i, f"http://{host}/{i}", f"<body>{body}</body>") for i, body in enumerate(bodies)]
+    return {r["page_id"]: r["text"] for r in S.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+LINE = "Read this and more in print."
+
+
+def test_repeated_branches_leave_the_article(spark):
+    article = "<article><h1>Title {0}</h1><p>Some text of page {0} alone.</p><p>More words of {0}.</p>{1}</article>"
+    in_paragraph = hosted(spark, [article.format(i, f"<p>{LINE}</p>") for i in range(30)])
+    assert all(in_paragraph[i] == f"Title {i}\nSome text of page {i} alone.\nMore words of {i}." for i in range(30))
+    in_branch = hosted(spark, [article.format(i, f"<div class=x><p>{LINE}</p></div>") for i in range(30)])
+    assert in_branch == in_paragraph
+    few = hosted(spark, [article.format(i, f"<p>{LINE}</p>") for i in range(4)])
+    assert all(few[i].endswith(LINE) for i in range(4))
+    shared = hosted(spark, [article.format(i, f"<p>{LINE}</p>" if i % 3 == 0 else "") for i in range(30)])
+    assert all(shared[i].endswith(LINE) == (i % 3 == 0) for i in range(30))
+
+
+def test_varied_text_outside_the_mark_comes_back(spark):
+    body = "<div class=post><p>Short lead of the story {0} that stands here.</p></div><div class=rest><p>The long body of the story {0} that has no mark of its own.</p></div><div class=z>{1}</div>"
+    got = hosted(spark, [body.format(i, LINE) for i in range(30)])
+    assert all(got[i] == f"Short lead of the story {i} that stands here.\nThe long body of the story {i} that has no mark of its own." for i in range(30))
+    assert hosted(spark, [body.format(0, LINE)])[0] == "Short lead of the story 0 that stands here."
+
+
+def test_copies_and_near_copies_of_a_page_keep_their_text(spark):
+    article = "<article><h1>One title</h1><p>{0}</p><p>The same words at length on all of these pages.</p></article>"
+    assert set(hosted(spark, [article.format("Same")] * 40).values()) == {"One title\nSame\nThe same words at length on all of these pages."}
+    near = hosted(spark, [article.format(f"Edit {i}") for i in range(40)])
+    assert all(near[i] == f"One title\nEdit {i}\nThe same words at length on all of these pages." for i in range(40))
+
+
+def test_importance_against_counts(spark):
+    import math
+    import random
+    from collections import Counter, defaultdict
+    draw = random.Random(5)
+    pages = [(i, draw.choice("ab"), "<body>" + "".join(f"<div class=k{draw.randrange(3)}><p>t{draw.randrange(5)}</p></div>" for _ in range(draw.randrange(1, 5))) + "</body>")
+             for i in range(60)]
+    blocks = S.block_table(spark.createDataFrame(pages, "key bigint, host string, html string")).cache()
+    told, shows, looks = {}, defaultdict(set), defaultdict(set)
+    for r in blocks.collect():
+        shows[r.host, r.path, r.content].add(r.digest)
+        looks[r.host, r.path, r.layout].add(r.digest)
+    contents, paths = S.importance(blocks)
+    assert {(r.host, r.path, r.content): r.pages for r in contents.collect()} == {k: len(v) for k, v in shows.items()}
+
+    def entropy(counts):
+        return -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts)
+    for r in paths.collect():
+        told[r.host, r.path] = r
+        of_content = [len(v) for k, v in shows.items() if k[:2] == (r.host, r.path)]
+        of_layout = [len(v) for k, v in looks.items() if k[:2] == (r.host, r.path)]
+        assert r.m == sum(of_layout) == len(set().union(*[v for k, v in shows.items() if k[:2] == (r.host, r.path)]))
+        if r.m > 1:
+            assert abs(r.content_importance - entropy(of_content) / math.log(r.m)) < 1e-9
+            assert abs(r.layout_importance - entropy(of_layout) / math.log(r.m)) < 1e-9
+    assert len(told) == len(Counter(k[:2] for k in shows))
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     page = "<article><p>Text of it</p></article><footer>x</footer>"
     pages = spark.createDataFrame([(None, "u", page), (1, "u", page), (1, "u", page)], "page_id bigint, url string, html string")
