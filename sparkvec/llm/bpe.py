@@ -25,6 +25,9 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 # Chunks that a worker remembers; at this number it starts anew.
 CACHE_WORDS = 500_000
 
+# Bytes of text that are cut into chunks at a time.
+TEXT_BYTES = 1 << 20
+
 
 def _byte_of_char() -> dict[str, int]:
     """Byte behind each letter of a byte-level vocabulary: printable bytes stand for themselves,
@@ -319,7 +322,7 @@ def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         return pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], [id_col, "ids"])
-    return map_texts(rows, "text", run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return map_texts(rows, "text", run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>", TEXT_BYTES)
 
 
 def decode_table(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -352,7 +355,7 @@ def round_trip(docs: DataFrame, path: str, summary: Callable[[np.ndarray, str],
             start += count
         columns = [pa.array(c) for c in zip(*out)]
         return pa.RecordBatch.from_arrays([batch.column("id"), *columns], [id_col, *names])
-    return map_texts(rows, "text", run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {schema}")
+    return map_texts(rows, "text", run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {schema}", TEXT_BYTES)
 
 
 def _broadcast(docs: DataFrame, path: str, id_col: str, text_col: str):

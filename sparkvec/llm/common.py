@@ -56,11 +56,11 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply `fn` to memory-bounded slices of `df`; one task never holds more than a slice and an Arrow batch."""
+def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
+    """Apply `fn` to slices of `df` of about `limit` bytes; one task never holds more than a slice and an Arrow batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 yield fn(part)
     return df.mapInArrow(run, schema)
 
