@@ -1,6 +1,11 @@
 import math
+import os
+import re
+import textwrap
 from collections import Counter
 
+import pytest
+
 from sparkvec.llm import licenses as L
 
 FILES = [
@@ -15,23 +20,56 @@ FILES = [
 ]
 
 
+MARKED = ("<!--", "#", "*", ";", "%", "!", "//", "/*", "--")
+
+
+def bare(line):
+    line = re.sub(r"\s*(\*+/|-->)\s*$", "", re.sub(r"^\s*(<!--|[#*;%!]+|//+|/\*+|--+)\s?", "", line))
+    return line.strip(" ")
+
+
+def blocks(text, vocabulary):
+    """Lines, paragraphs and runs with the number of the line where each begins."""
+    out, paragraphs, open_, last = [], [], False, None
+    for k, raw in enumerate(text.split("\n"), 1):
+        line, marked = bare(raw), raw.lstrip().startswith(MARKED)
+        if line:
+            out.append((k, line))
+            if open_ and marked == last:
+                paragraphs[-1][1].append(line)
+            else:
+                paragraphs.append((k, [line]))
+        open_, last = bool(line), marked
+    run = []
+    for k, lines in [*paragraphs, (0, [])]:
+        found = set(L._terms(" ".join(lines)))
+        out.append((k, " ".join(lines)))
+        if lines and 2 * len(found & vocabulary) >= len(found):
+            run.append((k, " ".join(lines)))
+        else:
+            out += [(run[0][0], " ".join(x for _, x in run))] if run else []
+            run = []
+    return [(k, u) for k, u in out if u]
+
+
 def brute(files):
-    units = [(p, k, u) for p, t in files for k, u in enumerate([*([t or ""] if (p or "").split("/")[-1].startswith(("LICENSE", "COPYING")) else [""]), *(t or "").split("\n")]) if u]
-    vectors = {(p, k, u): Counter(L._terms(u)) for p, k, u in units}
-    vocabulary = {t for x in L.TEMPLATES.values() for y in x for t in L._terms(y)}
-    total = len(units)
-    df = Counter(t for p, k, u in units for t in set(L._terms(u)) & vocabulary)
+    every = [(name, x) for group in (L.TEMPLATES, L.long_templates()) for name in sorted(group) for x in group[name]]
+    vocabulary = {t for _, x in every for t in L._terms(x)}
+    named = lambda p: re.match(r"(?i)^(un)?(licen[cs]e|copying)([._-].*)?$", (p or "").split("/")[-1])
+    lines = [(p, k, u) for p, t in files for k, u in enumerate([(t or "") if named(p) else "", *(t or "").split("\n")]) if u]
+    df = Counter(t for p, k, u in lines for t in set(L._terms(u)) & vocabulary)
+    total = len(lines)
     idf = {t: math.log((1 + total) / (1 + df[t])) + 1 for t in vocabulary}
     weigh = lambda c: {t: n * idf.get(t, math.log(1 + total) + 1) for t, n in c.items()}
+    norm = lambda w: math.sqrt(sum(x * x for x in w.values()))
+    vectors = [(name, v, norm(v)) for name, x in every for v in [weigh(Counter(L._terms(x)))]]
     best = {}
-    for (p, k, u), c in vectors.items():
-        w = weigh(c)
-        for name in sorted(L.TEMPLATES):
-            for text in L.TEMPLATES[name]:
-                v = weigh(Counter(L._terms(text)))
-                s = round(sum(w.get(t, 0) * x for t, x in v.items()) / math.sqrt(sum(x * x for x in w.values()) * sum(x * x for x in v.values()) or 1), 6)
-                if s >= L.THRESHOLD:
-                    best[p] = min(best.get(p, (0,)), (-s, k, name)) if p in best else (-s, k, name)
+    for p, k, u in {*lines, *((p, k, u) for p, t in files for k, u in blocks(t or "", vocabulary))}:
+        w = weigh(Counter(L._terms(u)))
+        for name, v, length in vectors:
+            s = round(sum(w.get(t, 0) * x for t, x in v.items()) / ((norm(w) * length) or 1), 6)
+            if s >= L.THRESHOLD:
+                best[p] = min(best.get(p, (0, 0, "")), (-s, k, name))
     return best
 
 
@@ -56,3 +94,49 @@ def test_matches_brute_force_and_inherits(spark):
 
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def code(template, width=60, mark="# "):
+    return "\n".join(mark + x for x in textwrap.wrap(template, width)) + "\nimport os\n\ndef run():\n    return os.name"
+
+
+FULL = "Copyright (c) 2021 Some Body\n\n" + L._MIT + "\n\n" + L._MIT_REST.strip()
+HEADERS = {
+    "w/apache.py": (code("Copyright 2020 The Authors. " + L._APACHE + L._APACHE_REST), "Apache-2.0"),
+    "w/short.c": ("/*\n * Licensed under the Apache License,\n * Version 2.0\n */\nint x;", "Apache-2.0"),
+    "w/gpl3.c": ("/* " + code(L._GNU.format("", 3), 50, " * ").replace("\nimport", " */\nimport", 1), "GPL-3.0"),
+    "w/gpl2.py": (code(L._GNU_2.format("", 2)), "GPL-2.0"),
+    "w/lgpl.py": (code(L._GNU.format("Lesser ", 3)), "LGPL-3.0"),
+    "w/mpl.js": (code(L.LONG_TEMPLATES["MPL-2.0"][0], 40, "// "), "MPL-2.0"),
+    "w/spdx.py": ("# SPDX-License-Identifier: MIT\nx = 1", "MIT"),
+    "m/LICENSE": ("MIT License\n\n" + FULL, "MIT"), "m2/README.md": ("# A tool\n\nSome words on it.\n\n" + FULL, "MIT"),
+    "b2/LICENSE": ("Copyright 2001 A\n\n" + L._BSD + "\n\n" + L._BSD_REST.strip(), "BSD-2-Clause"),
+    "b3/LICENSE": ("Copyright 2001 A\n\n" + L._BSD + "\n\n" + L._BSD_NAME.strip() + "\n\n" + L._BSD_REST.strip(), "BSD-3-Clause"),
+    "n/one.py": ("# You may read the license of this file somewhere else.\nx = 1", None),
+    "n/two.py": ("# SPDX-License-Identifier: LicenseRef-Own\nx = 2", None),
+    "n/three.txt": ("The software is provided to the public by its authors, who hold the copyright.\n\nAll rights reserved.", None),
+    "n/four.txt": ("Permission to park was hereby granted to any person.\nRedistribution of wealth is another matter.", None),
+}
+
+
+def test_headers_and_whole_texts(spark):
+    other = [(f"o/{i}.txt", "\n".join(f"the words of a text that is here {i * 7 + k} and this any {k % 5}" for k in range(40))) for i in range(25)]
+    files = [*((p, t) for p, (t, _) in HEADERS.items()), *other]
+    got = {r["path"]: r for r in L.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: got[p]["license"] for p in HEADERS} == {p: want for p, (_, want) in HEADERS.items()}
+    assert {r["license"] for p, r in got.items() if p.startswith("o/")} == {None}
+    want = brute(files)
+    assert {p for p, r in got.items() if r["origin"] == "header"} == set(want)
+    for p, (s, k, name) in want.items():
+        assert (got[p]["license"], got[p]["line"]) == (name, k) and abs(got[p]["similarity"] + s) < 2e-6
+
+
+def test_licence_files_of_the_system(spark):
+    folder = "/usr/share/common-licenses"
+    kinds = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    here = {k: v for k, v in kinds.items() if os.path.exists(f"{folder}/{k}")}
+    if not here:
+        pytest.skip("no licence files")
+    files = [(f"{k}/COPYING", open(f"{folder}/{k}", encoding="utf-8", errors="replace").read()) for k in here] + [(f"{k}/a.c", "int x;") for k in here]
+    got = {r["path"]: (r["license"], r["origin"]) for r in L.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {**{f"{k}/COPYING": (v, "header") for k, v in here.items()}, **{f"{k}/a.c": (v, "inherited") for k, v in here.items()}}
