@@ -5,7 +5,7 @@ wrapped notices are whole), runs of paragraphs in the words of licenses, and the
 unit's weights are term counts times inverse document frequency over all lines of the corpus; terms that
 no template has weigh like a term never seen. A line is compared with a notice only if the notice's terms that
 it has could reach the threshold, which is exact: by Cauchy-Schwarz the cosine is at most the share of the
-template's length that those terms make up. The same bound, as a count of each template's heaviest terms,
+template's length that those terms make up. The same bound
 decides which texts are cut into paragraphs at all.
 """
 
@@ -76,7 +76,7 @@ LONG_TEMPLATES = {
             "above copyright notice and this permission notice appear in all copies.", "ISC License"),
     "LGPL-2.1": (_GNU_2.format("Lesser ", "2.1").replace("program", "library"), "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     "LGPL-3.0": (_GNU.format("Lesser ", 3), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    "MIT": (_MIT, _MIT + _MIT_REST, "MIT License", "The MIT License (MIT)"),
+    "MIT": (_MIT, _MIT + _MIT_REST, "MIT License"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
                 "file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0"),
     "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
@@ -94,6 +94,8 @@ def long_templates() -> dict[str, tuple[str, ...]]:
 
 
 THRESHOLD = 0.8
+# Terms that a match shares with its template at least.
+SHARED_TERMS = 2
 # File names that hold the license of their directory and all below it.
 LICENSE_FILE = r"(?i)^(un)?(licen[cs]e|copying)([._-].*)?$"
 # Directories with a license that are broadcast at most.
@@ -146,8 +148,9 @@ def score_units(units: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLA
     """path, line (from 1, where the unit begins; 0 for a licence file's whole text), license and similarity of each
     unit's best template, where it reaches the threshold.
 
-    Ties go to the license that comes first by name. Lines are compared with `templates`; the lines, paragraphs
-    and runs of texts that have enough terms of any template, with those and `long`.
+    A single shared term names no license. Ties go to the license that comes first by name. Lines are compared with `templates`; of texts without such a
+    line but with enough terms of any template, the lines, paragraphs, runs and, for licence files, the whole
+    with those and `long`.
     """
     long = long_templates() if long is None else long
     listed = [(name, text) for group in (templates, long) for name in sorted(group) for text in group[name]]
@@ -161,62 +164,58 @@ def score_units(units: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLA
         weight = {t: found.count(t) * idf[t] for t in sorted(set(found))}
         every.append((name, weight, math.sqrt(sum(w * w for w in weight.values()))))
     vectors = every[:sum(map(len, templates.values()))]
-    gates = [_gate(weight, threshold) for _, weight, _ in every]
     # the explode holds each line's terms fixed: what follows reads them and doesn't split the line again
     least = _min_terms(vectors, threshold)
     numbered = F.transform("units", lambda u, k: F.struct(k.alias("line"), u.alias("unit"), _known(u, vocabulary).alias("known")))
     rows = units.select("path", "units", numbered.alias("numbered"))
     rows = rows.select("path", "units", "numbered", F.array_distinct(F.flatten("numbered.known")).alias("all"))
     text = F.struct(F.lit(-1).alias("line"), F.array_join(F.slice("units", 2, F.size("units")), "\n").alias("unit"), F.col("all").alias("known"))
-    whole = F.when(_passes("all", gates), F.array(text)).otherwise(F.array().cast("array<struct<line:int,unit:string,known:array<string>>>"))
-    rows = rows.select("path", F.explode(F.concat(F.filter("numbered", lambda s: F.size(s["known"]) >= least), whole)).alias("at"))
+    whole = F.when(_passes("all", every, threshold), F.array(text)).otherwise(F.array().cast("array<struct<line:int,unit:string,known:array<string>>>"))
+    rows = rows.select("path", F.explode(F.concat(F.filter("numbered", lambda s: (s["line"] > 0) & (F.size(s["known"]) >= least)), whole)).alias("at"))
     rows = rows.select("path", "at.line", "at.unit", "at.known")
     reach = [sum((F.when(F.array_contains("known", t), w * w).otherwise(0.0) for t, w in weight.items()), F.lit(0.0)) >= (threshold * norm) ** 2 * (1 - 1e-9)
              for _, weight, norm in vectors]
-    possible = (F.col("line") == -1) | (F.col("line") == 0) & _passes("known", gates)
+    possible = F.col("line") == -1
     for r in reach:
         possible = possible | r
-    spark = units.sparkSession
     first = store(rows.where(possible).select("path", "line", "unit"), "license-candidates")
-    parts = blocks_of(first.where("line = -1").select("path", F.col("unit").alias("text")), vocabulary)
-    parts = parts.where(_passes("known", gates)).select("path", "line", "unit")
-    found = store(first.where("line >= 0").unionByName(parts).distinct(), "license-units")
+    by_line = store(_best_templates(first.where("line > 0").distinct(), vectors, idf, unseen, threshold), "license-by-line")
+    rest = first.where("line = -1").join(by_line.select(F.col("path").alias("done")).distinct(), F.col("path") == F.col("done"), "left_anti")
+    named = F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE)
+    parts = store(blocks_of(rest.select("path", F.col("unit").alias("text")), vocabulary).where(F.size("known") >= SHARED_TERMS), "license-parts")
+    parts = parts.where(_passes("known", every, threshold)).select("path", "line", "unit")
+    parts = parts.unionByName(rest.where(named).select("path", F.lit(0).alias("line"), "unit"))
+    wider = _best_templates(store(parts.distinct(), "license-units"), every, idf, unseen, threshold)
+    return by_line.unionByName(wider)
+
+
+def _best_templates(found: DataFrame, vectors: list, idf: dict[str, float], unseen: float, threshold: float) -> DataFrame:
+    """path, line, license, similarity: the best template of each unit (path, line, unit) that reaches the threshold."""
+    spark = found.sparkSession
     found = found.withColumn("h", F.xxhash64("path", "line", "unit"))
     idfs = spark.createDataFrame(list(idf.items()), "term string, idf double")
-    entries = spark.createDataFrame([(t, k, w / norm) for k, (_, weight, norm) in enumerate(every) for t, w in weight.items()], "term string, k int, share double")
-    names = spark.createDataFrame([(k, name) for k, (name, _, _) in enumerate(every)], "k int, license string")
+    entries = spark.createDataFrame([(t, k, w / norm) for k, (_, weight, norm) in enumerate(vectors) for t, w in weight.items()], "term string, k int, share double")
+    names = spark.createDataFrame([(k, name) for k, (name, _, _) in enumerate(vectors)], "k int, license string")
     counts = found.select("h", F.explode(F.filter(terms(F.col("unit")), lambda t: t != "")).alias("term")).groupBy("h", "term").agg(F.count(F.lit(1)).alias("tf"))
     counts = counts.join(F.broadcast(idfs), "term", "left").select("h", "term", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("weight"))
     counts = store(counts, "license-vectors")
     lengths = counts.groupBy("h").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    dots = counts.join(F.broadcast(entries), "term").groupBy("h", "k").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
+    dots = counts.join(F.broadcast(entries), "term").groupBy("h", "k").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"), F.count(F.lit(1)).alias("shared"))
     similar = dots.join(lengths, "h").join(F.broadcast(names), "k").withColumn("similarity", F.round(F.col("dot") / F.col("length"), 6))
-    best = similar.where(F.col("similarity") >= threshold).groupBy("h").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"))
+    best = similar.where((F.col("similarity") >= threshold) & (F.col("shared") >= SHARED_TERMS)).groupBy("h").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"))
     return found.join(best, "h").select("path", "line", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"))
 
 
-def _gate(weight: dict[str, float], threshold: float) -> tuple[list[str], int]:
-    """Heaviest terms of a template, and how many of them a unit must have to reach the threshold."""
-    mass = sum(w * w for w in weight.values())
-    heavy, held = [], 0.0
-    for t, w in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
-        if held >= 0.8 * mass:
-            break
-        heavy.append(t)
-        held += w * w
-    need, got = held - (1 - threshold ** 2) * mass * (1 + 1e-9), 0.0
-    count = 0
-    while got < need:
-        got, count = got + weight[heavy[count]] ** 2, count + 1
-    return heavy, count
+def _passes(known: str, vectors: list, threshold: float) -> Column:
+    """Whether the distinct terms of `known` make up enough of some template's length to reach the threshold.
 
-
-def _passes(known: str, gates: list[tuple[list[str], int]]) -> Column:
-    """Whether an array of distinct terms has enough of some template's."""
-    passed = F.lit(False)
-    for heavy, count in gates:
-        passed = passed | (F.size(F.array_intersect(known, F.lit(heavy))) >= count)
-    return passed
+    The sums run in SQL text, as expressions of hundreds of terms are slow to build one by one.
+    """
+    tests = []
+    for _, weight, norm in vectors:
+        shares = ", ".join(f"'{t}', {(w / norm) ** 2!r}D" for t, w in sorted(weight.items()))
+        tests.append(f"aggregate({known}, 0D, (s, t) -> s + coalesce(element_at(map({shares}), t), 0D)) >= {threshold ** 2 * (1 - 1e-9)!r}D")
+    return F.expr(" OR ".join(tests))
 
 
 def blocks_of(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -273,8 +272,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
          threshold: float = THRESHOLD) -> DataFrame:
     """License of every file: `path_col`, license, similarity, line, origin, from_path.
 
-    origin is "header" if a line, paragraph or run of the file itself matches (the best, the first of equals; `line` is
-    where it begins, 0 for a licence file's whole text), "inherited" if the nearest directory above that has a licence file with a
+    origin is "header" if a line of the file itself matches a notice or else a wider part any template (the best, the
+    first of equals; `line` is where it begins, 0 for a licence file's whole text), "inherited" if the nearest directory above that has a licence file with a
     match gives it (of several files there the best match, then the first by name), else "none". Null
     texts are empty; a null path has no directory; rows that repeat a path share the best match of them all
     and are returned each time; an empty table gives an empty result. Lines without a template term

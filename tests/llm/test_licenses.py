@@ -63,14 +63,20 @@ def brute(files):
     weigh = lambda c: {t: n * idf.get(t, math.log(1 + total) + 1) for t, n in c.items()}
     norm = lambda w: math.sqrt(sum(x * x for x in w.values()))
     vectors = [(name, v, norm(v)) for name, x in every for v in [weigh(Counter(L._terms(x)))]]
+    short = sum(map(len, L.TEMPLATES.values()))
     best = {}
-    for p, k, u in {*lines, *((p, k, u) for p, t in files for k, u in blocks(t or "", vocabulary))}:
-        w = weigh(Counter(L._terms(u)))
-        for name, v, length in vectors:
-            s = round(sum(w.get(t, 0) * x for t, x in v.items()) / ((norm(w) * length) or 1), 6)
-            if s >= L.THRESHOLD:
-                best[p] = min(best.get(p, (0, 0, "")), (-s, k, name))
-    return best
+
+    def score(units, vectors, found):
+        for p, k, u in set(units):
+            w = weigh(Counter(L._terms(u)))
+            for name, v, length in vectors:
+                s = round(sum(w.get(t, 0) * x for t, x in v.items()) / ((norm(w) * length) or 1), 6)
+                if s >= L.THRESHOLD and len(w.keys() & v.keys()) >= 2:
+                    found[p] = min(found.get(p, (0, 0, "")), (-s, k, name))
+    score([x for x in lines if x[1]], vectors[:short], best)
+    wider = {}
+    score([x for x in lines if not x[1]] + [(p, k, u) for p, t in files for k, u in blocks(t or "", vocabulary)], vectors, wider)
+    return {**wider, **best}
 
 
 def test_matches_brute_force_and_inherits(spark):
@@ -114,6 +120,7 @@ HEADERS = {
     "b3/LICENSE": ("Copyright 2001 A\n\n" + L._BSD + "\n\n" + L._BSD_NAME.strip() + "\n\n" + L._BSD_REST.strip(), "BSD-3-Clause"),
     "n/one.py": ("# You may read the license of this file somewhere else.\nx = 1", None),
     "n/two.py": ("# SPDX-License-Identifier: LicenseRef-Own\nx = 2", None),
+    "n/five.md": ("# Tool\n\n## License\n\nSee there.", None),
     "n/three.txt": ("The software is provided to the public by its authors, who hold the copyright.\n\nAll rights reserved.", None),
     "n/four.txt": ("Permission to park was hereby granted to any person.\nRedistribution of wealth is another matter.", None),
 }
