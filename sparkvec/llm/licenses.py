@@ -6,14 +6,16 @@ unit's weights are term counts times inverse document frequency over all lines o
 no template has weigh like a term never seen. A line is compared with a notice only if the notice's terms that
 it has could reach the threshold, which is exact: by Cauchy-Schwarz the cosine is at most the share of the
 template's length that those terms make up. The same bound
-decides which texts are cut into paragraphs at all.
+decides which texts are cut into paragraphs at all, and it is computed only where a unit has one of the anchors of a
+template: its rarest terms, without which the others can't reach the threshold.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import store, text_of, widen
@@ -166,12 +168,16 @@ def score_units(units: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLA
     vectors = every[:sum(map(len, templates.values()))]
     # the explode holds each line's terms fixed: what follows reads them and doesn't split the line again
     least = _min_terms(vectors, threshold)
+    anchors = [_anchors(weight, norm, frequency, threshold) for _, weight, norm in every]
+    line_anchors = {t for found in anchors[:len(vectors)] for t in found}
     numbered = F.transform("units", lambda u, k: F.struct(k.alias("line"), u.alias("unit"), _known(u, vocabulary).alias("known")))
     rows = units.select("path", "units", numbered.alias("numbered"))
     rows = rows.select("path", "units", "numbered", F.array_distinct(F.flatten("numbered.known")).alias("all"))
+    rows = rows.select("*", _anchored("all", anchors).alias("anchored"))
     text = F.struct(F.lit(-1).alias("line"), F.array_join(F.slice("units", 2, F.size("units")), "\n").alias("unit"), F.col("all").alias("known"))
-    whole = F.when(_passes("all", every, threshold), F.array(text)).otherwise(F.array().cast("array<struct<line:int,unit:string,known:array<string>>>"))
-    rows = rows.select("path", F.explode(F.concat(F.filter("numbered", lambda s: (s["line"] > 0) & (F.size(s["known"]) >= least)), whole)).alias("at"))
+    whole = F.when(_passes("all", "anchored", every, anchors, threshold), F.array(text)).otherwise(F.array().cast("array<struct<line:int,unit:string,known:array<string>>>"))
+    rows = rows.select("path", F.explode(F.concat(F.filter("numbered", lambda s: (s["line"] > 0) & (F.size(s["known"]) >= least) & F.exists(
+        s["known"], lambda t: t.isin(sorted(line_anchors)))), whole)).alias("at"))
     rows = rows.select("path", "at.line", "at.unit", "at.known")
     reach = [sum((F.when(F.array_contains("known", t), w * w).otherwise(0.0) for t, w in weight.items()), F.lit(0.0)) >= (threshold * norm) ** 2 * (1 - 1e-9)
              for _, weight, norm in vectors]
@@ -183,7 +189,8 @@ def score_units(units: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLA
     rest = first.where("line = -1").join(by_line.select(F.col("path").alias("done")).distinct(), F.col("path") == F.col("done"), "left_anti")
     named = F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE)
     parts = store(blocks_of(rest.select("path", F.col("unit").alias("text")), vocabulary).where(F.size("known") >= SHARED_TERMS), "license-parts")
-    parts = parts.where(_passes("known", every, threshold)).select("path", "line", "unit")
+    parts = parts.select("*", _anchored("known", anchors).alias("anchored"))
+    parts = parts.where(_passes("known", "anchored", every, anchors, threshold)).select("path", "line", "unit")
     parts = parts.unionByName(rest.where(named).select("path", F.lit(0).alias("line"), "unit"))
     wider = _best_templates(store(parts.distinct(), "license-units"), every, idf, unseen, threshold)
     return by_line.unionByName(wider)
@@ -193,9 +200,10 @@ def _best_templates(found: DataFrame, vectors: list, idf: dict[str, float], unse
     """path, line, license, similarity: the best template of each unit (path, line, unit) that reaches the threshold."""
     spark = found.sparkSession
     found = found.withColumn("h", F.xxhash64("path", "line", "unit"))
-    idfs = spark.createDataFrame(list(idf.items()), "term string, idf double")
-    entries = spark.createDataFrame([(t, k, w / norm) for k, (_, weight, norm) in enumerate(vectors) for t, w in weight.items()], "term string, k int, share double")
-    names = spark.createDataFrame([(k, name) for k, (name, _, _) in enumerate(vectors)], "k int, license string")
+    idfs = _small(spark, [{"term": t, "idf": x} for t, x in idf.items()], "term string, idf double")
+    entries = _small(spark, [{"term": t, "k": k, "share": w / norm} for k, (_, weight, norm) in enumerate(vectors) for t, w in weight.items()],
+                     "term string, k int, share double")
+    names = _small(spark, [{"k": k, "license": name} for k, (name, _, _) in enumerate(vectors)], "k int, license string")
     counts = found.select("h", F.explode(F.filter(terms(F.col("unit")), lambda t: t != "")).alias("term")).groupBy("h", "term").agg(F.count(F.lit(1)).alias("tf"))
     counts = counts.join(F.broadcast(idfs), "term", "left").select("h", "term", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("weight"))
     counts = store(counts, "license-vectors")
@@ -206,16 +214,42 @@ def _best_templates(found: DataFrame, vectors: list, idf: dict[str, float], unse
     return found.join(best, "h").select("path", "line", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"))
 
 
-def _passes(known: str, vectors: list, threshold: float) -> Column:
+def _small(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of what the templates hold, made without Python workers."""
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def _anchors(weight: dict[str, float], norm: float, frequency: dict[str, int], threshold: float) -> list[str]:
+    """Terms of a template without which the others can't reach the threshold, few and rare in the corpus."""
+    left, chosen = 1.0, []
+    for t in sorted(weight, key=lambda t: (frequency.get(t, 0) / weight[t] ** 2, -weight[t], t)):
+        if left < threshold ** 2 * (1 - 1e-9) - 1e-9:
+            break
+        left -= (weight[t] / norm) ** 2
+        chosen.append(t)
+    return chosen
+
+
+def _listed(words: list[str]) -> str:
+    return ", ".join(f"'{t}'" for t in words)
+
+
+def _anchored(known: str, anchors: list[list[str]]) -> Column:
+    """Those of the terms that are an anchor of any template."""
+    return F.expr(f"filter({known}, t -> t IN ({_listed(sorted({t for found in anchors for t in found}))}))")
+
+
+def _passes(known: str, anchored: str, vectors: list, anchors: list[list[str]], threshold: float) -> Column:
     """Whether the distinct terms of `known` make up enough of some template's length to reach the threshold.
 
     The sums run in SQL text, as expressions of hundreds of terms are slow to build one by one.
     """
     tests = []
-    for _, weight, norm in vectors:
+    for (_, weight, norm), found in zip(vectors, anchors):
         shares = ", ".join(f"'{t}', {(w / norm) ** 2!r}D" for t, w in sorted(weight.items()))
-        tests.append(f"aggregate({known}, 0D, (s, t) -> s + coalesce(element_at(map({shares}), t), 0D)) >= {threshold ** 2 * (1 - 1e-9)!r}D")
-    return F.expr(" OR ".join(tests))
+        tests.append(f"arrays_overlap({anchored}, array({_listed(found)})) AND "
+                     f"aggregate({known}, 0D, (s, t) -> s + coalesce(element_at(map({shares}), t), 0D)) >= {threshold ** 2 * (1 - 1e-9)!r}D")
+    return F.expr(f"size({anchored}) > 0 AND ({' OR '.join(tests)})")
 
 
 def blocks_of(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
