@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from ..functions.vector import EPS
+
 DECIMALS = 9  # scores are compared after rounding, so summation order cannot decide a rank
 MARGIN = 2 * 10.0 ** -DECIMALS      # entries this close to a bound may round onto it
 POSITIVE = 0.5 * 10.0 ** -DECIMALS  # scores above this are positive after rounding
@@ -87,7 +89,10 @@ def top_columns(scores: np.ndarray, k: int, floor: np.ndarray | None = None):
 
 
 class RunningTopK:
-    """Best k (score, id) per query over the batches one task has seen."""
+    """Best k (score, id) per query over the batches one task has seen.
+
+    New entries wait until there are as many as the lists hold, so that the lists are sorted anew only now and then.
+    """
 
     def __init__(self, n_queries: int, k: int, floor: np.ndarray | None = None):
         self.k = k
@@ -97,27 +102,43 @@ class RunningTopK:
         self.key = np.zeros(0)
         self.score = np.zeros(0)
         self.floor = np.full(n_queries, -np.inf) if floor is None else floor.astype(np.float64)
+        self.waiting, self.n_waiting = [], 0
 
-    def _candidates(self, scores: np.ndarray, allowed: np.ndarray | None):
+    def _candidates(self, scores: np.ndarray, allowed: np.ndarray | None, floor: np.ndarray):
         """Entries that can still enter the lists, at least the k best new ones of each query."""
-        if np.isfinite(self.floor).all():
+        if np.isfinite(floor).all():
             # lists are full: few entries reach the floor, and only those need rounding
-            mask = scores >= (self.floor - MARGIN)[:, None]
+            mask = scores >= (floor - MARGIN)[:, None]
             if allowed is not None:
                 mask &= allowed
-            if np.count_nonzero(mask) <= 4 * self.n * self.k:
+            if np.count_nonzero(mask) <= 4 * len(floor) * self.k:
                 return np.nonzero(mask)
         keys = np.round(scores, DECIMALS)
         if allowed is not None:
             keys[~allowed] = -np.inf
-        return top_columns(keys, self.k, self.floor)
-
-    def add(self, scores: np.ndarray, doc_ids: np.ndarray, allowed: np.ndarray | None = None) -> None:
-        """`scores` is (queries, docs) with docs in ascending id order; `allowed` masks candidates."""
-        rows, cols = self._candidates(scores, allowed)
-        self._merge(rows, doc_ids[cols], scores[rows, cols])
-
-    def _merge(self, rows: np.ndarray, docs: np.ndarray, fresh: np.ndarray) -> None:
+        return top_columns(keys, self.k, floor)
+
+    def add(self, scores: np.ndarray, doc_ids: np.ndarray, allowed: np.ndarray | None = None,
+            queries: np.ndarray | None = None) -> None:
+        """`scores` is (queries, docs) with docs in ascending id order; `allowed` masks candidates; `queries`
+        numbers the lines of `scores` where they are not all the queries."""
+        floor = self.floor if queries is None else self.floor[queries]
+        rows, cols = self._candidates(scores, allowed, floor)
+        self.push(rows if queries is None else queries[rows], doc_ids[cols], scores[rows, cols])
+
+    def push(self, rows: np.ndarray, docs: np.ndarray, fresh: np.ndarray) -> None:
+        if len(rows):
+            self.waiting.append((rows, docs, fresh))
+            self.n_waiting += len(rows)
+        if self.n_waiting >= self.n * self.k:
+            self.settle()
+
+    def settle(self) -> None:
+        """Sort what waits into the lists; afterwards the floors are up to date."""
+        if not self.waiting:
+            return
+        rows, docs, fresh = (np.concatenate(part) for part in zip(*self.waiting))
+        self.waiting, self.n_waiting = [], 0
         query = np.concatenate([self.query, rows])
         doc = np.concatenate([self.doc, docs])
         key = np.concatenate([self.key, np.round(fresh, DECIMALS)])
@@ -132,6 +153,26 @@ class RunningTopK:
         self.floor[self.query[full]] = np.maximum(self.floor[self.query[full]], self.key[full])
 
 
+def single_slack(dim: int) -> float:
+    """Largest error of a single-precision dot product of `dim` terms, as a share of both lengths."""
+    unit = dim * 2.0 ** -24
+    return 1.01 * unit / (1 - unit)
+
+
+def _reaching(left: np.ndarray, right: np.ndarray, bound: np.ndarray):
+    """(rows, columns) where the single-precision product reaches the row's bound."""
+    low = bound.astype(np.float32)
+    return np.nonzero(left @ right.T >= (low - np.spacing(np.abs(low)))[:, None])
+
+
+def _dots(left: np.ndarray, rows: np.ndarray, right: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Double dot products of the given pairs, a bounded number at a time."""
+    step = max(1, (1 << 21) // max(1, left.shape[1]))
+    out = [np.einsum("ij,ij->i", left[rows[a:a + step]], right[cols[a:a + step]].astype(np.float64))
+           for a in range(0, len(rows), step)]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 class DenseQueries:
     """A block of query vectors; scores are double, screened in single precision where that is safe.
 
@@ -144,40 +185,52 @@ class DenseQueries:
         self.single = vectors.astype(np.float32)
         self.double = vectors.astype(np.float64)
         self.exact_input = np.array_equal(self.single, self.double)
-        unit = vectors.shape[1] * 2.0 ** -24
-        self.slack = 1.01 * unit / (1 - unit) * np.linalg.norm(self.double, axis=1)
+        self.slack = single_slack(vectors.shape[1]) * np.linalg.norm(self.double, axis=1)
 
     def offer(self, best: RunningTopK, docs: np.ndarray, doc_ids: np.ndarray) -> None:
         if self.exact_input and docs.dtype == np.float32 and np.isfinite(best.floor).all():
             longest = np.sqrt(np.einsum("ij,ij->i", docs, docs, dtype=np.float64).max(initial=0))
-            bound = best.floor - MARGIN - self.slack * longest
-            rows, cols = np.nonzero(self.single @ docs.T >= bound.astype(np.float32)[:, None] - np.spacing(
-                np.abs(bound).astype(np.float32))[:, None])
+            rows, cols = _reaching(self.single, docs, best.floor - MARGIN - self.slack * longest)
             if len(rows) <= 4 * best.n * best.k:
-                step = max(1, (1 << 22) // docs.shape[1])
-                exact = [np.einsum("ij,ij->i", self.double[rows[a:a + step]],
-                                   docs[cols[a:a + step]].astype(np.float64)) for a in range(0, len(rows), step)]
-                best._merge(rows, doc_ids[cols], np.concatenate(exact) if exact else np.zeros(0))
+                best.push(rows, doc_ids[cols], _dots(self.double, rows, docs, cols))
                 return
         best.add(self.double @ docs.T.astype(np.float64), doc_ids)
 
 
 class SparseQueries:
-    """A block of query codes arranged by feature, ready to score document batches."""
+    """A block of query codes arranged by feature, ready to score document batches.
+
+    Features that a code names twice count with the sum of their weights. `norms` are the lengths that a cosine
+    divides by, those of the codes unless given.
+    """
 
-    def __init__(self, offsets, features, weights):
+    DENSE_FEATURES = 2048  # up to so many used features a block is scored as a matrix
+    MATRIX = 1 << 22       # numbers of such a matrix of queries
+
+    def __init__(self, offsets, features, weights, norms=None):
         self.n = len(offsets) - 1
         rows = np.repeat(np.arange(self.n), np.diff(offsets))
         order = np.argsort(features, kind="stable")
         self.rows, self.weights = rows[order], weights[order]
         self.features, starts = np.unique(features[order], return_index=True)
         self.starts = np.append(starts, len(order))
-        self.norms = np.sqrt(np.bincount(rows, weights * weights, self.n))
+        self.norms = np.sqrt(np.bincount(rows, weights * weights, self.n)) if norms is None else norms
+        self.whole = len(self.features) <= self.DENSE_FEATURES and self.n * len(self.features) <= self.MATRIX
+        self.sides = {}
 
     def dense(self, weights) -> np.ndarray:
-        m = np.zeros((self.n, len(self.features)))
-        m[self.rows, np.repeat(np.arange(len(self.features)), np.diff(self.starts))] = weights
-        return m
+        width = len(self.features)
+        cells = self.rows * width + np.repeat(np.arange(width), np.diff(self.starts))
+        return np.bincount(cells, weights, self.n * width).reshape(self.n, width)
+
+    def _side(self, cosine: bool):
+        """(double matrix, single matrix, slack of a single-precision score), the single one of unit length for a cosine."""
+        if cosine not in self.sides:
+            double = self.dense(self.weights)
+            scaled = np.divide(double, self.norms[:, None], out=np.zeros_like(double),
+                               where=self.norms[:, None] > 0) if cosine else double
+            self.sides[cosine] = (double, scaled.astype(np.float32), np.linalg.norm(scaled, axis=1))
+        return self.sides[cosine]
 
     def _match(self, offsets, features, weights):
         """Document entries whose feature some query uses."""
@@ -187,6 +240,73 @@ class SparseQueries:
         hit = self.features[slot] == features
         return docs[hit], slot[hit], weights[hit]
 
+    def offer(self, best: RunningTopK, offsets, features, weights, doc_ids, spec, norms=None, queries=None) -> None:
+        """Score a batch of documents for the given queries, or all, and hand what can rank to their lists."""
+        if norms is None:
+            rows = np.repeat(np.arange(len(doc_ids)), np.diff(offsets))
+            norms = np.sqrt(np.bincount(rows, weights * weights, len(doc_ids)))
+        if not (self.whole and len(self.features) and len(doc_ids)):
+            scores, overlap = self.score(offsets, features, weights, spec["candidates"] == "overlap")
+            if queries is not None:
+                scores, overlap = scores[queries], None if overlap is None else overlap[queries]
+            self._add(best, scores, overlap, norms, doc_ids, spec, queries)
+            return
+        width = len(self.features)
+        docs, slot, w = self._match(offsets, features, weights)
+        block = np.bincount(docs * width + slot, w, len(doc_ids) * width).reshape(-1, width)
+        mine = np.arange(self.n) if queries is None else queries
+        mine = mine[~self._screened(best, block, norms, doc_ids, spec, mine)]
+        if len(mine):  # lists that are not full, or that screening would not cut
+            double = self._side(spec["scoring"] == "cosine")[0]
+            overlap = None
+            if spec["candidates"] == "overlap":
+                present = np.zeros(block.shape, np.float32)
+                present[docs, slot] = 1
+                overlap = (self.dense(np.ones_like(self.weights)).astype(np.float32)[mine] @ present.T) > 0
+            self._add(best, double[mine] @ block.T, overlap, norms, doc_ids, spec, mine)
+
+    def _scale(self, norms, spec):
+        return norms + EPS if spec["epsilon"] == "add" else np.maximum(norms, EPS)
+
+    def _add(self, best, scores, overlap, norms, doc_ids, spec, queries):
+        if spec["scoring"] == "cosine":
+            own = self.norms if queries is None else self.norms[queries]
+            scores = scores / self._scale(own[:, None] * norms[None, :], spec)
+        best.add(scores, doc_ids, scores > POSITIVE if spec["candidates"] == "positive" else overlap, queries)
+
+    def _screened(self, best, block, norms, doc_ids, spec, mine) -> np.ndarray:
+        """Which of the queries `mine` were served by a single-precision screen against their floors.
+
+        A list must be full, and unless documents without a shared feature may rank, its floor above zero, which no
+        such document reaches. A cosine is screened as the product of unit vectors, its guard against zero being part of the slack.
+        """
+        cosine = spec["scoring"] == "cosine"
+        double, single, long = self._side(cosine)
+        floor = best.floor[mine]
+        served = np.isfinite(floor) if spec["candidates"] == "all" else floor > 0
+        scaled = np.divide(block, norms[:, None], out=np.zeros_like(block), where=norms[:, None] > 0) if cosine else block
+        longest = np.sqrt(np.einsum("ij,ij->i", scaled, scaled).max(initial=0))
+        if not served.any() or not long.max(initial=0) * longest < 1e30:
+            return np.zeros(len(mine), bool)
+        slack = single_slack(block.shape[1] + 8) * long[mine] * longest
+        if cosine:
+            least = norms[norms > 0].min(initial=np.inf)
+            guard = np.where(self.norms[mine] > 0, EPS / (self.norms[mine] * least + EPS), 0)
+            slack = slack + 2 * guard * long[mine] * longest
+        rows = mine[served]
+        found, cols = _reaching(single if len(rows) == self.n else single[rows], scaled.astype(np.float32), (floor - MARGIN - slack)[served])
+        if len(found) > 4 * len(rows) * best.k:
+            return np.zeros(len(mine), bool)
+        found = rows[found]
+        exact = _dots(double, found, block, cols)
+        if cosine:
+            exact = exact / self._scale(self.norms[found] * norms[cols], spec)
+        keep = exact >= best.floor[found] - MARGIN
+        if spec["candidates"] == "positive":
+            keep &= exact > POSITIVE
+        best.push(found[keep], doc_ids[cols[keep]], exact[keep])
+        return served
+
     def score(self, offsets, features, weights, need_overlap: bool):
         """(scores, overlap mask or None) of all queries against a batch of documents."""
         n_docs = len(offsets) - 1
@@ -194,16 +314,6 @@ class SparseQueries:
         if len(self.features) == 0 or n_docs == 0:
             return np.zeros(shape), (np.zeros(shape, bool) if need_overlap else None)
         docs, slot, weights = self._match(offsets, features, weights)
-        if len(self.features) <= 512:
-            block = np.zeros((n_docs, len(self.features)))
-            block[docs, slot] = weights
-            scores = self.dense(self.weights) @ block.T
-            overlap = None
-            if need_overlap:
-                present = np.zeros_like(block, dtype=np.float32)
-                present[docs, slot] = 1
-                overlap = (self.dense(np.ones_like(self.weights)).astype(np.float32) @ present.T) > 0
-            return scores, overlap
         scores = np.zeros(shape[0] * shape[1])
         overlap = np.zeros(len(scores), bool) if need_overlap else None
         fanout = np.diff(self.starts)[slot]
