@@ -88,10 +88,20 @@ def top_columns(scores: np.ndarray, k: int, floor: np.ndarray | None = None):
     return np.nonzero(keep)
 
 
+def where(mask: np.ndarray):
+    """(rows, columns) of the true cells of a matrix of which few are true: eight cells are looked at together."""
+    flat = np.ascontiguousarray(mask).reshape(-1)
+    cut = len(flat) // 8 * 8
+    word = np.flatnonzero(flat[:cut].view(np.uint64))
+    place, byte = np.nonzero(flat[:cut].reshape(-1, 8)[word])
+    cell = np.concatenate([word[place] * 8 + byte, np.flatnonzero(flat[cut:]) + cut])
+    return np.divmod(cell, max(1, mask.shape[1]))
+
+
 class RunningTopK:
     """Best k (score, id) per query over the batches one task has seen.
 
-    New entries wait until there are as many as the lists hold, so that the lists are sorted anew only now and then.
+    New entries wait until there are half as many as the lists hold, so that the lists are cut anew only now and then.
     """
 
     def __init__(self, n_queries: int, k: int, floor: np.ndarray | None = None):
@@ -112,7 +122,7 @@ class RunningTopK:
             if allowed is not None:
                 mask &= allowed
             if np.count_nonzero(mask) <= 4 * len(floor) * self.k:
-                return np.nonzero(mask)
+                return where(mask)
         keys = np.round(scores, DECIMALS)
         if allowed is not None:
             keys[~allowed] = -np.inf
@@ -130,27 +140,59 @@ class RunningTopK:
         if len(rows):
             self.waiting.append((rows, docs, fresh))
             self.n_waiting += len(rows)
-        if self.n_waiting >= self.n * self.k:
-            self.settle()
+        if 2 * self.n_waiting >= self.n * self.k:
+            self._cut()
 
     def settle(self) -> None:
         """Sort what waits into the lists; afterwards the floors are up to date."""
+        self._cut()
+        order = np.lexsort((self.doc, -self.key, self.query))
+        self.query, self.doc, self.key, self.score = self.query[order], self.doc[order], self.key[order], self.score[order]
+
+    def _cut(self) -> None:
+        """Take what waits into the lists, which stay in no order."""
         if not self.waiting:
             return
         rows, docs, fresh = (np.concatenate(part) for part in zip(*self.waiting))
         self.waiting, self.n_waiting = [], 0
-        query = np.concatenate([self.query, rows])
-        doc = np.concatenate([self.doc, docs])
-        key = np.concatenate([self.key, np.round(fresh, DECIMALS)])
-        score = np.concatenate([self.score, fresh])
-        order = np.lexsort((doc, -key, query))
-        query, doc, key, score = query[order], doc[order], key[order], score[order]
-        starts = np.searchsorted(query, np.arange(self.n))
-        position = np.arange(len(query)) - starts[query]
-        keep = (position < self.k) & (key >= self.floor[query])
-        self.query, self.doc, self.key, self.score = query[keep], doc[keep], key[keep], score[keep]
-        full = position[keep] == self.k - 1
-        self.floor[self.query[full]] = np.maximum(self.floor[self.query[full]], self.key[full])
+        keys = np.round(fresh, DECIMALS)
+        reach = keys >= self.floor[rows]
+        query = np.concatenate([self.query, rows[reach]])
+        doc = np.concatenate([self.doc, docs[reach]])
+        key = np.concatenate([self.key, keys[reach]])
+        score = np.concatenate([self.score, fresh[reach]])
+        lengths = np.bincount(query, minlength=self.n)
+        if lengths.max(initial=0) >= self.k:
+            keep = self._best(query, doc, key, lengths)
+            query, doc, key, score = query[keep], doc[keep], key[keep], score[keep]
+        self.query, self.doc, self.key, self.score = query, doc, key, score
+
+    def _best(self, query, doc, key, lengths) -> np.ndarray:
+        """Which entries are among the k best of their query, ties to the lower id; floors of full lists are raised."""
+        order = np.argsort(query.astype(np.uint16) if self.n <= 1 << 16 else query, kind="stable")
+        starts = np.cumsum(lengths) - lengths
+        full = np.flatnonzero(lengths >= self.k)
+        kth = np.full(self.n, -np.inf)
+        sizes = lengths[full]
+        for some in np.split(full[np.argsort(sizes)], np.flatnonzero(np.diff(np.sort(sizes) // self.k)) + 1):  # lists of like lengths
+            step = max(1, (1 << 21) // int(lengths[some].max()))
+            for at in range(0, len(some), step):
+                mine = some[at:at + step]
+                n = lengths[mine]
+                line = np.repeat(np.arange(len(mine)), n)
+                place = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+                grid = np.full((len(mine), int(n.max())), -np.inf)
+                grid[line, place] = key[order[np.repeat(starts[mine], n) + place]]
+                kth[mine] = np.partition(grid, grid.shape[1] - self.k, axis=1)[:, grid.shape[1] - self.k]
+        self.floor = np.maximum(self.floor, kth)
+        keep = key >= kth[query]
+        over = (np.bincount(query[keep], minlength=self.n) > self.k)[query] & keep
+        if over.any():  # more entries share the last key than there is room for
+            tied = np.flatnonzero(over)
+            tied = tied[np.lexsort((doc[tied], -key[tied], query[tied]))]
+            q = query[tied]
+            keep[tied[np.arange(len(q)) - np.searchsorted(q, q) >= self.k]] = False
+        return keep
 
 
 def single_slack(dim: int) -> float:
@@ -162,13 +204,13 @@ def single_slack(dim: int) -> float:
 def _reaching(left: np.ndarray, right: np.ndarray, bound: np.ndarray):
     """(rows, columns) where the single-precision product reaches the row's bound."""
     low = bound.astype(np.float32)
-    return np.nonzero(left @ right.T >= (low - np.spacing(np.abs(low)))[:, None])
+    return where(left @ right.T >= (low - np.spacing(np.abs(low)))[:, None])
 
 
 def _dots(left: np.ndarray, rows: np.ndarray, right: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Double dot products of the given pairs, a bounded number at a time."""
     step = max(1, (1 << 21) // max(1, left.shape[1]))
-    out = [np.einsum("ij,ij->i", left[rows[a:a + step]], right[cols[a:a + step]].astype(np.float64))
+    out = [np.einsum("ij,ij->i", left[rows[a:a + step]], right[cols[a:a + step]].astype(np.float64, copy=False))
            for a in range(0, len(rows), step)]
     return np.concatenate(out) if out else np.zeros(0)
 
