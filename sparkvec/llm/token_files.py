@@ -16,6 +16,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -250,10 +251,12 @@ def library_encoder(state: dict) -> Callable[[list[str]], tuple[np.ndarray, np.n
 
     `state` holds the vocabulary file's content and lives with the worker. Pieces between ASCII white
     space are encoded by the library once and remembered, ASCII letters lowered first as the vocabulary
-    lowers all; nothing in the library's rules reaches across white space. Pieces that may hold a
-    special token keep their case.
+    lowers all; nothing in the library's rules reaches across white space, so new pieces are encoded in joined
+    texts and told apart by their offsets. Where the vocabulary parts signs from letters, signs behind an ASCII
+    letter or digit are a piece of their own. Pieces that may hold a special token keep their case.
     """
     if "tokenizer" not in state:
+        import json
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -261,9 +264,39 @@ def library_encoder(state: dict) -> Callable[[list[str]], tuple[np.ndarray, np.n
         tokenizer.no_truncation()
         tokenizer.no_padding()
         state["tokenizer"] = tokenizer
+        state["parts"] = (json.loads(state["json"]).get("pre_tokenizer") or {}).get("pretokenizers", [None])[0] == SIGNS_APART
         _forget(state)
     tokenizer = state["tokenizer"]
 
+    def learn(numbers: _Numbers) -> None:
+        made, counts = [], []
+        for at in range(0, len(numbers.new), 20_000):
+            chunk = [p.decode() for p in numbers.new[at:at + 20_000]]
+            joined = [" ".join(chunk[k:k + JOINED]) for k in range(0, len(chunk), JOINED)]
+            encoded = tokenizer.encode_batch(joined, add_special_tokens=False)
+            n = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            made.append(np.fromiter(chain.from_iterable(e.ids for e in encoded), np.int32, int(n.sum())))
+            first = np.fromiter((o[0] for e in encoded for o in e.offsets), np.int64, int(n.sum()))
+            sizes = np.fromiter(map(len, joined), np.int64, len(joined)) + 1
+            first += np.repeat(np.cumsum(sizes) - sizes, n)
+            ends = np.cumsum(np.fromiter(map(len, chunk), np.int64, len(chunk)) + 1)
+            counts.append(np.bincount(np.searchsorted(ends, first, "right"), minlength=len(chunk)))
+        known = len(state["lens"])
+        lens = np.concatenate([state["lens"], np.zeros(len(numbers) - known, np.int64)])
+        starts = np.concatenate([state["starts"], np.zeros(len(numbers) - known, np.int64)])
+        ids = np.concatenate([state["ids"], *made])
+        own = np.array(numbers.places, np.int64)
+        lens[own] = np.concatenate([np.empty(0, np.int64), *counts])
+        starts[own] = len(state["ids"]) + np.cumsum(lens[own]) - lens[own]
+        if numbers.pairs:
+            pairs = np.array(numbers.pairs, np.int64)
+            both = lens[pairs[:, 1:]]
+            lens[pairs[:, 0]] = both.sum(axis=1)
+            starts[pairs[:, 0]] = len(ids) + np.cumsum(lens[pairs[:, 0]]) - lens[pairs[:, 0]]
+            ids = np.concatenate([ids, ids[_ranges(starts[pairs[:, 1:].ravel()], both.ravel())]])
+        state["lens"], state["starts"], state["ids"] = lens, starts, ids
+        numbers.new, numbers.places, numbers.pairs = [], [], []
+
     def encode(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(state["numbers"]) > CACHE_PIECES:
             _forget(state)
@@ -278,44 +311,55 @@ def library_encoder(state: dict) -> Callable[[list[str]], tuple[np.ndarray, np.n
                 found += raw.lower().split()
             ends.append(len(found))
         number = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-        if numbers.new:
-            for at in range(0, len(numbers.new), 20_000):
-                made = [e.ids for e in tokenizer.encode_batch_fast(
-                    [p.decode() for p in numbers.new[at:at + 20_000]], add_special_tokens=False)]
-                lens = np.array([len(x) for x in made], np.int64)
-                state["starts"].append(state["total"] + np.cumsum(lens) - lens)
-                state["lens"].append(lens)
-                state["ids"].append(np.array([i for x in made for i in x], np.int32))
-                state["total"] += int(lens.sum())
-            numbers.new = []
-            for key in ("starts", "lens", "ids"):
-                state[key] = [np.concatenate(state[key])]
-        starts, lens, ids = (state[k][0] for k in ("starts", "lens", "ids"))
-        size = lens[number]
+        if numbers.new or numbers.pairs:
+            learn(numbers)
+        size = state["lens"][number]
         ahead = np.concatenate([[0], np.cumsum(size)])
-        index = np.repeat(starts[number] - ahead[:-1], size) + np.arange(int(ahead[-1]))
-        return ids[index], np.diff(ahead[np.array(ends)])
+        return state["ids"][_ranges(state["starts"][number], size)], np.diff(ahead[np.array(ends)])
     return encode
 
 
-# Pieces that a worker remembers; at this number it starts anew.
-CACHE_PIECES = 600_000
+# Pieces that a worker remembers; at this number it starts anew. New pieces that are encoded as one text.
+CACHE_PIECES, JOINED = 600_000, 100
+# Rule of a vocabulary by which a run of signs behind a letter or digit is always a word of its own.
+SIGNS_APART = {"type": "Split", "behavior": "Removed", "invert": True,
+               "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}}
+SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers starts[i], starts[i] + 1, ... of all ranges in a row."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class _Numbers(dict):
-    def __init__(self):
+    """Number of each piece. `new` are pieces for the library, `places` their numbers, `pairs` (number, stem's, signs')."""
+
+    def __init__(self, parts: bool):
         super().__init__()
+        self.parts = parts
         self.new: list[bytes] = []
+        self.places: list[int] = []
+        self.pairs: list[tuple[int, int, int]] = []
 
     def __missing__(self, piece: bytes) -> int:
+        if self.parts:
+            stem = piece.rstrip(SIGNS)
+            if stem and len(stem) < len(piece) and stem[-1:].isalnum() and b"<|" not in piece:
+                both = self[stem], self[piece[len(stem):]]
+                self[piece] = number = len(self)
+                self.pairs.append((number, *both))
+                return number
         self[piece] = number = len(self)
         self.new.append(piece)
+        self.places.append(number)
         return number
 
 
 def _forget(state: dict) -> None:
-    state["numbers"], state["total"] = _Numbers(), 0
-    state["starts"], state["lens"], state["ids"] = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    state["numbers"] = _Numbers(state["parts"])
+    state["starts"], state["lens"], state["ids"] = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
 
 def write_with_library(docs: DataFrame, path: str, vocabulary: str, end_id: int | None, **options) -> None:

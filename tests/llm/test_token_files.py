@@ -68,3 +68,28 @@ def test_query_reads_every_document(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     got = QUERIES["op4_token_files"](spark, sf_dir).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == brute([tuple(r) for r in rows])
+
+
+def test_new_pieces_go_to_the_library_in_few_texts():
+    """Signs behind a letter are a piece of their own, and new pieces are joined."""
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.pieces, self.texts = inner, 0, 0
+
+        def __getattr__(self, name):
+            def call(texts, **options):
+                self.texts += len(texts)
+                self.pieces += sum(len(t.split()) for t in texts)
+                return getattr(self.inner, name)(texts, **options)
+            return call
+    with open(VOCABULARY, encoding="utf-8") as file:
+        state = {"json": file.read()}
+    token_files.library_encoder(state)
+    state["tokenizer"] = counting = Counting(state["tokenizer"])
+    words = ["wort" + chr(97 + k // 26) + chr(97 + k % 26) for k in range(300)]
+    text = " ".join(w + sign for w in words for sign in ("", ",", ".", "!?", "'s", "'"))
+    ids, counts = token_files.library_encoder(state)([text, "é, ½, 7. <|endoftext|>. Á,", ""])
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "é, ½, 7. <|endoftext|>. Á,", "")]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    assert counting.texts <= 10 and counting.pieces < 620
