@@ -6,7 +6,7 @@ partitioning and can be recomputed after an executor is lost.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int, hash_key
@@ -78,19 +78,20 @@ def first_per_group(df: DataFrame, group: str, key, most: int, n=None) -> DataFr
 def _draw_distinct(need: DataFrame, used: DataFrame, n_docs: int, most: int, seed: int) -> DataFrame:
     """`need` distinct rows of the pool per query that are not `used`, as (q_idx, doc_idx, _r).
 
-    Candidates are hashed row indices, a fixed number per query; a query that stays short gets
-    DRAW_ROUNDS times as many. Only queries still short afterwards enumerate the pool; that happens
-    when the used rows cover most of it or the pool itself is small, so the work stays
-    proportional to the input.
+    Candidates are hashed row indices, as many per query as `need` distinct ones are expected to take; a query that
+    stays short gets DRAW_ROUNDS times a fixed number. The smallest draw numbers are taken, so how many are drawn first
+    decides no row. Only queries still short afterwards enumerate the pool; that happens when the used rows cover most
+    of it or the pool itself is small, so the work stays proportional to the input. Draws and used rows of a query meet
+    in one shuffle.
     """
-    def draw(need: DataFrame, rounds: int) -> DataFrame:
-        draws = need.select("*", F.explode(F.sequence(
-            F.lit(0), rounds * F.greatest(F.lit(32), 4 * F.col("need")) - 1)).alias("draw"))
-        draws = draws.withColumn(
-            "doc_idx", F.pmod(hash_int(seed, F.lit("draw"), "q_idx", "draw"), F.lit(n_docs)))
-        fresh = draws.groupBy("q_idx", "doc_idx").agg(
-            F.min("draw").alias("draw"), F.first("need").alias("need")).join(
-            used, ["q_idx", "doc_idx"], "left_anti")
+    taken = used.where("q_idx IS NOT NULL AND doc_idx IS NOT NULL").select(
+        "q_idx", F.col("doc_idx").cast("bigint").alias("doc_idx"), F.lit(-1).alias("draw"), F.lit(0).alias("need"))
+
+    def draw(need: DataFrame, draws: Column) -> DataFrame:
+        drawn = need.select("q_idx", F.col("need").cast("int").alias("need"), F.explode(F.sequence(F.lit(0), draws - 1)).alias("draw"))
+        drawn = drawn.withColumn("doc_idx", F.pmod(hash_int(seed, F.lit("draw"), "q_idx", "draw"), F.lit(n_docs)))
+        fresh = drawn.unionByName(taken).repartition("q_idx").groupBy("q_idx", "doc_idx").agg(
+            F.min("draw").alias("draw"), F.max("need").alias("need")).where("draw >= 0")
         return cut_lineage(first_per_group(fresh, "q_idx", F.col("draw"), most, F.col("need")).select(
             "q_idx", "doc_idx", "_r"))
 
@@ -99,12 +100,16 @@ def _draw_distinct(need: DataFrame, used: DataFrame, n_docs: int, most: int, see
         return cut_lineage(need.join(got, "q_idx", "left").where(
             F.coalesce("n_fill", F.lit(0)) < F.col("need")).select("q_idx", "need"))
 
+    full = F.greatest(F.lit(32), 4 * F.col("need"))
     need = cut_lineage(need.select("q_idx", "need"))
-    fill = draw(need, 1)
+    free = F.lit(float(n_docs)) - F.coalesce("n_used", F.lit(0))
+    expected = F.when(free > F.col("need"), n_docs * F.log(free / (free - F.col("need"))))  # null: more than can be drawn
+    first = F.least(full, F.coalesce(F.ceil(expected + 4 * F.sqrt(expected) + 8).cast("int"), full))
+    fill = draw(need.join(used.groupBy("q_idx").agg(F.count(F.lit(1)).alias("n_used")), "q_idx", "left"), first)
     short = still_short(need, fill)
     if short.isEmpty():
         return fill
-    fill = fill.join(short, "q_idx", "left_anti").unionByName(draw(short, DRAW_ROUNDS))
+    fill = fill.join(short, "q_idx", "left_anti").unionByName(draw(short, DRAW_ROUNDS * full))
     short = still_short(short, fill)
     if short.isEmpty():
         return fill

@@ -91,3 +91,20 @@ def test_paired_split(spark):
     rows = spark.range(25).withColumnRenamed("id", "row_idx")
     assert sorted(r[0] for r in R.paired_split(rows, 25, 0.1, "val").collect()) == [23, 24]
     assert R.paired_split(rows, 25, 0.1, "train").count() == 23
+
+
+def test_draws_are_about_as_many_as_are_taken(spark, monkeypatch):
+    """The smallest draw numbers win, so a first round of few draws gives the same rows as one of many."""
+    from hashlib import md5
+    seen, cut = [], R.first_per_group
+    monkeypatch.setattr(R, "first_per_group", lambda df, *a: seen.append(df.count()) or cut(df, *a))
+    need = spark.createDataFrame([(1, 300), (2, 300)], "q_idx bigint, need int")
+    used = spark.createDataFrame([(1, d) for d in range(1000)] + [(3, 1), (None, 2)], "q_idx bigint, doc_idx bigint")
+    got = {(q, d): r for q, d, r in R._draw_distinct(need, used, 5000, 300, 7).select("q_idx", "doc_idx", "_r").collect()}
+    want = {}
+    for q, taken in ((1, 1000), (2, 0)):
+        drawn = [int(md5(f"7:draw:{q}:{i}".encode()).hexdigest()[:15], 16) % 5000 for i in range(1200)]
+        picked = list(dict.fromkeys(d for d in drawn if d >= taken))[:300]
+        want |= {(q, d): r for r, d in enumerate(picked, 1)}
+    assert got == want
+    assert seen[0] < 2 * 450
