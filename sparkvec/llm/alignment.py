@@ -28,6 +28,8 @@ from .common import slices, small_batches, store, text_of, texts, widen
 
 # Units that a task remembers; then it starts anew. Characters of units that are tokenized in one text.
 UNITS, CHUNK = 250_000, 1 << 15
+# Bytes of text that are looked up at once: a text's units and pairs take about a hundred bytes a byte.
+PART_BYTES = 1 << 20
 # Id pairs whose counts are broadcast (17 bytes each), the most frequent ones; the others are joined by shuffle.
 HEAD_PAIRS = 2_000_000
 # Links of a group from which on its ids are counted before they are paired.
@@ -337,6 +339,12 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     return made.select(F.col("id").alias(id_col), "groups")
 
 
+def _measured(aligner: Aligner, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict]]:
+    """Row ranges of the batch that hold about PART_BYTES of text, with what the aligner says of them."""
+    for part in slices(batch, "text", PART_BYTES):
+        yield part, aligner.measure(texts(part, "text"))
+
+
 def aligned(docs: DataFrame, shared: Broadcast, id_col: str, text_col: str) -> DataFrame:
     """One stored row per row of `docs`: its numbers, digest, and distinct id pairs with their links; `row` is unique."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -344,8 +352,7 @@ def aligned(docs: DataFrame, shared: Broadcast, id_col: str, text_col: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, row = Aligner(*shared.value), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, "text"):
-                m = aligner.measure(texts(part, "text"))
+            for part, m in _measured(aligner, batch):
                 numbers = np.arange(row, row + part.num_rows)
                 row += part.num_rows
                 yield pa.RecordBatch.from_arrays(

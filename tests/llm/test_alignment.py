@@ -127,3 +127,13 @@ def test_refine_splits_a_shared_character():
     # two tokens share a three-byte character, a third one ends it and takes two bytes of the next
     begin, end, length = np.array([0, 1, 1, 4]), np.array([1, 4, 7, 7]), np.array([1, 2, 3, 1])
     assert L.refine(begin, end, length, np.array([True, False, False, False])).tolist() == [1, 3, 6, 7]
+
+
+def test_a_worker_looks_up_about_a_megabyte_of_text_at_once():
+    import pyarrow as pa
+    from types import SimpleNamespace
+    held = []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(41)), pa.array(["x" * 100_000] * 40 + [None])], ["id", "text"])
+    parts = [p for p, _ in L._measured(SimpleNamespace(measure=lambda t: held.append(sum(map(len, t)))), batch)]
+    assert sum(held) == 4_000_000 and max(held) <= 1 << 20
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(41))
