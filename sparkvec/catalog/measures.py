@@ -8,6 +8,7 @@ from ..operators import coding as C
 from ..operators import losses as L
 from ..operators import metrics as M
 from ..plans import suites
+from ..session import cut_lineage
 from ..sources import stores
 from . import inputs as X
 from .registry import query
@@ -42,7 +43,7 @@ _RAW = f"{X.search_sql(X.raw_sql())}, {metrics_sql(f'runs AS (SELECT {chr(39)}ra
 
 def _raw_metrics(spark, sf):
     run = suites.as_run(X.raw_run(spark, sf), "raw", X.RAW_K)
-    return M.ranking_metrics(run, X.relevance(spark, sf))
+    return M.ranking_metrics(run, cut_lineage(X.relevance(spark, sf)))
 
 
 def _columns(name, columns):
@@ -77,12 +78,13 @@ SELECT 'raw' AS method, {X.RAW_K} AS k, round(sum(h / n) / (SELECT count(*) FROM
 FROM h JOIN s USING (q_idx)""")
 def m1_macro(spark, sf):
     run = suites.as_run(X.raw_run(spark, sf), "raw", X.RAW_K)
-    return M.macro_recall(run, X.relevance(spark, sf), 100).select(
+    return M.macro_recall(run, cut_lineage(X.relevance(spark, sf)), 100).select(
         "method", "k", X.r6("macro_recall_at_100").alias("macro_recall_at_100"))
 
 
 def _frames(spark, sf):
-    return X.vectors(spark, sf, "q_idx"), X.vectors(spark, sf, "doc_idx"), X.relevance(spark, sf)
+    """Query and document vectors, and the relevance, which is stored: metrics read it several times."""
+    return X.vectors(spark, sf, "q_idx"), X.vectors(spark, sf, "doc_idx"), cut_lineage(X.relevance(spark, sf))
 
 
 @query("M6_reconstruction", f"""WITH {X.sae_sql()},

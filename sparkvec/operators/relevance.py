@@ -14,6 +14,7 @@ from ..session import cut_lineage
 
 DRAW_ROUNDS = 8  # fixed value: attempts before the pool is enumerated
 ROW_BLOCK = 1 << 16  # row indices generated by one task in the exhaustive fill
+POOL_BYTES = 64 * 1024 * 1024  # largest pool of ids that is broadcast to the judgments
 
 
 def pool_ids(items: DataFrame, id_col: str = "item_id") -> DataFrame:
@@ -25,13 +26,21 @@ def _relevant(qrels: DataFrame) -> DataFrame:
     return (qrels.where(F.col("rel") > 0) if "rel" in qrels.columns else qrels).select("qid", "did")
 
 
-def relevance_rows(qrels: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+def _travels(pool: DataFrame, id_col: str, most: int) -> DataFrame:
+    """`pool`, broadcast in joins if its ids and row indices take at most `most` bytes."""
+    n, size = pool.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(id_col)), F.lit(0))).first()
+    return F.broadcast(pool) if 32 * n + size <= most else pool
+
+
+def relevance_rows(qrels: DataFrame, queries: DataFrame, docs: DataFrame, pool_bytes: int = POOL_BYTES) -> DataFrame:
     """Judgments with a positive rel, if it is given, whose query and document are both in the pools, as row indices.
 
-    Queries without an in-pool relevant document vanish with the inner joins.
+    Queries without an in-pool relevant document vanish with the inner joins. Pools of up to `pool_bytes` travel to
+    the judgments, so that of these only rows inside the pools are shuffled.
     """
     q = queries.select(F.col("item_id").alias("qid"), F.col("row_idx").alias("q_idx"))
     d = pool_ids(docs).select(F.col("id").alias("did"), F.col("row_idx").alias("doc_idx"))
+    q, d = _travels(q, "qid", pool_bytes), _travels(d, "did", pool_bytes)
     return _relevant(qrels).join(q, "qid").join(d, "did").select("q_idx", "doc_idx").distinct()
 
 

@@ -108,3 +108,28 @@ def test_draws_are_about_as_many_as_are_taken(spark, monkeypatch):
         want |= {(q, d): r for r, d in enumerate(picked, 1)}
     assert got == want
     assert seen[0] < 2 * 450
+
+
+def test_small_pools_travel_to_the_judgments(spark):
+    qrels = spark.createDataFrame([("1", "2", 1.0), ("1", "9", 1.0), ("2", "1", 0.0), ("2", "2", 2.0), ("2", "2", 1.0), (None, "1", 1.0)],
+                                  "qid string, did string, rel double")
+    items = spark.createDataFrame([(1, "1"), (2, "2"), (3, "2"), (4, None)], "row_idx bigint, item_id string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans, rows = [], []
+        for size in (R.POOL_BYTES, 0):
+            made = R.relevance_rows(qrels, items, items, size)
+            plans.append(made._jdf.queryExecution().executedPlan().toString())
+            rows.append(sorted(map(tuple, made.collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans[0].count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plans[0]
+    assert "BroadcastHashJoin" not in plans[1]
+    assert rows[0] == rows[1] == [(1, 3), (2, 3), (3, 3)]
+
+
+def test_judgments_are_read_once_for_the_metrics(spark, sf_dir):
+    from sparkvec.catalog import QUERIES
+    for name in ("M4_ndcg", "M1_macro_recall", "M12_raw_topk_suite"):
+        assert "l_orderkey" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
