@@ -24,7 +24,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, store, text_of, texts, widen
+from .common import releasing, slices, small_batches, store, text_of, texts, widen
 
 # Units that a task remembers; then it starts anew. Characters of units that are tokenized in one text.
 UNITS, CHUNK = 250_000, 1 << 15
@@ -335,7 +335,7 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
                 part = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
                 yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], batch.schema.field(0).type), pa.array([out], pa.list_(part))], ["id", "groups"])
     made = widen(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).withColumn("text", text_of()).mapInArrow(
-        run, f"id {kind}, groups array<struct<start: bigint, end: bigint, a: array<int>, b: array<int>>>")
+        releasing(run), f"id {kind}, groups array<struct<start: bigint, end: bigint, a: array<int>, b: array<int>>>")
     return made.select(F.col("id").alias(id_col), "groups")
 
 
@@ -360,7 +360,7 @@ def aligned(docs: DataFrame, shared: Broadcast, id_col: str, text_col: str) -> D
                      _lists(m["pairs"], m["ends"]), _lists(m["times"], m["ends"])],
                     ["row", "id", "n_a", "n_b", "n_groups", "n_links", "digest", "pairs", "times"])
     rows = widen(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).withColumn("text", text_of())
-    return store(rows.mapInArrow(run, f"row bigint, id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, digest string, "
+    return store(rows.mapInArrow(releasing(run), f"row bigint, id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, digest string, "
                                       "pairs array<bigint>, times array<bigint>"), "aligned")
 
 
@@ -415,7 +415,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     names = ["id", "n_a", "n_b", "n_groups", "n_links", "digest"]
     numbers = rows.select(*names).schema.simpleString()
     found = rows.select("row", F.struct(*names).alias("numbers"), "pairs", "times").mapInArrow(
-        run, f"row bigint, numbers {numbers}, n_best bigint, count_sum bigint, pairs array<bigint>, times array<bigint>")
+        releasing(run), f"row bigint, numbers {numbers}, n_best bigint, count_sum bigint, pairs array<bigint>, times array<bigint>")
     if others:
         found = store(found, "linked")
         rest = found.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("row", "p.*").withColumnRenamed("pairs", "pair")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, small_batches, store, text_of, texts, widen
+from .common import map_texts, releasing, slices, small_batches, store, text_of, texts, widen
 from .components import components
 
 SEED = 42
@@ -232,7 +232,7 @@ def _cell_links(members: DataFrame, bits: int, lanes: int) -> DataFrame:
                 starts, ends = starts[:-1], ends[:-1]
             u, v = cell_links(starts, ends, np.stack(columns[5:], axis=1).view(np.uint64), columns[4], bits)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-    return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "u bigint, v bigint")
+    return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(releasing(run), "u bigint, v bigint")
 
 
 def near_groups(docs: DataFrame, words: int = 5, bits: int = 4, id_col: str = "doc_id", text_col: str = "text",
@@ -311,7 +311,7 @@ def _verified_links(cells: DataFrame, similarity: float) -> DataFrame:
         if len(cell) > 1:
             yield made(cell)
     cells = cells.select(*order, "node", "shingles").repartition(*order).sortWithinPartitions(*order)
-    return cells.mapInArrow(run, "u bigint, v bigint")
+    return cells.mapInArrow(releasing(run), "u bigint, v bigint")
 
 
 def _packed(met: DataFrame, words: int) -> DataFrame:
@@ -327,7 +327,7 @@ def _packed(met: DataFrame, words: int) -> DataFrame:
                 packed = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
                 names = ["root", "chunks", "mine", "node"]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], packed], [*names, "shingles"]).filter(right)
-    return met.mapInArrow(run, "root bigint, chunks int, mine int, node bigint, shingles binary")
+    return met.mapInArrow(releasing(run), "root bigint, chunks int, mine int, node bigint, shingles binary")
 
 
 def _similar_links(rows: DataFrame, sets: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:

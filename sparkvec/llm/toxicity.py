@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, small_batches, store, text_of, texts, widen
+from .common import map_texts, releasing, slices, small_batches, store, text_of, texts, widen
 
 # A general list of insults that needs no labels.
 INSULTS = ("bastard", "clown", "cretin", "degenerate", "disgusting", "dumbass", "filth", "freak", "garbage", "idiot",
@@ -315,4 +315,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 x = np.vstack([measure(_state(shared.value), t)[1] for t in texts(part, text_col)]).astype(float)
                 s = 1 / (1 + np.exp(-(x @ beta[:-1] + beta[-1])))
                 yield part.filter(pa.array(s < THRESHOLD))
-    return widen(docs).mapInArrow(run, docs.schema)
+    return widen(docs).mapInArrow(releasing(run), docs.schema)
