@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -28,8 +29,8 @@ from .common import releasing, slices, small_batches, store, text_of, texts, wid
 
 # Units that a task remembers; then it starts anew. Characters of units that are tokenized in one text.
 UNITS, CHUNK = 250_000, 1 << 15
-# Bytes of text that are looked up at once: a text's units and pairs take about a hundred bytes a byte.
-PART_BYTES = 1 << 20
+# Bytes of text that are looked up at once: a text's units and pairs take about a hundred bytes a byte. Bytes of an Arrow batch.
+PART_BYTES, BATCH_BYTES = 1 << 18, 4 << 20
 # Id pairs whose counts are broadcast (17 bytes each), the most frequent ones; the others are joined by shuffle.
 HEAD_PAIRS = 2_000_000
 # Links of a group from which on its ids are counted before they are paired.
@@ -82,6 +83,7 @@ class Aligner:
     """Both tokenizers, and what is known of the units met so far."""
 
     def __init__(self, a_json: str, b_model: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread of the library keeps memory of its own
         import sentencepiece
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_str(a_json)
@@ -317,7 +319,7 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     Texts that are null, empty, or don't come back from their tokens have no groups. Map-only.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     shared = share(spark, a_path, b_path)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -387,7 +389,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     rows count each; other columns are never read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     shared = share(spark, a_path, b_path)
     rows = aligned(docs, shared, id_col, text_col)
     counts = store(pair_counts(rows, len(Aligner(*shared.value).b_bytes)), "pairs")

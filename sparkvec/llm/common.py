@@ -84,9 +84,9 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Reco
     return df.mapInArrow(releasing(run), schema)
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
     """Bound the Arrow batches of this session by bytes, so that 10,000 long texts never form one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
 
 
 def shard_bounds(keys: DataFrame, key: str, shards: int) -> list[int]:

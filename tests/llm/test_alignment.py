@@ -1,4 +1,7 @@
 import hashlib
+import os
+import subprocess
+import sys
 from collections import defaultdict
 
 import pytest
@@ -137,3 +140,21 @@ def test_a_worker_looks_up_about_a_megabyte_of_text_at_once():
     parts = [p for p, _ in L._measured(SimpleNamespace(measure=lambda t: held.append(sum(map(len, t)))), batch)]
     assert sum(held) == 4_000_000 and max(held) <= 1 << 20
     assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(41))
+
+
+def test_a_worker_starts_no_threads_of_the_library():
+    code = """
+from sparkvec.llm import alignment as L
+from sparkvec.llm.queries import vocabulary
+def threads():
+    with open("/proc/self/status") as f:
+        return next(int(line.split()[1]) for line in f if line.startswith("Threads:"))
+aligner = L.Aligner(open(vocabulary("byte_bpe_50k.json"), encoding="utf-8").read(), open(vocabulary("piece_bpe_32k.model"), "rb").read())
+before = threads()
+aligner.measure([" ".join(f"word{i} und {i}" for i in range(20_000))])
+print(threads() - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120,
+                         env=env | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    assert out.stdout.strip() == "0"
