@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import metrics as M
 from ..operators import relevance as R
 from ..session import cut_lineage
 from . import inputs as X
@@ -164,7 +165,7 @@ def j13(spark, sf):
 
 @query("J14_hits", f"WITH {X.search_sql(X.raw_sql())}, {X.RELEVANCE} SELECT q_idx, doc_idx, rank::INTEGER AS rank FROM run JOIN rel USING (q_idx, doc_idx)")
 def j14(spark, sf):
-    return X.raw_run(spark, sf).join(X.relevance(spark, sf), ["q_idx", "doc_idx"]).select("q_idx", "doc_idx", "rank")
+    return M.relevant_hits(X.raw_run(spark, sf), cut_lineage(X.relevance(spark, sf))).select("q_idx", "doc_idx", "rank")
 
 
 @query("J15_available_documents", f"WITH {_ANNOTATED} SELECT vec_id AS doc_idx FROM embeddings WHERE vec_id NOT IN (SELECT doc_idx FROM pos)")
