@@ -4,10 +4,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..operators import metrics as M
 from ..operators import search as S
 from ..operators.coding import raw_topk_encode
 from ..plans import suites
-from ..session import spread
+from ..session import cut_lineage, spread
 from ..sources import stores
 from . import inputs as X
 from .registry import query
@@ -263,7 +264,7 @@ def w1(spark, sf):
 @query("W2_first_relevant", f"""WITH {X.search_sql(X.raw_sql())}, {X.RELEVANCE}
 SELECT q_idx, min(rank)::INTEGER AS first_rank FROM run JOIN rel USING (q_idx, doc_idx) GROUP BY q_idx""")
 def w2(spark, sf):
-    return X.raw_run(spark, sf).join(X.relevance(spark, sf), ["q_idx", "doc_idx"]).groupBy("q_idx").agg(
+    return M.relevant_hits(X.raw_run(spark, sf), cut_lineage(X.relevance(spark, sf))).groupBy("q_idx").agg(
         F.min("rank").alias("first_rank"))
 
 
